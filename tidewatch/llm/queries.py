@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, records, simhash, substrings, toxicity
+from . import langid, mixing, packing, records, sharding, simhash, substrings, toxicity
 from .common import table
 
 #: The vocabulary file; a path, never a copy.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Bytes of a shard in op3.
+SHARD_BYTES = 1 << 20
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    return found.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "page")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,6 +38,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -44,9 +58,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_extendible_sharding": op3_extendible_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_mix_sources": op7_mix_sources,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_records": op10_token_records,

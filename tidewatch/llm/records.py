@@ -54,32 +54,35 @@ _ADVANCE = _advance_table(_BLOCK)
 
 
 def crc32c(payloads: list[bytes]) -> np.ndarray:
-    """CRC-32C of each payload; lengths must be even.  Blocks of all payloads are summed in step."""
+    """CRC-32C of each payload of an even length of 4 bytes or more; blocks of all payloads are summed in step.
+
+    The register's start value is xored into the first four bytes; then zero bytes before them change
+    nothing, and each payload is filled up in front to whole blocks.
+    """
     sizes = np.array([len(p) for p in payloads], np.int64)
-    if (sizes % 2).any():
-        raise ValueError("payloads of an odd length")
-    state = np.full(len(payloads), 0xFFFFFFFF, np.uint32)
-    # the short head first, so that all that follows are whole blocks
-    heads = sizes % _BLOCK
-    words = np.zeros((len(payloads), _BLOCK // 2), np.uint16)
-    for i, (p, h) in enumerate(zip(payloads, heads.tolist(), strict=True)):
-        words[i, : h // 2] = np.frombuffer(p, "<u2", h // 2)
-    for k in range(int(heads.max(initial=0)) // 2):
-        live = heads > 2 * k
-        state[live] = _T[(state[live] ^ words[live, k]) & 0xFFFF] ^ (state[live] >> 16)
-    blocks = sizes // _BLOCK
-    if blocks.any():
-        body = np.frombuffer(b"".join(p[h:] for p, h in zip(payloads, heads.tolist(), strict=True)), "<u2").reshape(-1, _BLOCK // 2)
-        own = np.zeros(len(body), np.uint32)
-        columns = np.ascontiguousarray(body.T)
-        for k in range(_BLOCK // 2):
-            own = _T[(own ^ columns[k]) & 0xFFFF] ^ (own >> 16)
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        for k in range(int(blocks.max())):
-            live = np.flatnonzero(blocks > k)
-            s = state[live]
-            s = _ADVANCE[0, s & 255] ^ _ADVANCE[1, (s >> 8) & 255] ^ _ADVANCE[2, (s >> 16) & 255] ^ _ADVANCE[3, s >> 24]
-            state[live] = s ^ own[first[live] + k]
+    if not len(sizes):
+        return np.zeros(0, np.uint32)
+    if (sizes % 2).any() or sizes.min() < 4:
+        raise ValueError("payloads of an odd length or under 4 bytes")
+    block = min(_BLOCK, int(sizes.max()))
+    blocks = -(-sizes // block)
+    zeros = bytes(block)
+    body = np.frombuffer(bytearray().join(x for p, n in zip(payloads, (blocks * block - sizes).tolist(), strict=True) for x in (zeros[:n], p)), "<u2").copy()
+    first = np.cumsum(blocks) - blocks
+    at = (first * block + blocks * block - sizes) // 2
+    body[at] ^= 0xFFFF
+    body[at + 1] ^= 0xFFFF
+    columns = np.ascontiguousarray(body.reshape(-1, block // 2).T)
+    own = np.zeros(columns.shape[1], np.uint32)
+    for k in range(block // 2):
+        own = _T[(own ^ columns[k]) & 0xFFFF] ^ (own >> 16)
+    order = np.argsort(-blocks, kind="stable")
+    state, deepest = own[first], blocks[order]
+    for k in range(1, int(deepest[0])):
+        live = order[: np.searchsorted(-deepest, -k)]  # those with more than k blocks
+        s = state[live]
+        s = _ADVANCE[0, s & 255] ^ _ADVANCE[1, (s >> 8) & 255] ^ _ADVANCE[2, (s >> 16) & 255] ^ _ADVANCE[3, s >> 24]
+        state[live] = s ^ own[first[live] + k]
     return state ^ np.uint32(0xFFFFFFFF)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import operator
 import os
 import re
 
@@ -44,9 +45,9 @@ class WordEncoder:
     def _learn(self, missing: list[str]) -> None:
         """Encode unseen words, those with a leading space many to a text, cut at the words' ends again."""
         spaced = [w for w in missing if w[:1] == " "]
-        for w in missing:
-            if w[:1] != " ":
-                self.words[w] = self._whole(w)
+        first = [w for w in missing if w[:1] != " "]  # of a text
+        for w, x in zip(first, self.tokenizer.encode_batch_fast(first, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(x.ids, self.dtype).tobytes()
         parts = [spaced[at : at + 64] for at in range(0, len(spaced), 64)]
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(encoded), np.int64, sum(map(len, encoded)))
@@ -62,8 +63,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        seen: set[str] = set()
+        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
+        if len(self.words) > self.keep:
+            self.words = {}
+        get = self.words.get
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
@@ -73,16 +77,17 @@ class WordEncoder:
                 words = text.replace(" ", "\0 ").split("\0")  # each with the space before it
                 if not words[0]:
                     del words[0]
-                seen.update(words)
-                split.append((i, words))
-        missing = seen.difference(self.words)
-        if len(self.words) + len(missing) > self.keep:
-            self.words, missing = {}, seen
+                found = list(map(get, words))
+                if None in found:
+                    missing.update(itertools.compress(words, map(operator.not_, found)))
+                    open_.append((i, words, found))
+                else:
+                    out[i] = b"".join(found)
         if missing:
             self._learn(list(missing))
-        get = self.words.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
+        known = self.words
+        for i, words, found in open_:
+            out[i] = b"".join([f or known[w] for f, w in zip(found, words, strict=True)])
         return out  # type: ignore[return-value]
 
 
@@ -94,7 +99,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def slices(texts: list[str], characters: int = 1 << 20):
+def slices(texts: list[str], characters: int = 1 << 22):
     """Ranges of texts of bounded total length, so that the ids of a batch stay small in memory."""
     start = size = 0
     for i, text in enumerate(texts):

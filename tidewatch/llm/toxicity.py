@@ -28,7 +28,7 @@ from .tokens import slices
 #: The kernel: weight of a skipped character, powers of the normalized kernel, characters of a word looked at at once.
 DECAY, POWERS, PIECE = 0.8, (3, 6), 32
 #: The training sample: characters of text of either label, sentences of either label, landmarks.
-TRAIN_CHARS, TRAIN_SENTENCES, LANDMARKS = 6_000_000, 20_000, 256
+TRAIN_CHARS, TRAIN_SENTENCES, LANDMARKS = 4_000_000, 10_000, 256
 #: How far a word must lean to toxic texts, log of the odds times the root of its number, to be a landmark for that.
 MARKED = 6.5
 #: How much more a clean sentence near the line weighs in training.
@@ -213,17 +213,17 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: np.ndarray,
     alpha' K alpha is the squared norm of w = K^(1/2) alpha, the weights of the Nyström features.  A landmark
     taken for its toxic use may only raise a decision (sign 1), one taken for its clean use only lower it (-1).
     """
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)])
     norm = np.zeros((z.shape[1], z.shape[1]))
     norm[:-1, :-1] = ridge * (penalty + 1e-2 * np.eye(len(penalty)))
     scale = weight / weight.sum()
-    step = 1 / float(np.linalg.eigvalsh(2 * (z * scale[:, None]).T @ z + norm)[-1])
+    step = 1 / float(np.linalg.eigvalsh(2 * ((z * scale[:, None].astype(np.float32)).T @ z).astype(np.float64) + norm)[-1])
     side = np.append(sign, 0.0)
     v = np.zeros(z.shape[1])
     u, t = v.copy(), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ u))
-        new = u - step * (norm @ u - 2 * (z.T @ (scale * y * slack)))
+        slack = np.maximum(0, 1 - y * (z @ u.astype(np.float32)))
+        new = u - step * (norm @ u - 2 * (z.T @ (scale * y * slack).astype(np.float32)))
         new = np.where(side * new < 0, 0.0, new)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         u, v, t = new + (t - 1) / t2 * (new - v), new, t2
@@ -250,7 +250,7 @@ def _trained(chosen: list[str], toxic: int, words: list[str], rows: list[tuple[s
         k = kernel.values(words[at : at + 5000])
         lo, hi = np.searchsorted(member, [at, at + 5000])
         np.add.at(x, where[lo:hi], k[member[lo:hi] - at])
-    features = x.astype(np.float64)
+    features = x
     label = np.where(y[owner] == 1, 1.0, -1.0)
     clean = label < 0
     use, hard = np.ones(len(label), bool), np.zeros(len(label), bool)
@@ -261,7 +261,7 @@ def _trained(chosen: list[str], toxic: int, words: list[str], rows: list[tuple[s
         w, b = _svm(features, label, weight, penalty, sign)
         # most sentences of a toxic text are clean: keep those with a marked word and those above nearly all clean ones;
         # a clean text is judged by its worst sentence: those near the line count for more
-        f = features @ w + b
+        f = features @ w.astype(np.float32) + b
         use = clean | sure | (f > np.quantile(f[clean], 0.98))
         hard |= clean & (f > np.quantile(f[clean], 0.97))
     return kernel, w.astype(np.float32), b
@@ -276,13 +276,18 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, sentence
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Model(None, np.zeros(0), 0.0, 0.0, math.log(p / (1 - p)))
-    split = [_sentences(t) for t in texts]
+    same: dict[str, str] = {}
+    split = [[[same.setdefault(u, u) for u in s] for s in _sentences(t)] for t in texts]
     # a word counts once for each word that it follows, so that copies of a text add nothing
-    pairs: list[set[tuple[str, str]]] = [set(), set()]
+    seen = [Counter(), Counter()]
+    pairs: list[set[int]] = [set(), set()]
     for d, label in zip(split, y.tolist(), strict=True):
         for words in d:
-            pairs[label].update((v, u) for v, u in zip(["", *words], words, strict=False) if len(u) > 1)
-    seen = [Counter(u for _, u in p) for p in pairs]
+            for v, u in zip(["", *words], words, strict=False):
+                if len(u) > 1 and (h := hash((v, u))) not in pairs[label]:
+                    pairs[label].add(h)
+                    seen[label][u] += 1
+    del pairs
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     odds = {u: (math.log((k + 0.5) / n1) - math.log((seen[0][u] + 0.5) / n0)) * math.sqrt(k) for u, k in seen[1].items()}
     marked = sorted((u for u, o in odds.items() if o > MARKED), key=lambda u: (-odds[u], u))[: landmarks * 3 // 4]
@@ -293,6 +298,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, sentence
             if s:
                 once.setdefault((int(y[i]), tuple(s)), i)
     rows = [(i, s) for (_, s), i in once.items()]
+    del split, once
     owner = np.array([i for i, _ in rows], np.int64)
     sides = [np.flatnonzero(y[owner] == label) for label in (1, 0)]
     pick = np.sort(np.concatenate([rng.permutation(p)[:sentences] for p in sides]))
