@@ -4,7 +4,8 @@ A source's documents are all wanted ``m = target / size`` times: the whole part
 an inclusion probability.  The cube method moves the probabilities of three documents at a time along the
 direction that keeps both the number of documents and the number of words, until one of them is 0 or 1.
 Each block of a source is moved by itself and leaves two documents at most; these go on to further rounds,
-until what is left of a source, two documents at most, is settled in a landing.
+until what is left of a source is settled in a landing.  A dozen documents of each source are kept out of
+the flight for it: the landing takes the choice among them, and the two left, that comes nearest.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import WORD_PATTERN, row_id, stored, tasks, text_or_empty
 
 #: Weights of the sources in their order, repeating; most times that a document may be taken; documents of a block.
 WEIGHTS, MOST, BLOCK = (5.0, 2.0, 1.0), 3.0, 20_000
+#: Documents of a source that wait for the landing.
+RESERVE = 12
 
 
 def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -63,12 +66,24 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The 0-1 choice for the few that are left whose words, then number, come nearest to what was wanted."""
+    """The 0-1 choice for the few that are left whose words, and then number, come nearest to what was wanted."""
     left = np.flatnonzero((p > 0) & (p < 1))
     out = p.copy()
-    words, number = float((p[left] * size[left]).sum()), float(p[left].sum())
-    choices = [[(k >> j) & 1 for j in range(len(left))] for k in range(1 << len(left))]
-    out[left] = min(choices, key=lambda c: (abs(float(np.dot(c, size[left])) - words), abs(sum(c) - number), c))
+    if len(left):
+        picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs(picks @ size[left] - float((p[left] * size[left]).sum()))
+        number = np.abs(picks.sum(1) - float(p[left].sum()))
+        out[left] = picks[int(np.argmin(words + 2 * number))]
+    return out
+
+
+def waiting(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The documents that wait for the landing: spread over the upper half of the sizes, so that they can make up much or little."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    order = open_[np.argsort(size[open_], kind="stable")]
+    out = np.zeros(len(p), bool)
+    if len(order):
+        out[order[np.unique((np.linspace(0.4, 0.97, RESERVE) * (len(order) - 1)).astype(int))]] = True
     return out
 
 
@@ -131,31 +146,33 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(wanted + F.lit(1e-12))
     units = joined.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), wanted - whole))
-    dealt = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.ceil(F.col("n") / block)).cast("long"))
-    names = ["doc_id", "tie", "source", "size", "source_size", "n", "target", "whole", "p", "block"]
-    schema = "doc_id long, tie long, source string, size long, source_size long, n long, target double, whole long, p double, block long"
+    dealt = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.ceil(F.col("n") / block)).cast("long")).withColumn("waits", F.lit(False))
+    names = ["doc_id", "tie", "source", "size", "source_size", "n", "target", "whole", "p", "block", "waits"]
+    schema = "doc_id long, tie long, source string, size long, source_size long, n long, target double, whole long, p double, block long, waits boolean"
 
-    def mover(last: bool):
+    def mover(start: bool, last: bool):
         def move(part: pd.DataFrame) -> pd.DataFrame:
-            # long documents settle among themselves first, so that short ones are left to land
-            part = part.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-            size = part["size"].to_numpy(np.float64)
+            part = part.sort_values(["tie", "doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+            size, p = part["size"].to_numpy(np.float64), part["p"].to_numpy(np.float64)
             first = part.iloc[0]
             rng = np.random.default_rng([seed, int(first["block"]), int(first["source_size"]), int(first["tie"]) & 0xFFFFFFFF])
-            p = fly(part["p"].to_numpy(np.float64), size, rng)
+            if start:
+                part["waits"] = waiting(p, size) if int(first["block"]) == 0 else False
+            waits = part["waits"].to_numpy(bool)
+            p[~waits] = fly(p[~waits], size[~waits], rng)
             part["p"] = land(p, size) if last else p
             return part[names]
 
         return move
 
-    flown = stored(dealt.select(*names).groupBy("source", "block").applyInPandas(mover(False), schema), "flown")
+    flown = stored(dealt.select(*names).groupBy("source", "block").applyInPandas(mover(True, False), schema), "flown")
     settled, left = flown.filter("p <= 0 or p >= 1"), flown.filter("p > 0 and p < 1")
     while True:
         # two documents a block at most: the rounds shrink by some thousands
         most_left = left.groupBy("source").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
         last = most_left <= block
         again = left.withColumn("block", F.floor(F.col("block") / (block // 2)))
-        moved = stored(again.groupBy("source", "block").applyInPandas(mover(last), schema), "flown")
+        moved = stored(again.groupBy("source", "block").applyInPandas(mover(False, last), schema), "flown")
         settled = settled.unionByName(moved.filter("p <= 0 or p >= 1"))
         left = moved.filter("p > 0 and p < 1")
         if last:
