@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, records, sharding, simhash, substrings, toxicity
+from . import audio, fingerprints, langid, mixing, packing, records, sharding, simhash, substrings, toxicity
 from .common import table
 
 #: The vocabulary file; a path, never a copy.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_features(table(spark, sf_dir, "documents"))
+
+
 #: Bytes of a shard in op3.
 SHARD_BYTES = 1 << 20
 
@@ -58,6 +66,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_media_columns": op2_media_columns,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
