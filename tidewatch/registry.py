@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import catalogue
+
+QUERIES = catalogue.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL
