@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id
+from .common import row_id, stored
 from .langid import held_out
 from .tokens import slices
 
@@ -354,15 +354,17 @@ def learn(docs: DataFrame, labels: DataFrame, characters: int = TRAIN_CHARS) ->
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.join(marks, rows["doc_id"] == marks["_id"]).select("doc_id", "text", "toxic")
-    sums = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.char_length("text")).alias("n")).collect()}
+    # only ids and lengths meet the labels; the texts of the sample, some thousands, are picked in a scan
+    sizes = rows.select("doc_id", F.char_length("text").alias("n")).filter("n > 0")
+    marked = stored(sizes.join(marks, sizes["doc_id"] == marks["_id"]).select("doc_id", "n", (F.col("toxic") > 0).cast("int").alias("toxic")), "marked")
+    sums = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     share = F.lit(0.0)
     for label in (0, 1):
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, characters / max(1, sums.get(label) or 1)))).otherwise(share)
     hashed = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20))
-    found = rows.filter(hashed < share * (1 << 20)).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")).collect()
+    chosen = marked.filter(hashed < share * (1 << 20)).select(F.col("doc_id").alias("_id"), "toxic").distinct()
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
-    # the share of toxic texts among all, so that scores are probabilities for the whole table
     return fit([r["text"] for r in found], [r["toxic"] for r in found])
 
 
