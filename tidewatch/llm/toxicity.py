@@ -6,7 +6,8 @@ normalized and raised to each of ``POWERS``, and the results are added: a low po
 inserted characters, a high one tells words of one stem apart.  The kernel of two sentences is the sum over
 their words.  Landmarks are words of the training sentences: those that lean to toxic ones, and the clean
 ones closest to these.  A linear machine over the Nyström features K_mm^(-1/2) k(x) is trained in its dual
-form, a number for each landmark; its decision for a sentence is a bias plus a number for each word.  A text scores as its highest sentence.
+form, a number for each landmark; its decision for a sentence is a bias plus a number for each word.  A text
+scores by the bias and its highest word, so that its length and its clean words count for nothing.
 """
 
 from __future__ import annotations
@@ -109,13 +110,12 @@ class Kernel:
 
 
 class Model:
-    """A number for each word, a bias, and a logistic curve from a text's highest sentence to a probability."""
+    """A number for each word, a bias, and a logistic curve from a text's decision to a probability."""
 
     def __init__(self, kernel: Kernel | None, alpha: np.ndarray, bias: float, slope: float, shift: float):
         self.kernel, self.alpha, self.bias, self.slope, self.shift = kernel, alpha.astype(np.float32), bias, slope, shift
         self.known: dict[str, int] = {}
         self.value = np.zeros(1 << 16, np.float32)
-        self.ends = np.zeros(1 << 16, bool)
         self.single = np.zeros(1 << 16, bool)
 
     def __getstate__(self):
@@ -125,7 +125,10 @@ class Model:
         self.__init__(Kernel(state[0]) if state[0] else None, *state[1:])
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        """The machine's number for each unit; a long one counts by its highest piece, pieces overlapping by half."""
+        """The machine's number for each unit, 0 at least: a clean word doesn't make up for a toxic one.
+
+        A long unit counts by its highest piece, pieces overlapping by half.
+        """
         short = [w if len(w) <= PIECE else w[:PIECE] for w in words]
         out = np.zeros(len(words), np.float32)
         for at in range(0, len(words), 2000):
@@ -134,7 +137,7 @@ class Model:
             if len(w) > PIECE:
                 pieces = [w[k : k + PIECE] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
                 out[i] = max(float(out[i]), max(float((self.kernel.values(pieces[k : k + 2000]) @ self.alpha).max()) for k in range(0, len(pieces), 2000)))
-        return out
+        return np.maximum(out, 0)
 
     def _learn(self, tokens: list[str], keep: int = 1_000_000) -> None:
         missing = set(tokens).difference(self.known)
@@ -148,7 +151,7 @@ class Model:
         need = start + len(new)
         if need > len(self.value):
             size = 1 << need.bit_length()
-            for name in ("value", "ends", "single"):
+            for name in ("value", "single"):
                 old = getattr(self, name)
                 grown = np.zeros(size, old.dtype)
                 grown[: len(old)] = old
@@ -156,12 +159,11 @@ class Model:
         by_unit = list(set(units) - {""})
         numbers = dict(zip(by_unit, self.word_values(by_unit).tolist(), strict=True)) | {"": 0.0}
         self.value[start:need] = [numbers[u] for u in units]
-        self.ends[start:need] = [t.endswith(_ENDS) for t in new]
         self.single[start:need] = [len(u) == 1 for u in units]
         self.known.update(zip(new, range(start, need), strict=True))
 
     def decisions(self, texts: list[str]) -> np.ndarray:
-        """The highest sentence's decision of each text; of a text without a word, the bias."""
+        """The bias plus the number of the text's highest word; of a text without a word, the bias."""
         out = np.full(len(texts), self.bias, np.float64)
         if self.kernel is None:
             return out
@@ -171,22 +173,16 @@ class Model:
             return out
         self._learn(tokens)
         index = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        value, ends, single = self.value[index].astype(np.float64), self.ends[index], self.single[index]
-        sizes = np.array([len(d) for d in split], np.int64)
-        stops = np.cumsum(sizes)
-        begins = np.zeros(len(tokens) + 1, bool)
-        begins[stops - sizes] = True
+        value, single = self.value[index].astype(np.float64), self.single[index]
         if single.sum() >= 3:
             # letters that stand alone, three or more in a row, are also read as one word
             run = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
             for s, e in zip(run[::2].tolist(), run[1::2].tolist(), strict=True):
                 if e - s >= 3:
-                    value[s] += float(self.word_values(["".join(unit(t) for t in tokens[s:e])])[0])
-        begins[1:] |= ends
-        starts = np.flatnonzero(begins[:-1])
-        sentences = np.add.reduceat(value, starts) + self.bias
-        owner = np.searchsorted(stops, starts, side="right")
-        np.maximum.at(out, owner, sentences)
+                    value[s] = max(value[s], float(self.word_values(["".join(unit(t) for t in tokens[s:e])])[0]))
+        sizes = np.array([len(d) for d in split], np.int64)
+        have = np.flatnonzero(sizes)
+        out[have] += np.maximum.reduceat(value, (np.cumsum(sizes) - sizes)[have])
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
