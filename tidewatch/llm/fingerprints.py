@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_buckets, row_id, stored, tasks, text_or_empty
+from .common import key_buckets, row_id, tasks, text_or_empty
 
 #: Lanes of either kind, and the modulus of each.
 EXACT, LIKE, MODULUS = 32, 128, 1 << 32
@@ -56,9 +56,18 @@ def like_lanes(pairs: Column, names: list[str]) -> Column:
     return F.array(*[c * 2 - F.coalesce(pairs, F.lit(0)) for c in counts])
 
 
+def narrow(lanes: Column) -> Column:
+    """Lanes modulo 2^32 as 32-bit numbers with a sign."""
+    return F.transform(lanes, lambda x: (x - F.lit(1 << 31)).cast("int"))
+
+
+def wide(lanes: Column) -> Column:
+    return F.transform(lanes, lambda x: x.cast("long") + F.lit(1 << 31))
+
+
 def packed(exact: Column, like: Column) -> Column:
     """The fingerprint as hex, eight digits a lane; like lanes modulo 2^32."""
-    lanes = F.concat(exact, F.transform(like, lambda x: x.bitwiseAND(F.lit(_LOW))))
+    lanes = F.concat(exact, F.transform(like, lambda x: x.cast("long").bitwiseAND(F.lit(_LOW))))
     return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
@@ -120,17 +129,18 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.when(F.col("ghost") == 0, edited).alias("t"))))
-    texts = placed.select("b", "ghost", "rn", "doc_id", n.cast("long").alias("n_chars"), both.alias("x")).select("b", "ghost", "rn", "doc_id", "n_chars", F.col("x.kind").alias("kind"), F.col("x.t").alias("t")).filter("t is not null")
-    plain = texts.select("b", "ghost", "rn", "doc_id", "n_chars", "kind", exact_lanes(F.col("t")).alias("exact"), F.when(F.col("kind") == 1, F.sha2("t", 256)).alias("sha"))
-    pairs = texts.select("b", "rn", "kind", F.explode_outer(word_pairs(F.col("t"))).alias("h"))
-    names = [f"s{i}" for i in range(LIKE // 2)]
-    counted = pairs.groupBy("b", "rn", "kind").agg(F.count("h").alias("pairs"), *like_sums(F.col("h")))
-    like = stored(counted.select("b", "rn", "kind", like_lanes(F.col("pairs"), names).alias("like")), "like")
-    joined = stored(plain, "exact").join(like, ["b", "rn", "kind"])
-    side = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
-    merged = joined.groupBy("b", "rn").agg(F.max("ghost").alias("ghost"), F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), side("sha", 1).alias("edited_sha256"), side("exact", 0).alias("e0"), side("exact", 1).alias("e1"), side("like", 0).alias("l0"), side("like", 1).alias("l1"))
+    texts = placed.withColumn("n_chars", n.cast("long")).withColumn("edited", F.when(F.col("ghost") == 0, edited))
     step = Window.partitionBy("b").orderBy("rn")
-    done = merged.withColumn("e2", F.lead("e0").over(step)).withColumn("l2", F.lead("l0").over(step)).filter("ghost = 0")
-    near = lambda e, l: F.when(F.col("e0") == F.col(e), F.lit(1.0)).otherwise(likeness(F.col("l0"), F.col(l)))
-    return done.select("doc_id", "n_chars", "edited_sha256", packed(F.col("e0"), F.col("l0")).alias("fingerprint"), packed(F.col("e1"), F.col("l1")).alias("edited_fingerprint"), near("e1", "l1").alias("near_edited"), near("e2", "l2").alias("near_next"))
+    # lanes travel as 32-bit numbers; both sides hang on the one exchange of the texts
+    exact = texts.select("b", "rn", "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), narrow(exact_lanes(F.col("text"))).alias("e0"), narrow(exact_lanes(F.col("edited"))).alias("e1"))
+    exact = exact.withColumn("same_edited", F.col("e0") == F.col("e1")).withColumn("same_next", F.col("e0") == F.lead("e0").over(step)).filter("ghost = 0")
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
+    each = texts.select("b", "rn", kinds.alias("x")).select("b", "rn", F.col("x.kind").alias("kind"), F.col("x.t").alias("t")).filter("t is not null")
+    pairs = each.select("b", "rn", "kind", F.explode_outer(word_pairs(F.col("t"))).alias("h"))
+    counted = pairs.groupBy("b", "rn", "kind").agg(F.count("h").alias("pairs"), *like_sums(F.col("h")))
+    lanes = F.transform(like_lanes(F.col("pairs"), [f"s{i}" for i in range(LIKE // 2)]), lambda x: x.cast("int"))
+    like = counted.select("b", "rn", "kind", lanes.alias("like")).groupBy("b", "rn").agg(F.max(F.when(F.col("kind") == 0, F.col("like"))).alias("l0"), F.max(F.when(F.col("kind") == 1, F.col("like"))).alias("l1"))
+    like = like.withColumn("l2", F.lead("l0").over(step)).withColumns({"near_edited": likeness(F.col("l0"), F.col("l1")), "near_next": likeness(F.col("l0"), F.col("l2"))}).drop("l2")
+    done = exact.join(like, ["b", "rn"])
+    near = lambda same, c: F.when(F.col(same), F.lit(1.0)).otherwise(F.col(c)).alias(c)
+    return done.select("doc_id", "n_chars", "edited_sha256", packed(wide(F.col("e0")), F.col("l0")).alias("fingerprint"), packed(wide(F.col("e1")), F.col("l1")).alias("edited_fingerprint"), near("same_edited", "near_edited"), near("same_next", "near_next"))
