@@ -16,6 +16,8 @@ import re
 import numpy as np
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: A full stop or comma that other marks may stand together with; after a letter or digit it is by itself.
+_JOINED_STOP = re.compile(r"(?:^|[^\w]|_)[.,] ")
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -62,8 +64,14 @@ class WordEncoder:
         self.words.update(zip(spaced, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for a, b in slices(texts, 1 << 18):  # what is in hand at once stays near the processor
+            out += self._encode(texts[a:b])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         missing: set[str] = set()
         if len(self.words) > self.keep:
             self.words = {}
@@ -74,20 +82,26 @@ class WordEncoder:
             elif not self.by_word or "\0" in text or _DOUBLE_SPACE.search(text):
                 out[i] = self._whole(text)
             else:
-                words = text.replace(" ", "\0 ").split("\0")  # each with the space before it
+                marked = text.replace(" ", "\0 ")  # each word with the space before it
+                if not _JOINED_STOP.search(text):
+                    marked = marked.replace(".\0 ", "\0.\0 ").replace(",\0 ", "\0,\0 ")
+                words = marked.split("\0")
                 if not words[0]:
                     del words[0]
                 found = list(map(get, words))
                 if None in found:
-                    missing.update(itertools.compress(words, map(operator.not_, found)))
-                    open_.append((i, words, found))
+                    gaps = list(itertools.compress(range(len(found)), map(operator.not_, found)))
+                    missing.update([words[k] for k in gaps])
+                    open_.append((i, words, found, gaps))
                 else:
                     out[i] = b"".join(found)
         if missing:
             self._learn(list(missing))
         known = self.words
-        for i, words, found in open_:
-            out[i] = b"".join([f or known[w] for f, w in zip(found, words, strict=True)])
+        for i, words, found, gaps in open_:
+            for k in gaps:
+                found[k] = known[words[k]]
+            out[i] = b"".join(found)
         return out  # type: ignore[return-value]
 
 
@@ -99,6 +113,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Forget the encoders of this process: other operators' tasks call it, so that a worker holds one kind of cache."""
+    _ENCODERS.clear()
+
+
 def slices(texts: list[str], characters: int = 1 << 22):
     """Ranges of texts of bounded total length, so that the ids of a batch stay small in memory."""
     start = size = 0
