@@ -78,4 +78,21 @@ QUERIES = {
     "op10_token_records": op10_token_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The rest hashes, trains or draws in ways that SQL has no words for; tests/llm holds it against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_extendible_sharding": f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+ c AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS bytes FROM d, range(0, 61) t(depth) GROUP BY ALL),
+ r AS (SELECT doc_id, n_bytes, CAST(depth AS INT) AS depth, prefix, CAST(bytes AS BIGINT) AS shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
+  FROM d JOIN c ON prefix = h >> (60 - depth) WHERE bytes <= {SHARD_BYTES} OR depth = 60)
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes, CAST(0 AS INT) AS page FROM r WHERE k = 1""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+ k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS words FROM s),
+ r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY words) > 1),
+ c AS (SELECT DISTINCT doc_id, i + j AS p FROM r, range(0, 35) t(j)),
+ u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+ l AS (SELECT u.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY u.p) AS kept FROM u ANTI JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l ON l.doc_id = d.doc_id""",
+}

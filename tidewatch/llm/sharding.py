@@ -59,9 +59,10 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, depth, prefix, shard, shard_bytes, page) of every row.
 
-    ``shard`` is the prefix as a string of bits.  Rows of equal hash, repeated keys, that exceed the limit
-    together overflow into pages: their running bytes, in units of the limit, number the page; a single row
-    above the limit is alone in its page.  Null text has no bytes.  An empty table has no shard.
+    ``shard`` is the prefix as a string of bits.  Rows of equal hash, that is of repeated keys, cannot be parted
+    by bits: where they exceed the limit together they overflow into pages, twice as many as their bytes
+    need, dealt by their place in the table.  A single row above the limit is a shard by itself.  Null text
+    has no bytes.  An empty table has no shard.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     rows = rows.withColumn("h", hash_bits(F.col("_key")))
@@ -72,7 +73,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     options = options.withColumn("prefix", F.expr(f"shiftrightunsigned(h, {BITS} - depth)"))
     out = options.join(found.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), "rows"), ["depth", "prefix"])
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    # equal hashes above the limit: dealt to as many pages as they need by their place among the table's rows
+    # equal hashes above the limit: overflow pages
     pages = F.ceil(F.col("shard_bytes") * 2 / limit)
     spread = F.when((F.col("depth") == BITS) & (F.col("shard_bytes") > limit), F.pmod(F.xxhash64(F.monotonically_increasing_id()), pages)).otherwise(F.lit(0)).cast("int")
     return out.select(F.col("_key").alias(key), "n_bytes", "depth", "prefix", bits.alias("shard"), "shard_bytes", spread.alias("page"))
