@@ -195,9 +195,9 @@ def severity(score: Column) -> Column:
 
 def fusion_weights(precision: DataFrame) -> DataFrame:
     """(detector_key, weight) of rows (detector_key, tp, fired): precision over the pooled one, held in a range."""
-    pooled = precision.agg((F.sum("tp") / F.sum("fired")).alias("pooled"))
-    w = F.least(F.lit(WEIGHT_RANGE[1]), F.greatest(F.lit(WEIGHT_RANGE[0]), F.col("tp") / F.col("fired") / F.col("pooled")))
-    return precision.crossJoin(F.broadcast(pooled)).select("detector_key", w.alias("weight"))
+    pooled = precision.agg(F.sum("tp") / F.sum("fired")).first()[0] or 1.0
+    w = F.least(F.lit(WEIGHT_RANGE[1]), F.greatest(F.lit(WEIGHT_RANGE[0]), F.col("tp") / F.col("fired") / F.lit(float(pooled))))
+    return precision.select("detector_key", w.alias("weight"))
 
 
 def incident_tags(signals: DataFrame, allowed: tuple[str, ...]) -> DataFrame:

@@ -291,13 +291,23 @@ def confusion(rows: DataFrame, keys: list[str], predicted: str, y: str, beta: fl
     return a.withColumn("f1", f(1.0)).withColumn("f_beta", f(beta * beta)).withColumn("fp_rate", safe(F.col("fp"), F.col("fp") + F.col("tn")))
 
 
-def average_precision(rows: DataFrame, score_: str, y: str) -> DataFrame:
+def average_precision(rows: DataFrame, score_: str, y: str, ranges: int = 64) -> DataFrame:
     """Area under precision and recall, rows of equal score taken together.
 
-    Rows are counted per score first; the running sums go over distinct scores.
+    Rows are counted per score first.  Ranges of scores are summed apart and then each by itself, so that no
+    task gets all scores; one row a range reaches the driver.
     """
     per = rows.groupBy(score_).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    w = Window.orderBy(F.desc(score_)).rowsBetween(Window.unboundedPreceding, 0)
-    total = per.agg(F.sum("pos").alias("all_pos"))
-    run = per.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen")).crossJoin(F.broadcast(total))
-    return run.agg(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / F.col("seen")).alias("average_precision"))
+    cuts = sorted(set(per.agg(F.percentile_approx(score_, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []))
+    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(score_))) if cuts else F.lit(0)
+    per = per.withColumn("_cell", cell)
+    above, tp, seen = {}, 0, 0
+    for r in sorted(per.groupBy("_cell").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).collect(), reverse=True):
+        above[r["_cell"]] = (tp, seen)
+        tp, seen = tp + r["p"], seen + r["n"]
+    base = [F.lit(0), F.lit(0)]
+    for c, both in above.items():
+        base = [F.when(F.col("_cell") == c, F.lit(v)).otherwise(b) for v, b in zip(both, base, strict=True)]
+    w = Window.partitionBy("_cell").orderBy(F.desc(score_)).rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select("pos", (F.sum("pos").over(w) + base[0]).alias("tp"), (F.sum("n").over(w) + base[1]).alias("seen"))
+    return run.agg(F.sum(F.col("pos") / F.lit(max(1, tp)) * F.col("tp") / F.col("seen")).alias("average_precision"))

@@ -22,10 +22,10 @@ def overview(ev: DataFrame) -> DataFrame:
 def time_windows(ev: DataFrame, parts: int = 24, top: int = 5, ids: int = 6) -> DataFrame:
     """Equal half-open windows over the whole span: totals, blocked, the top domains and the first ids; empty ones are left out.
 
-    The span is one row; top domains come from a count per (window, domain), so events are never collected.
+    The span is two numbers; top domains come from a count per (window, domain), so events are never collected.
     """
-    span = ev.agg(F.min("us").alias("lo"), (F.max("us") + 1_000_000).alias("hi"))
-    rows = ev.crossJoin(F.broadcast(span)).withColumn("w", F.least(F.floor((F.col("us") - F.col("lo")) * parts / (F.col("hi") - F.col("lo"))), F.lit(parts - 1)).cast("int"))
+    span = ev.agg(F.coalesce(F.min("us"), F.lit(0)).alias("lo"), F.coalesce(F.max("us") + 1_000_000, F.lit(1)).alias("hi")).first()
+    rows = ev.withColumn("w", F.least(F.floor((F.col("us") - F.lit(span["lo"])) * parts / F.lit(span["hi"] - span["lo"])), F.lit(parts - 1)).cast("int"))
     totals = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("action") == "blocked").alias("n_blocked"))
     by_domain = rows.groupBy("w", "domain").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("w").orderBy(F.desc("n"), "domain")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import web
@@ -59,14 +59,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     Splits are numbered apart by their bytes' order and shifted by the lines before: one count per split
     reaches the driver.
     """
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_m"), F.regexp_replace("value", "\r$", "").alias("raw"))
-    raw = raw.withColumn("_p", F.shiftright("_m", 33))
+    return _numbered(spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("raw")), "raw", "line_no")
+
+
+def _numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ``name``: the dense number, from 1, of each row in the order of the file."""
+    raw = rows.select(F.monotonically_increasing_id().alias("_m"), column).withColumn("_p", F.shiftright("_m", 33))
     sizes = {r["_p"]: r["n"] for r in raw.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     shift, before = F.lit(0), 0
     for p in sorted(sizes):
         shift = F.when(F.col("_p") == p, F.lit(before)).otherwise(shift)
         before += sizes[p]
-    return raw.select((F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + shift + 1).alias("line_no"), "raw")
+    return raw.select((F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + shift + 1).alias(name), column)
 
 
 def _cell(header: Header, cells: Column, name: str) -> Column:
@@ -125,8 +129,8 @@ def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 def ranked_list(spark: SparkSession, path: str) -> DataFrame:
     """(domain, rank) of a text file with one domain a line; # begins a comment."""
-    rows = lines(spark, path).select("line_no", F.lower(F.trim(F.regexp_replace("raw", "#.*$", ""))).alias("domain")).filter("domain <> ''")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("line_no"))).select("domain", "rank")
+    text = spark.read.text(path).select(F.lower(F.trim(F.regexp_replace("value", "#.*$", ""))).alias("raw")).filter("raw <> ''")
+    return _numbered(text, "raw", "rank").select(F.col("raw").alias("domain"), F.col("rank").cast("int").alias("rank"))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
