@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_id
-from .tokens import slices
+from .tokens import release, slices
 
 #: N-grams of a profile, and documents of each language that profiles are learned from (expected number).
 PROFILE, SAMPLE = 400, 3000
@@ -127,6 +127,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, j in slices(texts, 1 << 20):
@@ -157,6 +158,7 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profile
 
 
 def _predicted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
         found: list[tuple[str, float, float]] = []
@@ -174,6 +176,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def _accepted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles, farthest: float, column: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         texts = [t or "" for t in batch.column(column).to_pylist()]
         keep: list[bool] = []

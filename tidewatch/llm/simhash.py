@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import row_id, stored, tasks, text_or_empty
 from .components import components
+from .tokens import release
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints in one bucket beyond which it is divided further, and rows of one task's group.
@@ -60,6 +61,7 @@ def fingerprints(texts: list[str], width: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         texts = batch.column(2).to_pylist()
         found = []

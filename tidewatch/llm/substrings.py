@@ -24,25 +24,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, tasks, text_or_empty
-from .tokens import slices
+from .tokens import release, slices
 
 WINDOW, GRAM = 35, 12
 #: Suffix groups of an anchor beyond which its prefixes are lengthened; anchors in one task's group.
 LARGE, GROUP = 20_000, 30_000
 _WORD = 6  # bytes of a word's hash in a suffix
 _BASE = 0x9E3779B97F4A7C15
-_KNOWN: dict[bytes, int] = {}
-_KEEP = 1_500_000
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    global _KNOWN
-    missing = set(words).difference(_KNOWN)
-    if len(_KNOWN) + len(missing) > _KEEP:
-        _KNOWN, missing = {}, set(words)
-    _KNOWN.update(zip(missing, map(xxhash.xxh64_intdigest, missing), strict=True))
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _rolled(h: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
@@ -103,12 +96,13 @@ def anchors(h: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int =
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         table = {}
         for a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             table[a, b] = text  # equal texts of a batch once
         keys, texts = list(table), list(table.values())
-        for i, j in slices(texts):
+        for i, j in slices(texts, 1 << 20):
             words = [t.encode("utf-8", "surrogatepass").split() for t in texts[i:j]]
             sizes = np.array([len(w) for w in words], np.int64)
             for k in np.flatnonzero(sizes > 1 << 22):  # a document of millions of words by itself, in overlapping parts
@@ -136,11 +130,12 @@ def _long_rows(key: tuple[int, int], h: np.ndarray, step: int = 1 << 22) -> Iter
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each listed anchor of a text the words that its suffixes need; for those to be lengthened, hashes of each suffix."""
+    release()
     names = ["h", "t1", "t2", "s", "n", "words", "w1", "w2"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     for batch in batches:
         t1, t2, texts, lists = (batch.column(k).to_pylist() for k in range(4))
-        for i, j in slices(texts):
+        for i, j in slices(texts, 1 << 20):
             out: list[list] = [[] for _ in names]
             for a, b, text, found in zip(t1[i:j], t2[i:j], texts[i:j], lists[i:j], strict=True):
                 h = _hashed(text.encode("utf-8", "surrogatepass").split())
@@ -182,7 +177,7 @@ def repeated_leaves(words: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 
 def _subtrees(group: pa.Table) -> pa.Table:
-    """The repeated suffixes of one group of prefixes, a few hundred thousand suffixes at a time."""
+    """The repeated suffixes of one group of prefixes, some hundred thousand suffixes at a time."""
     group = group.sort_by("h")
     h, counts = group.column("h").to_numpy(), group.column("n").to_numpy().astype(np.int64)
     words = group.column("words").to_pylist()
@@ -191,7 +186,7 @@ def _subtrees(group: pa.Table) -> pa.Table:
     masks = np.zeros(len(h), np.int64)
     k = 0
     while k < len(edges) - 1:
-        stop = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + 200_000)))
+        stop = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + 100_000)))
         stop = min(stop, len(edges) - 1)
         a, b = edges[k], edges[stop]
         leaf = repeated_leaves(words[a:b], counts[a:b])
@@ -203,9 +198,10 @@ def _subtrees(group: pa.Table) -> pa.Table:
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         ids, ties, texts, many, lists = (batch.column(k).to_pylist() for k in range(5))
-        for i, j in slices(texts):
+        for i, j in slices(texts, 1 << 20):
             total, removed, kept = [], [], []
             for text, all_of_it, found in zip(texts[i:j], many[i:j], lists[i:j], strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
