@@ -18,12 +18,14 @@ LOCAL_WORK = "/tmp/tidewatch-work"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{LOCAL_WORK}"
         os.makedirs(LOCAL_WORK, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        return f"file://{LOCAL_WORK}"
+    if ":" not in found:  # a bare path lies in the default file system
+        store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
+        found = ("file://" if store == "file:" else store) + found
     return found.rstrip("/")
 
 
