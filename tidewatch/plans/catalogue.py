@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy, stats, web
 from ..operators import baseline, detectors, enrich, graph, outliers, overview, sharing, windows
+from ..operators import incidents as incident_texts
 from ..rules import compiler
 from ..rules.rule import load, load_all
+from ..sources import logs
 from ..sources.driver import EVENTS_SQL, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,3 +675,70 @@ def evidence_overlap(spark, sf_dir):
     e = ev.filter("event_type = 'error'").select("id", "principal", F.col("us").alias("lo"), (F.col("us") + 3_600_000_000).alias("hi"))
     i = ev.filter("event_type = 'purchase'").groupBy("principal").agg(F.min("us").alias("ilo"), F.max("us").alias("ihi"))
     return e.join(i, "principal").filter("lo <= ihi + 3600000000 and ilo - 3600000000 <= hi").select("id", "principal")
+
+
+# -- raw logs, incidents in words, signatures ----------------------------------------------------------------
+
+
+def _raw_lines(spark, sf_dir):
+    """The events written as the lines of a tab-separated log, some of them broken."""
+    ev = events(spark, sf_dir, "id", "us", "principal", "src_ip", "domain", "action", "http_method", "status_code", "bytes_out", "url_path")
+    when = F.when(F.col("id") % 50 == 0, F.lit("soon")).otherwise(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    who = F.when(F.col("id") % 20 == 1, F.lit("None")).otherwise(F.col("principal"))
+    cells = [when, who, "src_ip", F.concat(F.lit("http://"), "domain", "url_path"), "http_method", F.concat(F.col("status_code"), F.lit(".0")), "bytes_out", "action"]
+    raw = F.when(F.col("id") % 77 == 5, F.lit("cut")).otherwise(F.concat_ws("\t", *cells))
+    return ev.select((F.col("id") + 2).alias("line_no"), raw.alias("raw"))
+
+
+def _parsed_lines(spark, sf_dir):
+    header = logs.header_of("DateTime\t\"user\"\tclientip\turl\trequestmethod\tstatus\trequestsize\taction")
+    return logs.parsed(_raw_lines(spark, sf_dir), header)
+
+
+@query("""WITH {EV} SELECT id + 2 AS line_no, CASE WHEN id % 20 <> 1 THEN principal END AS user, src_ip AS clientip, domain AS host, url_path, http_method AS requestmethod, CAST(status_code AS BIGINT) AS status, bytes_out AS requestsize, action,
+ us // 1000000 AS epoch FROM ev WHERE id % 50 <> 0 AND id % 77 <> 5""")
+def log_parse(spark, sf_dir):
+    rows = _parsed_lines(spark, sf_dir).filter("event is not null")
+    e = [F.col(f"event.{c}") for c in ("user", "clientip", "host", "url_path", "requestmethod", "status", "requestsize", "action")]
+    return rows.select("line_no", *e, F.unix_timestamp("event.datetime").alias("epoch"))
+
+
+@query("""WITH {EV} SELECT id + 2 AS line_no, CASE WHEN id % 77 = 5 THEN 'too few fields' ELSE 'bad datetime' END AS reason FROM ev WHERE id % 50 = 0 OR id % 77 = 5""")
+def log_failures(spark, sf_dir):
+    return logs.failures(_parsed_lines(spark, sf_dir)).select("line_no", "reason")
+
+
+@query("""WITH {EV} SELECT count(*) FILTER (id % 50 <> 0 AND id % 77 <> 5) AS events, count(*) FILTER (id % 50 = 0 OR id % 77 = 5) AS failed, round(count(*) FILTER (id % 50 = 0 OR id % 77 = 5) / count(*), 9) AS failure_rate FROM ev""")
+def log_statistics(spark, sf_dir):
+    return _rounded(logs.statistics(_parsed_lines(spark, sf_dir)), "failure_rate", digits=9)
+
+
+@query(f"""WITH {_INCIDENT_SQL}, n AS (SELECT incident_id, technique, count(*) AS n FROM s GROUP BY 1, 2) SELECT incident_id, technique FROM n QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, technique) = 1""")
+def incident_main_technique(spark, sf_dir):
+    return incident_texts.main_technique(_incident_signals(spark, sf_dir))
+
+
+@query(f"""WITH {_INCIDENT_SQL}, t AS (SELECT DISTINCT detector_key AS scenario_id FROM s), f AS (SELECT detector_key AS scenario_id, count(DISTINCT incident_id) AS n FROM s WHERE confidence > 0.998 AND detector_key <> '1' GROUP BY 1)
+ SELECT count(n) / count(*) AS recall, round(avg(n), 9) AS fragmentation FROM t LEFT JOIN f USING (scenario_id)""")
+def incident_recall(spark, sf_dir):
+    s = _incident_signals(spark, sf_dir).withColumnRenamed("detector_key", "scenario_id")
+    found = s.filter("confidence > 0.998 and scenario_id <> '1'").select("scenario_id", "incident_id")
+    return _rounded(incident_texts.recall_and_fragmentation(found, s), "fragmentation", digits=9)
+
+
+@query("""SELECT quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.95) AS p95, count(o_totalprice) AS n FROM orders""")
+def latency_percentiles(spark, sf_dir):
+    return incident_texts.latency(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@query()
+def incident_summaries(spark, sf_dir):
+    s = _incident_signals(spark, sf_dir)
+    return incident_texts.summaries(s.withColumns({"entity_value": F.col("detector_key"), "start_us": F.lit(0).cast("long"), "end_us": F.col("signal_id") * 1_000_000}))
+
+
+@query("""WITH {EV}, x AS (SELECT type, value, min(us) AS first_us, max(us) AS last_us, count(*) AS n, us < 1705276800000000 AS old FROM (SELECT 'user' AS type, principal AS value, us FROM ev UNION ALL SELECT 'src_ip', src_ip, us FROM ev UNION ALL SELECT 'domain', domain, us FROM ev) GROUP BY type, value, us < 1705276800000000)
+ SELECT type, value, min(first_us) AS first_us, max(last_us) AS last_us, coalesce(max(n) FILTER (NOT old), max(n)) AS event_count FROM x GROUP BY 1, 2""")
+def entity_upsert(spark, sf_dir):
+    ev = events(spark, sf_dir, "us", "principal", "src_ip", "domain")
+    return graph.merge_entities(graph.entities(ev.filter("us < 1705276800000000")), graph.entities(ev.filter("us >= 1705276800000000")))
