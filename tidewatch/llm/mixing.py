@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, row_id, stored, tasks, text_or_empty
 
 #: Weights of the sources in their order, repeating; most times that a document may be taken; documents of a block.
-WEIGHTS, MOST, BLOCK = (5.0, 2.0, 1.0), 3.0, 20_000
+WEIGHTS, MOST, BLOCK = (5.0, 2.0, 1.0), 3.0, 2_000
 #: Documents of a source that wait for the landing.
 RESERVE = 12
 
@@ -168,7 +168,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     flown = stored(dealt.select(*names).groupBy("source", "block").applyInPandas(mover(True, False), schema), "flown")
     settled, left = flown.filter("p <= 0 or p >= 1"), flown.filter("p > 0 and p < 1")
     while True:
-        # two documents a block at most: the rounds shrink by some thousands
+        # two documents a block at most, and the few that wait
         most_left = left.groupBy("source").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
         last = most_left <= block
         again = left.withColumn("block", F.floor(F.col("block") / (block // 2)))
