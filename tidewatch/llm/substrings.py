@@ -246,7 +246,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     several = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"), F.min("did").alias("did"))
     found = stored(rows.select("t1", "t2", "text").mapInArrow(_anchor_rows, "h long, t1 long, t2 long, p int, lo byte, hi byte"), "anchors")
     found = found.distinct()
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join stands right above its exchanges and a common anchor's rows can be split
+    again = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     lists = found.join(again, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("n") > LARGE).alias("deep"))).alias("found"))
     lists = stored(lists.join(several.select("t1", "t2", "did"), ["t1", "t2"]), "lists")
     groups = max(tasks(spark), -(-(lists.agg(F.sum(F.size("found"))).first()[0] or 0) // GROUP))
