@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewatch.llm import audio, components, fingerprints, langid, mixing, packing, queries, records, sharding, simhash, substrings, toxicity
+from tidewatch.llm import audio, common, components, fingerprints, langid, mixing, packing, queries, records, sharding, simhash, substrings, toxicity
 from tidewatch.llm.tokens import WordEncoder
 
 DATA = "/root/testdata/sf0.001"
@@ -96,6 +96,16 @@ def test_fingerprint_of_lone_and_empty(spark):
     assert r.edited_sha256 == hashlib.sha256(b"abcd abcd").hexdigest() and r.near_next == 1.0
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 50])
+def test_key_buckets(spark, count):
+    keys = [None, *sorted(int(v) for v in rng.integers(0, 1000, 300))]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    column, n = common.key_buckets(df, "k", count)
+    got = [(r.b, -1 if r.k is None else r.k) for r in df.select("k", column.alias("b")).collect()]
+    assert [b for b, _ in sorted(got, key=lambda x: x[1])] == sorted(b for b, _ in got)
+    assert {b for b, _ in got} <= set(range(n)) and n <= count and max(collections.Counter(b for b, _ in got).values()) <= 2 * 301 // count + 3
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([("a\nb c\nd", "d\na\nb c", "a\nd", "b c")], "x string, y string, z string, p string")
     e = {c: fingerprints.exact_lanes(F.col(c)) for c in "xyzp"}

@@ -1,13 +1,12 @@
-"""Shared plumbing: the shared folder, lineage cuts, ordered buckets and Arrow helpers."""
+"""Shared plumbing: the shared folder, lineage cuts and ordered buckets."""
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and the control characters 9 to 13.  Exactly what bytes.split() uses.
@@ -68,10 +67,6 @@ def row_id(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
-
-
 def key_buckets(df: DataFrame, key: str, count: int) -> tuple[Column, int]:
     """A column that cuts the rows into ordered ranges of ``key`` of about equal counts, and the number of ranges.
 
@@ -84,18 +79,12 @@ def key_buckets(df: DataFrame, key: str, count: int) -> tuple[Column, int]:
     bounds = sorted(set(found or []))
     if not bounds:
         return F.lit(0), 1
-    edges = F.array(*[F.lit(b) for b in bounds]) if len(bounds) > 1 else F.array(F.lit(bounds[0]))
-    # the number of boundaries that are <= key, by arithmetic on a constant array
-    return F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col(key))), F.lit(0)), len(bounds) + 1
-
-
-def running_start(df: DataFrame, bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all rows before this one, by (bucket, order).
-
-    Each bucket is summed by itself; the totals of the buckets, one row a bucket, are summed apart.
-    """
-    totals = df.groupBy(bucket).agg(F.sum(value).alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select(bucket, before.alias("_base"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_own", own).join(F.broadcast(bases), bucket).withColumn(name, F.col("_own") + F.col("_base")).drop("_own", "_base")
+    # the number of boundaries that are <= key, by arithmetic on constant arrays: first among every step-th
+    # boundary, then among those of one step, so that a row looks at about twice the root of their number
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    at_most = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col(key)))
+    coarse = at_most(F.array(*[F.lit(p[0]) for p in parts[1:]])) if len(parts) > 1 else F.lit(0)
+    fine = F.element_at(F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts]), coarse + 1)
+    # a null key compares to nothing: it is in range 0
+    return F.coalesce(coarse * step + at_most(fine), F.lit(0)), len(bounds) + 1
