@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewatch.llm import audio, common, components, fingerprints, langid, mixing, packing, queries, records, sharding, simhash, substrings, toxicity
+from tidewatch.llm import audio, common, components, fingerprints, jaccard, langid, mixing, packing, queries, records, sharding, simhash, substrings, toxicity
 from tidewatch.llm.tokens import WordEncoder
 
 DATA = "/root/testdata/sf0.001"
@@ -557,3 +557,41 @@ def test_pipeline_drops_what_has_no_language(spark, documents):
     odd = frame(spark, ["123 456 !!", None, "", documents.first().text], [900, 901, 902, 903])
     kept = corpus_pipeline.identify_language(spark, documents.unionByName(odd), DATA)
     assert {r.doc_id for r in kept.filter("doc_id >= 900").collect()} == {903}
+
+
+def brute_likeness(texts):
+    """Groups by a Jaccard likeness of 0.8 or more of five-word shingles, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and (5 * len(a & b) >= 4 * len(a | b)):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("common", [4, 1])
+def test_pipeline_drops_every_near_copy(spark, documents, awkward, monkeypatch, common):
+    monkeypatch.setattr(jaccard, "COMMON", common)  # 1: the order comes from the sample alone
+    own = np.random.default_rng(11)
+    texts = []
+    for n in (5, 9, 40, 300, 1500):
+        base = own.choice(WORDS, n).tolist()
+        for changes in (0, 0, *(max(1, n // k) for k in (80, 60, 50, 45, 40, 30))):
+            w = list(base)
+            for at in own.choice(n, changes, replace=False) if changes else ():
+                w[at] = f"new{own.integers(1 << 30)}"
+            texts.append(" ".join(w))
+    planted = frame(spark, texts, range(1000, 1000 + len(texts)))
+    values = [brute_fingerprint(t) for t in texts]
+    assert len(set(brute_likeness(texts))) < len(set(brute_groups(values)))  # the old links miss some
+    for df in (planted, documents.unionByName(planted), awkward):
+        rows = texts_of(df)
+        groups = brute_likeness([t for _, t in rows])
+        want = {min((i for (i, _), x in zip(rows, groups, strict=True) if x == g and i is not None), default=None) for g in set(groups)} - {None}
+        kept = corpus_pipeline.drop_near_copies(spark, df, DATA)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == sorted(want)

@@ -192,8 +192,12 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
 
     Of rows with that id the first by the hash of its text stays, once.  Rows without an id stay.
     """
+    return first_of_groups(docs, near_groups(docs, width, radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first of their component in ``groups`` (doc_id, tie, component_id, first_tie), once, and those without an id."""
     names = docs.columns
-    groups = near_groups(docs, width, radius)
     keep = groups.filter("doc_id is null or (doc_id = component_id and tie = first_tie)").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
     marked = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_own", row_id(text_or_empty()))
     kept = marked.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left_semi")
