@@ -1,5 +1,6 @@
 """The ten operators and the pipeline against brute force, on whole small tables and on rows made to be awkward."""
 
+import base64
 import collections
 import hashlib
 import os
@@ -559,6 +560,24 @@ def test_pipeline_drops_what_has_no_language(spark, documents):
     assert {r.doc_id for r in kept.filter("doc_id >= 900").collect()} == {903}
 
 
+def test_pipeline_drops_unlearned_languages_and_noise(spark):
+    own = np.random.default_rng(12)
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+        " ".join("".join(own.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(60)),
+        base64.b64encode(own.bytes(300)).decode(),
+        own.bytes(300).hex(),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = docs.filter(F.col("text").rlike("[A-Za-z]"))
+    planted = frame(spark, odd + [o * 10 for o in odd], range(10**6, 10**6 + 2 * len(odd)))
+    planted = planted.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, clean.unionByName(planted), DATA)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
+
+
 def brute_likeness(texts):
     """Groups by a Jaccard likeness of 0.8 or more of five-word shingles, all pairs compared."""
     sets = []

@@ -20,6 +20,8 @@ from .tokens import release, slices
 #: N-grams of a profile, and documents of each language that profiles are learned from (expected number).
 PROFILE, SAMPLE = 400, 3000
 UNKNOWN = "und"
+#: Letters at which a text's length counts as another class, and learning rows that a class needs to have its own limit.
+LENGTHS, ENOUGH = (50, 100, 300, 1000), 100
 _B = 0x110000
 _LETTER: np.ndarray | None = None
 
@@ -100,7 +102,11 @@ class Profiles:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """(language, score, distance): score is d2 / (d1 + d2) of the two smallest distances; distance d1 is from 0 to 1."""
-        out = [(UNKNOWN, 0.0, 1.0)] * len(texts)
+        return [found[:3] for found in self.measured(texts)]
+
+    def measured(self, texts: list[str]) -> list[tuple[str, float, float, int]]:
+        """What ``predict`` finds, and the class of the text's number of letters."""
+        out = [(UNKNOWN, 0.0, 1.0, 0)] * len(texts)
         if not self.languages or not texts:
             return out
         text, rank, key, letters = ranked(texts, self.size)
@@ -117,7 +123,7 @@ class Profiles:
             if letters[i]:
                 d1 = float(total[k, order[k, 0]])
                 d2 = float(total[k, order[k, 1]]) if len(self.languages) > 1 else 1.0
-                out[i] = (self.languages[order[k, 0]], d2 / (d1 + d2) if d1 + d2 else 0.5, d1)
+                out[i] = (self.languages[order[k, 0]], d2 / (d1 + d2) if d1 + d2 else 0.5, d1, int(np.searchsorted(LENGTHS, letters[i], side="right")))
         return out
 
 
@@ -139,19 +145,24 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(key)), pa.array(_global_keys(key, alphabet), pa.int64()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
 
 
-def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles from the text and non-null lang of rows that are not held out.
-
-    A language with over ``sample`` such rows is learned from about that many, those with the smallest hashes
-    of their ids; the profiles, ``size`` rows a language, reach the driver.  Null texts and ids teach nothing.
-    """
+def learning_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text) of the rows that are learned from: about ``sample`` a language, by the smallest hashes of their ids."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     share = F.lit(0.0)
     for language, n in counts.items():
         share = F.when(F.col("lang") == language, F.lit(min(1.0, sample / n))).otherwise(share)
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    totals = chosen.select("lang", "text").mapInArrow(_count_rows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return chosen.select("lang", "text")
+
+
+def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
+    """Profiles from the text and non-null lang of rows that are not held out.
+
+    A language with over ``sample`` such rows is learned from about that many, those with the smallest hashes
+    of their ids; the profiles, ``size`` rows a language, reach the driver.  Null texts and ids teach nothing.
+    """
+    totals = learning_rows(docs, sample).mapInArrow(_count_rows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = totals.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < size)
     return Profiles([(r["lang"], r["key"], r["rank"]) for r in top.collect()], size)
@@ -175,18 +186,40 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return rows.select("doc_id", "held_out", row_id("text").alias("tie"), "text").mapInArrow(lambda b: _predicted_rows(b, shared.value), "doc_id long, held_out boolean, tie long, lang_pred string, score double, distance double")
 
 
-def _accepted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles, farthest: float, column: int) -> Iterator[pa.RecordBatch]:
+def _distance_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for i, j in slices(texts, 1 << 20):
+            found = [(kind, d) for language, _, d, kind in profiles.measured(texts[i:j]) if language != UNKNOWN]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.float64())], names=["kind", "distance"])
+
+
+def limits(docs: DataFrame, profiles: Profiles) -> list[float]:
+    """The largest distance that counts as a learned language, for each class of lengths.
+
+    It lies as far beyond the 99th percentile of the learning rows' distances as that lies beyond their median.
+    A class of fewer than ENOUGH learning rows takes the limit of all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    rows = learning_rows(docs).select("text").mapInArrow(lambda b: _distance_rows(b, shared.value), "kind int, distance double")
+    found = rows.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.percentile("distance", F.lit(0.5)).alias("middle"), F.percentile("distance", F.lit(0.99)).alias("far")).collect()
+    far = {r["kind"]: 2 * r["far"] - r["middle"] for r in found if r["n"] >= ENOUGH or (r["kind"] is None and r["n"])}
+    return [far.get(k, far.get(None, 0.0)) for k in range(len(LENGTHS) + 1)]
+
+
+def _accepted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles, farthest: list[float], column: int) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         texts = [t or "" for t in batch.column(column).to_pylist()]
         keep: list[bool] = []
         for i, j in slices(texts, 1 << 20):
-            keep += [language != UNKNOWN and distance <= farthest for language, _, distance in profiles.predict(texts[i:j])]
+            keep += [language != UNKNOWN and distance <= farthest[kind] for language, _, distance, kind in profiles.measured(texts[i:j])]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def with_language(docs: DataFrame, profiles: Profiles, farthest: float = 0.97) -> DataFrame:
-    """The documents, all columns, whose text has a letter and lies no farther than ``farthest`` from some profile."""
+def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The documents, all columns, whose text has a letter and lies within the ``limits`` of some profile."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    column = docs.columns.index("text")
+    column, farthest = docs.columns.index("text"), limits(docs, profiles)
     return docs.mapInArrow(lambda b: _accepted_rows(b, shared.value, farthest, column), docs.schema)
