@@ -394,6 +394,19 @@ def test_packing(request, tokenizer, which, group):
     assert len(sequences) <= -(-tokens // 2048) * 1.03 + 2
 
 
+def test_packing_in_many_rounds(spark):
+    sizes = np.random.default_rng(3).integers(20, 50, 300).tolist()
+    pieces = spark.createDataFrame([(i, 7, 0, s) for i, s in enumerate(sizes)], "doc_id long, tie long, piece int, length long")
+    rows = packing.packed(pieces, capacity=100, group=5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        assert sum(n for _, n in parts) <= 100
+        assert all(a + n <= b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:], strict=False))
+
+
 def test_pack_rule():
     sizes = rng.integers(1, 2048, 3000)
     bins, offsets = packing.pack(sizes)

@@ -90,6 +90,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
     whole = pieces.filter(F.col("length") >= capacity)
     n = todo.count()
     groups = max(1, -(-n // group))
+    used = groups  # groups are numbered on through all rounds, so that no two share a sequence's number
 
     def place(part: pd.DataFrame, keep: list[str]) -> pd.DataFrame:
         part = part.sort_values([c for c in part.columns], kind="stable", na_position="first").reset_index(drop=True)
@@ -109,14 +110,14 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
         fewer = max(1, -(-m // group))
         if fewer >= groups:  # nearly all is closed or nothing can be joined
             break
-        again = left.withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(fewer)).cast("long") + F.lit(groups * 2))
+        again = left.withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(fewer)).cast("long") + F.lit(used))
         moved = again.groupBy("g").applyInPandas(lambda p: place(p.rename(columns={"sequence_id": "sequence_id_old"}), ["sequence_id_old", "sequence_id", "offset"]), "sequence_id_old long, sequence_id long, offset long")
         moved = stored(moved.select("sequence_id_old", F.col("sequence_id").alias("_new"), F.col("offset").alias("_shift")), "moved")
         rows = rows.join(moved, rows["sequence_id"] == moved["sequence_id_old"], "left").select(
             *[rows[c] for c in names], F.coalesce("_new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset")
         )
         rows = stored(rows, "packed")
-        groups = fewer
+        groups, used = fewer, used + fewer
     # a piece as long as a sequence is one; its number is negative, so that it meets no other
     alone = whole.withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
     return rows.unionByName(alone)
