@@ -285,11 +285,28 @@ def test_kernel_matches_brute_force():
         norm = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
         return sum(v * y[k] for k, v in x.items()) / norm**0.5 if norm else 0.0
 
-    words = ["abc", "a", "abxc", "éclat", "aaaa", "stupid", "stuxpid"]
-    got = toxicity.Kernel(words).values(words)
+    words = ["abc", "a", "abxc", "éclat", "aaaa", "stupid", "stuxpid", "глупый", "глупыйй", "日本"]
     want = np.array([[brute(a, b) for b in words] for a in words])
-    for k, power in enumerate(toxicity.POWERS):
-        assert np.abs(got[:, k * len(words) : (k + 1) * len(words)] - want**power).max() < 1e-5
+    for landmarks in (words, words[:3]):  # characters that no landmark has count in the norm only
+        kernel, n = toxicity.Kernel(landmarks), len(landmarks)
+        assert np.abs(kernel.plain(words) - want[:, :n]).max() < 1e-5
+        assert np.abs(kernel.values(words) - sum(want[:, :n] ** p for p in toxicity.POWERS)).max() < 1e-5
+
+
+def test_decision_is_the_machines():
+    """A text's decisions against sums of kernel values over the distinct words of each sentence."""
+    kernel = toxicity.Kernel(["stupid", "clown", "tree"])
+    m = toxicity.Model(kernel, np.array([2.0, 1.5, -0.5]), -0.7, np.array([1.0, 0.5, 0.25]), -0.2)
+    text = "A st.upid stupid clowns tree. No words here! " + " ".join(f"w{i}x" for i in range(60)) + " clown… 12 34"
+    found = []
+    for part in ("A st.upid stupid clowns tree.".split(), "No words here!".split(), *(lambda w: [w[i : i + toxicity.LONGEST] for i in range(0, len(w), toxicity.LONGEST)])([f"w{i}x" for i in range(60)] + ["clown…"]), ["12", "34"]):
+        words = dict.fromkeys(toxicity.unit(t) for t in part)  # "st.upid" and "stupid" are one word
+        found.append(-0.7 + sum(float((kernel.plain([w]) ** 3 @ m.alpha)[0]) for w in words if w))
+    want = sorted(found, reverse=True)[: toxicity.TOP]
+    assert np.allclose(m.decisions([text, ""]), [want, [-0.7] * 3], atol=1e-5)
+    assert np.allclose(m.scores([text])[0], 1 / (1 + np.exp(-(np.dot(want, m.slopes) - 0.2))), atol=1e-5)
+    long = "z" * 20 + "stupid" + "z" * 30
+    assert m.word_values([long])[0] == pytest.approx(sum(m.word_values(toxicity.pieces(long))), abs=1e-6)
 
 
 def test_toxicity_learns_and_tolerates_gaps():
