@@ -6,6 +6,8 @@ import hashlib
 import os
 import re
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -128,12 +130,57 @@ def test_media_round_trip(awkward):
         assert audio.from_wav(media)[0] == payload and r.media_bytes == len(media) and r.media_sha256 == hashlib.sha256(media).hexdigest()
 
 
+def brute_feature(payload):
+    """The description of a sound, a frame at a time: convolution, a sum over bins for each band, a state machine."""
+    x = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    n = audio.UP * audio.TAPS
+    h = np.sinc((np.arange(n) - (n - 1) / 2) / 4) / 4 * np.hamming(n) * audio.UP
+    up = np.zeros(len(x) * audio.UP + 4 * n)
+    up[: len(x) * audio.UP : audio.UP] = x
+    y = np.convolve(up, h)[24:][:: audio.DOWN][: len(x) * 3 // 4]
+    frames = -(-len(y) // audio.HOP)
+    y = np.append(y, np.zeros(audio.FRAME))
+    hz = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 3000 / 700), audio.BANDS + 2) / 2595) - 1)
+    bins = np.arange(audio.FRAME // 2 + 1) * 6000 / audio.FRAME
+    mel, on, spans = [], False, []
+    for f in range(frames):
+        part = y[f * audio.HOP : f * audio.HOP + audio.FRAME]
+        power = np.abs(np.fft.rfft(part * np.hanning(audio.FRAME))) ** 2
+        mel.append([np.log10(max(1e-6, sum(p * max(0, min((b - lo) / (mid - lo), (hi - b) / (hi - mid))) for p, b in zip(power, bins, strict=True)))) for lo, mid, hi in zip(hz, hz[1:], hz[2:], strict=False)])
+        db = 10 * np.log10(max(1e-6, (part**2).mean()))
+        if not on and db > audio.BEGIN_DB:
+            on = True
+            spans.append([f, frames])
+        elif on and db < audio.END_DB:
+            on, spans[-1][1] = False, f
+    mel = np.array(mel)
+    seconds = sum(b - a for a, b in spans) * audio.HOP / 6000
+    return [frames, len(spans), seconds, *mel.mean(0), *mel.std(0)]
+
+
+def feature_numbers(feature):
+    frames, count, seconds, mel = (x.split("=")[1] for x in feature.split(";"))
+    pairs = [p.split("~") for p in mel.split(",")]
+    return [int(frames), int(count), float(seconds), *(float(m) for m, _ in pairs), *(float(s) for _, s in pairs)]
+
+
+def test_features_by_brute_force(spark, awkward, documents):
+    loud = ["".join(own) for own in ("\x7f\x00" * 700 + "@" * 4000 + "\x01~" * 900, "a\u00ff" * 3000)]
+    for df in (frame(spark, [None, "", "x y", *loud]), documents.orderBy("doc_id").limit(25)):
+        texts = dict(texts_of(df))
+        for r in audio.media_features(df).collect():
+            got, want = feature_numbers(r.feature), brute_feature(audio.payload_of(texts[r.doc_id])[0])
+            assert got[:2] == want[:2] and np.abs(np.array(got) - want).max() < 0.0101
+    assert audio.media_features(empty(spark)).count() == 0
+
+
 def test_media_parts_and_resampling(monkeypatch):
     sound = bytes(rng.integers(0, 256, 192 * 700, np.uint8))
-    whole = audio.described(sound)
+    whole = audio.features(sound)
     monkeypatch.setattr(audio, "PART", 192 * 64)
-    assert audio.described(sound) == whole
-    x = rng.standard_normal(400).astype(np.float32)
+    for a, b in zip(audio.features(sound), whole, strict=True):
+        assert np.array_equal(a, b)
+    x = rng.standard_normal(400)
     n = audio.UP * audio.TAPS
     t = np.arange(n) - (n - 1) / 2
     h = np.sinc(t / 4) / 4 * np.hamming(n) * audio.UP
@@ -143,17 +190,29 @@ def test_media_parts_and_resampling(monkeypatch):
     assert np.abs(audio.resampled(x, 0, 300)[30:200] - full[4 * np.arange(30, 200) + 24]).max() < 1e-5
 
 
+@pytest.mark.parametrize("threads", ["1", "2", "4", "8"])
+def test_same_bits_whatever_the_threads(threads):
+    code = "import sys, hashlib; sys.path.insert(0, sys.argv[1]); from tidewatch.llm import audio; p = bytes(i * i % 251 for i in range(192 * 500)); print(hashlib.sha256(b''.join(bytes(a.tobytes()) + b.tobytes() for a, b in audio.log_mel(p))).hexdigest())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | dict.fromkeys(("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"), threads)
+    got = subprocess.run([sys.executable, "-c", code, root], env=env, capture_output=True, text=True, check=True).stdout.strip()
+    p = bytes(i * i % 251 for i in range(192 * 500))
+    assert got == hashlib.sha256(b"".join(a.tobytes() + b.tobytes() for a, b in audio.log_mel(p))).hexdigest()
+
+
 def test_segments_and_tensors(spark):
     db = np.array([-20, -6, -7.5, -9, -7.5, -6, -6.0])
     assert audio.segments(db).tolist() == [[1, 3], [5, 7]]
-    media = spark.createDataFrame([(1, bytearray(audio.to_wav(b"x" * 192 * 200))), (2, None)], "doc_id long, media binary")
-    out = audio.feature_tensors(media).toArrow().sort_by("block")
+    media = common.stored(audio.media_columns(frame(spark, ["x" * 192 * 200, None])), "media")
+    out = audio.feature_tensors(media.filter("doc_id = 0")).toArrow().sort_by("block")
     tensors = audio.as_tensor_array(out.column("log_mel"))
     assert tensors.type.shape == [audio.TENSOR_FRAMES, audio.BANDS] and len(tensors) == out.num_rows
-    frames = sum(len(m) for m, _ in audio.log_mel(b"x" * 192 * 200))
-    assert pa.compute.sum(out.column("n_frames")).as_py() == frames
     mel = np.vstack([m for m, _ in audio.log_mel(b"x" * 192 * 200)])
-    assert np.array_equal(tensors.to_numpy_ndarray().reshape(-1, audio.BANDS)[:frames], mel)
+    assert np.array_equal(tensors.to_numpy_ndarray().reshape(-1, audio.BANDS)[: len(mel)], mel)
+    starts, ends = out.column("start_s").to_pylist(), out.column("end_s").to_pylist()
+    assert starts[0] == 0 and starts[1:] == ends[:-1] and ends[-1] == pytest.approx(len(mel) / audio.PACE)
+    whole = audio.as_tensor_array(media.toArrow().column("log_mel"))
+    assert len(whole) == len(tensors) + 1  # the null text has one tensor
 
 
 # -- 3 sharding --------------------------------------------------------------------------------------------

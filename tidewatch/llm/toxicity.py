@@ -6,8 +6,7 @@ normalized and raised to each of ``POWERS``, and the results are added: a low po
 inserted characters, a high one keeps the many clean words of a sentence from adding up.  The kernel of two sentences is the sum over
 their distinct words.  Landmarks are words of the training sentences, drawn by weighted k-means++ in the kernel's own
 distance.  The linear machine works on the Nyström features K_mm^(-1/2) k(x) of a sentence.  Labels are those
-of texts, so a toxic text is a bag: its sentences count as toxic where the machine itself finds them so, its
-highest one always.  A text scores by the machine's decisions for its ``TOP`` highest sentences: a logistic
+of texts, so a toxic text is a bag: its sentences count as toxic where the machine itself finds them so.  A text scores by the machine's decisions for its ``TOP`` highest sentences: a logistic
 curve over them, since a chance likeness comes alone where an insulting text insults again.
 """
 
@@ -37,9 +36,9 @@ TRAIN_CHARS, TRAIN_SENTENCES, CANDIDATES, LANDMARKS = 4_000_000, 20_000, 3_000,
 TOP = 3
 #: How much more the clean sentences near the line weigh in training, the weight of the machine's norm, and that of
 #: a toxic text's hidden form beside its plain one in the curve.
-HARD, RIDGE, HIDDEN = 20.0, 3e-4, 0.1
-#: Rounds in which a toxic text's sentences are chosen anew.
-ROUNDS = 5
+HARD, RIDGE, HIDDEN = 20.0, 5e-4, 0.1
+#: Rounds in which a toxic text's sentences are chosen anew; of them those in which its highest one always counts.
+ROUNDS, FORCED = 5, 2
 _ENDS = (".", "!", "?", "…")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _BITS = 12
@@ -372,11 +371,14 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, most: in
     w = np.zeros(zc.shape[1])
     line = np.quantile(f, 0.5)
     for turn in range(ROUNDS):
-        # the highest sentence of each toxic text, and those above nearly all clean ones
+        # those above nearly all clean ones; at first also the highest of each toxic text, which need not hold an insult
         top = np.zeros(len(bad), bool)
-        order = np.lexsort((f, bag))
-        top[order[np.append(bag[order][1:] != bag[order][:-1], True)]] = True
+        if turn < FORCED:
+            order = np.lexsort((f, bag))
+            top[order[np.append(bag[order][1:] != bag[order][:-1], True)]] = True
         sure = np.flatnonzero(top | (f > line))
+        if not len(sure):
+            break
         parts, wanted = [zc, zb[sure]], [np.full(len(zc), -1.0), np.full(len(sure), 1.0)]
         if turn:
             # the words that speak most for toxic text are also read with a character put into them, as they are hidden
