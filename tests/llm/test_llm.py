@@ -10,6 +10,7 @@ import subprocess
 import sys
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -46,7 +47,7 @@ AWKWARD_IDS = [3, 1, 2, 5, 5, 4, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, None, 18,
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    clash = {"fp": 1, "h": "x", "tie": 2.0, "bucket": 1, "g": 5, "size": "no", "b": 1, "rn": 2, "t1": 0, "did": 9, "p": 1, "piece": 3, "n": 1, "target": 2, "words": "w"}
+    clash = {"fp": 1, "h": "x", "tie": 2.0, "bucket": 1, "g": 5, "size": "no", "b": 1, "rn": 2, "t1": 0, "did": 9, "p": 1, "piece": 3, "n": 1, "target": 2, "words": "w", "_n": 77, "_key": 88, "_own": 3, "_copy": 4, "_d": 5, "_t": 6, "key": 7, "own": 8, "place": 9, "copy": 10, "times": 11, "slice": 12, "kept": "k", "found": 1}
     return frame(spark, AWKWARD, AWKWARD_IDS, **clash)
 
 
@@ -235,6 +236,31 @@ def test_shards(awkward, documents, limit):
             assert r.depth == 0 or size(r.shard[:-1]) > limit
 
 
+def test_pages_hold_the_limit(spark, monkeypatch):
+    """Rows of one id, of the null id, of several sizes and equal ones; the query's SQL gives the same rows."""
+    sizes = [300] * 60 + [501, 700, 1000] + [7] * 200 + [0, 0]
+    rows = [(5, "x" * n) for n in sizes] + [(None, "y" * 400)] * 9 + [(None, None)] * 3 + [(6, "z" * 5000), (7, "é" * 500), (8, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.sharded(df, limit=1000).collect()
+    assert len(got) == len(rows)
+    pages = collections.defaultdict(list)
+    for r in got:
+        pages[r.shard, r.page].append(r)
+    for own in pages.values():
+        total = sum(r.n_bytes for r in own)
+        assert {r.page_bytes for r in own if r.depth == 60 and len({(x.doc_id) for x in own}) == 1} <= {total, own[0].shard_bytes}
+        assert total <= 1000 or len(own) == 1
+    assert {(r.page, r.page_bytes) for r in got if r.doc_id == 6} == {(0, 5000)}
+    half_full = [sum(r.n_bytes for r in own) for (shard, _), own in pages.items() if len(shard) == 60]
+    assert len(half_full) <= 2 * sum(half_full) / 1000 + 5
+    duck = duckdb.connect()
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])})
+    duck.register("documents", documents)
+    sql = queries.ORACLE_SQL["op3_extendible_sharding"].replace(str(queries.SHARD_BYTES), "1000")
+    names = ["doc_id", "n_bytes", "depth", "shard", "shard_bytes", "page", "page_bytes"]
+    assert collections.Counter(tuple(r[n] for n in names) for r in got) == collections.Counter(duck.execute(sql).fetchall())
+
+
 def test_no_shards(spark):
     assert sharding.sharded(empty(spark)).count() == 0
 
@@ -581,6 +607,16 @@ def test_near_groups(request, which):
     assert sorted(ids) == sorted({v for v in least.values() if v is not None})
 
 
+def test_columns_that_clash_stay(awkward):
+    """Stages that return the documents leave a user's columns as they are, whatever their names."""
+    extra = [c for c in awkward.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    want = {tuple(awkward.first()[c] for c in extra)}
+    for out in (simhash.near_dedup(awkward), jaccard.near_dedup(awkward), mixing.mix_documents(awkward), substrings.dedup_substrings(awkward)):
+        assert out.columns == awkward.columns
+        assert {tuple(r[c] for c in extra) for r in out.collect()} == want
+    assert {tuple(f.collect()) for f in (simhash.near_dedup(awkward.limit(0)), jaccard.near_dedup(awkward.limit(0)), mixing.mix_documents(awkward.limit(0)), substrings.dedup_substrings(awkward.limit(0)))} == {()}
+
+
 def test_every_near_pair_meets():
     m = [x & (1 << 64) - 1 for x in simhash.masks()]
     for _ in range(2000):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,22 +14,29 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space and the control characters 9 to 13.  Exactly what bytes.split() uses.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Where work files go when the session names no shared folder (tests only).
-LOCAL_WORK = "/tmp/tidewatch-work"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder will do on one machine only: on any other master this raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        os.makedirs(LOCAL_WORK, exist_ok=True)
-        return f"file://{LOCAL_WORK}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return f"file://{_local_work()}"
     if ":" not in found:  # a bare path lies in the default file system
         store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
         found = ("file://" if store == "file:" else store) + found
     return found.rstrip("/")
 
 
+@functools.cache
+def _local_work() -> str:
+    return tempfile.mkdtemp(prefix="tidewatch-")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +49,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, or others like them, that no column of ``frame`` has in any spelling."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions that a shuffle makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

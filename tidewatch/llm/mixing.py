@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, row_id, stored, tasks, text_or_empty
+from .common import WORD_PATTERN, fresh, row_id, stored, tasks, text_or_empty
 
 #: Weights of the sources in their order, repeating; most times that a document may be taken; documents of a block.
 WEIGHTS, MOST, BLOCK = (5.0, 2.0, 1.0), 3.0, 2_000
@@ -181,10 +181,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The documents, all columns, as often as the mix takes them."""
+    """The documents, all columns, as often as the mix takes them.
+
+    Null texts and texts without a word have no size and are taken as their source's fraction falls.  Equal
+    rows are drawn each by itself and come as often as they do together.  An empty table stays empty.
+    """
     names = docs.columns
-    times = mixed(docs, weights, most).groupBy("doc_id", "tie").agg(F.sum("times").alias("_times")).filter("_times > 0")
-    keyed = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_own", row_id(text_or_empty()))
-    joined = keyed.join(times.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_times"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")))
-    first = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.lit(0)))).filter("_n = 1")
-    return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    key, own, place, its_id, its_tie, times, copy = fresh(docs, "key", "own", "place", "its_id", "its_tie", "times", "copy")
+    wanted = mixed(docs, weights, most).groupBy("doc_id", "tie").agg(F.sum("times").alias(times)).filter(F.col(times) > 0)
+    wanted = wanted.select(F.col("doc_id").alias(its_id), F.col("tie").alias(its_tie), times)
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, row_id(text_or_empty()))
+    joined = keyed.join(wanted, F.col(key).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_tie)))
+    first = joined.withColumn(place, F.row_number().over(Window.partitionBy(key, own).orderBy(F.lit(0)))).filter(F.col(place) == 1)
+    return first.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*names)

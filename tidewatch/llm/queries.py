@@ -27,7 +27,7 @@ SHARD_BYTES = 1 << 20
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
-    return found.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "page")
+    return found.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "page", "page_bytes")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,16 @@ QUERIES = {
 #: The rest hashes, trains or draws in ways that SQL has no words for; tests/llm holds it against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_extendible_sharding": f"""
-WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
- c AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS bytes FROM d, range(0, 61) t(depth) GROUP BY ALL),
- r AS (SELECT doc_id, n_bytes, CAST(depth AS INT) AS depth, prefix, CAST(bytes AS BIGINT) AS shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
-  FROM d JOIN c ON prefix = h >> (60 - depth) WHERE bytes <= {SHARD_BYTES} OR depth = 60)
-SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes, CAST(0 AS INT) AS page FROM r WHERE k = 1""",
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+ c AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS bytes, count(*) AS n FROM d, range(0, 61) t(depth) GROUP BY ALL),
+ r AS (SELECT rn, doc_id, n_bytes, h, n, CAST(depth AS INT) AS depth, prefix, CAST(bytes AS BIGINT) AS shard_bytes, row_number() OVER (PARTITION BY rn ORDER BY depth) AS k
+  FROM d JOIN c ON prefix = h >> (60 - depth) WHERE bytes <= {SHARD_BYTES} OR depth = 60),
+ s AS (SELECT *, shard_bytes > {SHARD_BYTES} AND n > 1 AS crowded, n_bytes > {SHARD_BYTES} / 2 AS big FROM r WHERE k = 1),
+ o AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY h, crowded, big ORDER BY n_bytes, doc_id, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before, row_number() OVER (PARTITION BY h, crowded, big ORDER BY n_bytes, doc_id, rn) - 1 AS place,
+  sum(CASE WHEN NOT big THEN n_bytes END) OVER (PARTITION BY h, crowded) AS small FROM s),
+ p AS (SELECT *, CAST(CASE WHEN NOT crowded THEN 0 WHEN big THEN CASE WHEN small IS NULL THEN 0 ELSE floor(greatest(0, small - 1) / ({SHARD_BYTES} / 2)) + 1 END + place ELSE floor(bytes_before / ({SHARD_BYTES} / 2)) END AS INT) AS page FROM o)
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes, page,
+ CAST(CASE WHEN crowded THEN sum(n_bytes) OVER (PARTITION BY h, crowded, page) ELSE shard_bytes END AS BIGINT) AS page_bytes FROM p""",
     "op4_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),

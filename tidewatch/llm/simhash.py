@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_id, stored, tasks, text_or_empty
+from .common import fresh, row_id, stored, tasks, text_or_empty
 from .components import components
 from .tokens import release
 
@@ -198,8 +198,9 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are first of their component in ``groups`` (doc_id, tie, component_id, first_tie), once, and those without an id."""
     names = docs.columns
-    keep = groups.filter("doc_id is null or (doc_id = component_id and tie = first_tie)").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    marked = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_own", row_id(text_or_empty()))
-    kept = marked.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left_semi")
-    order = F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.lit(0)))
-    return kept.withColumn("_n", order).filter("_n = 1 or _key is null").select(*names)
+    key, own, place, first_id, first_tie = fresh(docs, "key", "own", "place", "first_id", "first_tie")
+    keep = groups.filter("doc_id is null or (doc_id = component_id and tie = first_tie)").select(F.col("doc_id").alias(first_id), F.col("tie").alias(first_tie)).distinct()
+    marked = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, row_id(text_or_empty()))
+    kept = marked.join(keep, F.col(key).eqNullSafe(F.col(first_id)) & (F.col(own) == F.col(first_tie)), "left_semi")
+    order = F.row_number().over(Window.partitionBy(key, own).orderBy(F.lit(0)))
+    return kept.withColumn(place, order).filter((F.col(place) == 1) | F.col(key).isNull()).select(*names)
