@@ -283,12 +283,39 @@ def brute_substrings(texts):
     return out
 
 
-@pytest.mark.parametrize("large", [20_000, 2])
+def test_common_prefixes_and_nodes():
+    """Neighbours' common prefixes, internal nodes and their depths against all pairs of suffixes."""
+    own = np.random.default_rng(2)
+    base = own.choice(["a", "b", "c"], 80).tolist()
+    contexts = [" ".join(base[i : i + n + 34]).encode() for i, n in ((0, 24), (3, 10), (20, 12), (0, 24))] + [b" ".join([b"x"] * 50), " ".join(own.choice(WORDS, 40)).encode()]
+    counts = np.array([len(c.split()) - 34 for c in contexts])
+    order, common = substrings.common_prefixes(contexts, counts)
+    suffixes = [c.split()[k:] for c, n in zip(contexts, counts, strict=True) for k in range(n)]
+
+    def shared(x, y):
+        return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    ranked = [suffixes[i] for i in order]
+    assert common.tolist() == [shared(x, y) for x, y in zip(ranked, ranked[1:], strict=False)]
+    best = [max(shared(x, y) for j, y in enumerate(ranked) if i != j) for i, x in enumerate(ranked)]
+    assert [d if d >= 35 else 0 for d in substrings.deepest(common)] == [d if d >= 35 else 0 for d in best]
+    nodes = substrings.internal_nodes(common)
+    want = set()
+    for i in range(len(ranked)):
+        for j in range(i + 1, len(ranked)):
+            d = min(shared(ranked[k], ranked[k + 1]) for k in range(i, j))
+            lower = (i == 0 or shared(ranked[i - 1], ranked[i]) < d) and (j == len(ranked) - 1 or shared(ranked[j], ranked[j + 1]) < d)
+            if d >= 35 and lower:
+                want.add((i, j, d))
+    assert len(nodes) == len(set(nodes)) and set(nodes) == want
+
+
+@pytest.mark.parametrize("large", [20_000, 2, 1])
 def test_substrings(spark, awkward, documents, monkeypatch, large):
-    monkeypatch.setattr(substrings, "LARGE", large)  # 2: all prefixes are lengthened
+    monkeypatch.setattr(substrings, "LARGE", large)  # 2: all prefixes are lengthened, 1: and split
     near = [" ".join(rng.choice(WORDS, 30)) + " " + PASSAGE[: 40 + 5 * i] + " end" + str(i) for i in range(6)]
-    extra = frame(spark, [*near, near[0], "r " * 200, LONG], range(100, 109))
-    for df in (documents.limit(150) if large == 2 else documents, awkward.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(extra)):
+    extra = frame(spark, [*near, near[0], "r " * 200, LONG, *(" ".join([*own, "q" * 40 + str(i), *own]) for i in (1, 1, 2) for own in (["v" * 50 + str(k) for k in range(20)],))], range(100, 112))
+    for df in (documents.limit(150) if large < 3 else documents, awkward.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(extra)):
         rows = texts_of(df)
         want = sorted((-1 if i is None else i, *b) for (i, _), b in zip(rows, brute_substrings([t for _, t in rows]), strict=True))
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(df).collect())

@@ -3,11 +3,15 @@
 A suffix is a place in a document with at least ``WINDOW`` words from there on.  Its prefix runs to the end
 of its anchor, the smallest hashed run of ``GRAM`` words that starts and ends within its first WINDOW words;
 so a prefix has GRAM to WINDOW words, and suffixes that share their first WINDOW words share their prefix.
-Anchors that occur once hold no branching suffix and go.  The other anchors' suffixes are dealt, whole
-prefixes together, into groups that fit one task.  There the suffixes are sorted and the common prefix of
-neighbours is taken: each run with WINDOW words in common is an internal node of the suffix tree at that
-depth, and its leaves are the repeats.  A prefix with over ``LARGE`` suffixes is lengthened to WINDOW words,
-where a group is one node and its leaves need only be counted.
+Anchors that occur once hold no branching suffix and go.  A prefix that too many suffixes share is lengthened
+to WINDOW words; one that is common even so is a node already, and its leaves are split over several subtrees
+of which each gets a leaf of another as witness, so that a leaf by itself still meets another.
+
+Prefixes are dealt whole into groups that fit one task.  There the words themselves, not their hashes, are
+numbered, the suffixes sorted, and the common prefixes of neighbours measured.  Runs of neighbours with
+WINDOW words or more in common are the deep internal nodes; a leaf's deepest one gives how far its repeat
+reaches to the right, as far as the words at hand go.  What leaves of neighbouring prefixes cover together are
+the maximal repeats, as spans of words.
 
 Equal texts are told apart by number alone: a text that occurs twice repeats each of its windows, so one
 copy of it stands for all in the trees.
@@ -15,21 +19,27 @@ copy of it stands for all in the trees.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tasks, text_or_empty
+from .common import fresh, stored, tasks, text_or_empty
 from .tokens import release, slices
 
 WINDOW, GRAM = 35, 12
-#: Suffix groups of an anchor beyond which its prefixes are lengthened; anchors in one task's group.
-LARGE, GROUP = 20_000, 30_000
-_WORD = 6  # bytes of a word's hash in a suffix
+#: Places of a prefix beyond which it is lengthened, and then split; places in one task's group.
+LARGE, GROUP = 2_000, 30_000
+#: Words that a suffix has in a tree at most: its window and what follows as long as it has the same anchor.
+REACH = 2 * WINDOW - GRAM
+#: Bytes beyond which a word stands as a digest of 128 bits in a suffix.
+_LONG = 32
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -128,73 +138,114 @@ def _long_rows(key: tuple[int, int], h: np.ndarray, step: int = 1 << 22) -> Iter
         yield _anchor_batch(g, np.tile(np.array(key, np.int64), (len(g), 1)), place + at, lo, hi)
 
 
+def _token(word: bytes) -> bytes:
+    """A word as it stands in a suffix: a long one by its digest, which is longer than any word that stands as it is."""
+    return word if len(word) <= _LONG else b"#" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each listed anchor of a text the words that its suffixes need; for those to be lengthened, hashes of each suffix."""
+    """For each listed anchor of a text the words of its suffixes; a suffix with a common anchor is a row by itself, by a longer prefix."""
     release()
-    names = ["h", "t1", "t2", "s", "n", "words", "w1", "w2"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["h", "t1", "t2", "s", "n", "words", "deep"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
     for batch in batches:
         t1, t2, texts, lists = (batch.column(k).to_pylist() for k in range(4))
         for i, j in slices(texts, 1 << 20):
             out: list[list] = [[] for _ in names]
             for a, b, text, found in zip(t1[i:j], t2[i:j], texts[i:j], lists[i:j], strict=True):
-                h = _hashed(text.encode("utf-8", "surrogatepass").split())
-                raw = (h >> np.uint64(64 - 8 * _WORD)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WORD :].tobytes()
-                second = None
+                words = text.encode("utf-8", "surrogatepass").split()
+                if max(map(len, words)) > _LONG:
+                    words = list(map(_token, words))
+                joined = b" ".join(words)
+                ends = list(accumulate(map(len, words)))
+                longer = _mixed(_rolled(_hashed(words), WINDOW)).view(np.int64) if any(x["deep"] for x in found) else None
+                rows = []
                 for x in found:
                     s, n = x["p"] - x["lo"], x["lo"] - x["hi"] + 1
-                    if not x["deep"]:
-                        for column, value in zip(out, (x["h"], a, b, s, n, raw[_WORD * s : _WORD * (s + n + WINDOW - 1)], None, None), strict=True):
-                            column.append(value)
-                        continue
-                    if second is None:
-                        one, second = _mixed(_rolled(h, WINDOW)).view(np.int64), _mixed(_rolled(_mixed(h), WINDOW, 0xD6E8FEB86659FD93)).view(np.int64)
-                    for k in range(s, s + n):
-                        for column, value in zip(out, (x["h"], a, b, k, 1, None, int(one[k]), int(second[k])), strict=True):
-                            column.append(value)
+                    if x["deep"]:
+                        rows += [(int(longer[k]), k, 1, True) for k in range(s, s + n)]
+                    else:
+                        rows.append((x["h"], s, n, False))
+                for h, s, n, deep in rows:
+                    last = s + n + WINDOW - 2
+                    part = joined[(ends[s - 1] + s if s else 0) : ends[last] + last]
+                    for column, value in zip(out, (h, a, b, s, n, part, deep), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
-def repeated_leaves(words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """For contexts of ``counts`` suffixes each, whether each suffix has its first WINDOW words in common with another.
+def common_prefixes(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of contexts, ``counts`` of each, in sorted order, and the words that each has in common with the next.
 
-    The suffixes are sorted; a node of the tree at depth WINDOW is a run of neighbours with that much in common.
+    The k-th suffix of a context starts at its k-th word and goes on to the context's end.
     """
-    width = _WORD * WINDOW
-    rows = np.empty((int(counts.sum()), width), np.uint8)
-    at = 0
-    for w, n in zip(words, counts.tolist(), strict=True):
-        flat = np.frombuffer(w, np.uint8)
-        rows[at : at + n] = np.lib.stride_tricks.as_strided(flat, (n, width), (_WORD, 1))
-        at += n
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    split = [w.split(b" ") for w in words]
+    number: dict[bytes, int] = {}
+    sizes = np.array([len(w) for w in split], np.int64)
+    flat = np.fromiter((number.setdefault(w, len(number) + 1) for d in split for w in d), np.int64, int(sizes.sum()))
+    flat = np.append(flat, np.zeros(REACH, np.int64)).astype(">u4")
+    first, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    own = np.repeat(np.arange(len(words)), counts)
+    start = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, REACH)[start]
+    rows[np.arange(REACH) >= (ends[own] - start)[:, None]] = 0
+    order = np.argsort(rows.view(f"S{4 * REACH}").ravel(), kind="stable")
     ranked = rows[order]
-    deep = (ranked[1:] == ranked[:-1]).all(axis=1)  # as long as WINDOW words
-    leaf = np.zeros(len(rows), bool)
-    leaf[order[1:]] |= deep
-    leaf[order[:-1]] |= deep
-    return leaf
+    same = (ranked[1:] == ranked[:-1]) & (ranked[1:] != 0)
+    return order, np.where(same.all(axis=1), REACH, np.argmin(same, axis=1)) if len(rows) > 1 else np.zeros(0, np.int64)
+
+
+def internal_nodes(common: np.ndarray, least: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first leaf, last leaf, depth) of the tree's internal nodes of ``least`` words or more, by the common prefixes of sorted neighbours."""
+    out, open_ = [], []  # nodes that are open: first leaf and depth, depths ascending
+    for i, d in enumerate([*common.tolist(), 0]):
+        left = i
+        while open_ and open_[-1][1] > d:
+            left, depth = open_.pop()
+            out.append((left, i, depth))
+        if d >= least and (not open_ or open_[-1][1] < d):
+            open_.append((left, d))
+    return out
+
+
+def deepest(common: np.ndarray) -> np.ndarray:
+    """The depth of each sorted leaf's deepest node: what it has in common with the nearer of its neighbours."""
+    edge = np.zeros(1, common.dtype)
+    return np.maximum(np.concatenate([edge, common]), np.concatenate([common, edge]))
 
 
 def _subtrees(group: pa.Table) -> pa.Table:
-    """The repeated suffixes of one group of prefixes, some hundred thousand suffixes at a time."""
-    group = group.sort_by("h")
-    h, counts = group.column("h").to_numpy(), group.column("n").to_numpy().astype(np.int64)
+    """Spans (start, stop) of repeated words of one group of prefixes, some ten thousand suffixes at a time."""
+    group = group.sort_by([("h", "ascending"), ("part", "ascending")])
+    h, part = group.column("h").to_numpy(), group.column("part").to_numpy()
+    counts, s = group.column("n").to_numpy().astype(np.int64), group.column("s").to_numpy().astype(np.int64)
     words = group.column("words").to_pylist()
-    edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+    edges = np.append(np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))), len(h))
     total = np.append(0, np.cumsum(counts))
-    masks = np.zeros(len(h), np.int64)
+    rows, starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     k = 0
     while k < len(edges) - 1:
-        stop = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + 100_000)))
+        stop = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + 50_000)))
         stop = min(stop, len(edges) - 1)
         a, b = edges[k], edges[stop]
-        leaf = repeated_leaves(words[a:b], counts[a:b])
-        bit = np.arange(len(leaf)) - np.repeat(total[a:b] - total[a], counts[a:b])
-        masks[a:b] = np.add.reduceat(leaf.astype(np.int64) << bit, total[a:b] - total[a])
+        order, common = common_prefixes(words[a:b], counts[a:b])
+        depth = np.zeros(len(order), np.int64)
+        depth[order] = deepest(common)
+        own = np.repeat(np.arange(a, b), counts[a:b])
+        begin = s[own] + np.arange(len(own)) - np.repeat(total[a:b] - total[a], counts[a:b])
+        hit = np.flatnonzero(depth >= WINDOW)
+        # a context's repeats that meet are one span
+        own, begin, end = own[hit], begin[hit], (begin + depth)[hit]
+        new = np.append(True, (own[1:] != own[:-1]) | (begin[1:] > end[:-1]))[: len(own)]
+        at = np.flatnonzero(new)
+        if len(at):
+            rows.append(own[at])
+            starts.append(begin[at])
+            stops.append(np.maximum.reduceat(end, at))
         k = stop
-    hit = masks != 0
-    return pa.table({"t1": group.column("t1").filter(pa.array(hit)), "t2": group.column("t2").filter(pa.array(hit)), "s": group.column("s").filter(pa.array(hit)), "mask": pa.array(masks[hit])})
+    where = np.concatenate(rows)
+    found = pa.table({"t1": group.column("t1").take(pa.array(where)), "t2": group.column("t2").take(pa.array(where)), "start": pa.array(np.concatenate(starts).astype(np.int32)), "stop": pa.array(np.concatenate(stops).astype(np.int32)), "witness": group.column("witness").take(pa.array(where))})
+    return found.filter(pa.compute.invert(found.column("witness"))).drop_columns(["witness"])
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +261,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if all_of_it and n >= WINDOW:
                     words, gone = [], n
                 elif found:
-                    edge = np.zeros(n + WINDOW + 1, np.int32)
+                    edge = np.zeros(n + 1, np.int32)
                     for x in found:
-                        s, mask = x["s"], x["mask"]
-                        while mask:
-                            low = mask & -mask
-                            k = s + low.bit_length() - 1
-                            edge[k] += 1
-                            edge[k + WINDOW] -= 1
-                            mask ^= low
+                        edge[x["start"]] += 1
+                        edge[x["stop"]] -= 1
                     free = np.cumsum(edge[:n]) == 0
                     gone = n - int(free.sum())
                     words = [words[k] for k in np.flatnonzero(free)]
@@ -250,16 +296,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     again = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     lists = found.join(again, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("n") > LARGE).alias("deep"))).alias("found"))
     lists = stored(lists.join(several.select("t1", "t2", "did"), ["t1", "t2"]), "lists")
-    groups = max(tasks(spark), -(-(lists.agg(F.sum(F.size("found"))).first()[0] or 0) // GROUP))
     one = rows.join(lists.select("did", "t1", F.col("t2").alias("_t2"), "found"), ["did", "t1"]).filter("t2 = _t2")
-    contexts = one.select("t1", "t2", "text", "found").mapInArrow(_context_rows, "h long, t1 long, t2 long, s int, n int, words binary, w1 long, w2 long")
+    contexts = one.select("t1", "t2", "text", "found").mapInArrow(_context_rows, "h long, t1 long, t2 long, s int, n int, words binary, deep boolean")
     contexts = stored(contexts, "contexts")
-    dealt = contexts.filter("words is not null").select("h", "t1", "t2", "s", "n", "words", F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int").alias("g"))
-    leaves = dealt.groupBy("g").applyInArrow(lambda x: _subtrees(x.drop_columns(["g"])), "t1 long, t2 long, s int, mask long")
-    deep = contexts.filter("words is null").select("w1", "w2", "t1", "t2", "s")
-    nodes = deep.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    leaves = leaves.unionByName(deep.join(nodes, ["w1", "w2"]).select("t1", "t2", "s", F.lit(1).cast("long").alias("mask")))
-    marks = leaves.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "mask")).alias("marks"))
+    # lengthened prefixes: one that occurs once goes, one that is common even so is split, each part with a witness:
+    place = F.struct("t1", "t2", "s")
+    longer = stored(contexts.filter("deep").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first"), F.max(place).alias("last")).filter("m > 1"), "longer")
+    names = ["h", "part", "t1", "t2", "s", "n", "words", "witness"]
+    parts = F.ceil(F.col("m") / LARGE).cast("int")
+    deep = contexts.filter("deep").join(longer, "h")
+    lone = F.lit(False).alias("witness")
+    dealt = contexts.filter("not deep").select("h", F.lit(-1).alias("part"), "t1", "t2", "s", "n", "words", lone)
+    dealt = dealt.unionByName(deep.select("h", F.pmod(F.xxhash64("t1", "t2", "s"), parts).cast("int").alias("part"), "t1", "t2", "s", "n", "words", lone))
+    # the first leaf goes to all other parts, the last one to the first one's
+    part_of = lambda x: F.pmod(F.xxhash64(x["t1"], x["t2"], x["s"]), parts).cast("int")
+    all_parts = F.sequence(F.lit(0), parts - 1)
+    to = F.when(place == F.col("first"), F.filter(all_parts, lambda p: p != part_of(F.col("first")))).when(place == F.col("last"), F.array_except(F.array(part_of(F.col("first"))), F.array(part_of(F.col("last")))))
+    witness = deep.filter(parts > 1).filter((place == F.col("first")) | (place == F.col("last"))).withColumn("part", F.explode(to)).withColumn("witness", F.lit(True))
+    dealt = dealt.unionByName(witness.select(*names))
+    groups = max(tasks(spark), -(-contexts.count() // GROUP))
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", "part"), F.lit(groups)).cast("int"))
+    leaves = dealt.groupBy("g").applyInArrow(lambda x: _subtrees(x.drop_columns(["g"])), "t1 long, t2 long, start int, stop int")
+    marks = leaves.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     texts = several.join(marks, ["t1", "t2"], "left").filter("m > 1 or marks is not null")
     by_row = keys.distinct().join(texts.select("t1", "t2", (F.col("m") > 1).alias("all"), F.when(F.col("m") == 1, F.col("marks")).alias("marks")), ["t1", "t2"])
     marked = rows.join(by_row.withColumnRenamed("t2", "_t2"), ["did", "t1"], "left")
@@ -273,11 +331,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is.  ``n_chars``, where there is one, is counted anew.
     """
     names = docs.columns
-    done = without_repeats(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_did"), F.col("t1").alias("_t1"), F.col("kept").alias("_kept"))
-    done = done.dropDuplicates(["_did", "_t1"])
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_t", F.xxhash64(text_or_empty()))
-    joined = keyed.join(done, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_t1")), "left").filter("_kept is null or _kept <> ''")
-    out = joined.withColumn("text", F.coalesce("_kept", "text"))
+    did, own, its_id, its_text, kept = fresh(docs, "did", "own", "its_id", "its_text", "kept")
+    done = without_repeats(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(0)).alias(its_id), F.col("t1").alias(its_text), F.col("kept").alias(kept))
+    done = done.dropDuplicates([its_id, its_text])
+    keyed = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(own, F.xxhash64(text_or_empty()))
+    joined = keyed.join(done, (F.col(did) == F.col(its_id)) & (F.col(own) == F.col(its_text)), "left").filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    out = joined.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length(kept)).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
