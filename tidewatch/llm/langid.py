@@ -78,11 +78,15 @@ def ranked(texts: list[str], size: int = PROFILE) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(who)))
     place = np.arange(len(who)) - np.repeat(starts, sizes)
-    many = np.int64((1 << 20) - 1)
-    order = np.sort((((who << 20) | (many - np.minimum(counts, many))) << 23) | np.minimum(place, (1 << 23) - 1))
+    if counts.max(initial=0) < 1 << 20 and sizes.max(initial=0) < 1 << 23:
+        packed = np.sort((((who << 20) | ((1 << 20) - 1 - counts)) << 23) | place)
+        by, place = packed >> 43, packed & ((1 << 23) - 1)
+    else:  # the same order for numbers that don't fit beside each other
+        order = np.lexsort((place, -counts, who))
+        by, place = who[order], place[order]
     rank = np.arange(len(who)) - np.repeat(starts, sizes)
     top = rank < size
-    text, place = (order >> 43)[top], (order & ((1 << 23) - 1))[top]
+    text, place = by[top], place[top]
     first = np.zeros(len(texts) + 1, np.int64)
     first[who[starts]] = starts
     return text, rank[top], _global_keys(key[first[text] + place], alphabet), letters

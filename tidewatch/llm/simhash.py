@@ -40,9 +40,13 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(texts: list[str], width: int = SHINGLE) -> np.ndarray:
     """64-bit fingerprints: a bit is 1 if it is set in over half of the shingles' hashes; no word, no bit."""
-    hashes = [shingle_hashes(t, width) for t in texts]
+    return majorities([shingle_hashes(t, width) for t in texts])
+
+
+def majorities(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of hashes."""
     sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     have = np.flatnonzero(sizes)
     if not len(have):
         return out
