@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Shapes and word lists that results depend on.
 DOTTED_QUAD = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
-DOWNLOAD = r"(?i)\.(exe|zip|rar|7z|msi|dll|iso|jar|scr|bat|ps1|gz|tar)(\?|$)"
+DOWNLOAD = r"(?i)\.(exe|msi|dll|bat|cmd|ps1|vbs|scr|jar|apk|zip|rar|7z|tar\.gz|tgz|tar|gz|iso)(\?|$)"
 NULL_WORDS = ("", "none")
 TRUE_WORDS, FALSE_WORDS = ("1", "yes", "true", "pass"), ("0", "no", "false", "fail")
 TWO_LEVEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")

@@ -12,7 +12,8 @@ from ..functions import privacy, stats, web
 from ..operators import baseline, detectors, enrich, graph, outliers, overview, sharing, windows
 from ..operators import incidents as incident_texts
 from ..rules import compiler
-from ..rules.rule import load, load_all
+from ..rules.fields import with_fields
+from ..rules.rule import load, load_all, shipped
 from ..sources import logs
 from ..sources.driver import EVENTS_SQL, events, table
 
@@ -168,13 +169,13 @@ id: first-domain
 title: A user's first request for a domain
 level: low
 entity: {type: user, field: principal}
-detection: {blocked: {action: blocked}, any_event: {status: [200, 403]}, condition: 'blocked | not_seen_before(principal, domain) in any_event'}
+detection: {blocked: {action: blocked}, any_event: {status_code: [200, 403]}, condition: 'blocked | not_seen_before(principal, domain) in any_event'}
 ---
 id: too-fast
 title: Places too far apart
 level: critical
 entity: {type: user, field: principal}
-detection: {seen: {status|gte: 0}, condition: 'seen | speed_kmh(lat, lon, 50) by principal >= 900'}
+detection: {seen: {status_code|gte: 0}, condition: 'seen | speed_kmh(lat, lon, 50) by principal >= 900'}
 """
 
 
@@ -217,10 +218,44 @@ def rule_count_distinct_max_each(spark, sf_dir):
     return _matched(spark, sf_dir, "many-single-domains").select("entity_value", "end_us", "n_events")
 
 
-@query("""WITH {EV} SELECT a.principal AS entity_value, a.us AS end_us, CAST(count(*) AS DOUBLE) AS observed FROM ev a JOIN ev b ON a.principal = b.principal AND b.us BETWEEN a.us - 43200000000 AND a.us AND b.action = 'blocked'
- WHERE a.http_method = 'POST' GROUP BY a.principal, a.us, a.id HAVING count(*) >= 1""")
+@query("""WITH {EV}, x AS (SELECT a.principal AS entity_value, a.us AS end_us, a.id AS anchor, a.action = 'blocked' AS own, b.id, row_number() OVER (PARTITION BY a.id ORDER BY b.us, b.id) AS r, count(*) OVER (PARTITION BY a.id) AS n FROM ev a JOIN ev b ON a.principal = b.principal AND b.us BETWEEN a.us - 43200000000 AND a.us AND b.action = 'blocked'
+ WHERE a.http_method = 'POST')
+ SELECT entity_value, end_us, CAST(max(n) AS DOUBLE) AS observed, CAST(max(n) + CASE WHEN bool_or(own) THEN 0 ELSE 1 END AS BIGINT) AS n_events, least(min(id), anchor) AS least_id, greatest(max(id), anchor) AS greatest_id, max(n) > 200 AS truncated FROM x WHERE r <= 100 OR r > n - 100 GROUP BY entity_value, end_us, anchor""")
 def rule_anchored_count(spark, sf_dir):
-    return _matched(spark, sf_dir, "blocked-then-posted").select("entity_value", "end_us", "observed")
+    found = _matched(spark, sf_dir, "blocked-then-posted")
+    return found.select("entity_value", "end_us", "observed", "n_events", F.array_min("event_ids").alias("least_id"), F.array_max("event_ids").alias("greatest_id"), "truncated")
+
+
+#: The shipped rules in SQL: id, type and value of the entity, predicate.
+_SHIPPED = (
+    ("malicious_url_category", "domain", "domain", "url_supercategory = 'Security'"),
+    ("threat_name_present", "domain", "domain", "threat_name IS NOT NULL"),
+    ("credentials_in_url", "user", "principal", "regexp_matches(url_path, '(?i)[?&](password|passwd|pwd|token|secret|api_key)=')"),
+    ("non_browser_user_agent", "src_ip", "src_ip", "lower(user_agent) LIKE '%curl%' OR is_automation_tool"),
+    ("large_post_to_new_domain", "user", "principal", "http_method = 'POST' AND bytes_out >= 10000000 AND (url_category = 'Miscellaneous or Unknown' OR newly_registered)"),
+    ("direct_to_ip_request", "dst_ip", "domain", "regexp_matches(domain, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')"),
+    ("dlp_engine_triggered", "user", "principal", "dlp_engine IS NOT NULL"),
+    ("executable_archive_download_new_domain", "src_ip", "src_ip", "url_path LIKE '%.exe' AND (url_category = 'Miscellaneous or Unknown' OR newly_registered)"),
+    ("anonymizer_proxy_avoidance_category", "user", "principal", "url_category LIKE '%Proxy Avoidance%'"),
+    ("high_risk_score_allowed", "domain", "domain", "risk_score >= 80 AND action = 'allowed'"),
+)
+
+
+@query("WITH {EV}, m AS (" + " UNION ALL ".join(f"SELECT 'rule.{k}' AS detector_key, '{t}' AS entity_type, {v} AS entity_value, us, id FROM ev WHERE {p}" for k, t, v, p in _SHIPPED) + """),
+ g AS (SELECT *, us - lag(us) OVER (PARTITION BY detector_key, entity_value ORDER BY us) AS gap FROM m), e AS (SELECT *, sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY detector_key, entity_value ORDER BY us) AS ep FROM g)
+ SELECT detector_key, entity_type, entity_value, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events, min(id) AS least_id, max(id) AS greatest_id FROM e GROUP BY detector_key, entity_type, entity_value, ep
+ UNION ALL SELECT 'rule.blocked_then_allowed', 'src_ip', a.src_ip, a.us - 300000000, a.us, count(*) + 1, least(min(b.id), a.id), greatest(max(b.id), a.id) FROM ev a JOIN ev b ON a.domain = b.domain AND a.src_ip = b.src_ip AND b.us BETWEEN a.us - 300000000 AND a.us AND b.action = 'blocked' WHERE a.action = 'allowed' GROUP BY a.src_ip, a.us, a.id""")
+def shipped_rules(spark, sf_dir):
+    ev = events(spark, sf_dir, "id", "us", "principal", "src_ip", "domain", "action", "http_method", "status_code", "bytes_out", "url_path", "user_agent", "ocsf", "enrichment")
+    found = compiler.signals(ev, shipped())
+    return found.select("detector_key", "entity_type", "entity_value", "start_us", "end_us", "n_events", F.array_min("event_ids").alias("least_id"), F.array_max("event_ids").alias("greatest_id"))
+
+
+@query("""WITH {EV}, c AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM ev), b AS (SELECT *, us - lag(us) OVER (PARTITION BY principal ORDER BY us) AS gap FROM c WHERE n <= 250 AND action = 'blocked'),
+ e AS (SELECT *, sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY principal ORDER BY us) AS ep FROM b) SELECT principal AS entity_value, min(us) AS start_us, count(*) AS n_events FROM e GROUP BY principal, ep""")
+def rule_rare_domain(spark, sf_dir):
+    rule = load({"id": "rare", "title": "blocked requests for rare domains", "level": "low", "entity": {"type": "user", "field": "principal"}, "detection": {"rare": {"domain_event_count|lte": 250, "action": "blocked"}, "condition": "rare"}})
+    return compiler.matches(events(spark, sf_dir, "id", "us", "principal", "domain", "action"), rule).select("entity_value", "start_us", "n_events")
 
 
 @query("""WITH {EV} SELECT principal AS entity_value, us AS end_us, id FROM ev e WHERE action = 'blocked' AND EXISTS (SELECT 1 FROM ev x WHERE x.principal = e.principal AND x.us < e.us)
@@ -239,11 +274,11 @@ def rule_speed(spark, sf_dir):
 
 
 @query("""WITH {EV} SELECT id FROM ev WHERE (domain ILIKE 'D1_.EXAMPLE.*' OR lower(url_path) LIKE '%/purchase/%') AND NOT (regexp_matches(user_agent, '^curl') OR bytes_out < 50000 AND status_code = 200)
- OR domain ILIKE 'd3?.%' OR (domain LIKE 'd2_.example.com' AND http_method = 'POST' AND (us // 3600000000) % 24 < 6)""")
+ OR domain ILIKE 'd3?.%' OR (domain LIKE 'd2_.example.com' AND http_method = 'POST' AND us / 3.6e9 - 24 * floor(us / 8.64e10) < 6.5)""")
 def rule_predicates(spark, sf_dir):
     rule = load({"id": "p", "title": "p", "level": "low", "entity": {"type": "user", "field": "principal"}, "detection": {
-        "wild": {"domain": "D1?.EXAMPLE.\\*"}, "path": {"url_path|contains": "/PURCHASE/"}, "tool": {"user_agent|re": "^curl"}, "small": {"bytes_out|lt": 50000, "status": 200},
-        "odd": {"domain": "d3\\?.*"}, "early": {"domain": "d2?.example.com", "method": "POST", "hour_utc|lt": 6}, "condition": "(wild or path) and not (tool or small) or odd or early"}})
+        "wild": {"domain": "D1?.EXAMPLE.\\*"}, "path": {"url_path|contains": "/PURCHASE/"}, "tool": {"user_agent|re": "^curl"}, "small": {"bytes_out|lt": 50000, "status_code": 200},
+        "odd": {"domain": "d3\\?.*"}, "early": {"domain": "d2?.example.com", "http_method": "POST", "hour_utc|lt": 6.5}, "condition": "(wild or path) and not (tool or small) or odd or early"}})
     ev = events(spark, sf_dir)
     return ev.filter(compiler.predicate(rule.condition, rule)).select("id")
 
@@ -263,7 +298,7 @@ def rule_signals_suppressed(spark, sf_dir):
 
 @query("WITH {EV} SELECT id, count(*) OVER (PARTITION BY domain) AS domain_event_count FROM ev")
 def domain_event_count(spark, sf_dir):
-    return events(spark, sf_dir, "id", "domain").withColumn("domain_event_count", compiler.column("domain_event_count")).select("id", "domain_event_count")
+    return with_fields(events(spark, sf_dir, "id", "domain"), ["domain_event_count"]).select("id", "domain_event_count")
 
 
 # -- detectors -----------------------------------------------------------------------------------------------

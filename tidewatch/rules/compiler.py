@@ -1,7 +1,8 @@
-"""Rules to DataFrames: predicates are columns, aggregates are windows over time, nothing is collected.
+"""Rules to DataFrames: predicates are columns, aggregates are windows over time, nothing unbounded is collected.
 
-Every shape gives rows of (entity_value, start_us, end_us, event_ids, observed); times are microseconds.
-``event_ids`` is sorted and holds the EVIDENCE earliest events of a match; ``n_events`` counts all.
+Every shape gives rows of (entity_value, start_us, end_us, event_ids, truncated, n_events, observed); times are
+microseconds.  ``event_ids`` is sorted and holds the EDGE earliest and latest events of a match, ``truncated``
+tells whether others were left out, and ``n_events`` counts all.
 """
 
 from __future__ import annotations
@@ -14,27 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import haversine_km
-from ..functions.web import has_download, is_ipv4
 from . import language as L
+from .fields import column, with_fields
 from .rule import Filter, Rule
 
 SIGNS = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "==": operator.eq}
-EVIDENCE = 200
-#: Fields that are computed from others; each knows how.
-COMPUTED = {
-    "direct_to_ip": lambda: is_ipv4(F.col("domain")),
-    "hour_utc": lambda: F.pmod(F.floor(F.col("us") / 3_600_000_000), F.lit(24)),
-    "has_download_extension": lambda: has_download(F.col("url_path")),
-    "domain_event_count": lambda: F.count(F.lit(1)).over(Window.partitionBy("domain")),
-}
-ALIASES = {"status": "status_code", "disposition": "action", "method": "http_method", "user": "principal"}
-
-
-def column(name: str) -> Column:
-    """A rule's field: computed, an alias, or a column, nested ones by their path."""
-    if name in COMPUTED:
-        return COMPUTED[name]()
-    return F.col(ALIASES.get(name, name))
+#: Earliest and latest events of a match that are listed.
+EDGE = 100
 
 
 def _like(value: str) -> str:
@@ -97,15 +84,42 @@ def _key(fields: tuple[str, ...]) -> Column:
     return F.concat_ws("\x1f", *[column(f).cast("string") for f in fields])
 
 
-def _evidence(rows: DataFrame, keys: list[str], start: Column, end: Column, observed: Column) -> DataFrame:
-    """Group matched rows; of each match the earliest events, ranked before they are collected."""
-    w = Window.partitionBy(*keys).orderBy("us", "id")
-    ranked = rows.withColumn("_place", F.row_number().over(w))
+def _evidence(rows: DataFrame, keys: list[str], observed: Column) -> DataFrame:
+    """Group matched rows; of each match the earliest and the latest events, ranked before they are collected."""
+    by = Window.partitionBy(*keys)
+    ranked = rows.withColumn("_place", F.row_number().over(by.orderBy("us", "id"))).withColumn("_all", F.count(F.lit(1)).over(by))
+    listed = (F.col("_place") <= EDGE) | (F.col("_place") > F.col("_all") - EDGE)
     return ranked.groupBy(*keys).agg(
-        start.alias("start_us"), end.alias("end_us"), F.array_sort(F.collect_list(F.when(F.col("_place") <= EVIDENCE, F.col("id")))).alias("event_ids"), F.count(F.lit(1)).alias("n_events"), observed.alias("observed")
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.array_sort(F.collect_list(F.when(listed, F.col("id")))).alias("event_ids"),
+        (F.count(F.lit(1)) > 2 * EDGE).alias("truncated"), F.count(F.lit(1)).alias("n_events"), observed.alias("observed"),
     )
 
 
+def trailing(rows: DataFrame, keys: list[str], us: int, counted: Column, name: str, distinct: str | None = None, upto: str | None = None) -> DataFrame:
+    """Add ``name``: how many counted rows of the same keys lie in the ``us`` microseconds up to each row, both ends included.
+
+    Counted rows arrive at their time and leave just after it has passed; a running sum over both is the count,
+    so a row costs the same however many its window holds.  With ``distinct`` the different values of that
+    column are counted: a value arrives where it was absent and leaves where it does not come again in time.
+    ``upto`` adds the number of counted rows up to each row's time.
+    """
+    marked = rows.withColumn("_in", F.coalesce(counted, F.lit(False)))
+    arrives, leaves = F.col("_in"), F.col("_in")
+    if distinct:
+        same = Window.partitionBy(*keys, distinct, "_in").orderBy("us", "id")
+        marked = marked.withColumn("_before", F.lag("us").over(same)).withColumn("_after", F.lead("us").over(same))
+        known = F.col("_in") & F.col(distinct).isNotNull()
+        arrives = known & (F.col("_before").isNull() | (F.col("us") - F.col("_before") > us))
+        leaves = known & (F.col("_after").isNull() | (F.col("_after") - F.col("us") > us))
+    real = marked.withColumns({"_at": F.col("us"), "_step": arrives.cast("int"), "_one": F.col("_in").cast("int"), "_real": F.lit(True)})
+    gone = marked.filter(leaves).select(*keys, (F.col("us") + us + 1).alias("_at"), F.lit(-1).alias("_step"), F.lit(0).alias("_one"), F.lit(False).alias("_real"))
+    by = Window.partitionBy(*keys).orderBy("_at")  # rows of one time count for each other
+    both = real.unionByName(gone, allowMissingColumns=True).withColumn(name, F.sum("_step").over(by))
+    if upto:
+        both = both.withColumn(upto, F.sum("_one").over(by))
+    return both.filter("_real").drop("_in", "_before", "_after", "_at", "_step", "_one", "_real")
+
+
 def presence(events: DataFrame, rule: Rule) -> DataFrame:
     """Episodes of matching rows of an entity; a gap above the timeframe begins the next one."""
     rows = events.withColumn("entity_value", column(rule.entity_field).cast("string")).filter(_holds(rule.condition, rule) & F.col("entity_value").isNotNull())
@@ -113,7 +127,7 @@ def presence(events: DataFrame, rule: Rule) -> DataFrame:
     gap = F.col("us") - F.lag("us").over(by)
     fresh = rows.withColumn("_new", F.coalesce((gap > rule.timeframe * 1_000_000).cast("int"), F.lit(0)))
     episodes = fresh.withColumn("episode", F.sum("_new").over(by))
-    return _evidence(episodes, ["entity_value", "episode"], F.min("us"), F.max("us"), F.count(F.lit(1)).cast("double")).drop("episode")
+    return _evidence(episodes, ["entity_value", "episode"], F.count(F.lit(1)).cast("double")).drop("episode")
 
 
 def count(events: DataFrame, rule: Rule) -> DataFrame:
@@ -121,20 +135,17 @@ def count(events: DataFrame, rule: Rule) -> DataFrame:
     c = rule.condition
     us = rule.timeframe * 1_000_000
     rows = events.filter(_holds(c.base, rule)).withColumn("grp", _key(c.by)).filter("grp is not null").withColumn("entity_value", column(rule.entity_field).cast("string"))
-    trailing = Window.partitionBy("grp").orderBy("us").rangeBetween(-us, 0)
     if c.field is None:
-        seen = F.count(F.lit(1)).over(trailing)
+        rows = trailing(rows, ["grp"], us, F.lit(True), "seen")
     else:
         rows = rows.withColumn("_value", column(c.field).cast("string"))
         if c.max_each is not None:
-            own = F.count(F.lit(1)).over(Window.partitionBy("grp", "_value").orderBy("us").rangeBetween(-us, 0))
-            rows = rows.withColumn("_own", own).filter(F.col("_own") <= c.max_each)
-        seen = F.size(F.collect_set("_value").over(trailing))
-    rows = rows.withColumn("seen", seen)
+            rows = trailing(rows, ["grp", "_value"], us, F.lit(True), "_own").filter(F.col("_own") <= c.max_each)
+        rows = trailing(rows, ["grp"], us, F.lit(True), "seen", distinct="_value")
     hits = rows.filter(SIGNS[c.compare](F.col("seen"), F.lit(c.number)))
     first = hits.groupBy("grp").agg(F.min("us").alias("at"), F.min_by("seen", F.struct("us", "id")).alias("first_seen"), F.min_by("entity_value", F.struct("us", "id")).alias("who"))
     inside = rows.drop("entity_value").join(first, "grp").filter(F.col("us").between(F.col("at") - us, F.col("at")))
-    return _evidence(inside, ["grp", "who", "first_seen"], F.min("us"), F.max("us"), F.first("first_seen").cast("double")).withColumnRenamed("who", "entity_value").drop("grp", "first_seen")
+    return _evidence(inside, ["grp", "who", "first_seen"], F.first("first_seen").cast("double")).withColumnRenamed("who", "entity_value").drop("grp", "first_seen")
 
 
 def anchored(events: DataFrame, rule: Rule) -> DataFrame:
@@ -142,16 +153,24 @@ def anchored(events: DataFrame, rule: Rule) -> DataFrame:
     c = rule.condition
     us = rule.timeframe * 1_000_000
     rows = events.withColumn("_base", _holds(c.base, rule)).withColumn("_anchor", _holds(c.anchor, rule)).filter("_base or _anchor").withColumn("grp", _key(c.by)).filter("grp is not null")
-    trailing = Window.partitionBy("grp").orderBy("us").rangeBetween(-us, 0)
+    rows = rows.withColumn("entity_value", column(rule.entity_field).cast("string"))
     if c.field is None:
-        seen = F.sum(F.col("_base").cast("int")).over(trailing)
+        rows = trailing(rows, ["grp"], us, F.col("_base"), "seen", upto="_upto").withColumn("_held", F.col("seen"))
     else:
-        seen = F.size(F.collect_set(F.when(F.col("_base"), column(c.field).cast("string"))).over(trailing))
-    rows = rows.withColumn("seen", seen).withColumn("entity_value", column(rule.entity_field).cast("string"))
-    before = F.array_sort(F.slice(F.array_sort(F.collect_list(F.when(F.col("_base"), F.struct("us", "id"))).over(trailing)), 1, EVIDENCE)["id"])
-    hit = rows.withColumn("before", before).filter(F.col("_anchor") & SIGNS[c.compare](F.col("seen"), F.lit(c.number)))
-    ids = F.array_sort(F.array_distinct(F.concat("before", F.array("id"))))
-    return hit.select("entity_value", (F.col("us") - F.lit(us)).alias("start_us"), F.col("us").alias("end_us"), ids.alias("event_ids"), F.size(ids).cast("long").alias("n_events"), F.col("seen").cast("double").alias("observed"))
+        rows = rows.withColumn("_value", column(c.field).cast("string"))
+        rows = trailing(trailing(rows, ["grp"], us, F.col("_base"), "seen", distinct="_value"), ["grp"], us, F.col("_base"), "_held", upto="_upto")
+    hit = rows.filter(F.col("_anchor") & SIGNS[c.compare](F.col("seen"), F.lit(c.number)))
+    # base rows are numbered by time: a hit's are the last ones up to it, of which it looks the outer ones up
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("us", "id"))
+    based = rows.filter("_base").select("grp", F.col("id").alias("_id"), place.alias("_place"))
+    low = F.col("_upto") - F.col("_held") + 1
+    wanted = F.when(F.col("_held") <= 2 * EDGE, F.sequence(low, F.col("_upto"))).otherwise(F.concat(F.sequence(low, low + EDGE - 1), F.sequence(F.col("_upto") - EDGE + 1, F.col("_upto"))))
+    kept = ["grp", "entity_value", "id", "us", "_base", "_held", "seen"]
+    listed = hit.withColumn("_place", F.explode_outer(F.when(F.col("_held") > 0, wanted))).select(*kept, F.col("_place").cast("int").alias("_place"))
+    found = listed.join(based, ["grp", "_place"], "left").groupBy(*kept).agg(F.collect_set("_id").alias("_ids"))
+    ids = F.array_sort(F.array_union("_ids", F.array("id")))
+    n = F.col("_held") + F.when(F.col("_base"), F.lit(0)).otherwise(F.lit(1))
+    return found.select("entity_value", (F.col("us") - F.lit(us)).alias("start_us"), F.col("us").alias("end_us"), ids.alias("event_ids"), (F.col("_held") > 2 * EDGE).alias("truncated"), n.cast("long").alias("n_events"), F.col("seen").cast("double").alias("observed"))
 
 
 def not_seen_before(events: DataFrame, rule: Rule) -> DataFrame:
@@ -166,7 +185,7 @@ def not_seen_before(events: DataFrame, rule: Rule) -> DataFrame:
     exact = past.na.drop(subset=names).groupBy(*names).agg(F.min("us").alias("first_same"))
     base = rows.filter("_base").withColumn("entity_value", column(rule.entity_field).cast("string"))
     joined = base.join(first, names[0]).filter("first_any < us").join(exact, names, "left").filter("first_same is null or first_same >= us")
-    return joined.select("entity_value", F.col("us").alias("start_us"), F.col("us").alias("end_us"), F.array("id").alias("event_ids"), F.lit(1).cast("long").alias("n_events"), F.lit(1.0).alias("observed"))
+    return joined.select("entity_value", F.col("us").alias("start_us"), F.col("us").alias("end_us"), F.array("id").alias("event_ids"), F.lit(False).alias("truncated"), F.lit(1).cast("long").alias("n_events"), F.lit(1.0).alias("observed"))
 
 
 def speed(events: DataFrame, rule: Rule) -> DataFrame:
@@ -180,12 +199,31 @@ def speed(events: DataFrame, rule: Rule) -> DataFrame:
     rows = rows.withColumn("km", km).withColumn("_h", (F.col("us") - F.col("p_us")) / 3.6e9)
     kmh = F.when(F.col("_h") > 0, F.col("km") / F.col("_h")).when(F.col("km") > 1, F.lit(1e7)).otherwise(F.lit(0.0))
     hit = rows.withColumn("observed", kmh).filter((F.col("km") >= c.least_km) & SIGNS[c.compare](F.col("observed"), F.lit(c.number)))
-    return hit.select("entity_value", F.col("p_us").alias("start_us"), F.col("us").alias("end_us"), F.array_sort(F.array("p_id", "id")).alias("event_ids"), F.lit(2).cast("long").alias("n_events"), "observed")
+    return hit.select("entity_value", F.col("p_us").alias("start_us"), F.col("us").alias("end_us"), F.array_sort(F.array("p_id", "id")).alias("event_ids"), F.lit(False).alias("truncated"), F.lit(2).cast("long").alias("n_events"), "observed")
+
+
+def fields_of(rule: Rule) -> list[str]:
+    """All fields that a rule names: in its blocks, its aggregate and as its entity."""
+    c = rule.condition
+    names = [rule.entity_field, *(f.field for block in rule.blocks.values() for f in block)]
+    if isinstance(c, L.Count):
+        names += [*c.by, *([c.field] if c.field else [])]
+    elif isinstance(c, L.NotSeenBefore):
+        names += c.fields
+    elif isinstance(c, L.Speed):
+        names += [c.lat, c.lon, *c.by]
+    return names
+
+
+def selected(events: DataFrame, rule: Rule) -> DataFrame:
+    """The events for which a rule's plain condition holds."""
+    return with_fields(events, fields_of(rule)).filter(_holds(rule.condition, rule)).select(*events.columns)
 
 
 def matches(events: DataFrame, rule: Rule) -> DataFrame:
     """The matches of one rule over events with ``id`` and ``us``."""
     c = rule.condition
+    events = with_fields(events, fields_of(rule))
     if isinstance(c, L.Count):
         return anchored(events, rule) if c.anchor is not None else count(events, rule)
     if isinstance(c, L.NotSeenBefore):

@@ -84,7 +84,9 @@ def load(document: dict) -> Rule:
     blocks = {name: _filters(block) for name, block in detection.items()}
     techniques = tuple(m[1].upper() for t in document.get("tags", ()) if (m := re.fullmatch(r"attack\.(t\d{4}(?:\.\d{3})?)", str(t).lower())))
     entity = document["entity"]
-    return Rule(str(document["id"]), str(document["title"]), str(document["level"]).lower(), blocks, parse(str(condition), list(blocks)), seconds(timeframe) if timeframe is not None else DEFAULT_TIMEFRAME, entity["type"], entity["field"], techniques, tuple(document.get("applies_to", ())))
+    if not isinstance(entity, dict) or "type" not in entity or not entity.get("field", entity.get("by")):
+        raise RuleError(f"{document['id']} needs an entity's type and field")
+    return Rule(str(document["id"]), str(document["title"]), str(document["level"]).lower(), blocks, parse(str(condition), list(blocks)), seconds(timeframe) if timeframe is not None else DEFAULT_TIMEFRAME, entity["type"], entity.get("field", entity.get("by")), techniques, tuple(document.get("applies_to", ())))
 
 
 def load_all(text: str) -> list[Rule]:
@@ -96,5 +98,10 @@ def load_all(text: str) -> list[Rule]:
     return rules
 
 
+def shipped() -> list[Rule]:
+    """The rules that come with the package."""
+    return load_all(Path(__file__).with_name("shipped.yml").read_text())
+
+
 def load_folder(path: str) -> list[Rule]:
     return load_all("\n---\n".join(p.read_text() for p in sorted(Path(path).glob("*.yml"))))

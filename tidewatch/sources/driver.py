@@ -22,6 +22,10 @@ EVENT_COLUMNS = {
     "bytes_in": "cast(round(value * 100) as bigint)",
     "department": "concat('dept', user_id % 6)",
     "url_path": "concat('/', event_type, '/', cast(get_json_object(props, '$.k') as bigint), case when event_type = 'purchase' then '/setup.exe' else '/index.html' end)",
+    "ocsf": """named_struct('risk_score', cast(get_json_object(props, '$.k') as bigint) % 101, 'unmapped', named_struct('url_supercategory', if(cast(get_json_object(props, '$.k') as bigint) % 50 = 0, 'Security', 'Business and Economy'),
+        'dlp_engine', if(event_type = 'purchase' and user_id % 9 = 0, 'Corporate Confidential', null)), 'malware', if(event_type = 'error' and user_id % 7 = 0, array(named_struct('name', 'Backdoor.Generic.C2')), cast(array() as array<struct<name: string>>)),
+        'http_request', named_struct('url', named_struct('category_ids', array(element_at(array('Web-based Productivity Apps', 'Miscellaneous or Unknown', 'Proxy Avoidance and Anonymizers'), cast(cast(get_json_object(props, '$.k') as bigint) % 3 + 1 as int))))))""",
+    "enrichment": "to_json(named_struct('domain', named_struct('newly_registered', user_id % 11 = 0), 'user_agent', named_struct('is_automation_tool', event_type = 'signup')))",
     "user_agent": "case when event_type = 'error' then 'curl/8.0' else 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0' end",
 }
 
@@ -37,7 +41,12 @@ ev AS (
          CAST(round(value * 1000) AS BIGINT) AS bytes_out, CAST(round(value * 100) AS BIGINT) AS bytes_in,
          'dept' || (user_id % 6) AS department,
          '/' || event_type || '/' || k || CASE WHEN event_type = 'purchase' THEN '/setup.exe' ELSE '/index.html' END AS url_path,
-         CASE WHEN event_type = 'error' THEN 'curl/8.0' ELSE 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0' END AS user_agent
+         CASE WHEN event_type = 'error' THEN 'curl/8.0' ELSE 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0' END AS user_agent,
+         k % 101 AS risk_score, CASE WHEN k % 50 = 0 THEN 'Security' ELSE 'Business and Economy' END AS url_supercategory,
+         CASE WHEN event_type = 'purchase' AND user_id % 9 = 0 THEN 'Corporate Confidential' END AS dlp_engine,
+         CASE WHEN event_type = 'error' AND user_id % 7 = 0 THEN 'Backdoor.Generic.C2' END AS threat_name,
+         CASE k % 3 WHEN 0 THEN 'Web-based Productivity Apps' WHEN 1 THEN 'Miscellaneous or Unknown' ELSE 'Proxy Avoidance and Anonymizers' END AS url_category,
+         user_id % 11 = 0 AS newly_registered, event_type = 'signup' AS is_automation_tool
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 )"""
 
@@ -58,6 +67,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The adapted events, only the named columns if any are named."""
-    wanted = names or tuple(EVENT_COLUMNS)
+    """The adapted events, only the named columns if any are named, else all but the nested ones."""
+    wanted = names or tuple(c for c in EVENT_COLUMNS if c not in ("ocsf", "enrichment"))
     return table(spark, sf_dir, "events").select(*[F.expr(EVENT_COLUMNS[n]).alias(n) for n in wanted])
