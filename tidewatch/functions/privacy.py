@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What is redacted, in this order.
+# What is redacted, in this order; a card number counts only if its check digit is right.
 PATTERNS = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("aws_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("secret", r"(?i)\b(?:password|passwd|pwd|token|api_key|apikey|secret|access_token)\s*=\s*[^&\s]+"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("token", r"(?i)(?:^|[?&\s])(?:token|key|secret|password|auth|sig|access_token)=[^&\s\"'<>]*"),
+    ("bearer", r"(?i)\bBearer\s+[A-Za-z0-9\-._~+/=]{15,}"),
+    ("aws_key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
+    ("privkey", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----"),
+    ("pan", r"\b\d(?:[ -]?\d){12,18}\b"),
+    ("email", r"(?<=/)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
 )
-CARD = r"\b\d{13,19}\b"
+NAMES = tuple(name for name, _ in PATTERNS)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -41,20 +42,28 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
-def cards(text: Column) -> Column:
-    """The digit runs of a text that pass the Luhn check."""
-    return F.filter(F.regexp_extract_all(text, F.lit(f"({CARD})"), 1), luhn)
+def _cards(text: Column, shape: str) -> Column:
+    """struct(text, n): the digit runs of a text that pass the Luhn check replaced, and their number."""
+    found = F.regexp_extract_all(text, F.lit(f"({shape})"), 1)
+    right = F.transform(found, lambda m: F.struct(m.alias("m"), luhn(F.regexp_replace(m, "[ -]", "")).alias("ok")))
+    parts = F.zip_with(F.split(text, shape, -1), right, lambda t, m: F.concat(t, F.when(m.isNull(), F.lit("")).when(m["ok"], F.lit("<REDACTED:pan>")).otherwise(m["m"])))
+    return F.struct(F.array_join(parts, "").alias("text"), F.size(F.filter(right, lambda m: m["ok"])).alias("n"))
 
 
-def redacted(text: Column, longest: int | None = None) -> Column:
-    """struct(text, counts): each pattern replaced by ``<REDACTED:name>`` in order, and how often each was."""
-    counts, out = [], text
+def with_redacted(rows: DataFrame, column: str, counts: str, longest: int | None = None) -> DataFrame:
+    """``column`` redacted, and ``counts``: a struct with the number of replacements by each pattern.
+
+    Patterns run in order, each on what the one before left, each in a projection of its own: a text is looked
+    through once for a pattern, and rewritten only where it occurs.  Null stays null and counts 0.
+    """
+    out = rows
     for name, shape in PATTERNS:
-        counts.append(F.regexp_count(out, F.lit(shape)).alias(name))
-        out = F.regexp_replace(out, shape, f"<REDACTED:{name}>")
-    found = cards(out)
-    counts.append(F.size(found).alias("card"))
-    out = F.aggregate(found, out, lambda acc, c: F.replace(acc, c, F.lit("<REDACTED:card>")))
-    if longest:
-        out = F.substring(out, 1, longest)
-    return F.struct(out.alias("text"), F.struct(*counts).alias("counts"))
+        c = F.col(f"`{column}`")
+        if name == "pan":
+            out = out.withColumn("_hit", F.when(c.rlike(shape), _cards(c, shape)))
+            out = out.withColumns({column: F.coalesce("_hit.text", c), f"_n_{name}": F.coalesce("_hit.n", F.lit(0))})
+        else:
+            out = out.withColumn("_hit", F.coalesce(F.regexp_count(c, F.lit(shape)), F.lit(0)))
+            out = out.withColumns({column: F.when(F.col("_hit") > 0, F.regexp_replace(c, shape, f"<REDACTED:{name}>")).otherwise(c), f"_n_{name}": F.col("_hit")})
+    out = out.withColumn(counts, F.struct(*[F.col(f"_n_{n}").alias(n) for n in NAMES])).drop("_hit", *[f"_n_{n}" for n in NAMES])
+    return out.withColumn(column, F.substring(F.col(f"`{column}`"), 1, longest)) if longest else out

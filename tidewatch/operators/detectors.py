@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -213,12 +215,16 @@ def nominate(rows: DataFrame, keys: list[str], start: str, end: str, eligible: s
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        claims: list[tuple] = []
+        # claims never overlap, so that a new time can only meet the one before and the one after it
+        starts: list = []
+        ends: list = []
         flags = []
         for ok, a, b in zip(part[eligible], part[start], part[end], strict=True):
-            take = bool(ok) and not any(a <= y and x <= b for x, y in claims)
+            at = bisect.bisect_right(starts, b)
+            take = bool(ok) and not (at and ends[at - 1] >= a)
             if take:
-                claims.append((a, b))
+                starts.insert(at, a)
+                ends.insert(at, b)
             flags.append(take)
         part["nominated"] = flags
         return part

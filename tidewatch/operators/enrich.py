@@ -23,9 +23,10 @@ def with_ip(rows: DataFrame, ip: str, ranges: DataFrame, name: str) -> DataFrame
     """
     step = 1 << BLOCK_BITS
     cut = ranges.withColumn("_block", F.explode(F.sequence((F.col("start") / step).cast("long"), (F.col("end") / step).cast("long"))))
-    wanted = rows.select(F.col(ip).alias("_ip")).distinct().withColumn("_n", web.ip_number(F.col("_ip"))).filter("_n is not null").withColumn("_special", web.is_special_number(F.col("_n")))
+    # the number is made once for a row and stands behind the exchange as a column
+    wanted = rows.select(F.col(ip).alias("_ip"), web.ip_number(F.col(ip)).alias("_n")).groupBy("_ip").agg(F.max("_n").alias("_n")).filter("_n is not null").withColumn("_special", web.is_special_number(F.col("_n")))
     found = wanted.withColumn("_block", (F.col("_n") / step).cast("long")).join(cut, "_block").filter((F.col("_n") >= F.col("start")) & (F.col("_n") <= F.col("end")) & ~F.col("_special"))
-    best = found.groupBy("_ip").agg(F.max_by(F.struct("asn", "org", "country", "is_hosting"), "start").alias("_r"))
+    best = found.groupBy("_ip").agg(F.max(F.struct("start", "asn", "org", "country", "is_hosting")).alias("_r"))
     info = wanted.select("_ip", "_special").join(best, "_ip", "left").select("_ip", F.struct("_r.asn", "_r.org", "_r.country", "_r.is_hosting", F.col("_special").alias("is_special_use")).alias(name))
     return rows.join(info, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 

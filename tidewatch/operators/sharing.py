@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.privacy import hmac_sha256, pseudonym, redacted
+from ..functions.privacy import NAMES, hmac_sha256, pseudonym, with_redacted
 
 #: Identity columns with the prefix of their pseudonyms.
 IDENTITIES = {"principal": "u", "src_ip": "ip", "hostname": "h", "session_id": "sess", "device_name": "dev", "device_owner": "u"}
@@ -29,12 +29,8 @@ def redacted_events(ev: DataFrame, columns: tuple[str, ...] = ("url_path", "user
     """The columns redacted and cut to length, with the number of redactions."""
     out, total = ev, F.lit(0)
     for c in columns:
-        r = redacted(F.col(c), longest)
-        out = out.withColumn(f"_{c}", r)
-    for c in columns:
-        counts = F.col(f"_{c}.counts")
-        total = total + sum((F.coalesce(counts[n], F.lit(0)) for n in ("private_key", "jwt", "aws_key", "secret", "email", "ssn", "card")), F.lit(0))
-        out = out.withColumn(c, F.col(f"_{c}.text"))
+        out = with_redacted(out, c, f"_{c}", longest)
+        total = total + sum((F.col(f"_{c}.{n}") for n in NAMES), F.lit(0))
     return out.withColumn("redactions", total).drop(*[f"_{c}" for c in columns])
 
 

@@ -394,28 +394,94 @@ def domain_entropy(spark, sf_dir):
 
 # -- entity windows ------------------------------------------------------------------------------------------
 
-_WINDOW_COLUMNS = ("id", "us", "principal", "domain", "department", "bytes_out", "bytes_in", "http_method", "action", "status_code", "url_path", "user_agent", "src_ip")
+_WINDOW_COLUMNS = ("id", "us", "principal", "domain", "department", "bytes_out", "bytes_in", "http_method", "action", "status_code", "url_path", "user_agent", "src_ip", "event_type", "k")
+#: What enrichment would know of an event, in words that Spark and DuckDB share.
+_KNOWN = {
+    "asn": "k % 7", "country": "concat('c', k % 5)", "is_hosting": "k % 11 = 0", "is_automation": "event_type = 'signup'", "newly_registered": "(k % 40) % 9 = 0", "high_risk_tld": "(k % 40) % 7 = 0",
+    "is_top_site": "k % 40 < 10", "threat": "event_type = 'error' and k % 7 = 0", "referrer_domain": "case when k % 3 > 0 then concat('d', (k + 1) % 40, '.example.com') end",
+}
 
 
-@query("""WITH {EV}, h AS (SELECT *, us // 3600000000 * 3600000000 AS hour_us, min(us // 3600000000 * 3600000000) OVER (PARTITION BY principal, domain) AS fh, (us % 86400000000) / 3.6e9 AS hod,
- (us - lag(us) OVER (PARTITION BY principal, us // 3600000000 ORDER BY us, id)) / 1e6 AS gap FROM ev)
- SELECT principal, hour_us, count(*) AS n_events, round(avg(CASE WHEN hod < 5 THEN 1.0 ELSE 0 END), 6) AS night_ratio, round(avg(CASE WHEN isodow(make_timestamp(us)) >= 6 THEN 1.0 ELSE 0 END), 6) AS weekend_ratio,
- round(coalesce(avg(gap), 0), 3) AS iat_mean, count(DISTINCT domain) AS unique_domains, count(DISTINCT CASE WHEN fh = hour_us THEN domain END) AS new_domains, CAST(sum(bytes_out) AS BIGINT) AS bytes_out,
- round(sum(bytes_out) / greatest(sum(bytes_in), 1), 6) AS out_in_ratio, round(avg(CASE WHEN http_method = 'POST' THEN 1.0 ELSE 0 END), 6) AS post_ratio, round(avg(CASE WHEN status_code >= 400 THEN 1.0 ELSE 0 END), 6) AS error_ratio,
- count(DISTINCT url_path) AS distinct_paths, count(DISTINCT user_agent) AS distinct_agents FROM h GROUP BY 1, 2""")
-def entity_window_features(spark, sf_dir):
-    w = windows.entity_windows(events(spark, sf_dir, *_WINDOW_COLUMNS), "principal")
-    w = _rounded(w, "night_ratio", "weekend_ratio", "out_in_ratio", "post_ratio", "error_ratio").withColumn("iat_mean", F.round("iat_mean", 3))
-    return w.select("principal", "hour_us", "n_events", "night_ratio", "weekend_ratio", "iat_mean", "unique_domains", "new_domains", "bytes_out", "out_in_ratio", "post_ratio", "error_ratio", "distinct_paths", "distinct_agents")
+def _wide(spark, sf_dir):
+    return events(spark, sf_dir, *_WINDOW_COLUMNS).withColumns({n: F.expr(e) for n, e in _KNOWN.items()}).drop("event_type", "k")
 
 
-@query("""WITH {EV}, w AS (SELECT principal, min(department) AS department, us // 3600000000 * 3600000000 AS hour_us, CAST(sum(bytes_out) AS DOUBLE) AS b FROM ev GROUP BY principal, us // 3600000000),
- m AS (SELECT *, median(b) OVER (PARTITION BY principal) AS m1, median(b) OVER (PARTITION BY department, hour_us) AS m2 FROM w),
- d AS (SELECT *, median(abs(b - m1)) OVER (PARTITION BY principal) AS d1, median(abs(b - m2)) OVER (PARTITION BY department, hour_us) AS d2 FROM m)
- SELECT principal, hour_us, round(CASE WHEN d1 > 0 THEN 0.6745 * (b - m1) / d1 WHEN b = m1 THEN 0 ELSE 100 END, 4) AS z_own, round(CASE WHEN d2 > 0 THEN 0.6745 * (b - m2) / d2 WHEN b = m2 THEN 0 ELSE 100 END, 4) AS z_cohort FROM d""")
-def entity_window_z(spark, sf_dir):
-    w = windows.with_z(windows.entity_windows(events(spark, sf_dir, *_WINDOW_COLUMNS), "principal"), "principal", ("bytes_out",))
-    return w.select("principal", "hour_us", F.round(stats.finite(F.col("bytes_out_z_own")), 4).alias("z_own"), F.round(stats.finite(F.col("bytes_out_z_cohort")), 4).alias("z_cohort"))
+_WIDE_SQL = "ev2 AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _KNOWN.items()).replace("k % 7 AS asn", "CAST(k % 7 AS BIGINT) AS asn") + " FROM (SELECT * EXCLUDE (newly_registered, is_automation_tool) FROM ev))"
+
+
+def _window_sql(key: str) -> str:
+    """The features of hours but for z and navigation."""
+    return f"""dc AS (SELECT domain, count(*) AS dn FROM ev2 GROUP BY 1), wh AS (SELECT {key} AS e, CAST((us // 3600000000) % 24 AS INT) AS h FROM ev2), wg AS (SELECT p.e, s.s, (SELECT count(*) FROM wh WHERE wh.e = p.e AND (wh.h - s.s + 24) % 24 < 9) AS n FROM (SELECT DISTINCT e FROM wh) p, (SELECT unnest(range(24)) AS s) s),
+ wb AS (SELECT e, s, row_number() OVER (PARTITION BY e ORDER BY n DESC, s) AS r FROM wg), wc AS (SELECT e, count(*) AS n FROM wh GROUP BY 1), ww AS (SELECT wb.e, CASE WHEN n < 5 THEN 9.0 ELSE s END AS lo, CASE WHEN n < 5 THEN 17.5 ELSE s + 9 END AS hi FROM wb JOIN wc ON wb.e = wc.e WHERE r = 1),
+ lab AS (SELECT name, sum(-n * 1.0 / length(name) * log2(n * 1.0 / length(name))) AS ent FROM (SELECT name, ch, count(*) AS n FROM (SELECT name, unnest(string_split(name, '')) AS ch FROM (SELECT DISTINCT split_part(domain, '.', 1) AS name FROM ev2)) GROUP BY 1, 2) GROUP BY 1),
+ h AS (SELECT ev2.*, dn, lo, hi, us // 3600000000 * 3600000000 AS hour_us, min(us // 3600000000 * 3600000000) OVER (PARTITION BY {key}, ev2.domain) AS fh, (us % 86400000000) / 3.6e9 AS hod, (us - us // 3600000000 * 3600000000) // 300000000 AS slot,
+  (us - lag(us) OVER (PARTITION BY {key}, us // 3600000000 ORDER BY us, id)) / 1e6 AS gap FROM ev2 JOIN dc ON dc.domain = ev2.domain JOIN ww ON ww.e = {key}),
+ sl AS (SELECT {key}, hour_us, entropy(slot) AS he FROM h GROUP BY 1, 2), dl AS (SELECT {key}, hour_us, avg(ent) AS me, max(ent) AS xe FROM (SELECT DISTINCT {key}, hour_us, domain FROM h) JOIN lab ON name = split_part(domain, '.', 1) GROUP BY 1, 2),
+ w AS (SELECT {key}, hour_us, min(department) AS department, count(*)::DOUBLE AS n_events, avg(CASE WHEN hod >= lo AND hod <= hi THEN 0.0 ELSE 1.0 END) AS off_hours_ratio, avg(CASE WHEN isodow(make_timestamp(us)) >= 6 THEN 1.0 ELSE 0 END) AS weekend_ratio, avg(CASE WHEN hod < 5 THEN 1.0 ELSE 0 END) AS night_ratio,
+  coalesce(avg(gap), 0) AS iat_mean, coalesce(min(gap), 0) AS iat_min, CASE WHEN count(gap) >= 2 AND avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END AS iat_cv, CASE WHEN count(gap) >= 2 AND avg(gap) > 0 THEN (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) ELSE 0 END AS burstiness,
+  count(DISTINCT domain)::DOUBLE AS n_unique_domains, count(DISTINCT CASE WHEN dn <= 10 THEN domain END)::DOUBLE AS n_rare_domains, count(DISTINCT CASE WHEN dn <= 10 THEN domain END) / count(DISTINCT domain) AS rare_domain_ratio, count(DISTINCT CASE WHEN fh = hour_us THEN domain END)::DOUBLE AS n_new_domains_for_user,
+  count(DISTINCT CASE WHEN newly_registered THEN domain END)::DOUBLE AS n_newly_registered_domains, avg(CASE WHEN high_risk_tld THEN 1.0 ELSE 0 END) AS high_risk_tld_ratio, avg(CASE WHEN is_top_site THEN 0.0 ELSE 1 END) AS non_top_site_ratio,
+  sum(bytes_out)::DOUBLE AS bytes_out_sum, sum(bytes_in)::DOUBLE AS bytes_in_sum, sum(bytes_out) / greatest(sum(bytes_in), 1) AS out_in_ratio, max(bytes_out)::DOUBLE AS bytes_out_max, max(bytes_in)::DOUBLE AS bytes_in_max, count(*) FILTER (bytes_out >= 1000000)::DOUBLE AS n_large_uploads, CASE WHEN avg(bytes_out) > 0 THEN stddev_pop(bytes_out) / avg(bytes_out) ELSE 0 END AS bytes_out_cv,
+  avg(CASE WHEN http_method = 'POST' THEN 1.0 ELSE 0 END) AS post_ratio, avg(CASE WHEN action = 'blocked' THEN 1.0 ELSE 0 END) AS blocked_ratio, avg(CASE WHEN status_code >= 400 THEN 1.0 ELSE 0 END) AS error_ratio, count(DISTINCT status_code)::DOUBLE AS n_unique_status_codes, 0.0::DOUBLE AS direct_ip_ratio, count(DISTINCT url_path)::DOUBLE AS n_unique_url_paths,
+  avg(CASE WHEN threat THEN 1.0 ELSE 0 END) AS threat_category_ratio, count(DISTINCT user_agent)::DOUBLE AS n_unique_user_agents, avg(CASE WHEN is_automation THEN 1.0 ELSE 0 END) AS automation_ua_ratio, count(DISTINCT asn)::DOUBLE AS n_unique_asns, count(DISTINCT country)::DOUBLE AS n_unique_countries, avg(CASE WHEN is_hosting THEN 1.0 ELSE 0 END) AS hosting_provider_ratio,
+  count(DISTINCT src_ip)::DOUBLE AS n_unique_src_ips, count(DISTINCT user_agent) / count(*) AS ua_diversity_ratio FROM h GROUP BY 1, 2)"""
+
+
+#: Features that one aggregate of an hour tells; in the queries rounded to six digits.
+_SUMMED = tuple(n for f, names in windows.FAMILIES.items() if f not in ("identity", "navigation") for n in names if "_z_vs_" not in n)
+_ROUNDED_SQL = ", ".join({"hour_entropy": "round(he, 6) AS hour_entropy", "mean_domain_entropy": "round(me, 6) AS mean_domain_entropy", "max_domain_entropy": "round(xe, 6) AS max_domain_entropy"}.get(n, f"round({n}, 6) AS {n}") for n in _SUMMED)
+
+
+for _name, _key in (("entity_window_features", "principal"), ("address_window_features", "src_ip")):
+    query(f"WITH {{EV}}, {_WIDE_SQL}, {_window_sql(_key)} SELECT w.{_key}, w.hour_us, {_ROUNDED_SQL} FROM w JOIN sl ON sl.{_key} = w.{_key} AND sl.hour_us = w.hour_us JOIN dl ON dl.{_key} = w.{_key} AND dl.hour_us = w.hour_us", _name)(
+        functools.partial(lambda spark, sf_dir, key: windows.entity_windows(_wide(spark, sf_dir), key, _SUMMED).select(key, "hour_us", *[F.round(n, 6).alias(n) for n in _SUMMED]), key=_key)
+    )
+
+
+def _z_sql(value: str, key: str, cohort: str) -> str:
+    return f"""m AS (SELECT *, median({value}) OVER (PARTITION BY {key}) AS m1, median({value}) OVER (PARTITION BY {cohort}) AS m2 FROM w),
+ d AS (SELECT *, median(abs({value} - m1)) OVER (PARTITION BY {key}) AS d1, median(abs({value} - m2)) OVER (PARTITION BY {cohort}) AS d2 FROM m)
+ SELECT {key}, hour_us, round(CASE WHEN d1 > 0 THEN 0.6745 * ({value} - m1) / d1 WHEN {value} = m1 THEN 0 ELSE 100 END, 4) AS z_own, round(CASE WHEN d2 > 0 THEN 0.6745 * ({value} - m2) / d2 WHEN {value} = m2 THEN 0 ELSE 100 END, 4) AS z_cohort FROM d"""
+
+
+def _z(spark, sf_dir, value, key, cohort):
+    w = windows.with_z(windows.entity_windows(_wide(spark, sf_dir), key, (value,)), key, (value,), cohort)
+    return w.select(key, "hour_us", F.round(stats.finite(F.col(f"{value}_z_vs_own_history")), 4).alias("z_own"), F.round(stats.finite(F.col(f"{value}_z_vs_cohort")), 4).alias("z_cohort"))
+
+
+for _name, _value, _key, _cohort in (("entity_window_z", "bytes_out_sum", "principal", ("department", "hour_us")), ("entity_window_z_events", "n_events", "principal", ("department", "hour_us")), ("address_window_z", "bytes_out_sum", "src_ip", ("hour_us",))):
+    query(f"WITH {{EV}}, w AS (SELECT {_key}, us // 3600000000 * 3600000000 AS hour_us, min(department) AS department, count(*)::DOUBLE AS n_events, sum(bytes_out)::DOUBLE AS bytes_out_sum FROM ev GROUP BY 1, 2), {_z_sql(_value, _key, ', '.join(_cohort))}", _name)(
+        functools.partial(_z, value=_value, key=_key, cohort=_cohort)
+    )
+
+
+#: Hops in SQL: a row's parent is the last earlier one of its episode at the domain that it names as referrer.
+_HOPS_SQL = """p AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY principal ORDER BY us, id) > IDLE THEN 1 ELSE 0 END AS pause FROM ev2), e AS (SELECT *, sum(pause) OVER (PARTITION BY principal ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS ep, row_number() OVER (PARTITION BY principal ORDER BY us, id) AS rn FROM p),
+ q AS (SELECT a.id, max(b.rn) AS prn FROM e a JOIN e b ON a.principal = b.principal AND a.ep = b.ep AND b.domain = a.referrer_domain AND b.rn < a.rn GROUP BY 1), f AS (SELECT e.*, prn FROM e LEFT JOIN q ON q.id = e.id),
+ t AS (SELECT principal, rn, id, 0 AS depth, domain AS entry_domain FROM f WHERE prn IS NULL UNION ALL SELECT f.principal, f.rn, f.id, t.depth + 1, t.entry_domain FROM f JOIN t ON f.principal = t.principal AND f.prn = t.rn),
+ hop AS (SELECT f.id, f.principal, f.us, CAST(t.depth AS INT) AS depth, t.entry_domain, f.referrer_domain IS NULL AS refererless_deep, f.prn IS NOT NULL AND t.entry_domain <> f.domain AS cross_chain, url_path LIKE '%.exe' AND f.prn IS NULL AS direct_download FROM f JOIN t ON t.id = f.id)"""
+
+
+@query(f"WITH RECURSIVE {{EV}}, {_WIDE_SQL}, {_HOPS_SQL.replace('IDLE', '86400000000')} SELECT id, principal, depth, entry_domain, refererless_deep, cross_chain, direct_download FROM hop")
+def navigation_hops(spark, sf_dir):
+    return windows.navigation(_wide(spark, sf_dir), idle=86_400)
+
+
+@query(f"""WITH RECURSIVE {{EV}}, {_WIDE_SQL}, {_HOPS_SQL.replace('IDLE', '86400000000')} SELECT principal, us // 3600000000 * 3600000000 AS hour_us, round(avg(CASE WHEN refererless_deep THEN 1.0 ELSE 0 END), 6) AS referer_less_deep_path_ratio, round(avg(depth), 6) AS navigation_depth_mean, count(DISTINCT entry_domain)::DOUBLE AS n_unique_entry_domains,
+ round(avg(CASE WHEN cross_chain THEN 1.0 ELSE 0 END), 6) AS cross_domain_redirect_chain_ratio, round(avg(CASE WHEN direct_download THEN 1.0 ELSE 0 END), 6) AS download_without_navigation_ratio, 0.0::DOUBLE AS n_auth_failures FROM hop GROUP BY 1, 2""")
+def navigation_features(spark, sf_dir):
+    ev = _wide(spark, sf_dir)
+    names = (*windows.FAMILIES["navigation"], "n_auth_failures")
+    w = windows.entity_windows(ev.join(windows.navigation(ev, idle=86_400).drop("principal"), "id"), "principal", names)
+    return w.select("principal", "hour_us", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("""WITH {EV}, w AS (SELECT 'user' AS entity_type, principal AS entity_value, us // 3600000000 * 3600000000 AS hour_us, count(*)::DOUBLE AS n_events, sum(bytes_out)::DOUBLE AS bytes_out_sum, list(id) AS ids FROM ev GROUP BY ALL UNION ALL SELECT 'src_ip', src_ip, us // 3600000000 * 3600000000, count(*)::DOUBLE, sum(bytes_out)::DOUBLE, list(id) FROM ev GROUP BY ALL)
+ SELECT entity_type, entity_value, hour_us, 58 AS width, n_events, bytes_out_sum, list_min(ids) AS least_id, CAST(len(ids) AS INT) AS n_ids FROM w""")
+def entity_vectors(spark, sf_dir):
+    v = windows.vectors(_wide(spark, sf_dir))
+    at = windows.FEATURES.index("bytes_out_sum")
+    return v.select("entity_type", "entity_value", "hour_us", F.size("features").alias("width"), F.get("features", F.lit(0)).alias("n_events"), F.get("features", F.lit(at)).alias("bytes_out_sum"), F.array_min("event_ids").alias("least_id"), F.size("event_ids").alias("n_ids"))
 
 
 @query("""WITH {EV}, h AS (SELECT principal, CAST((us // 3600000000) % 24 AS INT) AS h FROM ev), g AS (SELECT p.principal, s.s, (SELECT count(*) FROM h WHERE h.principal = p.principal AND (h.h - s.s + 24) % 24 < 9) AS n FROM (SELECT DISTINCT principal FROM h) p, (SELECT unnest(range(24)) AS s) s),
@@ -425,12 +491,6 @@ def work_hours(spark, sf_dir):
     return windows.work_hours(events(spark, sf_dir, "principal", "us"), "principal")
 
 
-@query()
-def navigation_hops(spark, sf_dir):
-    ev = events(spark, sf_dir, "id", "us", "principal", "domain", "url_path", "k")
-    return windows.navigation(ev.withColumn("referrer_domain", F.when(F.col("k") % 3 > 0, F.concat(F.lit("d"), (F.col("k") + 1) % 40, F.lit(".example.com")))), idle=86_400)
-
-
 # -- outliers ------------------------------------------------------------------------------------------------
 
 
@@ -651,16 +711,44 @@ def similar_signatures(spark, sf_dir):
     return sharing.similar(rows, list(q), 10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<REDACTED:email>', 'g') = text AS clean, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails FROM documents""")
-def redaction_emails(spark, sf_dir):
-    shape = dict(privacy.PATTERNS)["email"]
-    return table(spark, sf_dir, "documents").select("doc_id", (F.regexp_replace("text", shape, "<REDACTED:email>") == F.col("text")).alias("clean"), F.regexp_count("text", F.lit(shape)).cast("long").alias("emails"))
+#: The redaction's shapes in SQL, which cannot look around: what may stand beside a match is taken into it and put back.
+_REDACT_SQL = (
+    ("token", r"((?:^|[?&\s])(?:token|key|secret|password|auth|sig|access_token)=[^&\s\"''<>]*)", "gi", "<REDACTED:token>"),
+    ("bearer", r"(\bBearer\s+[A-Za-z0-9\-._~+/=]{15,})", "gi", "<REDACTED:bearer>"),
+    ("aws_key", r"(?:\b|_)(AKIA[0-9A-Z]{16})(?:\b|_)", "g", "<REDACTED:aws_key>"),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)", "g", "<REDACTED:jwt>"),
+    ("privkey", r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:.|\n)*?-----END [A-Z0-9 ]*PRIVATE KEY-----)", "g", "<REDACTED:privkey>"),
+)
 
 
-@query()
+def _redaction_sql() -> str:
+    out, was = ["t0 AS (SELECT doc_id, text AS t FROM documents)"], []
+    for i, (name, shape, flags, to) in enumerate(_REDACT_SQL):
+        case = f", '{flags.replace('g', '')}'" if "i" in flags else ""
+        found = f"len(regexp_extract_all(t, '{shape}', 1{case}))"
+        out.append(f"t{i + 1} AS (SELECT * EXCLUDE (t), regexp_replace(t, '{shape}', '{to}', '{flags}') AS t, {found} AS {name} FROM t{i})")
+        was.append(name)
+    n = len(_REDACT_SQL)
+    card = r"\b\d(?:[ -]?\d){12,18}\b"
+    out.append(f"m AS (SELECT rn, unnest(regexp_extract_all(t, '{card}')) AS m FROM (SELECT *, row_number() OVER () AS rn FROM t{n}))")
+    return ", ".join(out), n, card
+
+
+_REDACTION, _LAST, _CARD = _redaction_sql()
+
+
+@query(f"""WITH {_REDACTION.rsplit(', m AS', 1)[0]}, r AS (SELECT *, row_number() OVER () AS rn FROM t{_LAST}), m AS (SELECT rn, unnest(regexp_extract_all(t, '{_CARD}')) AS c FROM r),
+ k AS (SELECT rn, count(*) FILTER (list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) WHEN CAST(d[i] AS INT) > 4 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0) AS n FROM (SELECT rn, regexp_replace(c, '[ -]', '', 'g') AS d FROM m) GROUP BY 1)
+ SELECT doc_id, coalesce(token, 0) AS token, coalesce(bearer, 0) AS bearer, coalesce(aws_key, 0) AS aws_key, coalesce(jwt, 0) AS jwt, coalesce(privkey, 0) AS privkey, coalesce(n, 0) AS pan, coalesce(len(regexp_extract_all(t, '/[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')), 0) AS email FROM r LEFT JOIN k ON k.rn = r.rn""")
 def redaction_counts(spark, sf_dir):
-    r = table(spark, sf_dir, "documents").select("doc_id", privacy.redacted(F.col("text")).alias("r"))
-    return r.select("doc_id", "r.counts.*")
+    return privacy.with_redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "r").select("doc_id", "r.*")
+
+
+@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(url, '(?:^|[?&\\s])(?:token|key|secret|password|auth|sig|access_token)=[^&\\s\\"''<>]*', '<REDACTED:token>', 'gi'), '/[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '/<REDACTED:email>', 'g')) AS redacted
+ FROM (SELECT doc_id, 'http://h/' || CASE doc_id % 4 WHEN 0 THEN 'p?Token=abc&x=1' WHEN 1 THEN 'u/a.b@c.org/d' WHEN 2 THEN 'plain?monkey=1' ELSE 'q?sig=' END || doc_id AS url FROM documents)""")
+def redacted_urls(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('http://h/', case doc_id % 4 when 0 then 'p?Token=abc&x=1' when 1 then 'u/a.b@c.org/d' when 2 then 'plain?monkey=1' else 'q?sig=' end, doc_id)").alias("url"))
+    return privacy.with_redacted(d, "url", "r").select("doc_id", F.sha2("url", 256).alias("redacted"))
 
 
 @query()
