@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         joined = large.join(down, large["a"] == down["n"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "edges")
+        before, edges = edges, stored(small.filter("a <> b").distinct(), "edges")
+        forget(before)
         was, sign = sign, _sign(edges)
         if sign == was:
             break

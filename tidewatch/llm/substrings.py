@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, tasks, text_or_empty
+from .common import forget, fresh, stored, tasks, text_or_empty
 from .tokens import release, slices
 
 WINDOW, GRAM = 35, 12
@@ -291,14 +291,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keys = stored(rows.select("did", "t1", "t2"), "keys")
     several = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"), F.min("did").alias("did"))
     found = stored(rows.select("t1", "t2", "text").mapInArrow(_anchor_rows, "h long, t1 long, t2 long, p int, lo byte, hi byte"), "anchors")
+    anchors_ = found
     found = found.distinct()
     # written, so that the join stands right above its exchanges and a common anchor's rows can be split
     again = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     lists = found.join(again, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "p", "lo", "hi", (F.col("n") > LARGE).alias("deep"))).alias("found"))
     lists = stored(lists.join(several.select("t1", "t2", "did"), ["t1", "t2"]), "lists")
+    forget(anchors_, again)
     one = rows.join(lists.select("did", "t1", F.col("t2").alias("_t2"), "found"), ["did", "t1"]).filter("t2 = _t2")
     contexts = one.select("t1", "t2", "text", "found").mapInArrow(_context_rows, "h long, t1 long, t2 long, s int, n int, words binary, deep boolean")
     contexts = stored(contexts, "contexts")
+    forget(lists)
     # lengthened prefixes: one that occurs once goes, one that is common even so is split, each part with a witness:
     place = F.struct("t1", "t2", "s")
     longer = stored(contexts.filter("deep").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first"), F.max(place).alias("last")).filter("m > 1"), "longer")
@@ -316,7 +319,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     dealt = dealt.unionByName(witness.select(*names))
     groups = max(tasks(spark), -(-contexts.count() // GROUP))
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("h", "part"), F.lit(groups)).cast("int"))
-    leaves = dealt.groupBy("g").applyInArrow(lambda x: _subtrees(x.drop_columns(["g"])), "t1 long, t2 long, start int, stop int")
+    leaves = stored(dealt.groupBy("g").applyInArrow(lambda x: _subtrees(x.drop_columns(["g"])), "t1 long, t2 long, start int, stop int"), "spans")
+    forget(contexts, longer)
     marks = leaves.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     texts = several.join(marks, ["t1", "t2"], "left").filter("m > 1 or marks is not null")
     by_row = keys.distinct().join(texts.select("t1", "t2", (F.col("m") > 1).alias("all"), F.when(F.col("m") == 1, F.col("marks")).alias("marks")), ["t1", "t2"])
