@@ -169,8 +169,11 @@ def test_outlier_models_find_the_outlier(kind):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 5))
     d = outliers.Detector(kind, list("abcde"), x)
+    far = np.zeros((1, 5))
+    far[0, 2] = 9.0
     s, c = d.scores(np.vstack([x[:50], np.full((1, 5), 9.0)]))
     assert s.argmax() == 50 and c[50] == 1.0
+    assert d.contributions(far, 3)[0][0][0] == "c" or kind.endswith("pca")
     again, _ = outliers.Detector(kind, list("abcde"), x).scores(x[:5])
     assert np.array_equal(again, s[:5])
     assert d.contributions(np.array([[0, 0, 0, 0, 50.0]]))[0][0][0] == "e"
@@ -191,13 +194,6 @@ def test_isotonic(spark):
     assert (r.a, r.b, r.c, r.d) == (curve[1][0], curve[1][-1], 0.0, 1.0)
 
 
-def test_manifest(tmp_path):
-    outliers.save_manifest(str(tmp_path), ["a"], ["eif"])
-    assert outliers.load_manifest(str(tmp_path), ["a"]) == ["eif"]
-    with pytest.raises(ValueError):
-        outliers.load_manifest(str(tmp_path), ["b"])
-
-
 def test_louvain_and_betweenness():
     def clique(names):
         return [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -262,3 +258,51 @@ def test_pages_follow_each_other(spark):
     cursor = overview.encode_cursor([first[3].t, first[3].id])
     second = overview.page(rows, [("t", True), ("id", False)], 4, cursor).collect()
     assert [r.id for r in first[:4]] + [r.id for r in second[:4]] == [9, 6, 7, 8, 3, 4, 5, 0]
+
+
+def test_calibration_is_on_later_rows(spark, tmp_path):
+    """Rows of one distribution have confidences around a half, whatever their order by value; models come back as they were."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(4)]) for i in range(1500)], "hour_us long, features array<double>")
+    found = outliers.fitted(rows, ["eif", "kth_nn", "lof_pca", "mahalanobis", "ecod"])
+    for d in found.values():
+        assert len(d.calibration) == 150
+        c = [r.confidence for r in outliers.score(rows, d).collect()]
+        assert abs(np.mean(c) - 0.5) < 0.08 and np.mean(np.array(c) >= 0.995) < 0.03
+    outliers.save(spark, f"{tmp_path}/models", found)
+    again = outliers.load(spark, f"{tmp_path}/models", ["x0", "x1", "x2", "x3"])
+    x = rng.standard_normal((20, 4))
+    for k, d in found.items():
+        assert np.array_equal(d.scores(x)[0], again[k].scores(x)[0]) and d.contributions(x) == again[k].contributions(x)
+    with pytest.raises(ValueError):
+        outliers.load(spark, f"{tmp_path}/models", ["other"])
+
+
+def test_forest_by_brute_force():
+    """The depth of each row, one node at a time."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 3))
+    f = outliers.ExtendedForest(x, trees=5, size=32)
+    want = []
+    for row in x.astype(np.float32):
+        total = 0.0
+        for t in range(5):
+            node, depth = 0, 0
+            while node < f.cut.shape[1] and f.cut[t, node]:
+                right = float(np.dot(row - f.point[t, node], f.normal[t, node])) > 0
+                node, depth = 2 * node + 1 + right, depth + 1
+            n = int(f.held[t, node])
+            assert n >= 0 and depth <= f.height
+            total += depth + (0 if n < 2 else 1 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
+        want.append(2 ** (-total / 5 / (2 * (math.log(31) + 0.5772156649015329) - 2 * 31 / 32)))
+    assert np.allclose(f.scores(x), want, atol=1e-9)
+
+
+def test_isotonic_by_spark_is_the_same(spark):
+    rng = np.random.default_rng(5)
+    s, y = rng.integers(0, 30, 300) / 30, rng.integers(0, 2, 300)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y, strict=True)], "s double, y int")
+    mine, theirs = outliers.isotonic(s, y), outliers.isotonic_fit(rows, "s", "y")
+    at = np.linspace(0, 1, 101)
+    assert np.allclose(np.interp(at, *mine), np.interp(at, *theirs))
+    assert outliers.isotonic_fit(rows.filter("y = 1"), "s", "y") is None

@@ -1,84 +1,123 @@
 """Unsupervised outlier scores of feature vectors, their confidence, explanations and calibration.
 
-Models are fitted on a bounded sample on the driver and broadcast; scoring runs over all rows in batches.
+The rows before a point of time are fitted on, those after it tell how high scores go by themselves.  Means and
+deviations are aggregates over all fitted rows; models hold a bounded sample of them, reach the executors once,
+and score all rows in batches.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import math
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on at most, and the confidence from which a window is reported.
-FIT_ROWS, REPORT = 50_000, 0.995
+#: Rows that a model holds at most of either part, the confidence from which a window is reported, the later part of the time.
+FIT_ROWS, REPORT, HELD = 50_000, 0.995, 0.1
 
 
 def sample(rows: DataFrame, column: str = "features", most: int = FIT_ROWS, seed: int = 7) -> np.ndarray:
-    """About ``most`` vectors by the smallest hashes of their content; all of them if there are fewer."""
+    """About ``most`` vectors by the smallest hashes of their content; all of them if there are fewer.  In the order of their hashes."""
+    place = F.xxhash64(F.lit(seed), column)
     n = rows.count()
     if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
-    found = [r[0] for r in rows.select(column).collect()]
-    return np.array(sorted(found), np.float64)
+        rows = rows.filter(F.pmod(place, F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+    found = [(r[0], r[1]) for r in rows.select(place, column).collect()]
+    return np.array([v for _, v in sorted(found)], np.float64)
+
+
+def moments(rows: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each coordinate over all rows; a row a coordinate reaches the driver."""
+    found = rows.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("k").collect()
+    return np.array([r["m"] for r in found], np.float64), np.array([r["s"] for r in found], np.float64)
 
 
 class Scaler:
-    def __init__(self, x: np.ndarray):
-        self.mean, sd = x.mean(0), x.std(0)
-        self.sd = np.where(sd > 0, sd, 1.0)
+    def __init__(self, mean: np.ndarray, sd: np.ndarray):
+        self.mean, self.sd = mean, np.where(sd > 0, sd, 1.0)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.sd
 
 
-def _unsuccessful(n: int) -> float:
+def _unsuccessful(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
-    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    n = np.asarray(n, np.float64)
+    long = 2 * (np.log(np.maximum(n, 3) - 1) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1)
+    return np.where(n < 2, 0.0, np.where(n == 2, 1.0, long))
 
 
 class ExtendedForest:
-    """Isolation by random hyperplanes: normals keep ``free`` coordinates, all by default."""
+    """Isolation by random hyperplanes: normals keep ``free`` coordinates, all by default.
+
+    All trees lie in flat arrays; node i has its children at 2i + 1 and 2i + 2.  Trees are cut level by level,
+    and all rows of a batch go down a tree together.
+    """
 
     def __init__(self, x: np.ndarray, trees: int = 200, size: int = 256, seed: int = 42, free: int | None = None):
         rng = np.random.default_rng(seed)
+        d = x.shape[1]
         self.size = min(size, len(x))
         self.height = max(1, math.ceil(math.log2(max(2, self.size))))
-        self.free = x.shape[1] if free is None else free
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], 0, rng) for _ in range(trees)]
-
-    def _grow(self, x: np.ndarray, level: int, rng: np.random.Generator):
-        if level >= self.height or len(x) < 2 or np.all(x == x[0]):
-            return len(x)
-        normal = rng.standard_normal(x.shape[1])
-        normal[rng.permutation(x.shape[1])[self.free :]] = 0.0
-        point = rng.uniform(x.min(0), x.max(0))
-        side = (x - point) @ normal <= 0
-        if side.all() or not side.any():
-            return len(x)
-        return normal, float(point @ normal), self._grow(x[side], level + 1, rng), self._grow(x[~side], level + 1, rng)
-
-    def _walk(self, node, x: np.ndarray, rows: np.ndarray, level: int, out: np.ndarray) -> None:
-        if not len(rows):
-            return
-        if isinstance(node, int):
-            out[rows] += level + _unsuccessful(node)
-            return
-        normal, offset, left, right = node
-        side = x[rows] @ normal <= offset
-        self._walk(left, x, rows[side], level + 1, out)
-        self._walk(right, x, rows[~side], level + 1, out)
+        nodes = 2**self.height - 1
+        self.normal, self.point = np.zeros((trees, nodes, d), np.float32), np.zeros((trees, nodes, d), np.float32)
+        self.cut = np.zeros((trees, nodes), bool)
+        self.held = np.zeros((trees, 2 * nodes + 1), np.int64)  # rows of a node
+        for t in range(trees):
+            own = x[rng.choice(len(x), self.size, replace=False)].astype(np.float32)
+            at = np.zeros(len(own), np.int64)
+            self.held[t, 0] = len(own)
+            for level in range(self.height):
+                for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                    rows = np.flatnonzero(at == node)
+                    if len(rows) < 2:
+                        continue
+                    low, high = own[rows].min(0), own[rows].max(0)
+                    normal = rng.standard_normal(d).astype(np.float32)
+                    normal[rng.permutation(d)[free or d :]] = 0
+                    point = (low + rng.random(d) * (high - low)).astype(np.float32)
+                    right = (own[rows] - point) @ normal > 0
+                    if right.all() or not right.any():
+                        continue  # a cut that parts nothing leaves a leaf
+                    self.normal[t, node], self.point[t, node], self.cut[t, node] = normal, point, True
+                    at[rows] = 2 * node + 1 + right
+                    self.held[t, 2 * node + 1], self.held[t, 2 * node + 2] = (~right).sum(), right.sum()
+
+    def _descend(self, x: np.ndarray, weigh: bool) -> tuple[np.ndarray, np.ndarray]:
+        x = x.astype(np.float32)
+        depth, parts = np.zeros(len(x)), np.zeros(x.shape if weigh else (0, 0))
+        offset = np.einsum("tnd,tnd->tn", self.normal, self.point)
+        for t in range(len(self.cut)):
+            at, level = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for _ in range(self.height):
+                go = np.flatnonzero((at < self.cut.shape[1]) & self.cut[t, np.minimum(at, self.cut.shape[1] - 1)])
+                if not len(go):
+                    break
+                node = at[go]
+                normal = self.normal[t, node]
+                side = np.einsum("ij,ij->i", x[go], normal) - offset[t, node]
+                if weigh:  # a coordinate speaks by its part in the cut, more where few rows are left beyond it
+                    step = np.abs((x[go] - self.point[t, node]) * normal)
+                    child = 2 * node + 1 + (side > 0)
+                    share = 1 - self.held[t, child] / np.maximum(1, self.held[t, node])
+                    parts[go] += step / np.maximum(1e-12, step.sum(1))[:, None] * share[:, None]
+                at[go] = 2 * node + 1 + (side > 0)
+                level[go] += 1
+            depth += level + _unsuccessful(self.held[t, at])
+        return depth, parts
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        depth = np.zeros(len(x))
-        for tree in self.trees:
-            self._walk(tree, x, np.arange(len(x)), 0, depth)
-        return 2.0 ** (-depth / len(self.trees) / max(1e-12, _unsuccessful(self.size)))
+        depth, _ = self._descend(x, False)
+        return 2.0 ** (-depth / len(self.cut) / max(1e-12, float(_unsuccessful(self.size))))
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """How much each coordinate cuts the rows off, over all trees."""
+        return self._descend(x, True)[1] / len(self.cut)
 
 
 class IsolationForest(ExtendedForest):
@@ -89,17 +128,23 @@ class IsolationForest(ExtendedForest):
 
 
 def _nearest(x: np.ndarray, base: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and places of the k nearest rows of ``base``, in blocks."""
+    """Distances and places of the k nearest rows of ``base``, in blocks.
+
+    Candidates, some more than k, come from products of matrices; their distances are then taken one by one, so
+    that a row's do not depend on the rows that it is asked with.
+    """
     k = min(k, len(base))
+    more = min(len(base), k + 8)
     dist, place = np.empty((len(x), k)), np.empty((len(x), k), np.int64)
     norm = (base**2).sum(1)
     for a in range(0, len(x), block):
         part = x[a : a + block]
-        d = np.maximum(0, (part**2).sum(1)[:, None] + norm - 2 * part @ base.T)
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(d, at, 1)
-        order = np.argsort(near, axis=1, kind="stable")
-        dist[a : a + block] = np.sqrt(np.take_along_axis(near, order, 1))
+        d = (part**2).sum(1)[:, None] + norm - 2 * part @ base.T
+        at = np.sort(np.argpartition(d, more - 1, axis=1)[:, :more], axis=1)
+        apart = part[:, None, :] - base[at]
+        near = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+        order = np.argsort(near, axis=1, kind="stable")[:, :k]
+        dist[a : a + block] = np.take_along_axis(near, order, 1)
         place[a : a + block] = np.take_along_axis(at, order, 1)
     return dist, place
 
@@ -111,6 +156,10 @@ class KthNeighbour:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.base, self.k)[0][:, -1]
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """The way to the k-th neighbour, coordinate by coordinate."""
+        return x - self.base[_nearest(x, self.base, self.k)[1][:, -1]]
+
 
 class LocalOutlierFactor:
     """Novelty form: density of a row's neighbours over its own."""
@@ -127,6 +176,10 @@ class LocalOutlierFactor:
         own = 1 / (np.maximum(dist, self.reach[place]).mean(1) + 1e-10)
         return self.density[place].mean(1) / own
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """The way from the neighbours' mean."""
+        return x - self.base[_nearest(x, self.base, self.k)[1]].mean(1)
+
 
 class Mahalanobis:
     """Distance from a robust centre: the covariance of the ``support`` share of rows closest to it, refined in steps."""
@@ -147,6 +200,11 @@ class Mahalanobis:
         d = x - self.centre
         return np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", d, self.precision, d)))
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """Each coordinate's share of the squared distance."""
+        d = x - self.centre
+        return d * (d @ self.precision)
+
 
 class TailProbability:
     """Sum over columns of the negative log of the tail beyond a value; the tail by the column's skew."""
@@ -156,15 +214,23 @@ class TailProbability:
         c = x - x.mean(0)
         self.skew = np.sign((c**3).mean(0))
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def _tails(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.columns)
         left, right = np.empty_like(x), np.empty_like(x)
         for j in range(x.shape[1]):
             left[:, j] = -np.log((np.searchsorted(self.columns[:, j], x[:, j], "right") + 1) / (n + 1))
             right[:, j] = -np.log((n - np.searchsorted(self.columns[:, j], x[:, j], "left") + 1) / (n + 1))
+        return left, right
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        left, right = self._tails(x)
         skewed = np.where(self.skew < 0, left, right)
         return np.maximum.reduce([left.sum(1), right.sum(1), skewed.sum(1)])
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """Each column's rarer tail."""
+        return np.maximum(*self._tails(x))
+
 
 MODELS = {"eif": ExtendedForest, "iforest": IsolationForest, "kth_nn": KthNeighbour, "lof": LocalOutlierFactor, "mahalanobis": Mahalanobis, "ecod": TailProbability}
 
@@ -182,55 +248,116 @@ class Reduced:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.model.scores((x - self.mean) @ self.axes)
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """The axes' parts, dealt back to the columns by their weights."""
+        return np.abs(self.model.parts((x - self.mean) @ self.axes)) @ np.abs(self.axes.T)
+
+
+#: The neighbour models behind principal axes.
+MODELS |= {"kth_nn_pca": lambda x: Reduced(x, KthNeighbour), "lof_pca": lambda x: Reduced(x, LocalOutlierFactor)}
+
 
 class Detector:
     """Scaler, model and the sorted scores of a calibration part; confidence is the share of those not above a score."""
 
-    def __init__(self, kind: str, names: list[str], x: np.ndarray, held: float = 0.1):
+    def __init__(self, kind: str, names: list[str], fitted: np.ndarray, held: np.ndarray | None = None, scale: Scaler | None = None):
         self.kind, self.names = kind, names
-        cut = max(1, int(len(x) * (1 - held)))
-        self.scale = Scaler(x[:cut])
-        self.model = MODELS[kind](self.scale(x[:cut]))
-        rest = x[cut:] if len(x) > cut else x
-        self.calibration = np.sort(np.nan_to_num(self.model.scores(self.scale(rest)), nan=0.0, posinf=1e12, neginf=-1e12))
+        self.scale = scale or Scaler(fitted.mean(0), fitted.std(0))
+        self.model = MODELS[kind](self.scale(fitted))
+        self.calibration = np.zeros(0)
+        self.calibration = np.sort(self.raw(fitted if held is None or not len(held) else held))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(self.model.scores(self.scale(x)), nan=0.0, posinf=1e12, neginf=-1e12)
 
     def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.nan_to_num(self.model.scores(self.scale(x)), nan=0.0, posinf=1e12, neginf=-1e12)
+        s = self.raw(x)
         return s, np.searchsorted(self.calibration, s, "right") / len(self.calibration)
 
     def contributions(self, x: np.ndarray, top: int = 10) -> list[list[tuple[str, float]]]:
-        """Of each row the columns farthest from the training mean, in standard deviations."""
-        z = self.scale(x)
-        return [[(self.names[j], round(float(row[j]), 6)) for j in np.argsort(-np.abs(row), kind="stable")[:top]] for row in z]
+        """Of each row the columns that speak most for its score, as the model itself weighs them."""
+        parts = self.model.parts(self.scale(x))
+        return [[(self.names[j], round(float(row[j]), 6)) for j in np.argsort(-np.abs(row), kind="stable")[:top]] for row in parts]
 
 
-def score(rows: DataFrame, detector: Detector, column: str = "features") -> DataFrame:
-    """Add raw_score and confidence; the model is broadcast once."""
+def fitted(rows: DataFrame, kinds: list[str], names: list[str] | None = None, column: str = "features", order: str = "hour_us", held: float = HELD, most: int = FIT_ROWS) -> dict[str, Detector]:
+    """Detectors fitted on the rows of the earlier part of the time that ``order`` spans, calibrated on those of the last ``held`` of it.
+
+    Without later rows the calibration is on the fitted ones.  Of either part a model holds ``most`` rows.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        raise ValueError("no rows to fit on")
+    cut = low + (high - low) * (1 - held)
+    early = rows.filter(F.col(order) <= F.lit(cut))
+    scale = Scaler(*moments(early, column))
+    x, rest = sample(early, column, most), sample(rows.filter(F.col(order) > F.lit(cut)), column, most)
+    return {k: Detector(k, names or [f"x{i}" for i in range(x.shape[1])], x, rest, scale) for k in kinds}
+
+
+def score(rows: DataFrame, detector: Detector, column: str = "features", explain: int = 0) -> DataFrame:
+    """Add raw_score and confidence, and with ``explain`` the names of that many columns that speak most; the model is broadcast once."""
     shared = rows.sparkSession.sparkContext.broadcast(detector)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                s, c = shared.value.scores(np.stack(part[column].to_numpy()).astype(np.float64))
-                yield part.assign(raw_score=s, confidence=c)
+                x = np.stack(part[column].to_numpy()).astype(np.float64)
+                s, c = shared.value.scores(x)
+                more = {"contributions": [[n for n, _ in row] for row in shared.value.contributions(x, explain)]} if explain else {}
+                yield part.assign(raw_score=s, confidence=c, **more)
 
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
     schema = StructType(rows.schema.fields + []).add("raw_score", DoubleType()).add("confidence", DoubleType())
+    if explain:
+        schema = schema.add("contributions", ArrayType(StringType()))
     return rows.mapInPandas(run, schema)
 
 
-def save_manifest(folder: str, names: list[str], models: list[str]) -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "manifest.json").write_text(json.dumps({"features": names, "models": models}, indent=1))
+def reported(scored: DataFrame, least: float = REPORT) -> DataFrame:
+    """The windows whose confidence is high enough to be a signal."""
+    return scored.filter(F.col("confidence") >= least)
+
+
+def save(spark: SparkSession, path: str, detectors: dict[str, Detector]) -> None:
+    """Detectors as rows of (kind, names, arrays) in a table that driver and executors share; PCA variants keep their inner model."""
+
+    def packed(x: object) -> bytes:
+        plain = {k: v for k, v in vars(x).items() if isinstance(v, (np.ndarray, int, float, np.generic))}
+        out = io.BytesIO()
+        np.savez(out, **plain)
+        return out.getvalue()
+
+    rows = []
+    for kind, d in detectors.items():
+        inner = getattr(d.model, "model", None)
+        rows.append((kind, json.dumps(d.names), packed(d.scale), packed(d.model), type(inner).__name__ if inner is not None else None, packed(inner) if inner is not None else None, d.calibration.tolist()))
+    spark.createDataFrame(rows, "kind string, names string, scale binary, model binary, inner_kind string, inner_model binary, calibration array<double>").write.mode("overwrite").parquet(path)
 
 
-def load_manifest(folder: str, names: list[str]) -> list[str]:
-    """The models of a folder; raises if they were trained on other columns."""
-    found = json.loads(Path(folder, "manifest.json").read_text())
-    if found["features"] != names:
-        raise ValueError("the models were trained on other features")
-    return found["models"]
+def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, Detector]:
+    """The detectors of a table; raises if they were fitted on other columns."""
+    classes = {c.__name__: c for c in (ExtendedForest, IsolationForest, KthNeighbour, LocalOutlierFactor, Mahalanobis, TailProbability)}
+
+    def filled(cls: type, data: bytes) -> object:
+        x = object.__new__(cls)
+        for k, v in np.load(io.BytesIO(data)).items():
+            setattr(x, k, v if v.ndim else v.item())
+        return x
+
+    out = {}
+    for r in spark.read.parquet(path).collect():  # a row a model
+        if json.loads(r["names"]) != names:
+            raise ValueError("the models were fitted on other columns")
+        d = object.__new__(Detector)
+        d.kind, d.names, d.scale, d.calibration = r["kind"], names, filled(Scaler, r["scale"]), np.array(r["calibration"])
+        plain = MODELS[r["kind"]]
+        d.model = filled(plain if isinstance(plain, type) else Reduced, r["model"])
+        if r["inner_kind"]:
+            d.model.model = filled(classes[r["inner_kind"]], r["inner_model"])
+        out[r["kind"]] = d
+    return out
 
 
 # -- calibration --------------------------------------------------------------------------------------------
@@ -240,13 +367,13 @@ def isotonic(scores: np.ndarray, labels: np.ndarray, least: int = 8) -> tuple[np
     """Non-decreasing steps by pooling neighbours, classes weighted alike; None below ``least`` rows or with one class."""
     if len(scores) < least or len(set(labels.tolist())) < 2:
         return None
-    order = np.lexsort((labels, scores))
-    x, y = scores[order].astype(float), labels[order].astype(float)
+    y = labels.astype(float)
     w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    x, place = np.unique(scores.astype(float), return_inverse=True)  # rows of one score are one point
     pools: list[list[float]] = []
-    for xi, yi, wi in zip(x, y, w, strict=True):
-        pools.append([xi, xi, yi * wi, wi])
-        while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]):
+    for xi, yi, wi in zip(x, np.bincount(place, w * y), np.bincount(place, w), strict=True):
+        pools.append([xi, xi, yi, wi])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             b = pools.pop()
             a = pools[-1]
             pools[-1] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
@@ -255,6 +382,23 @@ def isotonic(scores: np.ndarray, labels: np.ndarray, least: int = 8) -> tuple[np
     return xs, ys
 
 
+def isotonic_fit(rows: DataFrame, score_: str, y: str, least: int = 8) -> tuple[np.ndarray, np.ndarray] | None:
+    """The same curve by Spark's own pooling, over one row for each distinct score: only its corners reach the driver.
+
+    Classes weigh alike.  None below ``least`` rows or with one class.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate")).first()
+    if total["n"] < least or total["rate"] in (0.0, 1.0):
+        return None
+    w = F.when(F.col(y) == 1, F.lit(0.5 / total["rate"])).otherwise(F.lit(0.5 / (1 - total["rate"])))
+    per = rows.groupBy(F.col(score_).cast("double").alias("_x")).agg(F.sum(w).alias("weight"), (F.sum(w * F.col(y)) / F.sum(w)).alias("label"))
+    model = IsotonicRegression(weightCol="weight").fit(VectorAssembler(inputCols=["_x"], outputCol="features").transform(per))
+    return model.boundaries.toArray(), model.predictions.toArray()
+
+
 def calibrated(score: Column, curve: tuple[np.ndarray, np.ndarray] | None, absolute: bool = False) -> Column:
     """A score on its curve, between points on the line; without one, held between 0 and 1."""
     x = F.when(score.isNull() | F.isnan(score), F.lit(0.0)).when(score == float("inf"), F.lit(1e6)).when(score == float("-inf"), F.lit(-1e6)).otherwise(score)

@@ -363,9 +363,12 @@ def url_path_entropy(spark, sf_dir):
     return detectors.path_entropy(rows, ["g"]).select("g", "n", F.round("mean_entropy", 6).alias("mean_entropy"))
 
 
-@query()
+@query("""WITH {EV}, u AS (SELECT src_ip, domain, url_path AS path, count(*) AS t FROM ev GROUP BY ALL), pc AS (SELECT path, ch, count(*) AS n FROM (SELECT path, unnest(string_split(path, '')) AS ch FROM (SELECT DISTINCT path FROM u)) WHERE ch <> '' GROUP BY ALL),
+ pe AS (SELECT path, -sum(n * 1.0 / length(path) * log2(n * 1.0 / length(path))) AS h FROM pc GROUP BY 1), g AS (SELECT src_ip, domain, sum(t) AS n, sum(h * t) / sum(t) AS e FROM u JOIN pe ON pe.path = u.path GROUP BY 1, 2 HAVING sum(t) >= 2),
+ lim AS (SELECT domain, count(*) AS pairs, quantile_cont(e, 0.995) AS lim FROM g GROUP BY 1 HAVING count(*) >= 5) SELECT g.src_ip, g.domain, CAST(n AS BIGINT) AS n, pairs, round(e, 6) AS mean_entropy, round(least(1, (e - lim) / lim), 6) AS score FROM g JOIN lim ON lim.domain = g.domain WHERE e > lim + 1e-12""")
 def url_path_outliers(spark, sf_dir):
-    return detectors.path_outliers(detectors.path_entropy(events(spark, sf_dir, "src_ip", "domain", "url_path"), ["src_ip", "domain"], 2), least=5)
+    found = detectors.path_outliers(detectors.path_entropy(events(spark, sf_dir, "src_ip", "domain", "url_path"), ["src_ip", "domain"], 2), least=5)
+    return found.filter("mean_entropy > h_limit + 1e-12").select("src_ip", "domain", "n", "pairs", F.round("mean_entropy", 6).alias("mean_entropy"), F.round("score", 6).alias("score"))
 
 
 @query()
@@ -380,11 +383,13 @@ def generated_names(spark, sf_dir):
     return detectors.logistic_scores(labels, detectors.label_traits(F.col("label"), pairs, unseen), [0.8, 0.5, 2.0, 0.3, 1.5], -4.0)
 
 
-@query()
+@query("WITH RECURSIVE " + _burst_sql("principal", 21_600_000_000).removeprefix("WITH ").replace(" SELECT e AS entity_value", ", bu AS (SELECT e AS entity_value", 1) + """), x AS (SELECT entity_value, bucket_us AS start_us, bucket_us + 43200000000 AS end_us, confidence, n >= 2 AS eligible FROM bu),
+ t AS (SELECT entity_value, min(start_us) AS s FROM x WHERE eligible GROUP BY 1 UNION ALL SELECT t.entity_value, (SELECT min(x.start_us) FROM x WHERE x.entity_value = t.entity_value AND eligible AND x.start_us > t.s + 43200000000) FROM t WHERE t.s IS NOT NULL)
+ SELECT x.entity_value, start_us, end_us, round(confidence, 6) AS confidence, eligible, t.s IS NOT NULL AS nominated FROM x LEFT JOIN t ON t.entity_value = x.entity_value AND t.s = x.start_us""")
 def nominations(spark, sf_dir):
     b = detectors.bursts(events(spark, sf_dir, "principal", "us"), "principal", 21_600)
     rows = b.select("entity_value", F.col("bucket_us").alias("start_us"), (F.col("bucket_us") + 43_200_000_000).alias("end_us"), "confidence", (F.col("n") >= 2).alias("eligible"))
-    return detectors.nominate(rows, ["entity_value"], "start_us", "end_us", "eligible", ["start_us"])
+    return _rounded(detectors.nominate(rows, ["entity_value"], "start_us", "end_us", "eligible", ["start_us"]), "confidence")
 
 
 @query("""WITH {EV}, c AS (SELECT principal, domain, count(*) AS n FROM ev GROUP BY 1, 2) SELECT principal, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY principal) AS t FROM c) GROUP BY 1""")
@@ -498,18 +503,41 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
+#: Scaled vectors: the first nine tenths of the ids' span are fitted on, the rest calibrates.
+_SCALED_SQL = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT min(vec_id) + (max(vec_id) - min(vec_id)) * 0.9::DOUBLE AS cut FROM embeddings),
+ mo AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM v, c WHERE vec_id <= cut GROUP BY 1), z AS (SELECT vec_id, vec_id <= cut AS fit, v.k, (x - m) / s AS x FROM v JOIN mo ON mo.k = v.k, c), r AS (SELECT vec_id, any_value(fit) AS fit, list(x ORDER BY k) AS f FROM z GROUP BY 1),
+ base AS MATERIALIZED (SELECT * FROM r WHERE fit), near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.f, b.f) AS d FROM r a, base b),"""
+_CONFIDENCE_SQL = """cal AS (SELECT list(raw ORDER BY raw) AS l FROM s JOIN r ON r.vec_id = s.vec_id WHERE NOT fit) SELECT vec_id, round(raw, 6) AS raw_score, round(len(list_filter(l, lambda y: y <= raw + 1e-12)) / len(l), 6) AS confidence FROM s, cal"""
+_OUTLIER_SQL = {
+    "kth_nn": "s AS (SELECT a AS vec_id, d AS raw FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM near) WHERE n = 20),",
+    "lof": """own AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM near WHERE a <> b), kd AS (SELECT a, max(d) AS kd FROM own WHERE n <= 20 AND a IN (SELECT vec_id FROM base) GROUP BY 1),
+ den AS (SELECT o.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS den FROM own o JOIN kd ON kd.a = o.b WHERE n <= 20 AND o.a IN (SELECT vec_id FROM base) GROUP BY 1), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM near) WHERE n <= 20),
+ s AS (SELECT nb.a AS vec_id, avg(den) * (avg(greatest(d, kd)) + 1e-10) AS raw FROM nb JOIN kd ON kd.a = nb.b JOIN den ON den.a = nb.b GROUP BY 1),""",
+    "ecod": """sk AS (SELECT k, sign(avg(pow(x - mx, 3))) AS sk FROM (SELECT *, avg(x) OVER (PARTITION BY k) AS mx FROM z WHERE fit) GROUP BY 1), fc AS (SELECT k, list(x) AS l, count(*) AS n FROM z WHERE fit GROUP BY 1),
+ t AS (SELECT vec_id, z.k, -ln((len(list_filter(l, lambda y: y <= x)) + 1) / (n + 1)) AS lo, -ln((len(list_filter(l, lambda y: y >= x)) + 1) / (n + 1)) AS hi, sk FROM z JOIN fc ON fc.k = z.k JOIN sk ON sk.k = z.k),
+ s AS (SELECT vec_id, greatest(sum(lo), sum(hi), sum(CASE WHEN sk < 0 THEN lo ELSE hi END)) AS raw FROM t GROUP BY 1),""",
+}
+
+
 def _outliers(kind: str) -> Query:
     def run(spark, sf_dir):
         rows = _vectors(spark, sf_dir)
-        x = outliers.sample(rows)
-        found = outliers.score(rows, outliers.Detector(kind, [f"x{i}" for i in range(x.shape[1])], x))
+        found = outliers.score(rows, outliers.fitted(rows, [kind], order="vec_id")[kind])
         return found.select("vec_id", F.round("raw_score", 6).alias("raw_score"), F.round("confidence", 6).alias("confidence"))
 
     return run
 
 
 for _kind in outliers.MODELS:
-    query(name=f"outliers_{_kind}")(_outliers(_kind))
+    query(f"WITH {_SCALED_SQL} {_OUTLIER_SQL[_kind]} {_CONFIDENCE_SQL}" if _kind in _OUTLIER_SQL else None, name=f"outliers_{_kind}")(_outliers(_kind))
+
+
+@query()
+def window_outliers(spark, sf_dir):
+    """Hours of users and addresses that the extended forest reports, with the columns that speak most for it."""
+    v = windows.vectors(_wide(spark, sf_dir)).select("entity_type", "entity_value", "hour_us", "features")
+    model = outliers.fitted(v, ["eif"], list(windows.FEATURES))["eif"]
+    return outliers.reported(outliers.score(v, model, explain=10)).drop("features")
 
 
 @query("""SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM (SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, p, y FROM (SELECT (doc_id % 101) / 100.0::DOUBLE AS p, toxic AS y FROM labels)) GROUP BY 1""")
@@ -540,13 +568,12 @@ def average_precision(spark, sf_dir):
     return _rounded(outliers.average_precision(rows, "s", "y"), "average_precision", digits=9)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS s, quality FROM labels), rt AS (SELECT avg(quality) AS q FROM l), g AS (SELECT s, sum(CASE WHEN quality = 1 THEN 0.5 / q ELSE 0.5 / (1 - q) END) AS w, sum(CASE WHEN quality = 1 THEN 0.5 / q ELSE 0 END) AS wy FROM l, rt GROUP BY 1),
+ c AS (SELECT s, sum(w) OVER (ORDER BY s) AS cw, sum(wy) OVER (ORDER BY s) AS cy, w, wy FROM g), a AS (SELECT i.s AS i, j.s AS j, (j.cy - i.cy + i.wy) / (j.cw - i.cw + i.w) AS m FROM c i JOIN c j ON i.s <= j.s),
+ k AS (SELECT c.s, i, min(m) AS m FROM c JOIN a ON i <= c.s AND j >= c.s GROUP BY 1, 2), p AS (SELECT s, max(m) AS p FROM k GROUP BY 1) SELECT doc_id, round(p, 6) AS p FROM l JOIN p ON l.s = p.s""")
 def isotonic_calibrated(spark, sf_dir):
-    import numpy as np
-
     rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 101 / 100.0).cast("double").alias("s"), "quality")
-    found = np.array([tuple(r) for r in rows.groupBy("s").agg(F.max("quality").cast("double").alias("q")).collect()])
-    curve = outliers.isotonic(found[:, 0], found[:, 1].astype(int))
+    curve = outliers.isotonic_fit(rows, "s", "quality")
     return rows.select("doc_id", F.round(outliers.calibrated(F.col("s"), curve), 6).alias("p"))
 
 
@@ -657,10 +684,13 @@ def contact_history(spark, sf_dir):
     return out.select("principal", "domain", "user_count", "department_count", "org_count")
 
 
-@query()
+@query(f"""WITH {{EV}}, {_PROFILE_SQL}, v AS (SELECT entity_value, metric, max(value) AS value FROM u GROUP BY 1, 2), j AS (SELECT v.*, n_windows, CASE WHEN mad = 0 THEN CASE WHEN value = p50 THEN 0 WHEN value > p50 THEN 1e9 ELSE -1e9 END ELSE 0.6745 * (value - p50) / mad END AS z FROM v JOIN pm ON pm.entity_value = v.entity_value AND pm.metric = v.metric),
+ -- the normal distribution as Simpson's sum of its density, 400 steps, independent of the polynomial
+ k AS (SELECT *, least(8.0, greatest(-8.0, z)) AS x FROM j), q AS (SELECT *, 0.5 + list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 400, 2) / 2))) * x / 400 / 3 / 2.5066282746310002 AS cdf FROM k)
+ SELECT entity_value, metric, value, CASE WHEN n_windows < 20 THEN 'insufficient_history' ELSE 'ok' END AS status, CASE WHEN n_windows >= 20 THEN round(100 * cdf, 3) END AS percentile FROM q""")
 def baseline_percentiles(spark, sf_dir):
     w = baseline.baseline_windows(events(spark, sf_dir, "principal", "us", "bytes_out", "domain"), "principal")
-    return baseline.resolved(w.groupBy("entity_value", "metric").agg(F.max("value").alias("value")), _profiles(spark, sf_dir)).select("entity_value", "metric", "value", "status", F.round("percentile", 4).alias("percentile"))
+    return baseline.resolved(w.groupBy("entity_value", "metric").agg(F.max("value").alias("value")), _profiles(spark, sf_dir)).select("entity_value", "metric", "value", "status", F.round("percentile", 3).alias("percentile"))
 
 
 @query("""WITH {EV}, h AS (SELECT principal, us // 3600000000 AS h, count(*) AS n FROM ev WHERE us < 1705276800000000 AND us >= 1705276800000000 - 604800000000 GROUP BY 1, 2)
@@ -751,7 +781,12 @@ def redacted_urls(spark, sf_dir):
     return privacy.with_redacted(d, "url", "r").select("doc_id", F.sha2("url", 256).alias("redacted"))
 
 
-@query()
+def _hmac_sql(key: bytes, value: str) -> str:
+    pads = ["".join(f"\\x{b ^ p:02X}" for b in key.ljust(64, b"\0")) for p in (0x5C, 0x36)]
+    return f"sha256('{pads[0]}'::BLOB || unhex(sha256('{pads[1]}'::BLOB || {value}::BLOB)))"
+
+
+@query(f"WITH {{EV}} SELECT id, 'u_' || substr({_hmac_sql(b'tenant salt', 'principal')}, 1, 12) AS principal, 'ip_' || substr({_hmac_sql(b'tenant salt', 'src_ip')}, 1, 12) AS src_ip, domain FROM ev")
 def pseudonymised_events(spark, sf_dir):
     return sharing.pseudonymised(events(spark, sf_dir, "id", "principal", "src_ip", "domain"), b"tenant salt")
 
