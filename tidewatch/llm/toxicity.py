@@ -31,7 +31,7 @@ DECAY, POWERS, PIECE = 0.8, (3,), 32
 #: Words of a sentence that has no end mark, after which it is cut.
 LONGEST = 24
 #: The training sample: characters of text and sentences of either label; words that landmarks are drawn from; landmarks of either side.
-TRAIN_CHARS, TRAIN_SENTENCES, CANDIDATES, LANDMARKS = 4_000_000, 20_000, 3_000, 160
+TRAIN_CHARS, TRAIN_SENTENCES, CANDIDATES, LANDMARKS = 3_000_000, 15_000, 3_000, 160
 #: Sentences that a text is judged by.
 TOP = 3
 #: How much more the clean sentences near the line weigh in training, the weight of the machine's norm, and that of
@@ -247,14 +247,15 @@ def _spoiled(word: str, rng: np.random.Generator, letters: list[str]) -> str:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, ridge: float, steps: int = 300) -> np.ndarray:
     """Weights and bias (the last) of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    scale = weight / weight.sum()
+    scale = (weight / weight.sum()).astype(np.float32)
     norm = np.full(z.shape[1], ridge)
     norm[-1] = 1e-6
-    step = 1 / (float(np.linalg.eigvalsh(2 * (z * scale[:, None]).T @ z)[-1]) + ridge)
+    gram = sum(((z[i : i + 4000] * scale[i : i + 4000, None]).T @ z[i : i + 4000] for i in range(0, len(z), 4000)), np.zeros((z.shape[1],) * 2))
+    step = 1 / (2 * float(np.linalg.eigvalsh(gram)[-1]) + ridge)
     v, u, t = start.copy(), start.copy(), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ u))
-        new = u - step * (norm * u - 2 * (z.T @ (scale * y * slack)))
+        slack = np.maximum(0, 1 - y * (z @ u.astype(np.float32)))
+        new = u - step * (norm * u - 2 * (z.T @ (scale * y * slack).astype(np.float32)))
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         u, v, t = new + (t - 1) / t2 * (new - v), new, t2
     return v
@@ -266,12 +267,14 @@ def _lean(rows: list[tuple[int, tuple[str, ...]]]) -> tuple[dict[str, float], Co
     A word counts once for each word that it follows, so that copies of a text add nothing.
     """
     seen = [Counter(), Counter()]
-    pairs: list[set[tuple[str, str]]] = [set(), set()]
+    met: list[set[int]] = [set(), set()]
     for label, s in rows:
-        pairs[label].update(zip(("", *s), s, strict=False))
-    for label in (0, 1):
-        seen[label].update(u for _, u in pairs[label])
-    part = len(pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
+        for v, u in zip(("", *s), s, strict=False):
+            if (h := hash((v, u))) not in met[label]:
+                met[label].add(h)
+                seen[label][u] += 1
+    part = len(met[1]) / max(1, len(met[0]) + len(met[1]))
+    del met
     z = {u: (n - (n + seen[0][u]) * part) / math.sqrt((n + seen[0][u]) * part + 1) for u, n in seen[1].items()}
     return z, seen[0]
 
@@ -302,9 +305,11 @@ def landmarks_of(rows: list[tuple[int, tuple[str, ...]]], count: int, rng: np.ra
     z, clean = _lean(rows)
     words = sorted(z, key=lambda u: (-z[u], u))[:CANDIDATES]
     kernel = Kernel(words)
-    k = np.vstack([kernel.plain(words[i : i + 500]) for i in range(0, len(words), 500)]).astype(np.float64)
+    k = np.vstack([kernel.plain(words[i : i + 500]) for i in range(0, len(words), 500)])
     lean = np.array([z[u] for u in words])
-    pooled = (k**3 @ lean) / np.sqrt((k**6).sum(1))
+    cubed = k**3
+    pooled = (cubed @ lean.astype(np.float32)).astype(np.float64) / np.sqrt(np.einsum("ij,ij->i", cubed, cubed))
+    del cubed
     strong = np.maximum(1e-3, pooled - np.quantile(pooled, 0.75))
     chosen = [words[i] for i in _drawn(words, strong**2, k, count, rng)]
     near = Kernel(chosen)
@@ -314,7 +319,7 @@ def landmarks_of(rows: list[tuple[int, tuple[str, ...]]], count: int, rng: np.ra
     pool = [seen[i] for i in order]
     if pool:
         other = Kernel(pool)
-        k = np.vstack([other.plain(pool[i : i + 500]) for i in range(0, len(pool), 500)]).astype(np.float64)
+        k = np.vstack([other.plain(pool[i : i + 500]) for i in range(0, len(pool), 500)])
         chosen += [pool[i] for i in _drawn(pool, (close[order].astype(np.float64) * np.log1p([clean[u] for u in pool])) ** 2, k, count, rng)]
     return chosen, dict(zip(words, strong.tolist(), strict=True))
 
@@ -326,15 +331,17 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, most: in
     """
     y = np.array(toxic, np.int64)
     once: dict[tuple[int, tuple[str, ...]], int] = {}
+    same: dict[str, str] = {}
     for i, t in enumerate(texts):
         for s in sentences(t):
-            once.setdefault((int(y[i]), s), i)
+            once.setdefault((int(y[i]), tuple([same.setdefault(u, u) for u in s])), i)
+    del same
     if not len(y) or y.min() == y.max() or {label for label, _ in once} != {0, 1}:
         p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Model(None, np.zeros(0), 0.0, np.zeros(TOP), math.log(p / (1 - p)))
     rng = np.random.default_rng(7)
-    rows = [(label, s) for label, s in once]
-    owner = np.array(list(once.values()), np.int64)
+    rows, owner = list(once), np.array(list(once.values()), np.int64)
+    del once
     chosen, strong = landmarks_of(rows, landmarks, rng)
     # a bounded sample of sentences; of toxic texts those with the strongest words are sure to be in it
     label = np.array([l for l, _ in rows])
@@ -350,13 +357,13 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, most: in
     kmm = kernel.values(chosen).astype(np.float64)
     size, axes = np.linalg.eigh((kmm + kmm.T) / 2)
     use = size > 1e-4 * size[-1]
-    root = axes[:, use] / np.sqrt(size[use])
+    root = (axes[:, use] / np.sqrt(size[use])).astype(np.float32)
 
     def features(group: list[tuple[str, ...]]) -> np.ndarray:
         words = sorted({u for s in group for u in s})
         place = {u: i for i, u in enumerate(words)}
         z = np.vstack([kernel.values(words[i : i + 5000]) @ root for i in range(0, len(words), 5000)])
-        out = np.ones((len(group), z.shape[1] + 1))
+        out = np.ones((len(group), z.shape[1] + 1), np.float32)
         for at in range(0, len(group), 2000):
             part = group[at : at + 2000]
             flat = np.fromiter((place[u] for s in part for u in s), np.int64)
@@ -379,32 +386,34 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, most: in
         sure = np.flatnonzero(top | (f > line))
         if not len(sure):
             break
-        parts, wanted = [zc, zb[sure]], [np.full(len(zc), -1.0), np.full(len(sure), 1.0)]
+        hides = np.zeros((0, zc.shape[1]), np.float32)
         if turn:
             # the words that speak most for toxic text are also read with a character put into them, as they are hidden
             words = sorted({u for i in sure for u in rows[bad[i]]})
-            worth = np.concatenate([kernel.values(words[i : i + 5000]) @ (root @ w[:-1]) for i in range(0, len(words), 5000)])
+            worth = np.concatenate([kernel.values(words[i : i + 5000]) @ (root @ w[:-1].astype(np.float32)) for i in range(0, len(words), 5000)])
             own = dict(zip(words, worth.tolist(), strict=True))
             hidden = []
             for i in sure.tolist():
                 s = rows[bad[i]]
                 least = 0.5 * max(own[u] for u in s)
                 hidden.append(tuple(_spoiled(u, rng, letters) if own[u] >= least else u for u in s))
-            parts.append(features(hidden))
-            wanted.append(np.full(len(hidden), 1.0))
-        z, side = np.vstack(parts), np.concatenate(wanted)
+            hides = features(hidden)
+        z = np.vstack([zc, zb[sure], hides])
+        side = np.where(np.arange(len(z)) < len(zc), -1.0, 1.0)
         weight = np.where(side < 0, 1 / (side < 0).sum(), 1 / (side > 0).sum())
         if turn:
-            g = zc @ w
+            g = zc @ w.astype(np.float32)
             weight[: len(zc)] *= 1 + HARD * (g > np.quantile(g, 0.99))
         w = _svm(z, side, weight, w, ridge)
-        f = zb @ w
-        line = np.quantile(zc @ w, 0.995)
+        del z
+        f = zb @ w.astype(np.float32)
+        line = np.quantile(zc @ w.astype(np.float32), 0.995)
     model = Model(kernel, root @ w[:-1], float(w[-1]), np.zeros(TOP), 0.0)
     d = np.concatenate([model.decisions(texts[i : i + 500]) for i in range(0, len(texts), 500)])
     # the curve also sees each toxic text by its sentences with the hidden words
     h = np.full((len(y), TOP), model.bias)
-    worth = parts[2] @ w
+    worth = hides @ w.astype(np.float32)
+    sure = sure[: len(worth)]
     order = np.lexsort((-worth, bag[sure]))
     place = np.arange(len(order)) - np.searchsorted(bag[sure][order], bag[sure][order])
     h[bag[sure][order][place < TOP], place[place < TOP]] = worth[order][place < TOP]
