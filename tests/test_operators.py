@@ -208,11 +208,37 @@ def test_louvain_and_betweenness():
 def test_incident_groups(spark):
     g = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0)], "a string, b string, weight double")
     seeds = spark.createDataFrame([("a",), ("x",), ("gone",)], "node string")
-    got = graph.incident_groups(g, seeds)
-    assert [x["seeds"] for x in got] == [["a"], ["x"]]
-    assert graph.incident_groups(g, seeds.filter("node = 'gone'")) == []
-    with pytest.raises(ValueError):
-        graph.incident_groups(g, seeds, most_edges=1)
+    got = sorted(graph.incident_groups(g, seeds).collect())
+    assert [(x.incident_id, x.seeds, x.entities) for x in got] == [("a", ["a"], ["a", "b"]), ("x", ["x"], ["x", "y"])]
+    assert graph.incident_groups(g, seeds.filter("node = 'gone'")).count() == 0
+    signals = spark.createDataFrame([("a", "q", 1), ("a", "b", 2)], "entity_type string, entity_value string, n int")
+    groups = spark.createDataFrame([("i", ["a:b"], ["a:b", "c:d"])], "incident_id string, seeds array<string>, entities array<string>")
+    assert [tuple(r) for r in graph.incident_signals(groups, signals).collect()] == [("i", 0.5, "a", "b", 2)]
+
+
+def test_parts_of_a_chain(spark):
+    g = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(40)] + [("x", "y", 1.0), ("z", "z", 1.0)], "a string, b string, weight double")
+    assert {r.node: r.root for r in graph.components(g).collect()} == {f"n{i:02}": "n00" for i in range(41)} | {"x": "x", "y": "x", "z": "z"}
+
+
+def test_weighted_measures(spark):
+    """The way round is shorter by weight; a triangle with two weak edges."""
+    g = [("a", "b", 5.0), ("a", "c", 1.0), ("c", "b", 1.0), ("b", "d", 1.0)]
+    assert graph.betweenness(g) == {"a": 0.0, "b": 2 / 3, "c": 2 / 3, "d": 0.0}
+    got = {r.node: r.clustering for r in graph.clustering(spark.createDataFrame(g, "a string, b string, weight double")).collect()}
+    t = (1.0 * 0.2 * 0.2) ** (1 / 3)
+    assert got == {"a": pytest.approx(t), "b": pytest.approx(2 * t / 6), "c": pytest.approx(t), "d": 0.0}
+
+
+def test_rare_infrastructure(spark):
+    """Users meet at a rare domain, and at a rare address by way of two domains; a busy domain is not rare."""
+    rows = [(f"u{i % 4}", "rare.com", "9.9.9.9") for i in range(8)] + [("u9", "other.com", "9.9.9.9")] * 2 + [(f"u{i % 5}", "busy.com", "8.8.8.8") for i in range(50)]
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "us long, principal string, domain string, dst_ip string")
+    f = {(r.type, r.value): r for r in graph.node_features(e).collect()}
+    assert f["domain", "rare.com"].shared_infra == 4 and f["domain", "busy.com"].shared_infra == 0 and f["dst_ip", "9.9.9.9"].shared_infra == 5
+    assert f["user", "u0"].fan_out == 1 and f["user", "u9"].fan_out == 1 and f["user", "u4"].fan_out == 0 and f["domain", "rare.com"].fan_out is None
+    crowd = spark.createDataFrame([("domain", f"d{i}", 2.0 if i else 9.0) for i in range(9)] + [("user", "u", None)], "type string, value string, shared_infra double")
+    assert [(r.entity_value, r.detector_key) for r in graph.graph_signals(crowd, ("shared_infra",)).collect()] == [("d0", "graph.shared_infra")]
 
 
 def test_fusion(spark):

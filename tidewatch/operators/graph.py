@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+import heapq
+from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp01
+from ..functions.stats import clamp01, with_robust_z
 
 #: Node types with their columns, relations between them, severity bounds, fusion bounds.
-ENTITIES = (("user", "principal"), ("src_ip", "src_ip"), ("domain", "domain"))
-RELATIONS = (("user", "src_ip", "used"), ("user", "domain", "accessed"), ("src_ip", "domain", "contacted"))
+ENTITIES = (("user", "principal"), ("src_ip", "src_ip"), ("domain", "domain"), ("dst_ip", "dst_ip"), ("asn", "asn"), ("country", "country"))
+RELATIONS = (("user", "domain", "accessed"), ("user", "src_ip", "from"), ("src_ip", "asn", "resolves_to"), ("domain", "dst_ip", "hosted_at"), ("src_ip", "country", "located_in"))
+#: A feature fires beyond this z, shared infrastructure only with so many users; a rare node has so many events at most.
+FIRE_Z, SHARED_USERS, RARE_EVENTS = 3.5, 3, 10
 SEVERITIES = ((0.85, "critical"), (0.65, "high"), (0.40, "medium"), (0.0, "low"))
 WEIGHT_RANGE = (0.25, 1.5)
 
 
 def entities(ev: DataFrame, kinds=ENTITIES) -> DataFrame:
-    """(type, value, first_us, last_us, event_count) of every entity: one pass, counted before the shuffle."""
-    each = F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("value")) for t, c in kinds])
+    """(type, value, first_us, last_us, event_count) of every entity: one pass, counted before the shuffle.
+
+    Types whose column the events lack have no entity; empty values are none either.
+    """
+    each = F.array(*[F.struct(F.lit(t).alias("type"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("value")) for t, c in kinds if c in ev.columns])
     rows = ev.select("us", F.explode(each).alias("e")).select("us", "e.type", "e.value").filter("value is not null")
     return rows.groupBy("type", "value").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("event_count"))
 
 
 def edges(ev: DataFrame, least: int = 2, kinds=ENTITIES, relations=RELATIONS) -> DataFrame:
     """(src_type, src, dst_type, dst, relation, event_count, weight) of pairs seen together at least ``least`` times."""
-    columns = dict(kinds)
-    each = F.array(*[F.struct(F.lit(a).alias("src_type"), F.col(columns[a]).alias("src"), F.lit(b).alias("dst_type"), F.col(columns[b]).alias("dst"), F.lit(r).alias("relation")) for a, b, r in relations])
+    columns = {t: c for t, c in kinds if c in ev.columns}
+    known = lambda t: F.nullif(F.col(columns[t]).cast("string"), F.lit(""))
+    each = F.array(*[F.struct(F.lit(a).alias("src_type"), known(a).alias("src"), F.lit(b).alias("dst_type"), known(b).alias("dst"), F.lit(r).alias("relation")) for a, b, r in relations if a in columns and b in columns])
     rows = ev.select(F.explode(each).alias("e")).select("e.*").filter("src is not null and dst is not null")
     counted = rows.groupBy("src_type", "src", "dst_type", "dst", "relation").agg(F.count(F.lit(1)).alias("event_count"))
     return counted.filter(F.col("event_count") >= least).withColumn("weight", F.log1p(F.col("event_count").cast("double")))
@@ -56,6 +64,95 @@ def shared_infrastructure(ev: DataFrame, least: int = 3, most: int = 10) -> Data
     return ev.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("principal").alias("users")).filter((F.col("n") <= most) & (F.col("users") >= least))
 
 
+def clustering(g: DataFrame) -> DataFrame:
+    """(node, clustering): the weighted clustering coefficient of nodes with two neighbours or more.
+
+    Over a node's triangles the cubic roots of the three weights, each over the largest weight, are added and
+    divided by its pairs of neighbours.  Edges point from the end with fewer neighbours to the other, so that a
+    node with very many is the corner of no more pairs than edges allow.
+    """
+    size = degrees(g).select("node", "degree")
+    top = g.agg(F.max("weight").alias("top"))
+    w = F.pow(F.col("weight") / F.col("top"), F.lit(1 / 3))
+    e = g.filter("a <> b").join(F.broadcast(top)).select("a", "b", w.alias("w"))
+    e = e.join(size.select(F.col("node").alias("a"), F.col("degree").alias("da")), "a").join(size.select(F.col("node").alias("b"), F.col("degree").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    e = e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"), "w")
+    left, right = e.select("x", F.col("y").alias("y1"), F.col("w").alias("w1")), e.select("x", F.col("y").alias("y2"), F.col("w").alias("w2"))
+    pairs = left.join(right, "x").filter("y1 < y2")
+    closed = g.filter("a <> b").join(F.broadcast(top)).select(F.col("a").alias("y1"), F.col("b").alias("y2"), w.alias("w3"))
+    found = pairs.join(closed, ["y1", "y2"]).select(F.explode(F.array("x", "y1", "y2")).alias("node"), (F.col("w1") * F.col("w2") * F.col("w3")).alias("t"))
+    total = found.groupBy("node").agg(F.sum("t").alias("t"))
+    d = F.col("degree").cast("double")
+    return size.join(total, "node", "left").select("node", F.when(d > 1, 2 * F.coalesce("t", F.lit(0.0)) / (d * (d - 1))).otherwise(F.lit(0.0)).alias("clustering"))
+
+
+def node_features(ev: DataFrame) -> DataFrame:
+    """(type, value, degree, weighted_degree, fan_out, shared_infra, clustering) of every entity of the events.
+
+    fan_out counts a user's neighbours among rare domains and addresses; shared_infra the users of a rare domain,
+    or of a rare address by way of its domains.
+    """
+    nodes, e = entities(ev), edges(ev)
+    g = simple_graph(e)
+    key = F.concat_ws(":", "type", "value")
+    rare = nodes.filter((F.col("event_count") <= RARE_EVENTS) & F.col("type").isin("domain", "dst_ip")).select(F.col("type").alias("_t"), F.col("value").alias("_v"))
+    accessed = e.filter("relation = 'accessed'").select(F.col("src").alias("user"), F.col("dst").alias("domain"))
+    hosted = e.filter("relation = 'hosted_at'").select(F.col("src").alias("domain"), F.col("dst").alias("address"))
+    out = accessed.join(rare.filter("_t = 'domain'"), F.col("domain") == F.col("_v"), "left_semi").groupBy("user").agg(F.count(F.lit(1)).cast("double").alias("fan_out"))
+    by_name = accessed.select(F.lit("domain").alias("type"), F.col("domain").alias("value"), "user")
+    by_address = accessed.join(hosted, "domain").select(F.lit("dst_ip").alias("type"), F.col("address").alias("value"), "user")
+    users = by_name.unionByName(by_address).join(rare, (F.col("type") == F.col("_t")) & (F.col("value") == F.col("_v")), "left_semi").groupBy("type", "value").agg(F.count_distinct("user").cast("double").alias("shared_infra"))
+    about = degrees(g).join(clustering(g), "node").withColumnRenamed("node", "_key")
+    rows = nodes.withColumn("_key", key).join(about, "_key", "left").drop("_key")
+    rows = rows.join(out.select(F.lit("user").alias("type"), F.col("user").alias("value"), "fan_out"), ["type", "value"], "left").join(users, ["type", "value"], "left")
+    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("degree", "weighted_degree", "clustering")}
+    zero["fan_out"] = F.when(F.col("type") == "user", F.coalesce("fan_out", F.lit(0.0)))
+    zero["shared_infra"] = F.when(F.col("type").isin("domain", "dst_ip"), F.coalesce("shared_infra", F.lit(0.0)))
+    return rows.withColumns(zero)
+
+
+def graph_signals(features: DataFrame, names: tuple[str, ...] = ("degree", "weighted_degree", "fan_out", "shared_infra", "clustering")) -> DataFrame:
+    """(detector_key, entity_type, entity_value, raw_score, z) of features far from their population's median.
+
+    The population is what has the feature: all nodes, users for fan_out, domains and addresses for shared_infra.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("f")
+    rows = features.select(F.col("type").alias("entity_type"), F.col("value").alias("entity_value"), each).select("entity_type", "entity_value", "f.feature", F.col("f.value").alias("raw_score")).filter("raw_score is not null")
+    scored = with_robust_z(rows, ["feature"], "raw_score")
+    fired = (F.abs("z") > FIRE_Z) & ((F.col("feature") != "shared_infra") | (F.col("raw_score") >= SHARED_USERS))
+    return scored.filter(fired).select(F.concat(F.lit("graph."), "feature").alias("detector_key"), "entity_type", "entity_value", "raw_score", "z")
+
+
+def components(g: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each connected part, by minima of neighbours; rounds are cut by checkpoints."""
+    both = g.select("a", "b").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = _cut(both)
+    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root")
+    while True:
+        label = _cut(label)
+        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        new = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        # a node takes its root's root as well, so that long chains shrink by halves
+        jump = new.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = _cut(new.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")))
+        if not new.filter("root <> was").limit(1).count():
+            return new.select("node", "root")
+        label = new.select("node", "root")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage cut by a checkpoint where the session has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or _checkpoint_dir(df.sparkSession) else df.cache()
+
+
+def _checkpoint_dir(spark) -> bool:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        spark.sparkContext.setCheckpointDir(found)
+    return bool(found)
+
+
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert: the earliest first, the latest last sight, the newer count where there is one."""
     o, n = old.alias("o"), new.alias("n")
@@ -64,7 +161,7 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(pick("type").alias("type"), pick("value").alias("value"), F.least("o.first_us", "n.first_us").alias("first_us"), F.greatest("o.last_us", "n.last_us").alias("last_us"), pick("event_count").alias("event_count"))
 
 
-# -- bounded, on the driver: the neighbourhood of the seeds of one analysis ----------------------------------
+# -- in one task: a connected part of the neighbourhood of the seeds ------------------------------------------
 
 
 def louvain(graph: list[tuple[str, str, float]], seed: int = 42) -> dict[str, int]:
@@ -109,28 +206,31 @@ def louvain(graph: list[tuple[str, str, float]], seed: int = 42) -> dict[str, in
 
 
 def betweenness(graph: list[tuple[str, str, float]]) -> dict[str, float]:
-    """Share of shortest paths through each node, edges counted alike, halved and normalized."""
-    near: dict[str, set[str]] = defaultdict(set)
-    for a, b, _ in graph:
-        near[a].add(b)
-        near[b].add(a)
+    """Share of shortest paths through each node, weights being distances, halved and normalized."""
+    near: dict[str, dict[str, float]] = defaultdict(dict)
+    for a, b, w in graph:
+        near[a][b] = near[b][a] = w
     score = dict.fromkeys(near, 0.0)
     for source in sorted(near):
-        order, paths, level, before = [], defaultdict(float), {source: 0}, defaultdict(list)
+        paths, before, done, far = defaultdict(float), defaultdict(list), [], {source: 0.0}
         paths[source] = 1.0
-        queue = deque([source])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in sorted(near[v]):
-                if w not in level:
-                    level[w] = level[v] + 1
-                    queue.append(w)
-                if level[w] == level[v] + 1:
+        heap, closed = [(0.0, source)], set()
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in closed:
+                continue
+            closed.add(v)
+            done.append(v)
+            for w, length in near[v].items():
+                step = d + length
+                if w not in far or step < far[w] - 1e-12:
+                    far[w], paths[w], before[w] = step, paths[v], [v]
+                    heapq.heappush(heap, (step, w))
+                elif abs(step - far[w]) <= 1e-12 and w not in closed:
                     paths[w] += paths[v]
                     before[w].append(v)
         part = defaultdict(float)
-        for w in reversed(order):
+        for w in reversed(done):
             for v in before[w]:
                 part[v] += paths[v] / paths[w] * (1 + part[w])
             if w != source:
@@ -140,24 +240,51 @@ def betweenness(graph: list[tuple[str, str, float]]) -> dict[str, float]:
     return {v: s * scale for v, s in score.items()}
 
 
-def incident_groups(g: DataFrame, seeds: DataFrame, most_edges: int = 200_000) -> list[dict]:
-    """Communities with a seed in the graph one step around the seeds.
+def incident_groups(g: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(incident_id, seeds, entities): communities with a seed in the graph one step around the seeds.
 
-    The neighbourhood is cut out by joins; it reaches the driver only if it has ``most_edges`` edges or fewer,
-    else its connected parts should be taken with a distributed method and this raises.
+    The neighbourhood is cut out by joins and taken apart into its connected parts, each of which is a group of
+    its own; communities never cross parts.  A group holds the edges of one part.  incident_id is the smallest
+    entity of the community.
     """
     on = seeds.select(F.col("node").alias("_s")).distinct()
     ends = g.withColumn("node", F.explode(F.array("a", "b"))).join(on, F.col("node") == F.col("_s"), "left_semi")
     around = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    inner = g.join(around.withColumnRenamed("node", "a"), "a", "left_semi").join(around.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "weight")
-    rows = inner.limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"over {most_edges} edges around the seeds")
-    wanted = {r["node"] for r in seeds.join(around, "node", "left_semi").select("node").distinct().collect()}
-    by: dict[int, list[str]] = defaultdict(list)
-    for node, c in louvain([(r["a"], r["b"], r["weight"]) for r in rows]).items():
-        by[c].append(node)
-    return [{"seeds": sorted(wanted & set(nodes)), "entities": sorted(nodes)} for _, nodes in sorted(by.items()) if wanted & set(nodes)]
+    inner = _cut(g.join(around.withColumnRenamed("node", "a"), "a", "left_semi").join(around.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "weight"))
+    parted = inner.join(components(inner).select(F.col("node").alias("a"), "root"), "a")
+
+    def communities(part: pd.DataFrame) -> pd.DataFrame:
+        found = louvain(list(zip(part["a"], part["b"], part["weight"], strict=True)))
+        return pd.DataFrame({"root": part["root"].iloc[0], "node": list(found), "community": list(found.values())})
+
+    named = parted.groupBy("root").applyInPandas(communities, "root string, node string, community int")
+    marked = named.join(on.withColumnRenamed("_s", "node").withColumn("seed", F.lit(True)), "node", "left")
+    grouped = marked.groupBy("root", "community").agg(F.array_sort(F.collect_list(F.when(F.col("seed"), F.col("node")))).alias("seeds"), F.array_sort(F.collect_list("node")).alias("entities"))
+    return grouped.filter(F.size("seeds") > 0).select(F.element_at("entities", 1).alias("incident_id"), "seeds", "entities")
+
+
+def incident_signals(groups: DataFrame, signals: DataFrame) -> DataFrame:
+    """The signals of each incident's seeds, with its density (seeds among entities); ``signals`` has entity_type and entity_value."""
+    seeds = groups.select("incident_id", (F.size("seeds") / F.size("entities")).alias("density"), F.explode("seeds").alias("_node"))
+    return seeds.join(signals.withColumn("_node", F.concat_ws(":", "entity_type", "entity_value")), "_node").drop("_node")
+
+
+def incident_graph(e: DataFrame, groups: DataFrame, most: int = 60) -> DataFrame:
+    """(incident_id, src, dst, relation, weight): edges at an incident's seeds, its ``most`` nearest neighbours by weight, none dangling.
+
+    ``e`` is as ``edges`` makes it.  A neighbour's place is that of its heaviest edge, ties by name.
+    """
+    keyed = e.select(F.concat_ws(":", "src_type", "src").alias("src"), F.concat_ws(":", "dst_type", "dst").alias("dst"), "relation", "weight")
+    seed = groups.select("incident_id", F.explode("seeds").alias("_seed"))
+    ends = keyed.withColumn("_end", F.explode(F.array("src", "dst")))
+    touching = ends.join(seed, F.col("_end") == F.col("_seed")).select("incident_id", "src", "dst", "relation", "weight").distinct()
+    marked = seed.select("incident_id", F.col("_seed").alias("node"), F.lit(True).alias("is_seed"))
+    others = touching.select("incident_id", F.explode(F.array("src", "dst")).alias("node"), "weight").join(marked, ["incident_id", "node"], "left_anti").groupBy("incident_id", "node").agg(F.max("weight").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("w"), "node"))
+    kept = others.withColumn("_r", rank).filter(F.col("_r") <= most).select("incident_id", "node").unionByName(marked.select("incident_id", "node"))
+    for end in ("src", "dst"):
+        touching = touching.join(kept.withColumnRenamed("node", end), ["incident_id", end], "left_semi")
+    return touching.select("incident_id", "src", "dst", "relation", "weight")
 
 
 # -- fusion ------------------------------------------------------------------------------------------------
@@ -166,7 +293,7 @@ def incident_groups(g: DataFrame, seeds: DataFrame, most_edges: int = 200_000) -
 def strongest(signals: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Of each incident and detector the signal with the highest confidence times weight; ties go to the smallest id."""
     s = signals
-    s = s.join(F.broadcast(weights), "detector_key", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else s.withColumn("weight", F.lit(1.0))
+    s = s.join(weights, "detector_key", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else s.withColumn("weight", F.lit(1.0))
     top = F.max_by(F.struct("signal_id", "confidence", "weight"), F.struct(F.col("confidence") * F.col("weight"), -F.col("signal_id"))).alias("t")
     return s.groupBy("incident_id", "detector_key").agg(top).select("incident_id", "detector_key", "t.*")
 

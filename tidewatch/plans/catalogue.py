@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy, stats, web
-from ..operators import baseline, detectors, enrich, graph, outliers, overview, sharing, windows
+from ..operators import baseline, detectors, enrich, graph, investigate, outliers, overview, sharing, windows
 from ..operators import incidents as incident_texts
 from ..rules import compiler
 from ..rules.fields import with_fields
@@ -580,17 +580,26 @@ def isotonic_calibrated(spark, sf_dir):
 # -- graph, incidents, fusion --------------------------------------------------------------------------------
 
 
-@query("""WITH {EV} SELECT type, value, min(us) AS first_us, max(us) AS last_us, count(*) AS event_count FROM (SELECT 'user' AS type, principal AS value, us FROM ev UNION ALL SELECT 'src_ip', src_ip, us FROM ev UNION ALL SELECT 'domain', domain, us FROM ev) GROUP BY 1, 2""")
+#: Addresses, networks and countries of the events, in words that Spark and DuckDB share.
+_NET = {"dst_ip": "concat('203.0.113.', k % 20)", "asn": "cast(k % 9 as bigint)", "country": "concat('c', k % 5)"}
+_NET_SQL = "ev3 AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _NET.items()) + " FROM ev)"
+_TYPES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS type, CAST({c} AS VARCHAR) AS value, us FROM ev3" for t, c in graph.ENTITIES)
+
+
+def _net(spark, sf_dir):
+    return events(spark, sf_dir, "us", "principal", "src_ip", "domain", "k").withColumns({n: F.expr(e) for n, e in _NET.items()}).drop("k")
+
+
+@query(f"WITH {{EV}}, {_NET_SQL} SELECT type, value, min(us) AS first_us, max(us) AS last_us, count(*) AS event_count FROM ({_TYPES_SQL}) GROUP BY 1, 2")
 def entity_nodes(spark, sf_dir):
-    return graph.entities(events(spark, sf_dir, "us", "principal", "src_ip", "domain"))
+    return graph.entities(_net(spark, sf_dir))
 
 
-_EDGES_SQL = """ed AS (SELECT src_type, src, dst_type, dst, relation, count(*) AS event_count, ln(1 + count(*)) AS weight FROM (SELECT 'user' AS src_type, principal AS src, 'src_ip' AS dst_type, src_ip AS dst, 'used' AS relation FROM ev
- UNION ALL SELECT 'user', principal, 'domain', domain, 'accessed' FROM ev UNION ALL SELECT 'src_ip', src_ip, 'domain', domain, 'contacted' FROM ev) GROUP BY ALL HAVING count(*) >= 2)"""
+_EDGES_SQL = _NET_SQL + ", ed AS (SELECT src_type, src, dst_type, dst, relation, count(*) AS event_count, ln(1 + count(*)) AS weight FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS src_type, CAST({dict(graph.ENTITIES)[a]} AS VARCHAR) AS src, '{b}' AS dst_type, CAST({dict(graph.ENTITIES)[b]} AS VARCHAR) AS dst, '{r}' AS relation FROM ev3" for a, b, r in graph.RELATIONS) + ") GROUP BY ALL HAVING count(*) >= 2)"
 
 
 def _edges(spark, sf_dir):
-    return graph.edges(events(spark, sf_dir, "principal", "src_ip", "domain"))
+    return graph.edges(_net(spark, sf_dir))
 
 
 @query(f"WITH {{EV}}, {_EDGES_SQL} SELECT src_type, src, dst_type, dst, relation, event_count, round(weight, 6) AS weight FROM ed")
@@ -598,12 +607,36 @@ def graph_edges(spark, sf_dir):
     return _rounded(_edges(spark, sf_dir), "weight")
 
 
-@query(f"""WITH {{EV}}, {_EDGES_SQL}, g AS (SELECT least(src_type || ':' || src, dst_type || ':' || dst) AS a, greatest(src_type || ':' || src, dst_type || ':' || dst) AS b, sum(weight) AS weight FROM ed GROUP BY 1, 2)
- SELECT node, count(*) AS degree, round(sum(weight), 5) AS weighted_degree FROM (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) GROUP BY 1""")
+_SIMPLE_SQL = _EDGES_SQL + ", g AS (SELECT least(src_type || ':' || src, dst_type || ':' || dst) AS a, greatest(src_type || ':' || src, dst_type || ':' || dst) AS b, sum(weight) AS weight FROM ed GROUP BY 1, 2), dg AS (SELECT node, count(*) AS degree, sum(weight) AS weighted_degree FROM (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) GROUP BY 1)"
+
+
+@query(f"WITH {{EV}}, {_SIMPLE_SQL} SELECT node, degree, round(weighted_degree, 5) AS weighted_degree FROM dg")
 def graph_degrees(spark, sf_dir):
     return _rounded(graph.degrees(graph.simple_graph(_edges(spark, sf_dir))), "weighted_degree", digits=5)
 
 
+_FEATURES_SQL = _SIMPLE_SQL + f""", no AS (SELECT type, value, count(*) AS event_count FROM ({_TYPES_SQL}) GROUP BY 1, 2), u AS (SELECT a, b, pow(weight / (SELECT max(weight) FROM g), 1.0 / 3) AS w FROM g), bo AS (SELECT a, b, w FROM u UNION ALL SELECT b, a, w FROM u),
+ tr AS (SELECT x.a AS node, sum(x.w * y.w * z.w) / 2 AS t FROM bo x JOIN bo y ON y.a = x.b JOIN bo z ON z.a = y.b AND z.b = x.a GROUP BY 1), rare AS (SELECT * FROM no WHERE event_count <= 10),
+ ac AS (SELECT src AS usr, dst AS domain FROM ed WHERE relation = 'accessed'), fo AS (SELECT usr, count(DISTINCT domain) AS n FROM ac WHERE domain IN (SELECT value FROM rare WHERE type = 'domain') GROUP BY 1),
+ sh AS (SELECT 'domain' AS type, domain AS value, count(DISTINCT usr) AS n FROM ac GROUP BY 2 UNION ALL SELECT 'dst_ip', h.dst, count(DISTINCT usr) FROM ac JOIN ed h ON h.relation = 'hosted_at' AND h.src = ac.domain GROUP BY 2),
+ nf AS (SELECT no.type, no.value, coalesce(degree, 0)::DOUBLE AS degree, coalesce(weighted_degree, 0) AS weighted_degree, CASE WHEN no.type = 'user' THEN coalesce(fo.n, 0)::DOUBLE END AS fan_out, CASE WHEN no.type IN ('domain', 'dst_ip') THEN CASE WHEN event_count <= 10 THEN coalesce(sh.n, 0) ELSE 0 END::DOUBLE END AS shared_infra,
+  CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM no LEFT JOIN dg ON node = no.type || ':' || no.value LEFT JOIN tr ON tr.node = no.type || ':' || no.value LEFT JOIN fo ON no.type = 'user' AND fo.usr = no.value LEFT JOIN sh ON sh.type = no.type AND sh.value = no.value)"""
+
+
+@query(f"WITH {{EV}}, {_FEATURES_SQL} SELECT type, value, degree, round(weighted_degree, 5) AS weighted_degree, fan_out, shared_infra, round(clustering, 6) AS clustering FROM nf")
+def graph_node_features(spark, sf_dir):
+    f = graph.node_features(_net(spark, sf_dir))
+    return _rounded(f.select("type", "value", "degree", F.round("weighted_degree", 5).alias("weighted_degree"), "fan_out", "shared_infra", "clustering"), "clustering")
+
+
+@query(f"""WITH {{EV}}, {_FEATURES_SQL}, x AS (SELECT * FROM (SELECT type, value, 'degree' AS f, degree AS v FROM nf UNION ALL SELECT type, value, 'weighted_degree', round(weighted_degree, 5) FROM nf UNION ALL SELECT type, value, 'fan_out', fan_out FROM nf UNION ALL SELECT type, value, 'shared_infra', shared_infra FROM nf UNION ALL SELECT type, value, 'clustering', round(clustering, 6) FROM nf) WHERE v IS NOT NULL),
+ m AS (SELECT *, median(v) OVER (PARTITION BY f) AS med FROM x), d AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY f) AS mad FROM m)
+ SELECT 'graph.' || f AS detector_key, type AS entity_type, value AS entity_value, v AS raw_score, CASE WHEN mad > 0 THEN round(0.6745 * (v - med) / mad, 3) END AS z FROM d WHERE ((mad = 0 AND v <> med) OR (mad > 0 AND abs(0.6745 * (v - med) / mad) > 3.5)) AND (f <> 'shared_infra' OR v >= 3)""")
+def graph_fired(spark, sf_dir):
+    f = graph.node_features(_net(spark, sf_dir)).withColumns({"weighted_degree": F.round("weighted_degree", 5), "clustering": F.round("clustering", 6)})
+    return graph.graph_signals(f).withColumn("z", F.when(F.abs("z") < float("inf"), F.round("z", 3)))
+
+
 @query("""WITH {EV}, r AS (SELECT domain FROM ev GROUP BY 1 HAVING count(*) <= 250) SELECT principal, count(DISTINCT domain) AS fan_out FROM ev JOIN r USING (domain) GROUP BY 1""")
 def graph_fan_out(spark, sf_dir):
     return graph.fan_out(events(spark, sf_dir, "principal", "domain"), 250)
@@ -614,12 +647,22 @@ def graph_shared_infrastructure(spark, sf_dir):
     return graph.shared_infrastructure(events(spark, sf_dir, "principal", "domain"), most=250)
 
 
+def _groups(spark, sf_dir):
+    seeds = detectors.bursts(events(spark, sf_dir, "principal", "us"), "principal", 21_600).filter("n >= 4").select(F.concat(F.lit("user:"), "entity_value").alias("node")).distinct()
+    return graph.incident_groups(graph.simple_graph(_edges(spark, sf_dir)), seeds)
+
+
 @query()
 def incidents(spark, sf_dir):
-    g = graph.simple_graph(_edges(spark, sf_dir))
-    seeds = detectors.bursts(events(spark, sf_dir, "principal", "us"), "principal", 21_600).filter("n >= 4").select(F.concat(F.lit("user:"), "entity_value").alias("node")).distinct()
-    found = graph.incident_groups(g, seeds)
-    return spark.createDataFrame([(i, x["seeds"], x["entities"]) for i, x in enumerate(found)], "incident_id int, seeds array<string>, entities array<string>")
+    return _groups(spark, sf_dir)
+
+
+@query(f"""WITH {{EV}}, {_EDGES_SQL}, k AS (SELECT src_type || ':' || src AS src, dst_type || ':' || dst AS dst, relation, weight FROM ed), sd AS (SELECT 1 AS incident_id, unnest(['user:u1', 'user:u2']) AS s UNION ALL SELECT 2, 'src_ip:10.0.0.3'),
+ t AS (SELECT DISTINCT incident_id, src, dst, relation, weight FROM k JOIN sd ON s = src OR s = dst), o AS (SELECT incident_id, node, max(weight) AS w FROM (SELECT incident_id, src AS node, weight FROM t UNION ALL SELECT incident_id, dst, weight FROM t) n WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.incident_id = n.incident_id AND s = node) GROUP BY 1, 2),
+ kept AS (SELECT incident_id, node FROM o QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY round(w, 9) DESC, node) <= 8 UNION ALL SELECT * FROM sd) SELECT t.incident_id, src, dst, relation, round(weight, 6) AS weight FROM t JOIN kept a ON a.incident_id = t.incident_id AND a.node = src JOIN kept b ON b.incident_id = t.incident_id AND b.node = dst""")
+def incident_graph(spark, sf_dir):
+    groups = spark.createDataFrame([(1, ["user:u1", "user:u2"]), (2, ["src_ip:10.0.0.3"])], "incident_id int, seeds array<string>")
+    return _rounded(graph.incident_graph(_edges(spark, sf_dir).withColumn("weight", F.round("weight", 9)), groups, 8), "weight")
 
 
 def _incident_signals(spark, sf_dir):
@@ -900,3 +943,97 @@ def incident_summaries(spark, sf_dir):
 def entity_upsert(spark, sf_dir):
     ev = events(spark, sf_dir, "us", "principal", "src_ip", "domain")
     return graph.merge_entities(graph.entities(ev.filter("us < 1705276800000000")), graph.entities(ev.filter("us >= 1705276800000000")))
+
+
+# -- investigation ---------------------------------------------------------------------------------------------
+
+
+@query("WITH {EV} SELECT id, us, domain FROM ev WHERE principal = 'u7' AND us BETWEEN 1705276800000000 - 86400000000 AND 1705276800000000 + 3600000000 + 86400000000 ORDER BY us, id LIMIT 200")
+def entity_timeline(spark, sf_dir):
+    return investigate.timeline(events(spark, sf_dir, "id", "us", "principal", "domain"), "principal", "u7", 1705276800000000, 1705276800000000 + 3_600_000_000, 10_000).select("id", "us", "domain")
+
+
+@query("WITH {EV} SELECT id, us FROM ev WHERE principal = 'u3' AND action = 'allowed' AND us >= 1704240000000000 ORDER BY us, id LIMIT 25")
+def tool_query(spark, sf_dir):
+    return investigate.selected(events(spark, sf_dir, "id", "us", "principal", "action"), 25, 1704240000000000, principal="u3", action="allowed", domain=None).select("id", "us")
+
+
+@query(f"WITH {{EV}}, {_EDGES_SQL} SELECT src, dst, event_count, round(weight, 6) AS weight FROM ed WHERE relation = 'accessed' AND src IN ('u1', 'u2', 'u3') ORDER BY ed.weight DESC, src, dst LIMIT 30")
+def accessed_domains(spark, sf_dir):
+    users = spark.createDataFrame([("user", "u1"), ("user", "u2"), ("user", "u3"), ("domain", "u4")], "type string, value string")
+    return _rounded(investigate.accessed(_edges(spark, sf_dir), users, 30), "weight")
+
+
+def _line_windows(spark, sf_dir):
+    ev = events(spark, sf_dir, "id", "us", "principal")
+    return ev.groupBy("principal", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(F.array_sort(F.collect_list(F.col("id") + 2)).alias("lines"))
+
+
+@query("""WITH {EV} SELECT principal, us // 86400000000 AS day, string_agg(CASE WHEN id % 3 > 0 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS ids FROM ev GROUP BY 1, 2""")
+def lines_to_events(spark, sf_dir):
+    ev = events(spark, sf_dir, "id").filter("id % 3 > 0").withColumn("line_no", F.col("id") + 2)
+    found = investigate.to_event_ids(_line_windows(spark, sf_dir), ev, ["principal", "day"])
+    return found.select("principal", "day", F.when(F.size("event_ids") > 0, F.array_join("event_ids", ",")).alias("ids"))
+
+
+@query("WITH {EV} SELECT principal, us // 86400000000 AS day, bool_or(id % 11 = 0) AS malicious FROM ev GROUP BY 1, 2")
+def malicious_windows(spark, sf_dir):
+    labels = events(spark, sf_dir, "id").filter("id % 11 = 0").select((F.col("id") + 2).alias("line_no"))
+    return investigate.malicious(_line_windows(spark, sf_dir), labels).select("principal", "day", "malicious")
+
+
+@query("WITH {EV} SELECT id + 2 AS line_no FROM ev WHERE id % 11 = 0 INTERSECT SELECT id + 2 FROM ev WHERE action = 'blocked'")
+def caught_lines(spark, sf_dir):
+    ev = events(spark, sf_dir, "id", "action").withColumn("line_no", F.col("id") + 2)
+    return investigate.caught(ev.filter("action = 'blocked'"), ev.filter("id % 11 = 0"))
+
+
+def _evidence_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("extractor"), F.concat(F.lit("u"), F.col("o_custkey") % 20).alias("entity_value"), F.array(F.col("o_orderkey") % 50).alias("lines"), (F.col("o_orderkey") % 17 == 0).alias("first_contact"),
+        F.create_map(F.lit("requests_percentile"), (F.col("o_orderkey") % 1000 / 10.0).cast("double"), F.lit("requests"), F.lit(500.0)).alias("measures"))
+
+
+@query("SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS extractor, coalesce((o_orderkey % 1000) / 10.0 > 99.5 OR o_orderkey % 17 = 0, false) AS eligible FROM orders WHERE substr(o_orderpriority, 1, 1) = '2' AND 'u' || (o_custkey % 20) = 'u4' AND (o_orderkey % 1000) / 10.0 >= 40")
+def evidence_filter(spark, sf_dir):
+    rows = investigate.evidence(_evidence_rows(spark, sf_dir), "2", "u4", None, 40.0)
+    return rows.select("o_orderkey", "extractor", investigate.eligible(F.col("measures"), F.col("first_contact")).alias("eligible"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 50 = 7")
+def evidence_by_line(spark, sf_dir):
+    return investigate.evidence(_evidence_rows(spark, sf_dir), line=7).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, d IS NULL OR d = 'needs_review' OR coalesce(NOT v, false) AS needs_attention FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'needs_review' ELSE 'true_positive' END AS d, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS v FROM orders)""")
+def incidents_needing_attention(spark, sf_dir):
+    d = F.expr("case o_orderkey % 4 when 0 then null when 1 then 'needs_review' else 'true_positive' end")
+    v = F.expr("case o_orderkey % 5 when 0 then null when 1 then false else true end")
+    return table(spark, sf_dir, "orders").select("o_orderkey", investigate.needs_attention(d, v).alias("needs_attention"))
+
+
+@query("SELECT o_orderkey AS incident_id, round(o_totalprice, 2) AS fused_score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def triage_queue(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_totalprice").alias("fused_score"))
+    return _rounded(investigate.to_triage(rows), "fused_score", digits=2)
+
+
+@query("""WITH d AS (SELECT p_partkey AS domain, p_partkey % 13 = 0 AS f, p_partkey % 7 AS c FROM part) SELECT domain FROM d WHERE f OR c BETWEEN 1 AND 2 ORDER BY CASE WHEN f THEN 0 ELSE c END, domain LIMIT 20""")
+def semantic_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("domain"), (F.col("p_partkey") % 13 == 0).alias("first_observed"), (F.col("p_partkey") % 7).alias("org_count"))
+    return investigate.semantic_candidates(rows).select("domain")
+
+
+@query("WITH {EV} SELECT principal, round(max(bytes_out % 1000 / 1000.0), 6) AS max_confidence, count(DISTINCT CASE WHEN bytes_out % 1000 / 1000.0 >= 0.7 THEN us // 3600000000 END) AS windows FROM ev GROUP BY 1")
+def confident_users(spark, sf_dir):
+    rows = events(spark, sf_dir, "principal", "us", "bytes_out").select("principal", F.floor(F.col("us") / 3_600_000_000).alias("hour_us"), (F.col("bytes_out") % 1000 / 1000.0).alias("confidence"))
+    return _rounded(investigate.confident_entities(rows, "principal"), "max_confidence")
+
+
+@query(f"""WITH {{EV}}, b AS (SELECT *, us - lag(us) OVER (PARTITION BY principal ORDER BY us) AS gap FROM ev WHERE action = 'blocked'), e AS (SELECT *, sum(CASE WHEN gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY principal ORDER BY us) AS ep FROM b), r AS (SELECT principal, ep FROM e GROUP BY 1, 2),
+ o AS (SELECT domain, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) <= 300), p AS (SELECT DISTINCT principal, ev.domain FROM ev JOIN o ON o.domain = ev.domain) SELECT 'rule' AS layer, 'rule.blocked_episodes' AS detector_key, count(*) AS n, count(DISTINCT principal) AS entities FROM r UNION ALL SELECT 'evidence', 'rarity', count(*), count(DISTINCT principal) FROM p HAVING count(*) > 0""")
+def signals_of_layers(spark, sf_dir):
+    ev = events(spark, sf_dir, "id", "us", "principal", "domain", "action")
+    rules = compiler.signals(ev, [_rules()["blocked-episodes"]]).withColumn("layer", F.lit("rule"))
+    rare = detectors.rare_domains(ev, 300).select(F.lit("evidence").alias("layer"), F.lit("rarity").alias("detector_key"), F.lit("user").alias("entity_type"), F.col("principal").alias("entity_value"), F.col("first_us").alias("start_us"), F.col("score").alias("raw_score"))
+    return investigate.all_signals(rules, rare).groupBy("layer", "detector_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_value").alias("entities"))
