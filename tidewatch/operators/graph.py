@@ -71,6 +71,7 @@ def clustering(g: DataFrame) -> DataFrame:
     divided by its pairs of neighbours.  Edges point from the end with fewer neighbours to the other, so that a
     node with very many is the corner of no more pairs than edges allow.
     """
+    g = g.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
     size = degrees(g).select("node", "degree")
     top = g.agg(F.max("weight").alias("top"))
     w = F.pow(F.col("weight") / F.col("top"), F.lit(1 / 3))
