@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, on whole small tables and on rows made to be awkward."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import os
@@ -94,6 +95,47 @@ def test_fingerprints_and_edits(request, which):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def brute_lanes(text):
+    """A document's lanes by the definition: hashes of paragraphs' SHA-512, signs of bits of word pairs' hashes."""
+    exact, like, pairs = [0] * fingerprints.EXACT, [0] * fingerprints.LIKE, 0
+    for p in text.split("\n"):
+        digest = hashlib.sha512(p.encode()).hexdigest().encode()
+        for i in range(fingerprints.EXACT):
+            exact[i] = (exact[i] + (xxhash.xxh64_intdigest(digest, xxhash.xxh64_intdigest(struct.pack("<i", i), 42)) & 0xFFFFFFFF)) % (1 << 32)
+        words = p.split(" ")
+        for a, b in zip(words, [*words[1:], None], strict=True):
+            h = xxhash.xxh64_intdigest(a.encode(), 42)
+            h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+            for j, x in enumerate((h, xxhash.xxh64_intdigest(struct.pack("<Q", h), 42))):
+                for k in range(32):
+                    for half in (0, 1):
+                        like[64 * j + 2 * k + half] += 1 if x >> (k + 32 * half) & 1 else -1
+            pairs += 1
+    return exact, like
+
+
+def cosine(a, b):
+    norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    return max(0.0, min(1.0, sum(x * y for x, y in zip(a, b, strict=True)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_by_brute_force(spark):
+    texts = ["a b\nc", "c\na b", "", None, "x " * 40, "one two three four\nfive six", "one two three four\nfive seven", "é ß\n\n日本 語", "a b\nc"]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, texts), parts=3).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    for at, i in enumerate(order):
+        own, after = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        k = len(own) // 2
+        edited = own[: len(own) - k] + after[:k]
+        lanes = [brute_lanes(t) for t in (own, edited, after)]
+        r = got[i]
+        for have, (exact, like) in zip((r.fingerprint, r.edited_fingerprint), lanes, strict=False):
+            assert have == "".join(f"{x % (1 << 32):08x}" for x in [*exact, *like])
+        for have, other in ((r.near_edited, lanes[1]), (r.near_next, lanes[2])):
+            assert have == pytest.approx(1.0 if other[0] == lanes[0][0] else cosine(lanes[0][1], other[1]), abs=1e-9)
+    assert got[0].fingerprint == got[1].fingerprint == got[8].fingerprint
+
+
 def test_fingerprint_of_lone_and_empty(spark):
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
     r = fingerprints.edited_fingerprints(frame(spark, ["abcd efgh"])).first()
@@ -575,6 +617,45 @@ def test_pack_rule():
         assert offsets[at].tolist() == (np.cumsum(sizes[at]) - sizes[at]).tolist()
 
 
+def test_pack_by_the_rule():
+    """Each piece, largest first, against the sum of squares tried out for every open sequence."""
+    sizes = np.random.default_rng(8).integers(1, 40, 250)
+    bins, offsets = packing.pack(sizes, 40)
+    fill, made = {}, 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        fits = [b for b, f in fill.items() if f < 40 and f + sizes[i] <= 40]
+
+        def squares(b, i=i):
+            gaps = collections.Counter(40 - (f + sizes[i] if x == b else f) for x, f in fill.items())
+            return sum(n * n for g, n in gaps.items() if g)
+
+        if fits:
+            best = min(squares(b) for b in fits)
+            gap = min(40 - fill[b] for b in fits if squares(b) == best)
+            assert 40 - fill[bins[i]] == gap and offsets[i] == fill[bins[i]]
+        else:
+            assert bins[i] not in fill and offsets[i] == 0
+            made += 1
+        fill[bins[i]] = fill.get(bins[i], 0) + int(sizes[i])
+    assert made == len(fill)
+
+
+@pytest.mark.parametrize("shape", ["uniform", "lognormal"])
+def test_sequences_against_the_bound_and_best_fit(shape):
+    own = np.random.default_rng(9)
+    sizes = own.integers(1, 2049, 6000) if shape == "uniform" else np.clip(own.lognormal(5.5, 1.0, 6000), 1, 2048).astype(int)
+    used = packing.pack(sizes)[0].max() + 1
+    gaps, best_fit = [], 0  # plain best fit, largest first
+    for s in sorted(sizes.tolist(), reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        best_fit += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else 2048
+        if gap > s:
+            bisect.insort(gaps, gap - s)
+    bound = -(-int(sizes.sum()) // 2048)
+    assert bound <= used <= bound * 1.02 + 1 and used <= best_fit * 1.005 + 1
+
+
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_records(request, spark, tokenizer, which):
     df = request.getfixturevalue(which)

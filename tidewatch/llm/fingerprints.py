@@ -16,6 +16,8 @@ from .common import key_buckets, row_id, tasks, text_or_empty
 
 #: Lanes of either kind, and the modulus of each.
 EXACT, LIKE, MODULUS = 32, 128, 1 << 32
+#: Ranges of ids for each task: many, so that long texts that meet in one do not make a task large.
+RANGES = 16
 _LOW = MODULUS - 1
 _PAIR = 0x0000000100000001  # bit 0 and bit 32: two counts in one number
 
@@ -106,7 +108,7 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    count = parts or 2 * tasks(spark)
+    count = parts or max(2 * tasks(spark), min(RANGES * tasks(spark), 4096))
     bucket, _ = key_buckets(rows, "doc_id", count)
     rows = rows.withColumn("tie", row_id("text")).withColumn("bucket", bucket.cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
