@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import privacy, stats, web
 from tidewatch.operators import detectors, enrich, graph, outliers, overview, sharing, verify, windows
+from tidewatch.rules import compiler
+from tidewatch.rules.rule import shipped
 from tidewatch.session import Tenant
 from tidewatch.sources import logs, sinks
 
@@ -66,15 +68,47 @@ def test_web_functions(spark):
     assert r.t.year == 2024 and r.rnd and not r.plain
 
 
+def test_all_fields_and_the_document(spark, tmp_path):
+    """A file with every canonical column, one with encoded ones, and rules over what was read."""
+    assert len(logs.FIELDS) == 52 and sum(map(len, logs.ENCODED.values())) == 23
+    cells = {n: {"time": "2024-01-02T03:04:05Z", "long": "7.0", "flag": "1", "yes_no": "Yes", "fail_pass": "Fail"}.get(k, n[:6]) for n, k in logs.FIELDS.items()} | {"host": "a.b.com", "url": "http://a.b.com/x.exe?q", "action": "Allowed", "status": "404", "clientip": "10.0.0.1", "deviceostype": "Windows OS", "urlcategory": "Miscellaneous or Unknown", "user": "None"}
+    p = tmp_path / "full.log"
+    p.write_text("\t".join(cells) + "\n" + "\t".join(cells.values()) + "\n")
+    rows = logs.read_log(spark, str(p))
+    r = rows.first()
+    assert set(r.event.asDict()) == set(logs.FIELDS) | {"url_path", "registrable_domain"} and r.event.user is None and r.line_no == 2
+    o = r.ocsf
+    assert (o.event_key, o.disposition, o.http_response.code, o.tls.certificate.is_untrusted_ca, o.device.os.type) == ("reques:Miscellaneous or Unknown:allowed:4xx", "allowed", 404, True, "windows")
+    assert o.malware[0].name == "threat" and o.actor.user.groups == ["locati", "depart"] and o.src_endpoint.location.is_risky and o.bypassed_traffic and o.unmapped.obfuscated_fields == []
+    found = {s.detector_key for s in compiler.signals(logs.rule_events(rows), shipped()).collect()}
+    assert found == {"rule.threat_name_present", "rule.executable_archive_download_new_domain"}  # no user, so nothing of one
+    q = tmp_path / "coded.log"
+    code = lambda t: base64.b64encode(t.encode()).decode()
+    q.write_text("datetime,b64login,ocip,eurl,b64ua\n2024-01-02T03:04:05.5Z," + code("vic") + ",zz,http://%c3%a9.com/%2B," + code("é") + "\n2024-01-02T03:04:05Z,!!,,,\n2024-01-02T03:04:05Z,,,%zz,\n2024-01-02T03:04:05Z\n")
+    rows = logs.read_log(spark, str(q)).orderBy("line_no").collect()
+    e = rows[0].event
+    assert (e.user, e.clientip, e.url, e.useragent, rows[0].ocsf.unmapped.obfuscated_fields, rows[0].ocsf.device, rows[0].ocsf.dst_endpoint) == ("vic", None, "http://é.com/+", "é", ["clientip"], None, None)
+    assert [x.failure.reason for x in rows[1:]] == ["bad code of user", "bad code of url", "too few fields"]
+
+
+def test_baseline_files(spark, tmp_path):
+    (tmp_path / "w.jsonl").write_text('{"entity_type": "user", "entity_value": "u", "window_start": "2024-01-01T00:00:00Z", "metrics": {"requests": 3, "domains": null}}\n')
+    assert [(r.metric, r.value) for r in logs.baseline_windows(spark, str(tmp_path / "w.jsonl")).collect()] == [("requests", 3.0)]
+    (tmp_path / "p.json").write_text('{"user": {"u": {"requests": {"p50": 1, "mad": 0.5, "n_windows": 30}}}}')
+    assert [(r.entity_value, r.metric, r.p50, r.p95, r.n_windows) for r in logs.baseline_profiles(spark, str(tmp_path / "p.json")).collect()] == [("u", "requests", 1.0, None, 30)]
+    (tmp_path / "c.json").write_text('[{"scope": "org", "scope_value": "", "domain": "a.com", "contact_count": 2, "first_seen": "2024-01-01T00:00:00Z", "last_seen": "2024-01-02T00:00:00Z"}]')
+    assert [(r.scope, r.domain, r.contact_count) for r in logs.baseline_contacts(spark, str(tmp_path / "c.json")).collect()] == [("org", "a.com", 2)]
+
+
 def test_log_reader(spark, tmp_path):
     p = tmp_path / "a.log"
     p.write_text("HOST,datetime,status,b64url,user\r\n\r\na.com,2024-01-01T00:00:00Z,200," + base64.b64encode(b"http://a.com/x").decode() + ",u\nb.com,soon,1,,\n,2024-01-01T00:00:00Z,1,,\nx\n")
     rows = logs.read_log(spark, str(p)).orderBy("line_no").collect()
     assert [r.line_no for r in rows] == [3, 4, 5, 6]
     assert rows[0].event.url == "http://a.com/x" and rows[0].event.status == 200 and rows[0].event.url_path == "/x"
-    assert [r.failure.reason for r in rows[1:]] == ["bad datetime", "no host", "too few fields"]
+    assert [r.failure and r.failure.reason for r in rows[1:]] == ["bad datetime", None, "too few fields"] and rows[2].event.host is None
     stat = logs.statistics(logs.read_log(spark, str(p))).first()
-    assert (stat.events, stat.failed, stat.failure_rate) == (1, 3, 0.75)
+    assert (stat.events, stat.failed, stat.failure_rate) == (2, 2, 0.5)
     assert logs.sniff(["datetime\thost\turl\tstatus\taction"]) == 0.95 and logs.sniff(["hello"]) == 0.0
     assert logs.sniff(["1.2.3.4,GET,x", "no,thing"]) == 0.5
 

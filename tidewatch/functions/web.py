@@ -14,6 +14,7 @@ TWO_LEVEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.
 AUTOMATION_AGENTS = ("curl", "wget", "python-requests", "python-urllib", "go-http-client", "java/", "okhttp", "libwww-perl", "powershell", "httpclient", "axios", "node-fetch")
 BROWSERS = (("Edge", r"edg(e|a|ios)?/"), ("Opera", r"opr/|opera"), ("Chrome", r"chrome/|crios/"), ("Firefox", r"firefox/|fxios/"), ("Safari", r"version/.*safari/"), ("IE", r"msie |trident/"))
 SYSTEMS = (("Windows", r"windows nt"), ("iOS", r"iphone|ipad"), ("Mac OS X", r"mac os x|macintosh"), ("Android", r"android"), ("Linux", r"linux|x11"))
+OS_WORDS = (("windows", "^(windows|win)"), ("ios", "^(ios|ipad|iphone)"), ("macos", "^(mac|os x)"), ("android", "^android"), ("chromeos", "^chrom"), ("linux", "^(linux|ubuntu|debian|fedora|red hat|centos)"))
 SPECIAL_NETS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4))
 
 
@@ -46,6 +47,21 @@ def from_base64(x: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text)
 
 
+def from_hex(x: Column) -> Column:
+    """Text with bytes written as % and two hex digits, of UTF-8; null if it is not."""
+    text = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    return F.when(F.is_valid_utf8(text) & ~x.rlike("%(?![0-9A-Fa-f]{2})"), text)
+
+
+def os_type(x: Column) -> Column:
+    """An operating system's name as one of a few words; null stays null."""
+    low = F.lower(F.trim(x))
+    out = F.when(low.isNull(), F.lit(None).cast("string"))
+    for word, shape in OS_WORDS:
+        out = out.when(low.rlike(shape), F.lit(word))
+    return out.otherwise(F.lit("other"))
+
+
 def is_ipv4(x: Column) -> Column:
     return F.coalesce(x.rlike(DOTTED_QUAD), F.lit(False))
 
