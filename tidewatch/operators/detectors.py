@@ -188,6 +188,15 @@ def bigram_table(labels: DataFrame, column: str = "label") -> tuple[dict[str, fl
     return {p: float(np.log((n + 1) / (total + kinds))) for p, n in counts.items()}, float(np.log(1 / (total + kinds)))
 
 
+def trained_names(labels: DataFrame, column: str = "label", y: str = "y") -> tuple[dict[str, float], float, list[float], float]:
+    """(pairs, unseen, weights, bias) of labelled names: letter pairs from the benign ones only, then a balanced logistic machine."""
+    pairs, unseen = bigram_table(labels.filter(F.col(y) == 0), column)
+    traits = label_traits(F.col(column), pairs, unseen)
+    named = labels.select(y, *[t.alias(f"t{i}") for i, t in enumerate(traits)])
+    weights, bias = train_logistic(named, [f"t{i}" for i in range(len(traits))], y)
+    return pairs, unseen, weights, bias
+
+
 def logistic_scores(rows: DataFrame, traits: list[Column], weights: list[float], bias: float) -> DataFrame:
     z = F.lit(bias)
     for x, w in zip(traits, weights, strict=True):

@@ -378,9 +378,13 @@ def beacon_periods(spark, sf_dir):
 
 @query()
 def generated_names(spark, sf_dir):
-    labels = events(spark, sf_dir, "domain").select(F.element_at(F.split("domain", r"\."), 1).alias("label")).distinct()
-    pairs, unseen = detectors.bigram_table(labels)
-    return detectors.logistic_scores(labels, detectors.label_traits(F.col("label"), pairs, unseen), [0.8, 0.5, 2.0, 0.3, 1.5], -4.0)
+    """Names of texts' words against hexadecimal ones: learned on four fifths of them, the rest scored."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,20})"), 1)).alias("label")).distinct()
+    made = words.select(F.substring(F.md5("label"), 1, 14).alias("label")).distinct()
+    labels = words.withColumn("y", F.lit(0)).unionByName(made.withColumn("y", F.lit(1))).withColumn("held", F.pmod(F.crc32("label"), F.lit(5)) == 4)
+    pairs, unseen, weights, bias = detectors.trained_names(labels.filter("not held"))
+    rest = labels.filter("held")
+    return detectors.logistic_scores(rest, detectors.label_traits(F.col("label"), pairs, unseen), weights, bias).select("label", "y", F.round("score", 6).alias("score"))
 
 
 @query("WITH RECURSIVE " + _burst_sql("principal", 21_600_000_000).removeprefix("WITH ").replace(" SELECT e AS entity_value", ", bu AS (SELECT e AS entity_value", 1) + """), x AS (SELECT entity_value, bucket_us AS start_us, bucket_us + 43200000000 AS end_us, confidence, n >= 2 AS eligible FROM bu),
