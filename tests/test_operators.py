@@ -366,3 +366,20 @@ def test_isotonic_by_spark_is_the_same(spark):
     at = np.linspace(0, 1, 101)
     assert np.allclose(np.interp(at, *mine), np.interp(at, *theirs))
     assert outliers.isotonic_fit(rows.filter("y = 1"), "s", "y") is None
+
+
+def test_ten_scenarios(spark):
+    from tidewatch.sources import synthetic
+
+    assert len(synthetic.SCENARIOS) == 10
+    parts = [synthetic.benign(spark, 20, 3, 10), *(make(spark, 100 + 5 * i) for i, make in enumerate(synthetic.SCENARIOS.values()))]
+    rows = synthetic.merged(parts)
+    got = rows.select("id", "us", "scenario_id").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, len(got) + 1)) and [r.us for r in got] == sorted(r.us for r in got)
+    assert {r.scenario_id for r in got} == set(synthetic.SCENARIOS) - {"benign_but_weird"} | {None}
+    again = synthetic.merged(parts).select("id", "us", "scenario_id").orderBy("id").collect()
+    assert again == got
+    night = synthetic.seasonal_deviation(spark, 1, 14).select(F.floor((F.col("us") / 3.6e9) % 24).alias("h"), F.floor((F.col("us") - synthetic.START_US) / 8.64e10).alias("d")).collect()
+    assert all(r.h < 5 or r.d % 7 >= 5 for r in night)
+    a, b = (synthetic.injection_canary(spark, 1, 5, c).drop("user_agent").collect() for c in (True, False))
+    assert a == b

@@ -30,20 +30,25 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def checked_uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, refused) of files: by name, size, archive magic, tar or NUL bytes."""
     files = spark.read.format("binaryFile").load(path)
+    # a bound on the length reaches the reader: what is too large is never loaded
+    small = files.filter(F.col("length") <= MOST_BYTES)
     head = F.hex(F.substring("content", 1, 6))
     archive = F.lit(False)
     for magic in ARCHIVES:
         archive = archive | head.startswith(magic)
     tar = F.hex(F.substring("content", 258, 5)) == "7573746172"
     name_ok = F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
-    reason = F.when(~name_ok, "suffix").when(F.col("length") > MOST_BYTES, "too large").when(archive | tar, "archive").when(F.hex(F.substring("content", 1, 65536)).rlike("^(..)*00"), "binary")
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), reason.alias("refused"))
+    reason = F.when(~name_ok, "suffix").when(archive | tar, "archive").when(F.hex(F.substring("content", 1, 65536)).rlike("^(..)*00"), "binary")
+    checked = small.select("path", "length", F.sha2("content", 256).alias("sha256"), reason.alias("refused"))
+    large = files.select("path", "length").filter(F.col("length") > MOST_BYTES)
+    return checked.unionByName(large.select("path", "length", F.lit(None).cast("string").alias("sha256"), F.when(~name_ok, "suffix").otherwise("too large").alias("refused")))
 
 
 def dead_letters(df: DataFrame, path: str, stage: str) -> None:
     df.withColumn("stage", F.lit(stage)).write.mode("append").json(path)
 
 
-def sorted_text(df: DataFrame, order: list[str], column: str, path: str) -> None:
-    """One text file in order: a range sort that spills, then one writer."""
-    df.orderBy(*order).select(column).coalesce(1).write.mode("overwrite").text(path)
+def sorted_text(df: DataFrame, order: list[str], column: str, path: str, files: int | None = None) -> None:
+    """Text in order: files in the order of their names, each sorted, as many as the range sort makes, or one if asked for."""
+    rows = df.orderBy(*order).select(column)
+    (rows.coalesce(1) if files == 1 else rows).write.mode("overwrite").text(path)

@@ -30,8 +30,8 @@ HOPS = "id long, principal string, depth int, entry_domain string"
 STATE = "domains array<string>, depths array<int>, entries array<string>, last_ms long"
 
 
-def navigation_stream(stream: DataFrame, idle_s: int = 1800, late: str = "10 minutes", most: int = 1000) -> DataFrame:
-    """Hops along referrers with the domains of each user kept as state, the ``most`` latest; state goes after the idle time."""
+def navigation_stream(stream: DataFrame, idle_s: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """Hops along referrers with the domains of each user since its last pause kept as state; state goes after the idle time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,7 +51,7 @@ def navigation_stream(stream: DataFrame, idle_s: int = 1800, late: str = "10 min
             seen.pop(r.domain, None)
             seen[r.domain] = (depth, entry)
             out.append((r.id, key[0], depth, entry))
-        kept = list(seen.items())[-most:]
+        kept = list(seen.items())
         state.update(([d for d, _ in kept], [int(v[0]) for _, v in kept], [v[1] for _, v in kept], last))
         state.setTimeoutTimestamp(max(last + idle_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "principal", "depth", "entry_domain"])
