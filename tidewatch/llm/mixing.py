@@ -187,10 +187,12 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     rows are drawn each by itself and come as often as they do together.  An empty table stays empty.
     """
     names = docs.columns
-    key, own, place, its_id, its_tie, times, copy = fresh(docs, "key", "own", "place", "its_id", "its_tie", "times", "copy")
+    key, void, own, place, its_id, no_id, its_tie, times, copy = fresh(docs, "key", "void", "own", "place", "its_id", "no_id", "its_tie", "times", "copy")
     wanted = mixed(docs, weights, most).groupBy("doc_id", "tie").agg(F.sum("times").alias(times)).filter(F.col(times) > 0)
-    wanted = wanted.select(F.col("doc_id").alias(its_id), F.col("tie").alias(its_tie), times)
-    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, row_id(text_or_empty()))
-    joined = keyed.join(wanted, F.col(key).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_tie)))
-    first = joined.withColumn(place, F.row_number().over(Window.partitionBy(key, own).orderBy(F.lit(0)))).filter(F.col(place) == 1)
+    wanted = wanted.select(F.coalesce("doc_id", F.lit(0)).alias(its_id), F.col("doc_id").isNull().alias(no_id), F.col("tie").alias(its_tie), times)
+    named = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({key: F.coalesce(named, F.lit(0)), void: named.isNull(), own: row_id(text_or_empty())})
+    # plain equality, so that numbering equal rows needs no other exchange of the texts than the join
+    joined = keyed.join(wanted, (F.col(key) == F.col(its_id)) & (F.col(void) == F.col(no_id)) & (F.col(own) == F.col(its_tie)))
+    first = joined.withColumn(place, F.row_number().over(Window.partitionBy(key, void, own).orderBy(F.lit(0)))).filter(F.col(place) == 1)
     return first.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*names)

@@ -202,9 +202,12 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are first of their component in ``groups`` (doc_id, tie, component_id, first_tie), once, and those without an id."""
     names = docs.columns
-    key, own, place, first_id, first_tie = fresh(docs, "key", "own", "place", "first_id", "first_tie")
-    keep = groups.filter("doc_id is null or (doc_id = component_id and tie = first_tie)").select(F.col("doc_id").alias(first_id), F.col("tie").alias(first_tie)).distinct()
-    marked = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, row_id(text_or_empty()))
-    kept = marked.join(keep, F.col(key).eqNullSafe(F.col(first_id)) & (F.col(own) == F.col(first_tie)), "left_semi")
-    order = F.row_number().over(Window.partitionBy(key, own).orderBy(F.lit(0)))
-    return kept.withColumn(place, order).filter((F.col(place) == 1) | F.col(key).isNull()).select(*names)
+    key, void, own, place, first_id, no_id, first_tie = fresh(docs, "key", "void", "own", "place", "first_id", "no_id", "first_tie")
+    keep = groups.filter("doc_id is null or (doc_id = component_id and tie = first_tie)")
+    keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias(first_id), F.col("doc_id").isNull().alias(no_id), F.col("tie").alias(first_tie)).distinct()
+    named = F.col("doc_id").cast("long")
+    marked = docs.withColumns({key: F.coalesce(named, F.lit(0)), void: named.isNull(), own: row_id(text_or_empty())})
+    # plain equality, so that numbering equal rows needs no other exchange of the texts than the join
+    kept = marked.join(keep, (F.col(key) == F.col(first_id)) & (F.col(void) == F.col(no_id)) & (F.col(own) == F.col(first_tie)), "left_semi")
+    order = F.row_number().over(Window.partitionBy(key, void, own).orderBy(F.lit(0)))
+    return kept.withColumn(place, order).filter((F.col(place) == 1) | F.col(void)).select(*names)
