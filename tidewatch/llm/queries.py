@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to a whole table."""
+"""The registered queries of the operators: each applies its operator to a whole table."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, fingerprints, langid, mixing, packing, records, sharding, simhash, substrings, toxicity
+from . import alignment, audio, fingerprints, langid, mixing, packing, records, sharding, simhash, substrings, toxicity
 from .common import table
 
-#: The vocabulary file; a path, never a copy.
+#: The vocabulary files; paths, never copies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, out)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_media_columns": op2_media_columns,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_records": op10_token_records,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
 
 #: The rest hashes, trains or draws in ways that SQL has no words for; tests/llm holds it against brute force.
