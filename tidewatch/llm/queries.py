@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, audio, filter_audit, fingerprints, langid, mixing, packing, records, sharding, simhash, substrings, toxicity
+from . import alignment, audio, filter_audit, fingerprints, langid, mixing, packing, pii, records, sharding, simhash, substrings, toxicity
 from .common import table
 
 #: The vocabulary files; paths, never copies.
@@ -74,6 +74,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.learn(docs))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_media_columns": op2_media_columns,
@@ -87,6 +92,7 @@ QUERIES = {
     "op10_token_records": op10_token_records,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: The rest hashes, trains or draws in ways that SQL has no words for; tests/llm holds it against brute force.
