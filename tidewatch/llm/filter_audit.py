@@ -39,8 +39,9 @@ def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT > rows.count()).select(key, F.lit(True).alias("_hot"))
     known = hot.join(facts, key, "left").select(F.col(key).alias("_hot_key"), "_hot", *[F.col(c).alias(f"_hot_{c}") for c in names])
     marked = rows.join(F.broadcast(known), F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
-    spread = F.when(F.col("_hot") | F.col(key).isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(0)
-    cold = facts.withColumn("_salt", F.lit(0).cast("long"))
+    spread = F.when(F.col("_hot") | F.col(key).isNull(), 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096))).otherwise(0)
+    # always 0, but no literal: the optimizer would take a literal out of the join's keys, and the salt with it
+    cold = facts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1)))
     out = marked.withColumn("_salt", spread.cast("long")).join(cold, [key, "_salt"], "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names])
 
