@@ -1,5 +1,7 @@
 """Incident texts, tags, signatures, re-scoring, retrieval and the synthetic logs with the detectors that must find them."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,8 +44,22 @@ def test_run_measures(spark):
 
 
 def test_retrieval(spark):
-    t = retrieval.TfIdf({"c2": "beaconing to a command server", "exfil": "large upload of data to a drop server", "phish": "mail with a link"})
-    assert t.rank("data upload")[0][0] == "exfil" and t.rank("the of") == []
+    kb = spark.createDataFrame([("c2", "beaconing to a command server"), ("exfil", "large upload of data to a drop server"), ("phish", "mail with a link"), ("none", "the of")], "technique string, text string")
+    idf, vectors = retrieval.index(kb, "technique", "text")
+    asked = spark.createDataFrame([(1, "data upload"), (2, "the of"), (3, "server"), (4, "nothing known")], "q int, text string")
+    found = retrieval.ranked(asked, "q", "text", idf, vectors, "technique")
+    got = {(r.q, r.place): (r.technique, r.score) for r in found.collect()}
+    assert got[1, 1][0] == "exfil" and {q for q, _ in got} == {1, 3} and {got[3, 1][0], got[3, 2][0]} == {"c2", "exfil"}
+    # by hand: "data upload" has data and upload, each in one of four documents
+    rare, shared = math.log(5 / 2) + 1, math.log(5 / 3) + 1
+    norm = math.sqrt(10 * rare**2 - rare**2 + shared**2 + 0)
+    words = ["large", "upload", "data", "drop", "server"]
+    pairs = len(words) - 1
+    norm = math.sqrt(4 * rare**2 + shared**2 + pairs * rare**2)
+    assert got[1, 1][1] == pytest.approx(2 * rare * rare / (norm * math.sqrt(2) * rare), abs=1e-8)
+    verdict = spark.createDataFrame([(1, "c2", 0.9, 1), (1, "exfil", 0.1, 2)], "q int, technique string, score double, place int")
+    both = {(r.q, r.place): (r.technique, r.score, r.sources) for r in retrieval.fused({"model": found, "verdict": verdict}, "q", "technique").collect()}
+    assert both[1, 1] == ("c2", 0.9, ["verdict"]) and both[1, 2][0] == "exfil" and both[1, 2][1] == got[1, 1][1] and both[1, 2][2] == ["model", "verdict"]
     v = retrieval.hashed_vector("Data, data and mail")
     assert sum(x * x for x in v) == pytest.approx(1)
     got = spark.range(1).select(retrieval.hashed_counts(F.lit("Data, data and mail")).alias("m")).first().m

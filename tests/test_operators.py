@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import privacy, stats, web
-from tidewatch.operators import detectors, enrich, graph, outliers, overview, sharing, verify, windows
+from tidewatch.operators import communities, detectors, enrich, graph, outliers, overview, paths, sharing, verify, windows
 from tidewatch.rules import compiler
 from tidewatch.rules.rule import shipped
 from tidewatch.session import Tenant
@@ -159,7 +159,7 @@ def test_tenant_scope(spark, tmp_path):
 
 def test_nominations_claim_time(spark):
     rows = spark.createDataFrame([("a", 0, 10, True), ("a", 5, 15, True), ("a", 11, 12, True), ("a", 1, 2, False), ("b", 5, 6, True)], "k string, s int, e int, ok boolean")
-    got = {(r.k, r.s): r.nominated for r in detectors.nominate(rows, ["k"], "s", "e", "ok", ["s"]).collect()}
+    got = {(r.k, r.s): r.nominated for r in detectors.nominate(rows, ["k"], "s", "e", "ok").collect()}
     assert got == {("a", 0): True, ("a", 5): False, ("a", 11): True, ("a", 1): False, ("b", 5): True}
 
 
@@ -226,17 +226,27 @@ def test_isotonic(spark):
     assert (np.diff(curve[1]) >= -1e-12).all() and outliers.isotonic(np.arange(5.0), np.ones(5)) is None
     r = one(spark, a=outliers.calibrated(F.lit(-1.0), curve), b=outliers.calibrated(F.lit(99.0), curve), c=outliers.calibrated(F.lit(float("nan")), None), d=outliers.calibrated(F.lit(-3.0), None, absolute=True))
     assert (r.a, r.b, r.c, r.d) == (curve[1][0], curve[1][-1], 0.0, 1.0)
+    xs = np.sort(np.random.default_rng(1).normal(size=3000))
+    ys = np.arange(3000) / 3000
+    asked = [-9.0, float(xs[0]), float(xs[700]), float((xs[5] + xs[6]) / 2), float(xs[-1]), 9.0]
+    got = [x.y for x in spark.createDataFrame([(v,) for v in asked], "x double").select(outliers.calibrated(F.col("x"), (xs, ys)).alias("y")).collect()]
+    assert got == pytest.approx(np.interp(asked, xs, ys))
 
 
-def test_louvain_and_betweenness():
-    def clique(names):
-        return [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
-
-    g = clique("abcd") + clique("wxyz") + [("d", "w", 0.1)]
-    found = graph.louvain(g)
-    assert len({found[n] for n in "abcd"}) == 1 and len({found[n] for n in "wxyz"}) == 1 and found["a"] != found["z"]
-    assert found == graph.louvain(g)
-    assert graph.betweenness([("a", "b", 1), ("b", "c", 1)]) == {"a": 0.0, "b": 1.0, "c": 0.0}
+def test_curves_of_each_detector(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, float(x), int(rng.random() < x * k)) for d, k in (("a", 1.0), ("b", 0.6)) for x in rng.random(200)] + [("few", 0.5, 1)] * 3 + [("one", float(x), 0) for x in rng.random(20)]
+    df = spark.createDataFrame(rows, "detector string, s double, y int")
+    curves = outliers.isotonic_curves(df, "detector", "s", "y")
+    asked = [(d, x) for d in ("a", "b", "few", "one", "unseen") for x in (-5.0, 0.0, 0.31, 0.77, 2.0, float("nan"), float("inf"), None)]
+    got = {(r.detector, str(r.s)): (r.confidence, r.calibrated) for r in outliers.recalibrated(spark.createDataFrame(asked, "detector string, s double"), curves, "detector", "s").collect()}
+    assert len(got) == len(asked)
+    for d, x in asked:
+        value = 0.0 if x is None or x != x else x
+        curve = outliers.isotonic_fit(df.filter(F.col("detector") == d), "s", "y")
+        assert got[d, str(x)][1] == (d in "ab")
+        want = float(np.interp(value, *curve)) if curve is not None else min(1.0, max(0.0, value))
+        assert got[d, str(x)][0] == pytest.approx(want), (d, x)
 
 
 def test_incident_groups(spark):
@@ -252,14 +262,15 @@ def test_incident_groups(spark):
 
 def test_parts_of_a_chain(spark):
     g = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(40)] + [("x", "y", 1.0), ("z", "z", 1.0)], "a string, b string, weight double")
-    assert {r.node: r.root for r in graph.components(g).collect()} == {f"n{i:02}": "n00" for i in range(41)} | {"x": "x", "y": "x", "z": "z"}
+    assert {r.node: r.root for r in communities.connected(g).collect()} == {f"n{i:02}": "n00" for i in range(41)} | {"x": "x", "y": "x", "z": "z"}
 
 
 def test_weighted_measures(spark):
     """The way round is shorter by weight; a triangle with two weak edges."""
     g = [("a", "b", 5.0), ("a", "c", 1.0), ("c", "b", 1.0), ("b", "d", 1.0)]
-    assert graph.betweenness(g) == {"a": 0.0, "b": 2 / 3, "c": 2 / 3, "d": 0.0}
-    got = {r.node: r.clustering for r in graph.clustering(spark.createDataFrame(g, "a string, b string, weight double")).collect()}
+    frame = spark.createDataFrame(g, "a string, b string, weight double")
+    assert {r.node: r.betweenness for r in paths.betweenness(frame).collect()} == {"a": 0.0, "b": pytest.approx(2 / 3), "c": pytest.approx(2 / 3), "d": 0.0}
+    got = {r.node: r.clustering for r in graph.clustering(frame).collect()}
     t = (1.0 * 0.2 * 0.2) ** (1 / 3)
     assert got == {"a": pytest.approx(t), "b": pytest.approx(2 * t / 6), "c": pytest.approx(t), "d": 0.0}
 
@@ -298,14 +309,6 @@ def test_reverse_map_and_redacted_events(spark):
     assert sorted(x.redactions for x in sharing.redacted_events(e).collect()) == [0, 1]
 
 
-def test_claims():
-    ev = {"E1": {"values": [1.5e6, 0.25], "counts": [42]}}
-    assert verify.claim_status("42 requests sent 1.5 MB, 25%", ["E1"], ev) == "valid"
-    assert verify.claim_status("43 requests", ["E1"], ev) == "unsupported_number"
-    assert verify.claim_status("42", ["E2"], ev) == "unknown_evidence" and verify.claim_status("42", [], ev) == "uncited"
-    assert verify.numbers("1,000 events in 2 hours") == [(1000.0, None), (7200.0, "hours")]
-
-
 def test_evidence_confidence(spark):
     items = spark.createDataFrame([("e", 1, 2.0, True), ("e", 3, 1.0, False), ("f", 1, 2.0, True), ("f", 3, 2.0, True)], "evidence_id string, item int, weight double, met boolean")
     got = {r.evidence_id: (round(r.confidence, 4), r.band) for r in verify.evidence_confidence(items, {3: 0.5}).collect()}

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.stats import clamp01, entropy_bits, robust_z, text_entropy, with_robust_z
 from ..functions.web import is_random_segment, path_segments
+from .asof import claimed
 
 
 def buckets(ev: DataFrame, keys: list[str], seconds: int) -> DataFrame:
@@ -218,27 +216,12 @@ def train_logistic(rows: DataFrame, traits: list[str], label: str) -> tuple[list
 # -- evidence: order, claims ------------------------------------------------------------------------------
 
 
-def nominate(rows: DataFrame, keys: list[str], start: str, end: str, eligible: str, order: list[str]) -> DataFrame:
-    """Add ``nominated``: eligible rows in ``order``, each unless an earlier one claimed an overlapping time of its key."""
-    schema = StructType([*rows.schema.fields, StructField("nominated", BooleanType())])
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        # claims never overlap, so that a new time can only meet the one before and the one after it
-        starts: list = []
-        ends: list = []
-        flags = []
-        for ok, a, b in zip(part[eligible], part[start], part[end], strict=True):
-            at = bisect.bisect_right(starts, b)
-            take = bool(ok) and not (at and ends[at - 1] >= a)
-            if take:
-                starts.insert(at, a)
-                ends.insert(at, b)
-            flags.append(take)
-        part["nominated"] = flags
-        return part
-
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+def nominate(rows: DataFrame, keys: list[str], start: str, end: str, eligible: str) -> DataFrame:
+    """Add ``nominated``: eligible rows by start, then end, each unless an earlier one claimed an overlapping time of its key."""
+    marked = rows.withColumn("_entity", F.to_json(F.struct(*keys)))
+    taken = claimed(marked.filter(F.col(eligible)), "_entity", start, end).withColumnRenamed("claimed", "nominated")
+    rest = marked.filter(~F.coalesce(F.col(eligible), F.lit(False))).withColumn("nominated", F.lit(False))
+    return taken.unionByName(rest).drop("_entity")
 
 
 def symbol_entropy(rows: DataFrame, keys: list[str], symbol: str) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp01, with_robust_z
+from ..scratch import forget, stored
+from .communities import communities, merged_by_overlap
 
 #: Node types with their columns, relations between them, severity bounds, fusion bounds.
 ENTITIES = (("user", "principal"), ("src_ip", "src_ip"), ("domain", "domain"), ("dst_ip", "dst_ip"), ("asn", "asn"), ("country", "country"))
@@ -125,35 +122,6 @@ def graph_signals(features: DataFrame, names: tuple[str, ...] = ("degree", "weig
     return scored.filter(fired).select(F.concat(F.lit("graph."), "feature").alias("detector_key"), "entity_type", "entity_value", "raw_score", "z")
 
 
-def components(g: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected part, by minima of neighbours; rounds are cut by checkpoints."""
-    both = g.select("a", "b").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _cut(both)
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root")
-    while True:
-        label = _cut(label)
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        new = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        # a node takes its root's root as well, so that long chains shrink by halves
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = _cut(new.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")))
-        if not new.filter("root <> was").limit(1).count():
-            return new.select("node", "root")
-        label = new.select("node", "root")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint where the session has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or _checkpoint_dir(df.sparkSession) else df.cache()
-
-
-def _checkpoint_dir(spark) -> bool:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        spark.sparkContext.setCheckpointDir(found)
-    return bool(found)
-
-
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert: the earliest first, the latest last sight, the newer count where there is one."""
     o, n = old.alias("o"), new.alias("n")
@@ -162,106 +130,21 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(pick("type").alias("type"), pick("value").alias("value"), F.least("o.first_us", "n.first_us").alias("first_us"), F.greatest("o.last_us", "n.last_us").alias("last_us"), pick("event_count").alias("event_count"))
 
 
-# -- in one task: a connected part of the neighbourhood of the seeds ------------------------------------------
-
-
-def louvain(graph: list[tuple[str, str, float]], seed: int = 42) -> dict[str, int]:
-    """Communities by greedy modularity, level by level; nodes are visited in an order drawn from the seed."""
-    rng = np.random.default_rng(seed)
-    near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, w in sorted(graph):
-        near[a][b] += w
-        if a != b:
-            near[b][a] += w
-    member = {n: n for n in sorted(near)}
-    while True:
-        total = sum(w for n in near for m, w in near[n].items()) / 2 or 1.0
-        load = {n: sum(near[n].values()) for n in near}
-        place = {n: n for n in near}
-        heavy = dict(load)
-        moved = True
-        while moved:
-            moved = False
-            for n in rng.permutation(sorted(near)).tolist():
-                links: dict[str, float] = defaultdict(float)
-                for m, w in near[n].items():
-                    if m != n:
-                        links[place[m]] += w
-                heavy[place[n]] -= load[n]
-                gain = {c: w - load[n] * heavy[c] / (2 * total) for c, w in links.items()}
-                stay = gain.get(place[n], -load[n] * heavy[place[n]] / (2 * total))
-                best = max(sorted(gain), key=lambda c: gain[c], default=place[n])
-                if gain.get(best, stay) > stay + 1e-12:
-                    place[n], moved = best, True
-                heavy[place[n]] += load[n]
-        if len(set(place.values())) == len(near):
-            break
-        member = {n: place[c] for n, c in member.items()}
-        up: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for n in near:
-            for m, w in near[n].items():
-                up[place[n]][place[m]] += w
-        near = up
-    names = {c: i for i, c in enumerate(sorted(set(member.values())))}
-    return {n: names[c] for n, c in member.items()}
-
-
-def betweenness(graph: list[tuple[str, str, float]]) -> dict[str, float]:
-    """Share of shortest paths through each node, weights being distances, halved and normalized."""
-    near: dict[str, dict[str, float]] = defaultdict(dict)
-    for a, b, w in graph:
-        near[a][b] = near[b][a] = w
-    score = dict.fromkeys(near, 0.0)
-    for source in sorted(near):
-        paths, before, done, far = defaultdict(float), defaultdict(list), [], {source: 0.0}
-        paths[source] = 1.0
-        heap, closed = [(0.0, source)], set()
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in closed:
-                continue
-            closed.add(v)
-            done.append(v)
-            for w, length in near[v].items():
-                step = d + length
-                if w not in far or step < far[w] - 1e-12:
-                    far[w], paths[w], before[w] = step, paths[v], [v]
-                    heapq.heappush(heap, (step, w))
-                elif abs(step - far[w]) <= 1e-12 and w not in closed:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        part = defaultdict(float)
-        for w in reversed(done):
-            for v in before[w]:
-                part[v] += paths[v] / paths[w] * (1 + part[w])
-            if w != source:
-                score[w] += part[w]
-    n = len(near)
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return {v: s * scale for v, s in score.items()}
-
-
 def incident_groups(g: DataFrame, seeds: DataFrame) -> DataFrame:
     """(incident_id, seeds, entities): communities with a seed in the graph one step around the seeds.
 
-    The neighbourhood is cut out by joins and taken apart into its connected parts, each of which is a group of
-    its own; communities never cross parts.  A group holds the edges of one part.  incident_id is the smallest
-    entity of the community.
+    The neighbourhood is cut out by joins.  Communities whose seeds overlap by half of the smaller are one incident.
+    incident_id is the smallest entity.
     """
     on = seeds.select(F.col("node").alias("_s")).distinct()
     ends = g.withColumn("node", F.explode(F.array("a", "b"))).join(on, F.col("node") == F.col("_s"), "left_semi")
     around = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    inner = _cut(g.join(around.withColumnRenamed("node", "a"), "a", "left_semi").join(around.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "weight"))
-    parted = inner.join(components(inner).select(F.col("node").alias("a"), "root"), "a")
-
-    def communities(part: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(part["a"], part["b"], part["weight"], strict=True)))
-        return pd.DataFrame({"root": part["root"].iloc[0], "node": list(found), "community": list(found.values())})
-
-    named = parted.groupBy("root").applyInPandas(communities, "root string, node string, community int")
-    marked = named.join(on.withColumnRenamed("_s", "node").withColumn("seed", F.lit(True)), "node", "left")
-    grouped = marked.groupBy("root", "community").agg(F.array_sort(F.collect_list(F.when(F.col("seed"), F.col("node")))).alias("seeds"), F.array_sort(F.collect_list("node")).alias("entities"))
-    return grouped.filter(F.size("seeds") > 0).select(F.element_at("entities", 1).alias("incident_id"), "seeds", "entities")
+    inner = stored(g.join(around.withColumnRenamed("node", "a"), "a", "left_semi").join(around.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "weight"), "neighbourhood")
+    marked = stored(communities(inner).join(on.withColumnRenamed("_s", "node").withColumn("seed", F.lit(True)), "node", "left"), "communities")
+    forget(inner)
+    held = merged_by_overlap(marked.filter("seed").select(F.col("community").alias("set"), F.col("node").alias("element")))
+    grouped = marked.join(held.withColumnRenamed("set", "community"), "community").groupBy("merged").agg(F.array_sort(F.collect_set(F.when(F.col("seed"), F.col("node")))).alias("seeds"), F.array_sort(F.collect_set("node")).alias("entities"))
+    return grouped.select(F.element_at("entities", 1).alias("incident_id"), "seeds", "entities")
 
 
 def incident_signals(groups: DataFrame, signals: DataFrame) -> DataFrame:

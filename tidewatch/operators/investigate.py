@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that one answer has at most, minutes that a timeline is padded by at most, percentile from which a row is nominated, incidents that are triaged.
-ROWS, PAD_MINUTES, NOMINATED, TRIAGED = 200, 24 * 60, 99.5, 15
+ROWS, PAD_MINUTES, NOMINATED, TRIAGED = 200, 24 * 60, 99.5, 20
 #: Domains looked at for their meaning, and contacts of the organisation up to which one is rare.
 CANDIDATES, RARE_CONTACTS = 20, 2
 #: Columns that all layers' signals share.

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 #: Rows that a model holds at most of either part, the confidence from which a window is reported, the later part of the time.
 FIT_ROWS, REPORT, HELD = 50_000, 0.995, 0.1
 
@@ -406,10 +408,50 @@ def calibrated(score: Column, curve: tuple[np.ndarray, np.ndarray] | None, absol
     if curve is None:
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     xs, ys = (a.tolist() for a in curve)
-    out = F.lit(ys[-1])
-    for (a, fa), (b, fb) in reversed(list(zip(zip(xs, ys, strict=True), zip(xs[1:], ys[1:], strict=True), strict=False))):
-        out = F.when(x <= b, F.lit(fa) + (F.lit(fb - fa) * (x - a) / (b - a) if b > a else F.lit(0.0))).otherwise(out)
-    return F.when(x <= xs[0], F.lit(ys[0])).otherwise(out)
+    # the number of corners below x, by two looks at constant arrays: among every step-th corner, then among one step's
+    step = math.isqrt(len(xs) - 1) + 1
+    parts = [xs[i : i + step] for i in range(0, len(xs), step)]
+    literal = lambda v: F.array(*[F.lit(float(u)) for u in v])
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < x))
+    coarse = below(literal([p[0] for p in parts[1:]])) if len(parts) > 1 else F.lit(0)
+    at = coarse * step + below(F.element_at(F.array(*[literal(p) for p in parts]), coarse + 1))
+    corner = lambda v, i: F.element_at(literal(v), i)
+    return F.when(at == 0, F.lit(ys[0])).when(at == len(xs), F.lit(ys[-1])).otherwise(_between(x, corner(xs, at), corner(ys, at), corner(xs, at + 1), corner(ys, at + 1)))
+
+
+def _between(x: Column, a: Column, fa: Column, b: Column, fb: Column) -> Column:
+    return F.when(b > a, fa + (fb - fa) * (x - a) / (b - a)).otherwise(fb)
+
+
+def isotonic_curves(rows: DataFrame, key: str, score_: str, y: str, least: int = 8) -> DataFrame:
+    """(key, x0, y0, x1, y1): of each detector with a curve its segments, the first and last open; detectors are few.
+
+    The curves are a table: how many corners they have is no matter to a plan that reads them.
+    """
+    spark = rows.sparkSession
+    segments = []
+    for r in rows.select(key).distinct().orderBy(key).collect():
+        curve = isotonic_fit(rows.filter(F.col(key) == r[0]), score_, y, least)
+        if curve is not None:
+            xs, ys = [-math.inf, *curve[0].tolist(), math.inf], [float(curve[1][0]), *curve[1].tolist(), float(curve[1][-1])]
+            # of corners at one score the last holds from it on
+            segments += [(r[0], a, fa, b, fb) for a, fa, b, fb in zip(xs, ys, xs[1:], ys[1:], strict=False) if b > a]
+    return spark.createDataFrame(segments, f"{key} string, x0 double, y0 double, x1 double, y1 double")
+
+
+def recalibrated(signals: DataFrame, curves: DataFrame, key: str, score_: str) -> DataFrame:
+    """``signals`` with ``confidence`` on its detector's curve and ``calibrated``; without a curve the score held in 0 to 1, and false.
+
+    A missing or undefined score counts as 0.  The segment is found by an as-of join on the score.
+    """
+    x = F.col("_x")
+    clean = F.when(F.col(score_).isNull() | F.isnan(score_), F.lit(0.0)).otherwise(F.col(score_).cast("double"))
+    low = F.greatest(F.col("x0"), F.lit(-1e6)).alias("_x")
+    found = asof_join(signals.withColumn("_x", F.least(F.greatest(clean, F.lit(-1e6)), F.lit(1e6))), curves.select(key, low, "x0", "y0", "x1", "y1"), key, "_x", ["x0", "y0", "x1", "y1"], bucket=1)
+    inside = F.when((F.col("x0") == -math.inf) | (F.col("x1") == math.inf), F.col("y0")).otherwise(_between(x, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    known = F.col("y0").isNotNull()
+    out = found.withColumn("confidence", F.when(known, inside).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))))
+    return out.withColumn("calibrated", known).drop("_x", "x0", "y0", "x1", "y1")
 
 
 # -- measures of quality ------------------------------------------------------------------------------------

@@ -1,54 +1,86 @@
-"""Text vectors for small knowledge bases: hashed counts, TF-IDF over one and two words, cosine ranking."""
+"""Retrieval from text: an inverted index of terms of one and two words, cosine ranking by join, fusion, hashed counts."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
-from collections import Counter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import forget, stored
+
 #: Words that carry no meaning here.
 STOP_WORDS = frozenset("a an and are as at be by for from has in is it its of on or that the this to was were will with".split())
 
 
-def words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w and w not in STOP_WORDS]
+def words(text: Column) -> Column:
+    """The words of a text, lower case, without stop words."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
 
 
-def _terms(text: str) -> Counter:
+def terms(text: Column) -> Column:
+    """Words and pairs of words that follow each other."""
     w = words(text)
-    return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    pairs = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))
+    return F.concat(w, pairs)
+
+
+def counted_terms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n): how often each term is in each text."""
+    return rows.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unit(weighted: DataFrame, key: str) -> DataFrame:
+    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def index(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """An inverted index: (term, idf) and unit vectors (key, term, weight); inverse frequencies are smoothed.
+
+    Documents without a term are in no row, but count as documents.
+    """
+    counts = stored(counted_terms(documents, key, text), "terms")
+    n = documents.count()
+    idf = stored(counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf")), "idf")
+    vectors = stored(_unit(counts.join(idf, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w")), key), "vectors")
+    forget(counts)
+    return idf, vectors
+
 
+def ranked(queries: DataFrame, query: str, text: str, idf: DataFrame, vectors: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """(query, key, score, place): of each query's text the k nearest documents by cosine above 0, ties by key.
 
-class TfIdf:
-    """A ranking over a bounded set of documents; smoothed inverse frequencies, unit vectors."""
+    Terms that no document has count for nothing, also in a query's length.  A query meets only documents that share a term.
+    """
+    asked = _unit(counted_terms(queries, query, text).join(idf, "term").select(query, "term", (F.col("n") * F.col("idf")).alias("w")), query)
+    dots = asked.withColumnRenamed("weight", "_q").join(vectors, "term").groupBy(query, key).agg(F.round(F.sum(F.col("_q") * F.col("weight")), 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
+    return dots.filter("score > 0").withColumn("place", place).filter(F.col("place") <= k)
 
-    def __init__(self, documents: dict[str, str]):
-        counts = {k: _terms(t) for k, t in documents.items()}
-        seen = Counter(t for c in counts.values() for t in c)
-        n = len(documents)
-        self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in seen.items()}
-        self.vectors = {k: self._unit(c) for k, c in counts.items()}
 
-    def _unit(self, counts: Counter) -> dict[str, float]:
-        v = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+def fused(found: dict[str, DataFrame], query: str, key: str, k: int = 5) -> DataFrame:
+    """(query, key, score, sources, place) of several rankings: a document has the highest of its scores and the names of all that found it.
 
-    def rank(self, query: str, k: int = 5) -> list[tuple[str, float]]:
-        """The k best documents above 0, ties in their order."""
-        q = self._unit(_terms(query))
-        scored = [(key, sum(x * v.get(t, 0.0) for t, x in q.items())) for key, v in self.vectors.items()]
-        return [(key, s) for key, s in sorted(scored, key=lambda p: -p[1]) if s > 0][:k]
+    Of equal scores the one that an earlier ranking, then a better place has comes first.
+    """
+    parts = [df.select(query, key, "score", F.lit(i).alias("_i"), "place", F.lit(name).alias("source")) for i, (name, df) in enumerate(found.items())]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    first = F.min(F.struct("_i", "place")).alias("_first")
+    both = rows.groupBy(query, key).agg(F.max("score").alias("score"), first, F.transform(F.array_sort(F.collect_set(F.struct("_i", "source"))), lambda x: x["source"]).alias("sources"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "_first"))
+    return both.withColumn("place", place).filter(F.col("place") <= k).drop("_first")
 
 
 def hashed_vector(text: str, size: int = 1024) -> list[float]:
     """Counts of words at hashed places, as a unit vector."""
     out = [0.0] * size
-    for w in words(text):
+    for w in re.split(r"[^a-z0-9]+", text.lower()):
+        if not w or w in STOP_WORDS:
+            continue
         out[zlib.crc32(w.encode()) % size] += 1
     norm = math.sqrt(sum(x * x for x in out))
     return [x / norm for x in out] if norm else out
@@ -56,6 +88,5 @@ def hashed_vector(text: str, size: int = 1024) -> list[float]:
 
 def hashed_counts(text: Column, size: int = 1024) -> Column:
     """The same places as a map from place to count, within Catalyst."""
-    kept = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
-    places = F.transform(kept, lambda w: (F.crc32(w) % size).cast("int"))
+    places = F.transform(words(text), lambda w: (F.crc32(w) % size).cast("int"))
     return F.map_from_entries(F.transform(F.array_distinct(places), lambda p: F.struct(p, F.size(F.filter(places, lambda x: x == p)))))

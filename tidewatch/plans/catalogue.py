@@ -393,7 +393,7 @@ def generated_names(spark, sf_dir):
 def nominations(spark, sf_dir):
     b = detectors.bursts(events(spark, sf_dir, "principal", "us"), "principal", 21_600)
     rows = b.select("entity_value", F.col("bucket_us").alias("start_us"), (F.col("bucket_us") + 43_200_000_000).alias("end_us"), "confidence", (F.col("n") >= 2).alias("eligible"))
-    return _rounded(detectors.nominate(rows, ["entity_value"], "start_us", "end_us", "eligible", ["start_us"]), "confidence")
+    return _rounded(detectors.nominate(rows, ["entity_value"], "start_us", "end_us", "eligible"), "confidence")
 
 
 @query("""WITH {EV}, c AS (SELECT principal, domain, count(*) AS n FROM ev GROUP BY 1, 2) SELECT principal, round(-sum(n * 1.0 / t * log2(n * 1.0 / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY principal) AS t FROM c) GROUP BY 1""")
@@ -1016,7 +1016,7 @@ def incidents_needing_attention(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", investigate.needs_attention(d, v).alias("needs_attention"))
 
 
-@query("SELECT o_orderkey AS incident_id, round(o_totalprice, 2) AS fused_score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+@query("SELECT o_orderkey AS incident_id, round(o_totalprice, 2) AS fused_score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def triage_queue(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_totalprice").alias("fused_score"))
     return _rounded(investigate.to_triage(rows), "fused_score", digits=2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue
+from .plans import catalogue, time_and_paths  # noqa: F401 - registers its queries
 
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL
