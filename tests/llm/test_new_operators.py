@@ -226,7 +226,7 @@ def test_learned_spans_on_held_out_rows(spark, people):
 
 def test_personal_data_of_awkward_rows(spark, awkward, people):  # noqa: F811
     model = pii.learn(people)
-    extra = frame(spark, ["a@b.c 1.2.3.4 4111111111111111 +1 (234) 555-0000", "é🙂 x@y.zz", "jo (at) mail1.example.com, 10[.]0[.]0[.]1"], [60, 61, 62])
+    extra = frame(spark, ["a@b.c 1.2.3.4 x 4111111111111111 x +1 (234) 555-0000", "é🙂 x@y.zz", "jo (at) mail1.example.com, 10[.]0[.]0[.]1"], [60, 61, 62])
     rows = awkward.select("doc_id", "text").unionByName(extra.select("doc_id", "text")).withColumn("spans", F.lit("clash"))
     got = pii.personal_data(rows, model).collect()
     assert len(got) == len(AWKWARD) + 3 and collections.Counter(r["doc_id"] for r in got) == collections.Counter([*AWKWARD_IDS, 60, 61, 62])
@@ -241,7 +241,7 @@ def test_personal_data_of_awkward_rows(spark, awkward, people):  # noqa: F811
     nothing = pii.learn(rows.limit(0))
     assert nothing.trees is None and pii.all_spans("jo (at) a.b 1.2.3.4", nothing)[1] == [pii.Span(12, 1, 19)]
     hidden = {r["doc_id"]: r["text"] for r in pii.redacted(extra, model).collect()}
-    assert hidden[60] == "[EMAIL] [IP] [CARD] [PHONE]" and hidden[61] == "é🙂 [EMAIL]"
+    assert hidden[60] == "[EMAIL] [IP] x [CARD] x [PHONE]" and hidden[61] == "é🙂 [EMAIL]"
 
 
 def test_op13_on_the_table(spark):
@@ -250,3 +250,33 @@ def test_op13_on_the_table(spark):
     for r in queries.op13_personal_data(spark, DATA).collect():
         base = pii.listed([pii.Span(*s) for s in slow_base(texts[r["doc_id"]])])
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+# --- the pipeline's near-dedup
+
+
+def test_a_shared_passage_makes_no_square_of_pairs(spark, monkeypatch):
+    """Texts that share a passage, at a likeness of 0.77, are in one bucket; next to none of their pairs is compared."""
+    from tidewatch.llm import jaccard
+
+    rng, words, seen = np.random.default_rng(0), [f"w{i}" for i in range(5000)], []
+    keep = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, reps, texts: seen.append((kept := jaccard.stored(pairs, "pairs")).count()) or keep(kept, reps, texts))
+    passage = " ".join(rng.choice(words, 56))
+    for n in (150, 300, 600):
+        texts = [passage + " " + " ".join(rng.choice(words, 8)) for _ in range(n)]
+        near = [texts[0] + " more", texts[1] + " more"]
+        seen.clear()
+        groups = jaccard.near_groups(frame(spark, texts + near))
+        assert groups.select("component_id").distinct().count() == n
+        assert sum(seen) <= 4 * n  # of n^2 / 2 pairs
+
+
+def test_loads_are_counts_of_texts(spark):
+    from tidewatch.llm import jaccard
+
+    texts = ["a b c d e f", "a b c d e f", "x a b c d e", None, "", "one"]
+    loads = jaccard.shingle_loads(frame(spark, texts))
+    want = collections.Counter(int(h >> np.uint64(40)) for t in texts for h in jaccard.shingle_set(t or ""))
+    assert {i: int(loads[i]) for i in np.flatnonzero(loads)} == want
+    assert not jaccard.shingle_loads(frame(spark, [])).any()
