@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
+from onetask import KthNeighbour, LocalOutlierFactor, Reduced  # noqa: E402
+
 from tidewatch import registry  # noqa: E402
 from tidewatch.operators import detectors, outliers, windows  # noqa: E402
 from tidewatch.plans import catalogue  # noqa: E402
@@ -113,26 +115,30 @@ def summaries(spark, duck):
 
 
 def model(kind):
+    """Scores by forms that hold all rows in one task, confidences by counting."""
+
     def check(spark, duck):
         got = {r.vec_id: r for r in registry.QUERIES[f"outliers_{kind}"](spark, DATA).collect()}
         rows = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
         ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
         early = ids <= ids.min() + (ids.max() - ids.min()) * 0.9
         mean, sd = x[early].mean(0), x[early].std(0)
-        d = outliers.fitted(catalogue._vectors(spark, DATA), [kind], order="vec_id")[kind]
-        assert np.allclose(d.scale.mean, mean) and np.allclose(d.scale.sd, sd) and len(d.calibration) == (~early).sum()
         z = (x - mean) / sd
-        if kind == "mahalanobis":
-            c, p = d.model.centre, d.model.precision
-            s = np.array([np.sqrt(max(0.0, (r - c) @ p @ (r - c))) for r in z])
-        elif kind.endswith("pca"):
-            _, values, axes = np.linalg.svd(z[early] - z[early].mean(0), full_matrices=False)
-            keep = int(np.searchsorted(np.cumsum(values**2) / (values**2).sum(), 0.95)) + 1
-            y = (z - z[early].mean(0)) @ axes[:keep].T
-            apart = np.sort(np.linalg.norm(y[:, None] - y[early][None], axis=2), axis=1)
-            s = apart[:, 19] if kind == "kth_nn_pca" else d.model.scores(z)
-        else:
+        if kind in outliers.MODELS:
+            d = outliers.fitted(catalogue._vectors(spark, DATA), [kind], order="vec_id")[kind]
+            assert np.allclose(d.scale.mean, mean) and np.allclose(d.scale.sd, sd)
             s = d.model.scores(z)
+        elif kind == "mahalanobis":
+            base = z[early]
+            lower = lambda v, q: np.quantile(v, q, axis=0, method="inverted_cdf")
+            far = np.abs(base - lower(base, 0.5)).sum(1)
+            for _ in range(10):
+                kept = base[far <= lower(far, 0.75)]
+                centre, precision = kept.mean(0), np.linalg.inv(np.cov(kept.T) + 1e-6 * np.eye(base.shape[1]))
+                far = np.sqrt(np.einsum("ij,jk,ik->i", base - centre, precision, base - centre))
+            s = np.sqrt(np.einsum("ij,jk,ik->i", z - centre, precision, z - centre))
+        else:
+            s = Reduced(z[early], KthNeighbour if kind == "kth_nn_pca" else LocalOutlierFactor).scores(z)
         late = np.sort(s[~early])
         for i, v in zip(ids, s, strict=True):
             assert got[i].raw_score == pytest.approx(v, abs=2e-6) and abs(got[i].confidence - np.searchsorted(late, v + 1e-9, "right") / len(late)) <= 1.01 / len(late)

@@ -1,8 +1,8 @@
-"""Unsupervised outlier scores of feature vectors, their confidence, explanations and calibration.
+"""Isolation forests over feature vectors, their confidence and explanations; curves that calibrate scores; measures of quality.
 
 The rows before a point of time are fitted on, those after it tell how high scores go by themselves.  Means and
-deviations are aggregates over all fitted rows; models hold a bounded sample of them, reach the executors once,
-and score all rows in batches.
+deviations are aggregates over all fitted rows.  A forest looks at TREES times SIZE of them at most, which is how it is
+defined; it reaches the executors once and scores all rows in batches.  ``novelty`` has the scores that need all rows.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from .asof import asof_join
 
-#: Rows that a model holds at most of either part, the confidence from which a window is reported, the later part of the time.
-FIT_ROWS, REPORT, HELD = 50_000, 0.995, 0.1
+#: Trees of a forest and rows that each is grown on, the confidence from which a window is reported, the later part of the time.
+TREES, SIZE, REPORT, HELD = 200, 256, 0.995, 0.1
+#: Quantiles of all later rows' scores that a model is calibrated by: confidences are right to one in so many.
+GRID = 4000
 
 
-def sample(rows: DataFrame, column: str = "features", most: int = FIT_ROWS, seed: int = 7) -> np.ndarray:
+def sample(rows: DataFrame, column: str = "features", most: int = TREES * SIZE, seed: int = 7) -> np.ndarray:
     """About ``most`` vectors by the smallest hashes of their content; all of them if there are fewer.  In the order of their hashes."""
     place = F.xxhash64(F.lit(seed), column)
     n = rows.count()
@@ -61,7 +63,7 @@ class ExtendedForest:
     and all rows of a batch go down a tree together.
     """
 
-    def __init__(self, x: np.ndarray, trees: int = 200, size: int = 256, seed: int = 42, free: int | None = None):
+    def __init__(self, x: np.ndarray, trees: int = TREES, size: int = SIZE, seed: int = 42, free: int | None = None):
         rng = np.random.default_rng(seed)
         d = x.shape[1]
         self.size = min(size, len(x))
@@ -125,149 +127,21 @@ class ExtendedForest:
 class IsolationForest(ExtendedForest):
     """Axis-parallel cuts: one free coordinate."""
 
-    def __init__(self, x: np.ndarray, trees: int = 200, size: int = 256, seed: int = 42):
+    def __init__(self, x: np.ndarray, trees: int = TREES, size: int = SIZE, seed: int = 42):
         super().__init__(x, trees, size, seed, free=1)
 
 
-def _nearest(x: np.ndarray, base: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and places of the k nearest rows of ``base``, in blocks.
-
-    Candidates, some more than k, come from products of matrices; their distances are then taken one by one, so
-    that a row's do not depend on the rows that it is asked with.
-    """
-    k = min(k, len(base))
-    more = min(len(base), k + 8)
-    dist, place = np.empty((len(x), k)), np.empty((len(x), k), np.int64)
-    norm = (base**2).sum(1)
-    for a in range(0, len(x), block):
-        part = x[a : a + block]
-        d = (part**2).sum(1)[:, None] + norm - 2 * part @ base.T
-        at = np.sort(np.argpartition(d, more - 1, axis=1)[:, :more], axis=1)
-        apart = part[:, None, :] - base[at]
-        near = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
-        order = np.argsort(near, axis=1, kind="stable")[:, :k]
-        dist[a : a + block] = np.take_along_axis(near, order, 1)
-        place[a : a + block] = np.take_along_axis(at, order, 1)
-    return dist, place
-
-
-class KthNeighbour:
-    def __init__(self, x: np.ndarray, k: int = 20):
-        self.base, self.k = x, k
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.base, self.k)[0][:, -1]
-
-    def parts(self, x: np.ndarray) -> np.ndarray:
-        """The way to the k-th neighbour, coordinate by coordinate."""
-        return x - self.base[_nearest(x, self.base, self.k)[1][:, -1]]
-
-
-class LocalOutlierFactor:
-    """Novelty form: density of a row's neighbours over its own."""
-
-    def __init__(self, x: np.ndarray, k: int = 20):
-        self.base, self.k = x, min(k, len(x) - 1)
-        dist, place = _nearest(x, x, self.k + 1)
-        dist, place = dist[:, 1:], place[:, 1:]
-        self.reach = dist[:, -1]
-        self.density = 1 / (np.maximum(dist, self.reach[place]).mean(1) + 1e-10)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        dist, place = _nearest(x, self.base, self.k)
-        own = 1 / (np.maximum(dist, self.reach[place]).mean(1) + 1e-10)
-        return self.density[place].mean(1) / own
-
-    def parts(self, x: np.ndarray) -> np.ndarray:
-        """The way from the neighbours' mean."""
-        return x - self.base[_nearest(x, self.base, self.k)[1]].mean(1)
-
-
-class Mahalanobis:
-    """Distance from a robust centre: the covariance of the ``support`` share of rows closest to it, refined in steps."""
-
-    def __init__(self, x: np.ndarray, support: float = 0.75, steps: int = 10):
-        h = max(2, int(support * len(x)))
-        rows = np.argsort(np.abs(x - np.median(x, 0)).sum(1), kind="stable")[:h]
-        for _ in range(steps):
-            self.centre = x[rows].mean(0)
-            cov = np.cov(x[rows].T).reshape(x.shape[1], -1) + 1e-6 * np.eye(x.shape[1])
-            self.precision = np.linalg.inv(cov)
-            new = np.argsort(self.scores(x), kind="stable")[:h]
-            if np.array_equal(np.sort(new), np.sort(rows)):
-                break
-            rows = new
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        d = x - self.centre
-        return np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", d, self.precision, d)))
-
-    def parts(self, x: np.ndarray) -> np.ndarray:
-        """Each coordinate's share of the squared distance."""
-        d = x - self.centre
-        return d * (d @ self.precision)
-
-
-class TailProbability:
-    """Sum over columns of the negative log of the tail beyond a value; the tail by the column's skew."""
-
-    def __init__(self, x: np.ndarray):
-        self.columns = np.sort(x, 0)
-        c = x - x.mean(0)
-        self.skew = np.sign((c**3).mean(0))
-
-    def _tails(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.columns)
-        left, right = np.empty_like(x), np.empty_like(x)
-        for j in range(x.shape[1]):
-            left[:, j] = -np.log((np.searchsorted(self.columns[:, j], x[:, j], "right") + 1) / (n + 1))
-            right[:, j] = -np.log((n - np.searchsorted(self.columns[:, j], x[:, j], "left") + 1) / (n + 1))
-        return left, right
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        left, right = self._tails(x)
-        skewed = np.where(self.skew < 0, left, right)
-        return np.maximum.reduce([left.sum(1), right.sum(1), skewed.sum(1)])
-
-    def parts(self, x: np.ndarray) -> np.ndarray:
-        """Each column's rarer tail."""
-        return np.maximum(*self._tails(x))
-
-
-MODELS = {"eif": ExtendedForest, "iforest": IsolationForest, "kth_nn": KthNeighbour, "lof": LocalOutlierFactor, "mahalanobis": Mahalanobis, "ecod": TailProbability}
-
-
-class Reduced:
-    """Another model behind the principal axes that hold ``share`` of the variance."""
-
-    def __init__(self, x: np.ndarray, model, share: float = 0.95):
-        self.mean = x.mean(0)
-        _, s, v = np.linalg.svd(x - self.mean, full_matrices=False)
-        k = int(np.searchsorted(np.cumsum(s**2) / max(1e-12, (s**2).sum()), share) + 1)
-        self.axes = v[:k].T
-        self.model = model((x - self.mean) @ self.axes)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.model.scores((x - self.mean) @ self.axes)
-
-    def parts(self, x: np.ndarray) -> np.ndarray:
-        """The axes' parts, dealt back to the columns by their weights."""
-        return np.abs(self.model.parts((x - self.mean) @ self.axes)) @ np.abs(self.axes.T)
-
-
-#: The neighbour models behind principal axes.
-MODELS |= {"kth_nn_pca": lambda x: Reduced(x, KthNeighbour), "lof_pca": lambda x: Reduced(x, LocalOutlierFactor)}
+MODELS = {"eif": ExtendedForest, "iforest": IsolationForest}
 
 
 class Detector:
-    """Scaler, model and the sorted scores of a calibration part; confidence is the share of those not above a score."""
+    """Scaler, forest and the sorted quantiles of a calibration part's scores; confidence is the share of those not above a score."""
 
-    def __init__(self, kind: str, names: list[str], fitted: np.ndarray, held: np.ndarray | None = None, scale: Scaler | None = None):
+    def __init__(self, kind: str, names: list[str], fitted: np.ndarray, scale: Scaler | None = None):
         self.kind, self.names = kind, names
         self.scale = scale or Scaler(fitted.mean(0), fitted.std(0))
         self.model = MODELS[kind](self.scale(fitted))
-        self.calibration = np.zeros(0)
-        self.calibration = np.sort(self.raw(fitted if held is None or not len(held) else held))
+        self.calibration = np.sort(self.raw(fitted))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.nan_to_num(self.model.scores(self.scale(x)), nan=0.0, posinf=1e12, neginf=-1e12)
@@ -282,19 +156,24 @@ class Detector:
         return [[(self.names[j], round(float(row[j]), 6)) for j in np.argsort(-np.abs(row), kind="stable")[:top]] for row in parts]
 
 
-def fitted(rows: DataFrame, kinds: list[str], names: list[str] | None = None, column: str = "features", order: str = "hour_us", held: float = HELD, most: int = FIT_ROWS) -> dict[str, Detector]:
-    """Detectors fitted on the rows of the earlier part of the time that ``order`` spans, calibrated on those of the last ``held`` of it.
+def fitted(rows: DataFrame, kinds: list[str], names: list[str] | None = None, column: str = "features", order: str = "hour_us", held: float = HELD) -> dict[str, Detector]:
+    """Forests fitted on the rows of the earlier part of the time that ``order`` spans, calibrated on all rows of the last ``held`` of it.
 
-    Without later rows the calibration is on the fitted ones.  Of either part a model holds ``most`` rows.
+    Without later rows the calibration is on the fitted ones.
     """
     low, high = rows.agg(F.min(order), F.max(order)).first()
     if low is None:
         raise ValueError("no rows to fit on")
     cut = low + (high - low) * (1 - held)
-    early = rows.filter(F.col(order) <= F.lit(cut))
+    early, late = rows.filter(F.col(order) <= F.lit(cut)), rows.filter(F.col(order) > F.lit(cut))
+    late = late if late.limit(1).count() else early
     scale = Scaler(*moments(early, column))
-    x, rest = sample(early, column, most), sample(rows.filter(F.col(order) > F.lit(cut)), column, most)
-    return {k: Detector(k, names or [f"x{i}" for i in range(x.shape[1])], x, rest, scale) for k in kinds}
+    x = sample(early, column)
+    out = {k: Detector(k, names or [f"x{i}" for i in range(x.shape[1])], x, scale) for k in kinds}
+    for d in out.values():
+        steps = [(i + 0.5) / GRID for i in range(GRID)]
+        d.calibration = np.array(score(late.select(column), d, column).agg(F.percentile_approx("raw_score", steps, 100 * GRID)).first()[0])
+    return out
 
 
 def score(rows: DataFrame, detector: Detector, column: str = "features", explain: int = 0) -> DataFrame:
@@ -322,42 +201,33 @@ def reported(scored: DataFrame, least: float = REPORT) -> DataFrame:
     return scored.filter(F.col("confidence") >= least)
 
 
-def save(spark: SparkSession, path: str, detectors: dict[str, Detector]) -> None:
-    """Detectors as rows of (kind, names, arrays) in a table that driver and executors share; PCA variants keep their inner model."""
+def _packed(x: object) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **{k: v for k, v in vars(x).items() if isinstance(v, (np.ndarray, int, float, np.generic))})
+    return out.getvalue()
 
-    def packed(x: object) -> bytes:
-        plain = {k: v for k, v in vars(x).items() if isinstance(v, (np.ndarray, int, float, np.generic))}
-        out = io.BytesIO()
-        np.savez(out, **plain)
-        return out.getvalue()
 
-    rows = []
-    for kind, d in detectors.items():
-        inner = getattr(d.model, "model", None)
-        rows.append((kind, json.dumps(d.names), packed(d.scale), packed(d.model), type(inner).__name__ if inner is not None else None, packed(inner) if inner is not None else None, d.calibration.tolist()))
-    spark.createDataFrame(rows, "kind string, names string, scale binary, model binary, inner_kind string, inner_model binary, calibration array<double>").write.mode("overwrite").parquet(path)
+def _filled(cls: type, data: bytes) -> object:
+    x = object.__new__(cls)
+    for k, v in np.load(io.BytesIO(data)).items():
+        setattr(x, k, v if v.ndim else v.item())
+    return x
 
 
-def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, Detector]:
-    """The detectors of a table; raises if they were fitted on other columns."""
-    classes = {c.__name__: c for c in (ExtendedForest, IsolationForest, KthNeighbour, LocalOutlierFactor, Mahalanobis, TailProbability)}
+def save(spark: SparkSession, path: str, detectors: dict[str, Detector]) -> None:
+    """Detectors as rows of (kind, names, arrays) in a table that driver and executors share."""
+    rows = [(kind, json.dumps(d.names), _packed(d.scale), _packed(d.model), d.calibration.tolist()) for kind, d in detectors.items()]
+    spark.createDataFrame(rows, "kind string, names string, scale binary, model binary, calibration array<double>").write.mode("overwrite").parquet(path)
 
-    def filled(cls: type, data: bytes) -> object:
-        x = object.__new__(cls)
-        for k, v in np.load(io.BytesIO(data)).items():
-            setattr(x, k, v if v.ndim else v.item())
-        return x
 
+def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, Detector]:
+    """The detectors of a table; raises if they were fitted on other columns."""
     out = {}
     for r in spark.read.parquet(path).collect():  # a row a model
         if json.loads(r["names"]) != names:
             raise ValueError("the models were fitted on other columns")
         d = object.__new__(Detector)
-        d.kind, d.names, d.scale, d.calibration = r["kind"], names, filled(Scaler, r["scale"]), np.array(r["calibration"])
-        plain = MODELS[r["kind"]]
-        d.model = filled(plain if isinstance(plain, type) else Reduced, r["model"])
-        if r["inner_kind"]:
-            d.model.model = filled(classes[r["inner_kind"]], r["inner_model"])
+        d.kind, d.names, d.scale, d.model, d.calibration = r["kind"], names, _filled(Scaler, r["scale"]), _filled(MODELS[r["kind"]], r["model"]), np.array(r["calibration"])
         out[r["kind"]] = d
     return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy, stats, web
-from ..operators import baseline, detectors, enrich, graph, investigate, outliers, overview, sharing, windows
+from ..operators import baseline, detectors, enrich, graph, investigate, novelty, outliers, overview, sharing, windows
 from ..operators import incidents as incident_texts
 from ..rules import compiler
 from ..rules.fields import with_fields
@@ -526,13 +526,16 @@ _OUTLIER_SQL = {
 def _outliers(kind: str) -> Query:
     def run(spark, sf_dir):
         rows = _vectors(spark, sf_dir)
-        found = outliers.score(rows, outliers.fitted(rows, [kind], order="vec_id")[kind])
+        if kind in novelty.SCORES:
+            found = novelty.scored(rows, kind, "vec_id", "features", "vec_id").withColumnRenamed("id", "vec_id")
+        else:
+            found = outliers.score(rows, outliers.fitted(rows, [kind], order="vec_id")[kind])
         return found.select("vec_id", F.round("raw_score", 6).alias("raw_score"), F.round("confidence", 6).alias("confidence"))
 
     return run
 
 
-for _kind in outliers.MODELS:
+for _kind in (*outliers.MODELS, *novelty.SCORES):
     query(f"WITH {_SCALED_SQL} {_OUTLIER_SQL[_kind]} {_CONFIDENCE_SQL}" if _kind in _OUTLIER_SQL else None, name=f"outliers_{_kind}")(_outliers(_kind))
 
 
