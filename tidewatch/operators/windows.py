@@ -62,15 +62,14 @@ def entity_windows(ev: DataFrame, key: str, wanted: tuple[str, ...] = FEATURES)
     by = Window.partitionBy(key, "hour_us").orderBy("us", "id")
     if need & {"iat_mean", "iat_cv", "iat_min", "burstiness"}:
         rows = rows.withColumn("gap", (F.col("us") - F.lag("us").over(by)) / 1e6)
-    if need & {"mean_domain_entropy", "max_domain_entropy"}:
-        fresh = F.row_number().over(Window.partitionBy(key, "hour_us", "reg").orderBy("us", "id")) == 1
-        rows = rows.withColumn("_label", F.when(fresh & F.col("reg").isNotNull(), text_entropy(F.element_at(F.split("reg", r"\."), 1))))
     hour = (F.col("us") % (24 * HOUR)) / HOUR
     day = F.pmod(F.floor(F.col("us") / (24 * HOUR)) + 3, F.lit(7))  # Monday is 0
     slot = F.floor((F.col("us") - F.col("hour_us")) / (HOUR // 12))
     n = F.count(F.lit(1))
     over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))
-    unique = lambda c, when=None: F.count_distinct(F.col(c) if when is None else F.when(when, F.col(c))).cast("double")
+    # sets of what an entity has in one hour are small, and cost no copy of the rows as several distinct counts do; paths may be many
+    unique = lambda c, when=None: F.size(F.collect_set(F.col(c) if when is None else F.when(when, F.col(c)))).cast("double")
+    labels = F.transform(F.collect_set("reg"), lambda d: text_entropy(F.element_at(F.split(d, r"\."), 1)))
     gaps, mean, sd = F.count("gap"), F.avg("gap"), F.stddev_pop("gap")
     sent, got = F.coalesce(F.col("bytes_out"), F.lit(0)), F.coalesce(F.col("bytes_in"), F.lit(0))
     spread = F.when((gaps >= 2) & (mean > 0), F.lit(True)).otherwise(F.lit(False))
@@ -82,10 +81,10 @@ def entity_windows(ev: DataFrame, key: str, wanted: tuple[str, ...] = FEATURES)
         "iat_mean": F.coalesce(mean, F.lit(0.0)), "iat_min": F.coalesce(F.min("gap"), F.lit(0.0)), "iat_cv": F.when(spread, sd / F.when(mean > 0, mean)).otherwise(F.lit(0.0)), "burstiness": F.when(spread, (sd - mean) / F.when(mean > 0, sd + mean)).otherwise(F.lit(0.0)),
         "hour_entropy": F.log2(n.cast("double")) - sum((F.when(c > 0, c * F.log2(F.when(c > 0, c))).otherwise(F.lit(0.0)) for c in slots), F.lit(0.0)) / n,
         "n_unique_domains": unique("reg"), "n_rare_domains": unique("reg", rare), "rare_domain_ratio": over(unique("reg", rare), unique("reg")), "n_new_domains_for_user": unique("reg", F.col("first_hour") == F.col("hour_us")),
-        "mean_domain_entropy": F.coalesce(F.avg("_label"), F.lit(0.0)), "max_domain_entropy": F.coalesce(F.max("_label"), F.lit(0.0)), "n_newly_registered_domains": unique("reg", F.col("newly_registered")),
+        "mean_domain_entropy": F.when(F.size(labels) > 0, F.aggregate(labels, F.lit(0.0), lambda a, x: a + x) / F.size(labels)).otherwise(F.lit(0.0)), "max_domain_entropy": F.coalesce(F.array_max(labels), F.lit(0.0)), "n_newly_registered_domains": unique("reg", F.col("newly_registered")),
         "high_risk_tld_ratio": share(F.col("high_risk_tld")), "non_top_site_ratio": share(~F.coalesce("is_top_site", F.lit(False))),
         "bytes_out_sum": F.sum(sent).cast("double"), "bytes_in_sum": F.sum(got).cast("double"), "out_in_ratio": F.sum(sent) / F.greatest(F.sum(got), F.lit(1)), "bytes_out_max": F.max(sent).cast("double"), "bytes_in_max": F.max(got).cast("double"), "n_large_uploads": F.count_if(sent >= LARGE_UPLOAD).cast("double"), "bytes_out_cv": over(F.stddev_pop(sent), F.avg(sent)),
-        "post_ratio": share(F.col("http_method") == "POST"), "blocked_ratio": share(F.col("action") == "blocked"), "error_ratio": F.coalesce(F.avg((F.col("status_code") >= 400).cast("double")), F.lit(0.0)), "n_unique_status_codes": unique("status_code"), "direct_ip_ratio": share(is_ipv4(F.col("domain"))), "n_unique_url_paths": unique("url_path"), "threat_category_ratio": share(F.col("threat")),
+        "post_ratio": share(F.col("http_method") == "POST"), "blocked_ratio": share(F.col("action") == "blocked"), "error_ratio": F.coalesce(F.avg((F.col("status_code") >= 400).cast("double")), F.lit(0.0)), "n_unique_status_codes": unique("status_code"), "direct_ip_ratio": share(is_ipv4(F.col("domain"))), "n_unique_url_paths": F.count_distinct("url_path").cast("double"), "threat_category_ratio": share(F.col("threat")),
         "n_unique_user_agents": unique("user_agent"), "automation_ua_ratio": share(F.col("is_automation")), "n_unique_asns": unique("asn"), "n_unique_countries": unique("country"), "hosting_provider_ratio": share(F.col("is_hosting")), "n_unique_src_ips": unique("src_ip"), "ua_diversity_ratio": unique("user_agent") / n,
         **{c: F.lit(0.0) for c in FAMILIES["identity"]},  # events of that kind do not occur in these logs
         "referer_less_deep_path_ratio": share(F.col("refererless_deep")), "navigation_depth_mean": F.coalesce(F.avg("depth"), F.lit(0.0)), "n_unique_entry_domains": unique("entry_domain"), "cross_domain_redirect_chain_ratio": share(F.col("cross_chain")), "download_without_navigation_ratio": share(F.col("direct_download")),
