@@ -172,3 +172,19 @@ def test_salt_keeps_all_rows(spark):
     assert [r.k for r in hot.collect()] == [1]
     joined = scratch.salted(rows, hot, "k", F.col("id")).join(scratch.at_each_salt(spark.range(6000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v")), hot, "k"), ["k", "_salt"])
     assert joined.count() == 5000 and joined.filter("v <> k + 1").count() == 0
+
+
+def test_beacon_findings(spark):
+    """A beacon every ten minutes for ninety days is longer than the bins of a minute reach: bins of three minutes, no event left out."""
+    from tidewatch.operators import detectors
+
+    rows = [("10.0.0.1", "c2.example", 600_000_000 * i, i) for i in range(90 * 144)] + [("10.0.0.2", "d.example", 60_000_000 * t, 20_000 + t) for t in (0, 1, 7, 9, 100, 1000, 1001, 1500, 1501)]
+    ev = spark.createDataFrame([*rows, (None, "c2.example", 1, 1), ("10.0.0.1", "", 1, 2)], "src_ip string, domain string, us long, id long")
+    found = detectors.beacon_findings(ev).collect()
+    assert [(r.src_ip, r.domain, r.n) for r in found] == [("10.0.0.1", "c2.example", 90 * 144)]
+    b = found[0]
+    assert b.cv == 0 and b.mad_jitter == 0 and b.bucket_s == 180 and b.has_peak and b.event_ids == [*range(100), *range(90 * 144 - 100, 90 * 144)]
+    counts = np.zeros(int(rows[90 * 144 - 1][2] // 180_000_000) + 1)
+    np.add.at(counts, [r[2] // 180_000_000 for r in rows[: 90 * 144]], 1)
+    power = np.abs(np.fft.rfft(counts - counts.mean()))[1:] ** 2
+    assert b.period_s == pytest.approx(len(counts) * 180 / (power.argmax() + 1)) and b.strength == pytest.approx(power.max() / power.sum())

@@ -41,29 +41,53 @@ def beacons(ev: DataFrame, keys: list[str], least: int = 8, bound: float = 0.3)
 
 
 def dominant_period(ev: DataFrame, keys: list[str], width: int = 60, most: int = 43_200) -> DataFrame:
-    """The strongest period of each key's counts per ``width`` seconds: (period_s, ratio, strength); null where counts are flat.
+    """The strongest period of each key's counts per ``width`` seconds: (period_s, ratio, strength, bucket_s); null where counts are flat.
 
-    Counts per bin are made by Spark; a key brings at most ``most`` numbers to its task.
+    Counts per bin are made by Spark; a key brings at most ``most`` numbers to its task.  A key that spans more has bins of a multiple
+    of ``width``, as few as will do: no event is left out.
     """
-    first = ev.groupBy(*keys).agg(F.min("us").alias("_t0"))
-    binned = ev.join(first, keys).withColumn("bin", F.floor((F.col("us") - F.col("_t0")) / (width * 1_000_000)).cast("long")).filter(F.col("bin") < most).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    first = ev.groupBy(*keys).agg(F.min("us").alias("_t0"), F.max("us").alias("_t1"))
+    times = F.ceil((F.floor((F.col("_t1") - F.col("_t0")) / (width * 1_000_000)) + 1) / most)
+    first = first.select(*keys, "_t0", (times * width).cast("long").alias("bucket_s"))
+    binned = ev.join(first, keys).withColumn("bin", F.floor((F.col("us") - F.col("_t0")) / (F.col("bucket_s") * 1_000_000)).cast("long")).groupBy(*keys, "bucket_s", "bin").agg(F.count(F.lit(1)).alias("n"))
 
     def spectrum(part: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros(int(part["bin"].max()) + 1)
         x[part["bin"].to_numpy()] = part["n"].to_numpy()
         x = x - x.mean()
         power = np.abs(np.fft.rfft(x))[1:] ** 2
-        row = part.iloc[:1][keys].copy()
+        row, step = part.iloc[:1][[*keys, "bucket_s"]].copy(), int(part["bucket_s"].iloc[0])
         if len(power) < 2 or power.sum() <= 1e-12:
             row["period_s"], row["ratio"], row["strength"] = np.nan, np.nan, np.nan
         else:
             k = int(power.argmax())
             rest = (power.sum() - power[k]) / (len(power) - 1)
-            row["period_s"], row["ratio"], row["strength"] = len(x) * width / (k + 1), power[k] / rest if rest > 0 else np.inf, power[k] / power.sum()
+            row["period_s"], row["ratio"], row["strength"] = len(x) * step / (k + 1), power[k] / rest if rest > 0 else np.inf, power[k] / power.sum()
         return row
 
     kinds = dict(ev.dtypes)
-    return binned.groupBy(*keys).applyInPandas(spectrum, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", period_s double, ratio double, strength double")
+    return binned.groupBy(*keys).applyInPandas(spectrum, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", bucket_s long, period_s double, ratio double, strength double")
+
+
+def beacon_findings(ev: DataFrame, keys: tuple[str, str] = ("src_ip", "domain"), least: int = 8, bound: float = 0.3, width: int = 60, peak: float = 6.0) -> DataFrame:
+    """Beacons of an address to a domain, whole: regularity, jitter about the median, spectrum and the events that show it.
+
+    ``mad_jitter`` is the median distance of the intervals from their median, over that median; 0 where it is not above 0.  The spectrum
+    is taken of what scores high enough only.  Of the events the first and last hundred are named, all are counted.
+    """
+    keys = list(keys)
+    rows = ev.filter(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull() & (F.col(keys[1]) != ""))
+    found = beacons(rows, keys, least, bound)
+    own = rows.join(found.select(*keys, "median_gap"), keys)
+    w = Window.partitionBy(*keys).orderBy("us", "id")
+    spread = own.withColumn("_gap", (F.col("us") - F.lag("us").over(w)) / 1e6)
+    ends = F.row_number().over(w)
+    shown = spread.withColumn("_r", ends).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    kept = F.when((F.col("_r") <= 100) | (F.col("_r") > F.col("_n") - 100), F.struct("us", "id"))
+    about = shown.groupBy(*keys).agg(F.median(F.abs(F.col("_gap") - F.col("median_gap"))).alias("mad"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["id"]).alias("event_ids"))
+    out = found.join(about, keys).join(dominant_period(own.select(*keys, "us"), keys, width), keys, "left")
+    out = out.withColumn("mad_jitter", F.when(F.col("median_gap") > 0, F.col("mad") / F.when(F.col("median_gap") > 0, F.col("median_gap"))).otherwise(F.lit(0.0)))
+    return out.withColumn("has_peak", F.coalesce(F.col("ratio") >= peak, F.lit(False))).drop("mad")
 
 
 def rare_domains(ev: DataFrame, most: int = 10) -> DataFrame:
