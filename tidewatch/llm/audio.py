@@ -29,8 +29,6 @@ FRAME, HOP, BANDS, TENSOR_FRAMES, TAPS = 256, 128, 20, 16, 16
 #: Energy in dB above which a segment begins and below which it ends.
 BEGIN_DB, END_DB = -7.0, -8.0
 UNIT, FLOOR = 192, 1e-6
-#: Steps of one power of ten to which stored log-mel numbers are rounded.
-STEPS = 256
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -142,13 +140,13 @@ FEATURES = "n_frames long, log_mel array<float>, block_start_s array<double>, bl
 
 
 def features(samples: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """FEATURES of one sound: numbers are rounded to STEPS a power of ten, frames past the end of the last tensor hold the floor."""
+    """FEATURES of one sound: frames past the end of the last tensor hold the floor."""
     mels, levels = zip(*log_mel(samples), strict=True)
     mel, spans = np.vstack(mels), segments(np.concatenate(levels))
     n = len(mel)
     blocks = -(-n // TENSOR_FRAMES)
     filled = np.full((blocks * TENSOR_FRAMES, BANDS), np.log10(FLOOR), np.float32)
-    filled[:n] = np.round(mel * STEPS) / STEPS
+    filled[:n] = mel
     at = np.arange(blocks) * TENSOR_FRAMES
     return n, filled.ravel(), at / PACE, np.minimum(at + TENSOR_FRAMES, n) / PACE, spans[:, 0] / PACE, spans[:, 1] / PACE
 
