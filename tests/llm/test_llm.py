@@ -159,6 +159,20 @@ def test_fingerprints_are_homomorphic(spark):
     assert (r.order, r.add, r.take, r.other) == (True, True, True, False)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_fingerprints_of_one_id(spark, hot):
+    ids = [hot] * 400 + [1, 3, 9, 12]
+    texts = [f"text {i} of {len(ids)} " * (1 + i % 3) for i in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    rows = df.withColumn("tie", common.row_id("text"))
+    sizes = [r["count"] for r in rows.groupBy(fingerprints._ranges(rows, 16)).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 80
+    tie = {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1]] - (1 << 64) * (tie[r[1]] >> 63)), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in fingerprints.edited_fingerprints(df, parts=16).collect()) == want
+
+
 # -- 2 media -----------------------------------------------------------------------------------------------
 
 

@@ -98,19 +98,43 @@ def with_fingerprints(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, exact_lanes(F.col(text)).alias("exact")).join(like, key)
 
 
+def _ranges(rows: DataFrame, count: int) -> Column:
+    """The range of each row by (doc_id, tie): about ``count`` of them; rows of one id that would fill several are cut by ``tie``.
+
+    A range holds its least id's repeats and what lies between two boundaries, so that only the repeats can make
+    it large.  A row a range reaches the driver.  Rows equal in both stay together.
+    """
+    bucket, _ = key_buckets(rows, "doc_id", count)
+    least = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = rows.groupBy(bucket.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(least).alias("least")).collect()
+    even = max(1, -(-sum(r["n"] for r in found) // count))
+    cuts = {r["b"]: (-(-r["n"] // even) if r["n"] > 2 * even else 0, r["least"]) for r in found}
+    starts, at = [], 0
+    for b in range(max(cuts, default=0) + 1):
+        starts.append(at)
+        at += cuts.get(b, (0, 0))[0] + 1
+    own = bucket.cast("int") + 1
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), own)
+    parts = of([cuts.get(b, (0, 0))[0] for b in range(len(starts))], "int")
+    part = F.least(parts - 1, F.floor((F.col("tie") / 2.0**64 + 0.5) * parts))
+    repeats = (parts > 0) & (least == of([cuts.get(b, (0, 0))[1] for b in range(len(starts))], "long"))
+    return (of(starts, "int") + F.when(repeats, part).otherwise(parts)).cast("int")
+
+
 def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each document and its edited text: the last half replaced by the beginning of the next one's text.
 
     The next document is that of the next smaller doc_id; after the smallest comes the largest.  Null ids
     come after all others, equal ids go by a hash of their text; null text is empty.  A lone document is its
     own next one.  Rows are dealt into ranges of doc_id; the first row of a range is also sent to the range
-    before it, so that no range needs another.
+    before it, so that no range needs another.  An id with very many rows is cut into ranges by that hash.
+    An empty table gives none; a very long text is one row of its range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     count = parts or max(2 * tasks(spark), min(RANGES * tasks(spark), 4096))
-    bucket, _ = key_buckets(rows, "doc_id", count)
-    rows = rows.withColumn("tie", row_id("text")).withColumn("bucket", bucket.cast("int"))
+    rows = rows.withColumn("tie", row_id("text"))
+    rows = rows.withColumn("bucket", _ranges(rows, count))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
     head = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "tie")).alias("head")
     heads = sorted((r["bucket"], r["head"]["d"], r["head"]["tie"]) for r in rows.groupBy("bucket").agg(head).collect())  # a row a range
