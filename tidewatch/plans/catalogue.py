@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import privacy, stats, web
 from ..operators import baseline, detectors, enrich, graph, investigate, novelty, outliers, overview, sharing, windows
 from ..operators import incidents as incident_texts
 from ..rules import compiler
 from ..rules.fields import with_fields
 from ..rules.rule import load, load_all, shipped
-from ..sources import logs
+from ..sources import formats, logs
 from ..sources.driver import EVENTS_SQL, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -921,6 +923,32 @@ def log_statistics(spark, sf_dir):
     return _rounded(logs.statistics(_parsed_lines(spark, sf_dir)), "failure_rate", digits=9)
 
 
+def _log_files(spark, sf_dir):
+    """The events as tab-separated files with a header each, some lines broken, read back by their format."""
+    ev = events(spark, sf_dir, "id", "us", "principal", "src_ip", "domain", "action", "http_method", "status_code", "bytes_out", "url_path")
+    broken = (F.col("id") % 50 == 0) | (F.col("id") % 77 == 5)
+    when = F.when(broken, F.lit("soon")).otherwise(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    who = F.when(F.col("id") % 20 == 1, F.lit("None")).otherwise(F.col("principal"))
+    lines = ev.select(when.alias("DateTime"), who.alias("user"), F.col("src_ip").alias("clientip"), F.concat(F.lit("http://"), "domain", "url_path").alias("url"), F.col("http_method").alias("requestmethod"), F.col("status_code").alias("status"), F.col("bytes_out").alias("requestsize"), "action")
+    folder = f"{scratch.shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    lines.repartition(3).write.csv(folder, sep="\t", header=True, quote="")
+    return formats.read_logs(spark, folder, split=1 << 20)
+
+
+@query("""WITH {EV} SELECT CASE WHEN id % 20 <> 1 THEN principal END AS user, src_ip AS clientip, domain AS host, url_path, http_method AS requestmethod, CAST(status_code AS BIGINT) AS status, bytes_out AS requestsize, action,
+ us // 1000000 AS epoch FROM ev WHERE id % 50 <> 0 AND id % 77 <> 5""")
+def log_files(spark, sf_dir):
+    e = [F.col(f"event.{c}") for c in ("user", "clientip", "host", "url_path", "requestmethod", "status", "requestsize", "action")]
+    return _log_files(spark, sf_dir).filter("event is not null").select(*e, F.unix_timestamp("event.datetime").alias("epoch"))
+
+
+@query("""WITH {EV} SELECT count(*) AS lines, count(*) AS numbers, count(*) FILTER (id % 50 = 0 OR id % 77 = 5) AS failed, 'bad datetime' AS reason FROM ev""")
+def log_files_numbered(spark, sf_dir):
+    """Lines of all files, their highest numbers summed (the headers are no lines), failures and their reason."""
+    by_file = _log_files(spark, sf_dir).groupBy("file").agg(F.countDistinct("line_no").alias("lines"), (F.max("line_no") - 1).alias("last"), F.count("failure").alias("failed"), F.max("failure.reason").alias("reason"))
+    return by_file.agg(F.sum("lines").alias("lines"), F.sum("last").alias("numbers"), F.sum("failed").alias("failed"), F.max("reason").alias("reason"))
+
+
 @query(f"""WITH {_INCIDENT_SQL}, n AS (SELECT incident_id, technique, count(*) AS n FROM s GROUP BY 1, 2) SELECT incident_id, technique FROM n QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, technique) = 1""")
 def incident_main_technique(spark, sf_dir):
     return incident_texts.main_technique(_incident_signals(spark, sf_dir))

@@ -149,7 +149,7 @@ def document(v: dict[str, Column], hidden: Column, line_no: Column) -> Column:
 
 
 def parsed(rows: DataFrame, header: Header) -> DataFrame:
-    """(line_no, event, ocsf, failure): event and its nested document, or a failure; blank lines and the header are left out.
+    """(line_no, other columns, event, ocsf, failure): event and its nested document, or a failure; blank lines and the header are left out.
 
     A failure says why and shows 200 characters; short rows have nulls for what they lack.  A field that came
     obfuscated is null and named in the document.
@@ -165,7 +165,7 @@ def parsed(rows: DataFrame, header: Header) -> DataFrame:
         reason = reason.when(texts[n][2], F.lit(f"bad code of {n}"))
     body = rows.filter((F.trim("raw") != "") & (F.col("line_no") > 1)).withColumn("_reason", reason.otherwise(F.lit(None).cast("string")))
     right = F.col("_reason").isNull()
-    return body.select("line_no", F.when(right, event).alias("event"), F.when(right, document(values, hidden, F.col("line_no"))).alias("ocsf"), F.when(~right, F.struct(F.col("_reason").alias("reason"), F.substring("raw", 1, 200).alias("excerpt"))).alias("failure"))
+    return body.select("line_no", *[c for c in rows.columns if c not in ("line_no", "raw")], F.when(right, event).alias("event"), F.when(right, document(values, hidden, F.col("line_no"))).alias("ocsf"), F.when(~right, F.struct(F.col("_reason").alias("reason"), F.substring("raw", 1, 200).alias("excerpt"))).alias("failure"))
 
 
 def rule_events(rows: DataFrame) -> DataFrame:
