@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import privacy, stats, web
-from ..operators import baseline, detectors, enrich, graph, investigate, novelty, outliers, overview, sharing, windows
+from ..operators import baseline, detectors, enrich, graph, investigate, novelty, outliers, overview, sharing, suffixes, windows
 from ..operators import incidents as incident_texts
 from ..rules import compiler
 from ..rules.fields import with_fields
 from ..rules.rule import load, load_all, shipped
-from ..sources import formats, logs
+from ..sources import formats, logs, sinks
 from ..sources.driver import EVENTS_SQL, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -923,6 +923,32 @@ def log_statistics(spark, sf_dir):
     return _rounded(logs.statistics(_parsed_lines(spark, sf_dir)), "failure_rate", digits=9)
 
 
+_ENDINGS = ("com", "co.uk", "x.ck", "www.ck", "city.kawasaki.jp", "a.kawasaki.jp", "kobe.jp", "nowhere")
+_RULES = ("com", "uk", "co.uk", "*.ck", "!www.ck", "jp", "kobe.jp", "*.kawasaki.jp", "!city.kawasaki.jp")
+
+
+@query("""WITH {EV}, h AS (SELECT DISTINCT principal AS u, 'd' || (k % 40) AS d, k % 8 AS e FROM ev)
+ SELECT u || '.' || d || '.' || ['com', 'co.uk', 'x.ck', 'www.ck', 'city.kawasaki.jp', 'a.kawasaki.jp', 'kobe.jp', 'nowhere'][e + 1] AS host,
+ [d || '.com', d || '.co.uk', d || '.x.ck', 'www.ck', 'city.kawasaki.jp', d || '.a.kawasaki.jp', d || '.kobe.jp', u || '.' || d || '.nowhere'][e + 1] AS registrable_domain,
+ ['com', 'co.uk', 'x.ck', 'ck', 'kawasaki.jp', 'a.kawasaki.jp', 'kobe.jp', ''][e + 1] AS public_suffix FROM h""")
+def registrable_domains(spark, sf_dir):
+    """Hosts below endings of every kind of rule; the rules are the list's own examples."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("k") % 8 + 1).cast("int"))
+    hosts = events(spark, sf_dir, "principal", "k").select(F.concat_ws(".", "principal", F.concat(F.lit("d"), F.col("k") % 40), ending).alias("host"))
+    rules = suffixes.parsed_rules(spark.createDataFrame([(r,) for r in _RULES], "value string"))
+    return suffixes.registrable_domains(hosts, rules).fillna("", ["public_suffix"])
+
+
+@query("""WITH {EV} SELECT id, event_type, domain, CASE WHEN event_type = 'error' THEN 'seen' ELSE '' END AS enrichment FROM ev""")
+def enrichment_rewritten(spark, sf_dir):
+    """A table of events by type, into which the refused ones' enrichment is merged: one partition is rewritten."""
+    ev = events(spark, sf_dir, "id", "event_type", "domain").withColumn("enrichment", F.lit(""))
+    path = f"{scratch.shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    ev.write.partitionBy("event_type").parquet(path)
+    sinks.merge_in_place(ev.filter("event_type = 'error'").withColumn("enrichment", F.lit("seen")), path, ["id"], "event_type")
+    return spark.read.parquet(path).select("id", "event_type", "domain", "enrichment")
+
+
 def _log_files(spark, sf_dir):
     """The events as tab-separated files with a header each, some lines broken, read back by their format."""
     ev = events(spark, sf_dir, "id", "us", "principal", "src_ip", "domain", "action", "http_method", "status_code", "bytes_out", "url_path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import forget, stored
+
 #: What an upload may be called and weigh, and first bytes of archives.
 SUFFIXES, MOST_BYTES = (".log", ".txt", ".csv", ".tsv", ".jsonl"), 200 << 20
 ARCHIVES = ("504B0304", "1F8B", "425A68", "FD377A58", "377ABCAF", "52617221", "28B52FFD")
@@ -27,6 +29,36 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_v", "_r")
 
 
+def merge_in_place(new: DataFrame, path: str, keys: list[str], *by: str) -> None:
+    """Upsert into the partitioned table at ``path`` by copy on write: only partitions that ``new`` has rows of are rewritten.
+
+    The merged partitions are written to the shared folder first, then replace the old ones, so that nothing reads
+    what it overwrites and a run that broke off can be run again.  A key lies in one partition; a table that isn't
+    there yet begins empty.  ``new`` may have fewer columns, not others.
+    """
+    spark = new.sparkSession
+    new = stored(new, "merge")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        old = spark.read.parquet(path)
+        touched = old.join(new.select(*by).distinct(), list(by), "left_semi").select(*old.columns)
+        merged = stored(upserted(touched, new, keys), "merged")
+        replace_partitions(merged, path, *by)
+        forget(merged)
+    else:
+        replace_partitions(upserted(new.limit(0), new, keys), path, *by)
+    forget(new)
+
+
+def once_a_batch(path: str):
+    """For ``foreachBatch``: each batch's rows in a folder of its number, which a batch that is sent again overwrites."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
 def checked_uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, refused) of files: by name, size, archive magic, tar or NUL bytes."""
     files = spark.read.format("binaryFile").load(path)
