@@ -378,3 +378,12 @@ def test_ten_scenarios(spark):
     assert all(r.h < 5 or r.d % 7 >= 5 for r in night)
     a, b = (synthetic.injection_canary(spark, 1, 5, c).drop("user_agent").collect() for c in (True, False))
     assert a == b
+
+
+def test_addresses_of_many_users_are_whole_numbers(spark):
+    from tidewatch.sources.driver import carried
+
+    users = spark.range(0, 100_000, 37)
+    src_ip = F.expr("concat('10.0.', id div 16, '.', id % 16)")
+    wrong = users.select(src_ip.alias("src_ip"), (F.lit(167772160) + F.expr("id div 16") * 256 + F.col("id") % 16).alias("n")).filter(~(web.ip_number(carried(F.col("src_ip"))).eqNullSafe(F.col("n")) & web.is_special(carried(F.col("src_ip")))))
+    assert not wrong.count()
