@@ -103,6 +103,15 @@ def test_communities_of_odd_graphs(spark):
     assert got["a"] == "a" and got["b"] == got["c"] != "a"
 
 
+def test_communities_are_named_by_their_smallest_nodes(spark):
+    g = planted(np.random.default_rng(1), 12, 20, 900, 0.2)
+    got = {r.node: r.community for r in communities.communities(spark.createDataFrame(g, "a string, b string, weight double")).collect()}
+    first = {}
+    for node in sorted(got):
+        first.setdefault(got[node], node)
+    assert all(name == node for name, node in first.items())
+
+
 def test_merged_by_overlap(spark):
     rng = np.random.default_rng(8)
     sets = {f"s{i:02}": set(rng.integers(0, 60, rng.integers(1, 9)).tolist()) | {999} for i in range(40)}  # 999 is in all of them

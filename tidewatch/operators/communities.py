@@ -80,7 +80,7 @@ def _level(adj: DataFrame, total: float) -> DataFrame:
 
 
 def communities(g: DataFrame) -> DataFrame:
-    """(node, community) of every node of the edges (a, b, weight); a community is named by one of its nodes.
+    """(node, community) of every node of the edges (a, b, weight); a community is named by its smallest node.
 
     A node with an edge to itself only is by itself.  Weights must be positive; parallel edges add up.  The same edges
     give the same communities, up to the order in which equal sums are added.
@@ -104,8 +104,11 @@ def communities(g: DataFrame) -> DataFrame:
         new_member, new_adj = stored(up, "member"), stored(ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "graph")
         forget(member, adj, place)
         member, adj = new_member, new_adj
-    forget(adj)
-    return member
+    # a node that others' community is named after may have left it itself
+    name = member.groupBy("community").agg(F.min("node").alias("name"))
+    named = stored(member.join(name, "community").select("node", F.col("name").alias("community")), "member")
+    forget(member, adj)
+    return named
 
 
 def connected(g: DataFrame) -> DataFrame:
