@@ -387,3 +387,17 @@ def test_addresses_of_many_users_are_whole_numbers(spark):
     src_ip = F.expr("concat('10.0.', id div 16, '.', id % 16)")
     wrong = users.select(src_ip.alias("src_ip"), (F.lit(167772160) + F.expr("id div 16") * 256 + F.col("id") % 16).alias("n")).filter(~(web.ip_number(carried(F.col("src_ip"))).eqNullSafe(F.col("n")) & web.is_special(carried(F.col("src_ip")))))
     assert not wrong.count()
+
+
+def test_only_reported_windows_are_explained_and_windows_are_made_once(spark):
+    from tidewatch import registry
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(600)], "i long, features array<double>")
+    model = outliers.fitted(rows, ["eif"], list("abcd"), order="i")["eif"]
+    want = outliers.reported(outliers.score(rows, model, explain=3), 0.9).collect()
+    got = outliers.explained(outliers.reported(outliers.score(rows, model), 0.9), model, 3).collect()
+    assert want and sorted(got) == sorted(want)
+    found = registry.QUERIES["window_outliers"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("contributions") < plan.index("Filter") < plan.rindex("MapInPandas")
