@@ -280,3 +280,16 @@ def test_loads_are_counts_of_texts(spark):
     want = collections.Counter(int(h >> np.uint64(40)) for t in texts for h in jaccard.shingle_set(t or ""))
     assert {i: int(loads[i]) for i in np.flatnonzero(loads)} == want
     assert not jaccard.shingle_loads(frame(spark, [])).any()
+
+
+def test_languages_are_learned_from_all_rows(spark):
+    from tidewatch.llm import langid
+
+    docs = spark.range(5200).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("the "), F.lower(F.md5(F.col("id").cast("string")))).alias("text"))
+    learned = docs.filter(~langid.held_out()).select("lang", "text")
+    assert learned.count() > 3500 and langid.learning_rows(docs).count() == learned.count()
+    # a word of one row in the learning part is counted, wherever its id's hash lies
+    words = docs.filter(~langid.held_out()).withColumn("text", F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit("q")))
+    pairs = langid.learning_rows(words).mapInArrow(langid._count_rows, "lang string, key long, n long").agg(F.sum("n").alias("n")).first().n
+    alone = langid._grams(["q q"])[2].sum()
+    assert pairs == alone * words.count()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import row_id
 from .tokens import release, slices
 
-#: N-grams of a profile, and documents of each language that profiles are learned from (expected number).
-PROFILE, SAMPLE = 400, 3000
+#: N-grams of a profile.
+PROFILE = 400
 UNKNOWN = "und"
 #: Letters at which a text's length counts as another class, and learning rows that a class needs to have its own limit.
 LENGTHS, ENOUGH = (50, 100, 300, 1000), 100
@@ -149,24 +149,18 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(key)), pa.array(_global_keys(key, alphabet), pa.int64()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
 
 
-def learning_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, text) of the rows that are learned from: about ``sample`` a language, by the smallest hashes of their ids."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit("profile"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return chosen.select("lang", "text")
+def learning_rows(docs: DataFrame) -> DataFrame:
+    """(lang, text) of all rows that are learned from: not held out, with an id, a language and a text."""
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
 
-def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles from the text and non-null lang of rows that are not held out.
+def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
+    """Profiles from the text and non-null lang of all rows that are not held out.
 
-    A language with over ``sample`` such rows is learned from about that many, those with the smallest hashes
-    of their ids; the profiles, ``size`` rows a language, reach the driver.  Null texts and ids teach nothing.
+    N-grams are counted over all of them; the profiles, ``size`` rows a language, reach the driver.  Null texts and ids teach nothing.
     """
-    totals = learning_rows(docs, sample).mapInArrow(_count_rows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    totals = learning_rows(docs).mapInArrow(_count_rows, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = totals.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < size)
     return Profiles([(r["lang"], r["key"], r["rank"]) for r in top.collect()], size)
@@ -202,12 +196,13 @@ def _distance_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Ite
 def limits(docs: DataFrame, profiles: Profiles) -> list[float]:
     """The largest distance that counts as a learned language, for each class of lengths.
 
-    It lies as far beyond the 99th percentile of the learning rows' distances as that lies beyond their median.
-    A class of fewer than ENOUGH learning rows takes the limit of all.
+    It lies as far beyond the 99th percentile of all learning rows' distances as that lies beyond their median; distances are
+    counted to five digits first, so that what is sorted is bounded.  A class of fewer than ENOUGH learning rows takes the limit of all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     rows = learning_rows(docs).select("text").mapInArrow(lambda b: _distance_rows(b, shared.value), "kind int, distance double")
-    found = rows.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.percentile("distance", F.lit(0.5)).alias("middle"), F.percentile("distance", F.lit(0.99)).alias("far")).collect()
+    per = rows.groupBy("kind", F.round("distance", 5).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+    found = per.rollup("kind").agg(F.sum("n").alias("n"), F.percentile("distance", F.lit(0.5), F.col("n")).alias("middle"), F.percentile("distance", F.lit(0.99), F.col("n")).alias("far")).collect()
     far = {r["kind"]: 2 * r["far"] - r["middle"] for r in found if r["n"] >= ENOUGH or (r["kind"] is None and r["n"])}
     return [far.get(k, far.get(None, 0.0)) for k in range(len(LENGTHS) + 1)]
 
