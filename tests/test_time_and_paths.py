@@ -126,6 +126,28 @@ def test_merged_by_overlap(spark):
         assert got == root
 
 
+def test_sets_that_are_together_make_no_more_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = {k: set(rng.integers(0, 12, rng.integers(2, 9)).tolist()) for k in range(300)} | {1000 + k: set(range(100 + 9 * k, 109 + 9 * k)) for k in range(20)} | {2000 + k: {100 + 9 * k, 101 + 9 * k, 102 + 9 * k} | set(range(900 + 9 * k, 909 + 9 * k)) for k in range(20)}
+    sizes, written = {}, communities.stored
+
+    def kept(df, name):
+        out = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(communities, "stored", kept)
+    found = communities.merged_by_overlap(spark.createDataFrame([(k, e) for k, v in sets.items() for e in sorted(v)], "set long, element long"), 0.3)
+    got = {r["set"]: r["merged"] for r in found.collect()}
+    root = {k: k for k in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.3 * min(len(sets[a]), len(sets[b])):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == root and sizes["pairs"] < 3000  # 300 sets have 44,850 pairs
+
+
 def test_betweenness(spark):
     rng = np.random.default_rng(2)
     g = {tuple(sorted((f"n{a:02}", f"n{b:02}"))): float(rng.integers(1, 4)) for a, b in rng.integers(0, 20, (45, 2)) if a != b} | {("p", "q"): 1.0}

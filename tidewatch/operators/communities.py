@@ -130,25 +130,43 @@ def connected(g: DataFrame) -> DataFrame:
         label.folder = after.folder
 
 
+def _overlapping(pairs: DataFrame, listed: DataFrame, least: float) -> DataFrame:
+    """Of rows with (set, other) those whose sets share ``least`` of the smaller one's elements."""
+    a, b = listed.select("set", F.col("e").alias("_e")), listed.select(F.col("set").alias("other"), F.col("e").alias("_f"))
+    shared = F.size(F.array_intersect("_e", "_f"))
+    return pairs.join(a, "set").join(b, "other").filter(shared >= F.lit(float(least)) * F.least(F.size("_e"), F.size("_f"))).drop("_e", "_f")
+
+
 def merged_by_overlap(sets: DataFrame, least: float = 0.5) -> DataFrame:
     """(set, merged) of rows (set, element): sets that share ``least`` of the smaller one's elements become one, transitively.
 
-    ``merged`` is the smallest name.  If they share that much, one of the smaller set's first n - ceil(least * n) + 1
-    elements, rarest first, is in the other; only pairs that meet at such an element are compared, so what all sets have in
-    common makes no pairs.  A set with none but common elements still meets each set at least as large that has them.
+    ``merged`` is the smallest name.  What is asked for is who hangs together, not all links.  So first each set is compared with one
+    other at each of its elements, the smallest set that has it, which is no more pairs than rows.  Then only sets that are not
+    together yet are compared: those outside the largest part with each other and with the part.  If two share that much, one of the
+    smaller set's first n - ceil(least * n) + 1 elements, rarest first, is in the other; only pairs that meet at such an element are
+    compared, so what all sets have in common makes no pairs.  A set with none but common elements still meets each set at least as
+    large that has them.
     """
     rows = stored(sets.select("set", "element").distinct(), "sets")
     often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
-    size = rows.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
-    listed = rows.join(often, "element").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("e"))
+    ranked = rows.join(often, "element").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("e"))
+    listed = stored(ranked.select("set", F.transform("e", lambda x: x["element"]).alias("e"), F.size("e").cast("long").alias("n")), "listed")
+    held = listed.select("set", "n", F.explode("e").alias("element"))
+    centre = held.groupBy("element").agg(F.min(F.struct("n", "set")).alias("c")).select("element", F.col("c.set").alias("other"))
+    near = held.join(centre, "element").filter("set <> other").select("set", "other").distinct()
+    links = stored(_overlapping(near, listed, least).select(F.col("set").alias("a"), F.col("other").alias("b")), "links")
+    part = stored(listed.select("set", "n", "e").join(connected(links), F.col("set") == F.col("node"), "left").select("set", "n", "e", F.coalesce("root", "set").alias("root")), "parts")
+    largest = part.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "root").limit(1).select("root", F.lit(True).alias("_large"))
+    part = part.join(F.broadcast(largest), "root", "left").withColumn("_open", F.col("_large").isNull())
     keep = F.size("e") - F.ceil(F.size("e") * F.lit(float(least))).cast("int") + 1
-    heads = listed.select("set", F.size("e").cast("long").alias("n"), F.explode(F.slice("e", F.lit(1), keep)).alias("x")).select("set", "n", F.col("x.element").alias("element"))
-    other = rows.join(size, "set").select(F.col("set").alias("other"), F.col("n").alias("m"), "element")
+    heads = part.select("set", "n", "root", "_open", F.explode(F.slice("e", F.lit(1), keep)).alias("element"))
+    others = part.select(F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("_open").alias("_far_open"), F.explode("e").alias("element"))
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") > F.col("set")))
-    pairs = stored(heads.join(other, "element").filter(larger).select("set", "other", "n").distinct(), "pairs")
-    shared = pairs.join(rows, "set").join(rows.select(F.col("set").alias("other"), "element"), ["other", "element"]).groupBy("set", "other", "n").agg(F.count(F.lit(1)).alias("shared"))
-    links = stored(shared.filter(F.col("shared") >= F.lit(float(least)) * F.col("n")).select(F.col("set").alias("a"), F.col("other").alias("b")), "links")
-    roots = connected(links)
-    out = stored(size.select("set").join(roots, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("merged")), "merged")
-    forget(rows, pairs, links)
+    met = heads.filter("_open").join(others, "element").unionByName(heads.filter("not _open").join(others.filter("_far_open"), "element"))
+    pairs = stored(met.filter(larger & (F.col("root") != F.col("far"))).select("set", "other", "root", "far").distinct(), "pairs")
+    between = stored(_overlapping(pairs, listed, least).select(F.col("root").alias("a"), F.col("far").alias("b")).distinct(), "links")
+    roots = connected(between).withColumnRenamed("root", "_last")
+    merged = part.join(roots, F.col("root") == F.col("node"), "left").select("set", F.coalesce("_last", "root").alias("merged"))
+    out = stored(rows.select("set").distinct().join(merged, "set", "left").select("set", F.coalesce("merged", "set").alias("merged")), "merged")
+    forget(rows, listed, links, pairs, between)
     return out
