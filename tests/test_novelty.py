@@ -78,3 +78,14 @@ def test_moments(spark):
     x = np.random.default_rng(5).standard_normal((200, 3))
     n, mean, cov = novelty.moments(frame(spark, x, np.ones(200)))
     assert n == 200 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
+
+
+def test_blocks_grow_before_they_are_many(spark, monkeypatch):
+    for name, value in (("BLOCK", 20), ("BLOCKS", 3), ("LARGE_BLOCK", 64)):
+        monkeypatch.setattr(novelty, name, value, raising=False)
+    x = np.random.default_rng(4).normal(size=(200, 3))
+    rows = spark.createDataFrame([(i, v.tolist(), i < 150) for i, v in enumerate(x)], "id long, f array<double>, fit boolean")
+    assert [novelty._blocks(rows.limit(k))[1] for k in (15, 50, 120, 200)] == [1, 3, 3, 4]
+    got = {r.id: [n.other for n in r.near] for r in novelty.neighbours(rows, 5).collect()}
+    far = np.sqrt(((x[:, None] - x[None, :150]) ** 2).sum(2))
+    assert got == {i: np.argsort(far[i], kind="stable")[:5].tolist() for i in range(200)}
