@@ -61,3 +61,19 @@ def test_registry(spark, tmp_path, monkeypatch):
     (tmp_path / "p.log").write_text("at=2024-01-01T00:00:00Z\nat=soon\n")
     got = formats.read_logs(spark, str(tmp_path)).orderBy("line_no").collect()
     assert got[0].event is not None and got[1].failure.reason == "bad datetime"
+
+
+def test_a_line_is_cut_and_typed_once_however_often_its_fields_are_read(spark):
+    """The plan of a filter on parsed lines names the cut of a line once, the time's conversion as often as the columns need it."""
+    rows = spark.createDataFrame([(2, "2024-01-01T00:00:00Z\tu\t10.0.0.1\thttp://a.b.co.uk/x\tGET\t200")], "line_no long, raw string").filter("length(raw) < 100")
+    found = logs.parsed(rows, logs.header_of("DateTime\tuser\tclientip\turl\trequestmethod\tstatus"))
+    plan = found.filter("event is not null").select("event.*", "ocsf.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(raw#") == 1 and plan.count("try_cast") <= 4 and len(plan) < 60_000
+    assert found.filter("event is not null").first().event.registrable_domain == "b.co.uk"
+
+
+def test_equal_names_in_a_header_and_a_header_without_known_names(spark):
+    rows = spark.createDataFrame([(2, "2024-01-01T00:00:00Z,u,v"), (3, "x")], "line_no long, raw string")
+    got = {r.line_no: r for r in logs.parsed(rows, logs.header_of("datetime,user,user")).collect()}
+    assert got[2].event.user == "u" and got[3].failure.reason == "too few fields"
+    assert {r.failure.reason for r in logs.parsed(rows, logs.header_of("p,q")).collect()} == {"no datetime", "too few fields"}

@@ -90,11 +90,11 @@ def _numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     return placed.select((F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).alias(name), column)
 
 
-def _at(header: Header, cells: Column, name: str) -> Column:
-    return web.cleaned(F.get(cells, header.names.index(name))) if name in header.names else F.lit(None).cast("string")
+def _at(header: Header, cells: dict[str, Column], name: str) -> Column:
+    return cells[name] if name in header.names else F.lit(None).cast("string")
 
 
-def _decoded(header: Header, cells: Column, name: str) -> tuple[Column, Column, Column]:
+def _decoded(header: Header, cells: dict[str, Column], name: str) -> tuple[Column, Column, Column]:
     """A field's text, whether it came in a form that cannot be read, and whether its code is broken.
 
     The plain column wins, then the encoded ones in their order.
@@ -112,6 +112,12 @@ def _decoded(header: Header, cells: Column, name: str) -> tuple[Column, Column,
     return value, hidden, broken
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each made once a row: a filter on what is made of them stays above, so that it doesn't make them again."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return rows.select("*", made).select(*rows.columns, "_made.*")
+
+
 def _typed(x: Column, kind: str) -> Column:
     low = F.lower(x)
     kinds = {
@@ -154,18 +160,28 @@ def parsed(rows: DataFrame, header: Header) -> DataFrame:
     A failure says why and shows 200 characters; short rows have nulls for what they lack.  A field that came
     obfuscated is null and named in the document.
     """
-    cells = F.split("raw", header.delimiter, -1)
-    texts = {n: _decoded(header, cells, n) for n in FIELDS}
-    values = {n: _typed(t, FIELDS[n]) for n, (t, _, _) in texts.items()}
-    hidden = F.array_sort(F.array_compact(F.array(*[F.when(texts[n][1], F.lit(n)) for n in ENCODED])))
+    known = {n: i for i, n in reversed(list(enumerate(header.names)))}  # of equal names the first counts
+    known = {n: i for n, i in known.items() if n in FIELDS or any(n in ENCODED[f] for f in ENCODED)}
+    own = [c for c in rows.columns if c not in ("line_no", "raw")]
+    body = _once(rows.filter((F.trim("raw") != "") & (F.col("line_no") > 1)), _cells=F.split("raw", header.delimiter, -1))
+    body = _once(body, _few=F.size("_cells") < 2, **{f"_c{i}": web.cleaned(F.get("_cells", F.lit(i))) for i in known.values()}).drop("_cells")
+    texts = {n: _decoded(header, {c: F.col(f"_c{i}") for c, i in known.items()}, n) for n in FIELDS}
+    found = {n for n in FIELDS if {n, *ENCODED.get(n, {})} & set(known)}  # others are null in every line
+    kept = {f"_t_{n}": texts[n][0] for n in found} | {f"_h_{n}": texts[n][1] for n in found & set(ENCODED)} | {f"_b_{n}": texts[n][2] for n in found & set(ENCODED)}
+    body = _once(body, **kept).drop(*[f"_c{i}" for i in known.values()]) if kept else body
+    body = _once(body, **{f"_v_{n}": _typed(F.col(f"_t_{n}"), FIELDS[n]) for n in found}) if found else body
+    values = {n: F.col(f"_v_{n}") if n in found else _typed(texts[n][0], FIELDS[n]) for n in FIELDS}
+    hidden = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_h_{n}") if n in found else F.lit(False), F.lit(n)) for n in ENCODED])))
+    time = F.col("_t_datetime") if "datetime" in found else F.lit(None)
+    reason = F.when(F.col("_few"), F.lit("too few fields")).when(time.isNull(), F.lit("no datetime")).when(values["datetime"].isNull(), F.lit("bad datetime"))
+    for n in (n for n in ENCODED if n in found):
+        reason = reason.when(F.col(f"_b_{n}"), F.lit(f"bad code of {n}"))
     host = F.coalesce(values["host"], web.host_of(values["url"]))
-    event = F.struct(*[v.alias(n) for n, v in values.items() if n != "host"], host.alias("host"), web.path_of(values["url"]).alias("url_path"), web.registrable_domain(host).alias("registrable_domain"))
-    reason = F.when(F.size(cells) < 2, F.lit("too few fields")).when(texts["datetime"][0].isNull(), F.lit("no datetime")).when(values["datetime"].isNull(), F.lit("bad datetime"))
-    for n in ENCODED:
-        reason = reason.when(texts[n][2], F.lit(f"bad code of {n}"))
-    body = rows.filter((F.trim("raw") != "") & (F.col("line_no") > 1)).withColumn("_reason", reason.otherwise(F.lit(None).cast("string")))
+    body = _once(body, _reason=reason.otherwise(F.lit(None).cast("string")), _host=host, _path=web.path_of(values["url"]), _hidden=hidden)
+    body = _once(body, _domain=web.registrable_domain(F.col("_host")))
+    event = F.struct(*[v.alias(n) for n, v in values.items() if n != "host"], F.col("_host").alias("host"), F.col("_path").alias("url_path"), F.col("_domain").alias("registrable_domain"))
     right = F.col("_reason").isNull()
-    return body.select("line_no", *[c for c in rows.columns if c not in ("line_no", "raw")], F.when(right, event).alias("event"), F.when(right, document(values, hidden, F.col("line_no"))).alias("ocsf"), F.when(~right, F.struct(F.col("_reason").alias("reason"), F.substring("raw", 1, 200).alias("excerpt"))).alias("failure"))
+    return body.select("line_no", *own, F.when(right, event).alias("event"), F.when(right, document(values, F.col("_hidden"), F.col("line_no"))).alias("ocsf"), F.when(~right, F.struct(F.col("_reason").alias("reason"), F.substring("raw", 1, 200).alias("excerpt"))).alias("failure"))
 
 
 def rule_events(rows: DataFrame) -> DataFrame:
