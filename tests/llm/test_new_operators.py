@@ -293,3 +293,25 @@ def test_languages_are_learned_from_all_rows(spark):
     pairs = langid.learning_rows(words).mapInArrow(langid._count_rows, "lang string, key long, n long").agg(F.sum("n").alias("n")).first().n
     alone = langid._grams(["q q"])[2].sum()
     assert pairs == alone * words.count()
+
+
+def test_a_worker_gives_its_free_memory_back():
+    """A worker that has cut texts keeps no more than it began with, so that the next stage has it."""
+    import subprocess
+    import sys
+
+    code = """
+import pyarrow as pa
+from tidewatch.llm import langid
+held = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096 >> 20
+texts = [' '.join(str(i * k) + chr(97 + (i * k) % 26) * 5 for k in range(200)) for i in range(4000)]
+batch = pa.RecordBatch.from_arrays([pa.array(['en'] * len(texts)), pa.array(texts)], names=['lang', 'text'])
+list(langid._count_rows(iter([batch.slice(0, 10)])))
+before = held()
+for _ in langid._count_rows(iter([batch])):
+    pass
+print(held() - before, langid.SLICE)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True, env={**__import__("os").environ})
+    more, size = map(int, out.stdout.split())
+    assert more < 60 and size <= 1 << 18

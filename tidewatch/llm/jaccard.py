@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import forget, row_id, stored, tasks, text_or_empty
 from .components import components
 from .simhash import GROUP, first_of_groups, majorities, near_links, shingle_hashes
-from .tokens import release
+from .tokens import give_back, release
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -89,6 +89,7 @@ def _load_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k, part in enumerate(counts.reshape(-1, CHUNK)):
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+    give_back()
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +133,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], loads: np.ndarray) -> Iterator[
             arrays = [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.binary()), pa.array(majorities(sets).view(np.int64))]
             part = batch.slice(at, 500)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["doc_id", "tie", "sig", "n", "prefix", "bits", "fp"])
+    give_back()
 
 
 def _fits(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -197,6 +199,7 @@ def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_set(t).view(np.int64) for t in texts[at : at + 200]]
             offsets = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([ties.slice(at, 200), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["tie", "whole"])
+    give_back()
 
 
 def _needed(texts: DataFrame, ties: DataFrame) -> DataFrame:
@@ -258,6 +261,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", row_id("text").alias("tie"), "text")
     loads = spark.sparkContext.broadcast(shingle_loads(docs))
     marked = stored(rows.mapInArrow(lambda b: _set_rows(b, loads.value), "doc_id long, tie long, sig long, n int, prefix array<long>, bits binary, fp long"), "shingles")
+    loads.destroy()  # a copy in every worker, which nothing reads any more
     head = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie"))).alias("head")
     reps = stored(marked.groupBy("sig").agg(head, F.min("tie").alias("tie"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "sets")
     total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0

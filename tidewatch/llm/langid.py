@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_id
-from .tokens import release, slices
+from .tokens import give_back, release, slices
 
 #: N-grams of a profile.
 PROFILE = 400
 UNKNOWN = "und"
 #: Letters at which a text's length counts as another class, and learning rows that a class needs to have its own limit.
 LENGTHS, ENOUGH = (50, 100, 300, 1000), 100
+#: Characters that are counted at once: their n-grams take some hundred bytes each, in every worker.
+SLICE = 1 << 18
 _B = 0x110000
 _LETTER: np.ndarray | None = None
 
@@ -140,13 +142,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, SLICE):
             by: dict[str, list[str]] = {}
             for l, t in zip(langs[i:j], texts[i:j], strict=True):
                 by.setdefault(l, []).append(t)
             for l, group in by.items():
                 _, key, counts, alphabet, _ = _grams([" ".join(group)])
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(key)), pa.array(_global_keys(key, alphabet), pa.int64()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
+    give_back()
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def _predicted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> It
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
         found: list[tuple[str, float, float]] = []
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, SLICE):
             found += profiles.predict(texts[i:j])
         columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), *columns], names=["doc_id", "held_out", "tie", "lang_pred", "score", "distance"])
@@ -188,9 +191,10 @@ def _distance_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Ite
     release()
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, SLICE):
             found = [(kind, d) for language, _, d, kind in profiles.measured(texts[i:j]) if language != UNKNOWN]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.float64())], names=["kind", "distance"])
+    give_back()
 
 
 def limits(docs: DataFrame, profiles: Profiles) -> list[float]:
@@ -212,9 +216,10 @@ def _accepted_rows(batches: Iterator[pa.RecordBatch], profiles: Profiles, farthe
     for batch in batches:
         texts = [t or "" for t in batch.column(column).to_pylist()]
         keep: list[bool] = []
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, SLICE):
             keep += [language != UNKNOWN and distance <= farthest[kind] for language, _, distance, kind in profiles.measured(texts[i:j])]
         yield batch.filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:

@@ -7,6 +7,8 @@ each can be encoded once and kept.  Any other text is encoded in one piece.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import json
 import operator
@@ -14,6 +16,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 #: A full stop or comma that other marks may stand together with; after a letter or digit it is by itself.
@@ -116,6 +119,18 @@ def encoder(path: str) -> WordEncoder:
 def release() -> None:
     """Forget the encoders of this process: other operators' tasks call it, so that a worker holds one kind of cache."""
     _ENCODERS.clear()
+    give_back()
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # glibc has it
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: workers outlive their tasks, and what they keep is lost to the next stage."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def slices(texts: list[str], characters: int = 1 << 22):
