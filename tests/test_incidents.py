@@ -4,6 +4,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import col as F_col
 
 from tidewatch.operators import detectors, incidents, retrieval
 from tidewatch.sources import synthetic
@@ -81,3 +82,24 @@ def test_synthetic_logs_are_found(spark):
     assert [r.value for r in synthetic.sweep(spark, 0.0, 0.3, 0.1).collect()] == pytest.approx([0, 0.1, 0.2, 0.3])
     parts = synthetic.split(spark.range(1000), "id", 1, {"train": 0.8, "test": 0.2}).groupBy("part").count().collect()
     assert abs({r.part: r["count"] for r in parts}["train"] - 800) < 60
+
+
+def test_latency_is_exact_and_no_task_takes_all_values(spark):
+    """As Spark's own percentile, of repeated, negative, missing and no values; no aggregate of a whole column's values."""
+    from pyspark.sql import functions as F
+
+    for values in ([3.5, None, -1.0, 3.5, 7.25, 0.1], [float(i * i % 101) for i in range(997)], [2.0], [None], []):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        want = rows.agg(F.percentile("x", 0.5), F.percentile("x", 0.95), F.count("x")).first()
+        found = incidents.latency(rows, "x")
+        assert [tuple(r) for r in found.collect()] == [(want[0] if want[0] is None else pytest.approx(want[0]), want[1] if want[1] is None else pytest.approx(want[1]), want[2])]
+        assert " percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_traits_of_names_look_a_pair_up_among_those_of_its_first_letter(spark):
+    rows = spark.createDataFrame([("abca",), ("b",), ("",), ("äb😀",)], "label string")
+    pairs = {"ab": -1.0, "bc": -2.0, "^a": -0.5, "a$": -0.25, "äb": -4.0, "b😀": -8.0}
+    got = {r.label: r.s for r in rows.select("label", detectors.label_traits(F_col("label"), pairs, -9.0)[1].alias("s")).collect()}
+    assert got == {"abca": pytest.approx((0.5 + 1 + 2 + 9 + 0.25) / 5), "b": 9.0, "": 9.0, "äb😀": pytest.approx((9 + 4 + 8 + 9) / 4)}
+    plan = rows.select(detectors.label_traits(F_col("label"), pairs, -9.0)[1].alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "keys: [ab,bc" not in plan
