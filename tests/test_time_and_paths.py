@@ -157,6 +157,20 @@ def test_betweenness(spark):
     assert set(got) == set(want) and max(abs(got[n] - want[n]) for n in want) < 1e-12
 
 
+def test_betweenness_in_blocks(spark, monkeypatch):
+    """Several blocks of sources and nodes give the same, and no row stands for a pair of nodes."""
+    rng = np.random.default_rng(3)
+    g = {tuple(sorted((f"n{a:02}", f"n{b:02}"))): float(rng.integers(1, 4)) for a, b in rng.integers(0, 40, (60, 2)) if a != b} | {("p", "q"): 1.0, ("p", "p"): 1.0}
+    rows = [(a, b, w) for (a, b), w in g.items()]
+    sizes = []
+    monkeypatch.setattr(paths, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(paths, "stored", lambda df, name: (out := scratch.stored(df, name), sizes.append(out.count()))[0])
+    got = {r.node: r.betweenness for r in paths.betweenness(spark.createDataFrame(rows, "a string, b string, weight double")).collect()}
+    want = betweenness([r for r in rows if r[0] != r[1]])
+    assert set(got) == set(want) and max(abs(got[n] - want[n]) for n in want) < 1e-12
+    assert max(sizes) <= 2 * len(rows)  # pairs of nodes would be up to 1,700
+
+
 def test_sources_in_batches(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "a", 1.0)], "a string, b string, weight double")
     monkeypatch.setattr(paths, "BATCH_ROWS", 12)
