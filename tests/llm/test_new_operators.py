@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import AWKWARD, AWKWARD_IDS, DATA, LONG, SCHEMA, awkward, documents, frame, pytestmark  # noqa: F401
@@ -224,6 +225,20 @@ def test_learned_spans_on_held_out_rows(spark, people):
     assert not [t for t in clean if pii.all_spans(t, model)[1]]
 
 
+def test_all_windows_are_learned_from(spark):
+    docs = frame(spark, [f"write to jo{k} of name{k}@post{k % 7}.example.com or so" for k in range(4000)])  # more than 3,000 of a kind
+    windows = [tuple(r) for b in pii._window_rows(iter([pa.RecordBatch.from_pydict({"text": [r["text"] for r in docs.collect()]})])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    x, y, kinds, later = pii.examples(windows)
+    x, y = x[~later & (kinds == 0)], y[~later & (kinds == 0)]
+    trees = pii.learn(docs).trees
+    place = pii._place(x, np.zeros(len(x), int), trees.feature[0], trees.cut[0], 4)  # the first round's tree of one kind
+    g, h = np.bincount(place, y - 0.5, 16), np.bincount(place, np.full(len(x), 0.25), 16)
+    assert len(x) > 3000 and np.allclose(trees.leaf[0, 0], 0.4 * g / (h + 2), atol=1e-9)
+    gain = max((np.sum(y[m] - 0.5) ** 2 / (m.sum() / 4 + 2) + np.sum(y[~m] - 0.5) ** 2 / ((~m).sum() / 4 + 2) for j in range(x.shape[1]) for m in (x[:, j] <= c for c in np.unique(x[:, j])[:-1])), default=0)
+    m = x[:, trees.feature[0, 0, 0]] <= trees.cut[0, 0, 0]
+    assert np.sum(y[m] - 0.5) ** 2 / (m.sum() / 4 + 2) + np.sum(y[~m] - 0.5) ** 2 / ((~m).sum() / 4 + 2) >= gain * 0.99  # the best cut, up to the bins
+
+
 def test_personal_data_of_awkward_rows(spark, awkward, people):  # noqa: F811
     model = pii.learn(people)
     extra = frame(spark, ["a@b.c 1.2.3.4 x 4111111111111111 x +1 (234) 555-0000", "é🙂 x@y.zz", "jo (at) mail1.example.com, 10[.]0[.]0[.]1"], [60, 61, 62])

@@ -9,14 +9,18 @@ of ``DISGUISES`` where it stands, is an example; what the generators propose bes
 written-in ``DECOYS``, are counterexamples.  A third fold calibrates: scores become probabilities by a logistic
 curve, and a kind's threshold is where at most ``FALSE_SHARE`` of its counterexamples pass and the probability is
 ``SURE`` or more.  A kind with fewer than ``LEAST`` examples adds nothing.
+
+All windows of all documents are learned from.  They stay in a written table: cuts, trees, curve and thresholds come
+from sums over it by cells, whose number is fixed by the features' range and the trees' shape, whatever the input.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,11 +33,15 @@ from .common import forget, stored
 from .tokens import release
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base spans and proposals of a kind that the trees learn from, the first by a hash of them: the bound of the sample.
-LEARN_ROWS = 3000
 #: Characters before and after a span that are looked at.
 BEFORE, AFTER = 40, 12
 LEAST, SURE, FALSE_SHARE = 50, 0.9, 0.001
+#: Features are whole numbers below VALUES and cut into BINS; derivatives are summed as whole multiples of 1 / SCALE.
+VALUES, BINS, SCALE = 256, 32, 1 << 24
+#: Margins are told apart by steps of 1 / GRAIN up to REACH on either side.
+GRAIN, REACH = 1024, 32
+#: Different examples that a task sums over.
+TASK_ROWS = 50_000
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -166,52 +174,113 @@ def features(text: str, span: Span) -> list[float]:
 
 
 class Trees(NamedTuple):
-    """Boosted trees of one depth: of each tree a feature and cut for each inner node, heap order, and leaf values."""
+    """Boosted trees of one depth, one a round and kind: a feature and cut for each inner node, heap order, and leaf values."""
 
     feature: np.ndarray
     cut: np.ndarray
     leaf: np.ndarray
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        depth, rows = self.leaf.shape[1].bit_length() - 1, np.arange(len(x))
+        out, kind = np.zeros(len(x)), x[:, : len(KINDS)].argmax(1)
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
-            out += leaf[at - (len(leaf) - 1)]
-        return out
-
-
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.2, ridge: float = 2.0, least: float = 2.0) -> Trees:
-    """Newton boosting of the logistic loss with histograms of at most 32 bins a feature; equal gains take the first cut."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1], method="lower")) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], 1)  # bin k: edges[k - 1] < value <= edges[k]
-    flat = binned + 32 * np.arange(x.shape[1])
-    cells, margin = 32 * x.shape[1], np.zeros(len(x))
-    inner = 2**depth - 1
-    features_, cuts, leaves = [], [], []
+            out += leaf[kind, _place(x, kind, feature, cut, leaf.shape[1].bit_length() - 1)]
+        return np.clip(np.rint(out * GRAIN) / GRAIN, -REACH, REACH)
+
+
+def _place(x: np.ndarray, kind: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """Which node of the level ``depth`` each row comes to, from the left."""
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(depth):
+        at = 2 * at + 1 + (x[rows, feature[kind, at]] > cut[kind, at])
+    return at - (2**depth - 1)
+
+
+Cells = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _sums(rows: DataFrame, cells: Cells, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of each of ``size`` cells, added over all examples; ``cells`` gives (cell, one, other) of (features, n, positives).
+
+    They are whole, so that their sums don't depend on the order.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, other = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                at, a, b = cells(x, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                one += np.bincount(at.ravel(), a.ravel(), size).astype(np.int64)
+                other += np.bincount(at.ravel(), b.ravel(), size).astype(np.int64)
+        own = np.flatnonzero((one != 0) | (other != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(one[own]), pa.array(other[own])], names=["cell", "one", "other"])
+
+    found = rows.select("x", "n", "positives").mapInArrow(added, "cell long, one long, other long").groupBy("cell").agg(F.sum("one").alias("one"), F.sum("other").alias("other")).toArrow()
+    out = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for name, full in zip(("one", "other"), out, strict=True):
+        full[found["cell"].to_numpy()] = found[name].to_numpy()
+    return out
+
+
+def _values(x: np.ndarray, n: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By feature and value: examples and positive ones."""
+    return x + VALUES * np.arange(x.shape[1]), *(np.repeat(v, x.shape[1]) for v in (n, positives))
+
+
+def _derivatives(x: np.ndarray, n: np.ndarray, positives: np.ndarray, trees: Trees, feature: np.ndarray, cut: np.ndarray, level: int, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By kind, node of the level, feature and bin: first and second derivatives of the logistic loss."""
+    kind = x[:, : len(KINDS)].argmax(1)
+    p = 1 / (1 + np.exp(-trees.margins(x)))
+    g, h = SCALE * positives - n * np.rint(SCALE * p), n * np.rint(SCALE * p * (1 - p))
+    j = np.arange(x.shape[1])
+    node = (kind << level) + _place(x, kind, feature, cut, level)
+    return (node[:, None] * len(j) + j) * BINS + bins[j, x], *(np.repeat(v, len(j)) for v in (g, h))
+
+
+def _margins(x: np.ndarray, n: np.ndarray, positives: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By kind and margin: examples and positive ones."""
+    step = np.rint(GRAIN * (trees.margins(x) + REACH)).astype(np.int64)
+    return x[:, : len(KINDS)].argmax(1) * (2 * GRAIN * REACH + 1) + step, n, positives
+
+
+def boost(rows: DataFrame, counts: np.ndarray, rounds: int = 20, depth: int = 4, rate: float = 0.4, ridge: float = 2.0, least: float = 2.0) -> Trees:
+    """Newton boosting of the logistic loss, for each kind apart, by sums over at most ``BINS`` bins a feature; equal gains take the first cut.
+
+    ``counts`` says how many of the rows have each value of each feature; cuts are its quantiles.  A level of a round's
+    trees, of all kinds, is one aggregate over all rows.
+    """
+    many = counts[0].sum()
+    ranks = np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (many - 1))
+    edges = [np.unique(np.searchsorted(c.cumsum(), ranks, "right")) for c in counts]
+    bins = np.array([np.searchsorted(e, np.arange(VALUES)) for e in edges])  # bin k: edges[k - 1] < value <= edges[k]
+    width, kinds, inner = len(edges), len(KINDS), 2**depth - 1
+    trees = Trees(np.zeros((0, kinds, inner), np.int64), np.zeros((0, kinds, inner)), np.zeros((0, kinds, inner + 1)))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        at = np.zeros(len(x), np.int64)
-        feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)  # a node without a gain sends all to the left
-        for node in range(inner):
-            own = np.flatnonzero(at == node)
-            if len(own):
-                gs, hs = (np.bincount(flat[own].ravel(), np.repeat(v[own], x.shape[1]), cells).reshape(-1, 32).cumsum(1) for v in (g, h))
-                total_g, total_h = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + ridge) + (total_g - gs) ** 2 / (total_h - hs + ridge) - total_g**2 / (total_h + ridge)
-                gain[(hs < least) | (total_h - hs < least)] = 0
-                j, k = divmod(int(gain.argmax()), 32)
-                if gain[j, k] > 1e-9 and k < len(edges[j]):
-                    feature[node], cut[node] = j, edges[j][k]
-                at[own] = 2 * node + 1 + (x[own, feature[node]] > cut[node])
-        place = at - inner
-        leaf = rate * np.bincount(place, g, inner + 1) / (np.bincount(place, h, inner + 1) + ridge)
-        margin += leaf[place]
-        features_.append(feature), cuts.append(cut), leaves.append(leaf)
-    return Trees(np.array(features_), np.array(cuts), np.array(leaves))
+        feature, cut = np.zeros((kinds, inner), np.int64), np.full((kinds, inner), np.inf)  # a node without a gain sends all to the left
+        leaf = np.zeros((kinds, inner + 1))
+        for level in range(depth):
+            cells = functools.partial(_derivatives, trees=trees, feature=feature, cut=cut, level=level, bins=bins)
+            sums = _sums(rows, cells, (kinds << level) * width * BINS)
+            gs, hs = (v.reshape(kinds << level, width, BINS).cumsum(2) / SCALE for v in sums)
+            total_g, total_h = gs[:, :, -1:], hs[:, :, -1:]
+            gain = gs**2 / (hs + ridge) + (total_g - gs) ** 2 / (total_h - hs + ridge) - total_g**2 / (total_h + ridge)
+            gain[(hs < least) | (total_h - hs < least)] = 0
+            for node, own in enumerate(gain.reshape(len(gain), -1)):
+                kind, place = divmod(node, 1 << level)
+                j, k = divmod(int(own.argmax()), BINS)
+                split = own[j * BINS + k] > 1e-9
+                if split:
+                    at = (1 << level) - 1 + place
+                    feature[kind, at], cut[kind, at] = j, edges[j][k]
+                if level == depth - 1:
+                    g, h = np.array([gs[node, 0, -1], 0.0]), np.array([hs[node, 0, -1], 0.0])
+                    if split:
+                        g, h = np.array([gs[node, j, k], g[0] - gs[node, j, k]]), np.array([hs[node, j, k], h[0] - hs[node, j, k]])
+                    leaf[kind, 2 * place : 2 * place + 2] = rate * g / (h + ridge)
+            if np.isinf(cut).all():
+                return trees  # no kind gains by any cut
+        trees = Trees(*(np.concatenate([old, new[None]]) for old, new in zip(trees, (feature, cut, leaf), strict=True)))
+    return trees
 
 
 class Model(NamedTuple):
@@ -222,8 +291,11 @@ class Model(NamedTuple):
     offset: float
     thresholds: tuple[float, ...]
 
+    def of(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * margins + self.offset)))
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.trees.margins(x) + self.offset)))
+        return self.of(self.trees.margins(x))
 
 
 #: Ways to write what the base rules find otherwise: (between the parts of a name and its domain, or of a number).
@@ -298,44 +370,61 @@ def examples(windows: list[tuple[bool, int, str, str, str]]) -> tuple[np.ndarray
     return np.array(x, float).reshape(len(x), -1 if x else 0), np.array(y, float), np.array(kinds, int), np.array(later, bool)
 
 
-def fitted(windows: list[tuple[bool, int, str, str, str]]) -> Model:
-    x, y, kinds, later = examples(windows)
+def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows the examples: whether it calibrates, features as bytes, and whether it is a positive one."""
+    release()
+    for batch in batches:
+        x, y, _, later = examples(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        columns = [pa.array(later, pa.bool_()), pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary()), pa.array(y.astype(np.int64), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["later", "x", "positive"])
+
+
+def fitted(rows: DataFrame) -> Model:
+    """The model of all rows (later, x, n, positives), a written table; trees from those that aren't later, the rest from those that are."""
+    few = 1 + rows.count() // TASK_ROWS  # each task gives its own sums of cells
+    learning, later = rows.filter("not later").coalesce(few), rows.filter("later").coalesce(few)
+    width = len(features("1", Span(0, 0, 1)))
+    counts, good = (v.reshape(width, VALUES) for v in _sums(learning, _values, width * VALUES))
+    right = good[: len(KINDS), 1]
     nothing = Model(None, 1.0, 0.0, (2.0,) * len(KINDS))
-    if not len(y) or y[~later].sum() < LEAST or y[later].sum() < 1:
+    if right.sum() < LEAST or (later.agg(F.sum("positives")).first()[0] or 0) < 1:
+        return nothing
+    trees = boost(learning, counts)
+    if not len(trees.leaf):
         return nothing
-    trees = boost(x[~later], y[~later])
-    margin, truth, of = trees.margins(x[later]), y[later], kinds[later]
+    steps = 2 * GRAIN * REACH + 1
+    n, true = (v.reshape(len(KINDS), steps) for v in _sums(later, functools.partial(_margins, trees=trees), len(KINDS) * steps))
+    all_n, all_true, margin = n.sum(0), true.sum(0), np.arange(steps) / GRAIN - REACH
     slope, offset = 1.0, 0.0
     for _ in range(30):  # Newton steps of a logistic curve, with a weak pull to the margins themselves
         p = 1 / (1 + np.exp(-(slope * margin + offset)))
-        w = p * (1 - p)
-        grad = np.array([np.sum((truth - p) * margin) - (slope - 1), np.sum(truth - p) - offset])
+        w, miss = all_n * p * (1 - p), all_true - all_n * p
+        grad = np.array([np.sum(miss * margin) - (slope - 1), np.sum(miss) - offset])
         curve = np.array([[np.sum(w * margin**2) + 1, np.sum(w * margin)], [np.sum(w * margin), np.sum(w) + 1]])
         slope, offset = np.array([slope, offset]) + np.linalg.solve(curve, grad)
     model, thresholds = Model(trees, float(slope), float(offset), ()), []
-    p = model.probabilities(x[later])
+    p = model.of(margin)
+    falling = np.argsort(-p, kind="stable")
     for k in range(len(KINDS)):
-        wrong, right = np.sort(p[(of == k) & (truth == 0)])[::-1], int(y[(kinds == k) & ~later].sum())
-        allowed = int(FALSE_SHARE * len(wrong))  # as many counterexamples may pass
-        level = float(wrong[allowed]) if allowed < len(wrong) else 0.0
-        thresholds.append(max(SURE, np.nextafter(level, 1.0)) if right >= LEAST else 2.0)
+        passed = (n[k] - true[k])[falling].cumsum()
+        allowed = int(FALSE_SHARE * passed[-1])  # as many counterexamples may pass
+        level = float(p[falling[np.searchsorted(passed, allowed, "right")]]) if allowed < passed[-1] else 0.0
+        thresholds.append(max(SURE, np.nextafter(level, 1.0)) if right[k] >= LEAST else 2.0)
     return model._replace(thresholds=tuple(thresholds))
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model from the documents' own base spans; at most ``LEARN_ROWS`` windows of each kind, known or not, reach the driver.
+    """A model from all of the documents' own base spans and proposals; sums by cells reach the driver, no window does.
 
     Windows that occur often count once.  Rows with null or empty text give none; an empty table gives a model that adds
     nothing.
     """
-    windows = stored(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_window_rows, "known boolean, kind int, before string, body string, after string").distinct(), "windows")
-    taken: list[tuple] = []
-    for known in (True, False):
-        for kind in range(len(KINDS)):
-            own = windows.filter((F.col("known") == known) & (F.col("kind") == kind))
-            taken += map(tuple, own.orderBy(F.xxhash64("before", "body", "after"), "before", "body", "after").limit(LEARN_ROWS).collect())
-    forget(windows)
-    return fitted(taken)
+    windows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_window_rows, "known boolean, kind int, before string, body string, after string").distinct()
+    each = windows.mapInArrow(_example_rows, "later boolean, x binary, positive long")
+    rows = stored(each.groupBy("later", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("positives")), "examples")
+    model = fitted(rows)
+    forget(rows)
+    return model
 
 
 def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
