@@ -233,3 +233,22 @@ def test_beacon_findings(spark):
     np.add.at(counts, [r[2] // 180_000_000 for r in rows[: 90 * 144]], 1)
     power = np.abs(np.fft.rfft(counts - counts.mean()))[1:] ** 2
     assert b.period_s == pytest.approx(len(counts) * 180 / (power.argmax() + 1)) and b.strength == pytest.approx(power.max() / power.sum())
+
+
+def test_an_hour_keeps_two_sets(spark):
+    from tidewatch.operators import windows
+
+    names = ("n_unique_domains", "n_rare_domains", "n_new_domains_for_user", "n_newly_registered_domains", "mean_domain_entropy", "n_unique_status_codes", "n_unique_user_agents", "ua_diversity_ratio")
+    rows = [(0, 5, "u", "ab.c", 200, "x", True), (1, 6, "u", "ab.c", 404, "x", False), (2, 7, "u", "aa.c", None, None, None), (3, 8, "u", None, 200, "y", True), (4, windows.HOUR, "u", "ab.c", 200, "x", None)]
+    ev = spark.createDataFrame(rows, "id long, us long, who string, domain string, status_code long, user_agent string, newly_registered boolean")
+    found = windows.entity_windows(ev, "who", names)
+    first, second = (tuple(r[n] for n in names) for r in found.orderBy("hour_us").collect())
+    assert first == (2.0, 2.0, 2.0, 1.0, 0.5, 2.0, 2.0, 0.5) and second == (1.0, 1.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0)
+    assert str(found._jdf.queryExecution().sparkPlan().toString()).count("partial_collect_set(") == 2  # one a column before
+
+
+def test_rounded_halves_go_away_from_zero(spark):
+    from tidewatch.functions import stats
+
+    got = spark.createDataFrame([(0.0078125,), (-0.0078125,), (1e300,), (float("nan"),), (None,)], "x double").select(stats.rounded(F.col("x"), 6).alias("r")).collect()
+    assert [r.r for r in got[:3]] == [0.007813, -0.007813, 1e300] and got[3].r != got[3].r and got[4].r is None
