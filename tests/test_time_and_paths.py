@@ -252,3 +252,15 @@ def test_rounded_halves_go_away_from_zero(spark):
 
     got = spark.createDataFrame([(0.0078125,), (-0.0078125,), (1e300,), (float("nan"),), (None,)], "x double").select(stats.rounded(F.col("x"), 6).alias("r")).collect()
     assert [r.r for r in got[:3]] == [0.007813, -0.007813, 1e300] and got[3].r != got[3].r and got[4].r is None
+
+
+def test_windows_are_made_once_for_their_z(spark):
+    from tidewatch.operators import windows
+
+    sent = {"a": (1, 2, 9), "b": (4, 4, 4)}
+    ev = spark.createDataFrame([(i, h * windows.HOUR, who, f"10.0.0.{i % 2}", "x.c", n) for who, ns in sent.items() for i, (h, n) in enumerate(enumerate(ns))], "id long, us long, principal string, src_ip string, domain string, bytes_out long")
+    found = windows.vectors(ev)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = {(r.entity_value, r.hour_us // windows.HOUR): r for r in found.filter("entity_type = 'user'").collect()}
+    assert np.allclose([own["a", h].bytes_out_sum_z_vs_own_history for h in range(3)], [-0.6745, 0, 7 * 0.6745]) and own["b", 1].bytes_out_sum_z_vs_own_history == 0
+    assert np.allclose([own[k].bytes_out_sum_z_vs_cohort for k in (("a", 0), ("b", 0))], [-0.6745, 0.6745])  # no department: a null cohort is one
