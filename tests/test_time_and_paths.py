@@ -235,6 +235,20 @@ def test_beacon_findings(spark):
     assert b.period_s == pytest.approx(len(counts) * 180 / (power.argmax() + 1)) and b.strength == pytest.approx(power.max() / power.sum())
 
 
+def test_long_beacon_keeps_its_bins(spark):
+    """Ninety days of a beacon are looked at minute by minute, so that its second period of four minutes is seen."""
+    from tidewatch.operators import detectors
+
+    times = sorted([600_000_000 * i for i in range(90 * 144)] + [240_000_000 * i for i in range(90 * 360)])
+    ev = spark.createDataFrame([("10.0.0.1", "c2.example", t, i) for i, t in enumerate(times)], "src_ip string, domain string, us long, id long")
+    b = detectors.beacon_findings(ev, bound=0.0, most=None).first()
+    counts = np.bincount([t // 60_000_000 for t in times]).astype(float)
+    power = np.abs(np.fft.rfft(counts - counts.mean()))[1:] ** 2
+    k = int((power >= power.max() * (1 - 1e-9)).argmax())
+    assert b.bucket_s == 60 and b.n == len(times) and b.period_s == pytest.approx(len(counts) * 60 / (k + 1)) and b.strength == pytest.approx(power[k] / power.sum())
+    assert abs(b.period_s - 240) < 0.1  # bins of three minutes end at six
+
+
 def test_an_hour_keeps_two_sets(spark):
     from tidewatch.operators import windows
 
