@@ -249,6 +249,30 @@ def test_long_beacon_keeps_its_bins(spark):
     assert abs(b.period_s - 240) < 0.1  # bins of three minutes end at six
 
 
+def test_spectrum_in_stretches(spark, monkeypatch):
+    """A key that lasts longer than a stretch has the same spectrum, and few bytes are dealt to as many tasks as asked for."""
+    from tidewatch.operators import detectors
+
+    rng = np.random.default_rng(4)
+    series = {"few": rng.choice(5000, 9, replace=False), "many": rng.choice(7001, 6000), "flat": np.arange(900), "one": np.array([0]), "two": np.array([0, 1]), "even": np.arange(0, 3000, 50)} | {f"k{i}": rng.choice(400, 5, replace=False) for i in range(40)}
+    ev = spark.createDataFrame([(k, int(b) * 60_000_000) for k, bins in series.items() for b in bins], "who string, us long")
+    files, written = {}, detectors.stored
+    monkeypatch.setattr(detectors, "stored", lambda df, name: (out := written(df, name), files.update({name: len(out.inputFiles())}))[0])
+    monkeypatch.setattr(detectors, "STRETCH", 700)
+    got = {r.who: r for r in detectors.dominant_period(ev, ["who"], 60).collect()}
+    assert set(got) == set(series) and files["spectra"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for who, bins in series.items():
+        x = np.bincount(bins - bins.min()).astype(float)
+        power = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2
+        r = got[who]
+        if len(power) < 2 or x.min() == x.max():
+            assert r.period_s is None and r.ratio is None and r.strength is None
+            continue
+        k = int((power >= power.max() * (1 - 1e-9)).argmax())
+        rest = (power.sum() - power[k]) / (len(power) - 1)
+        assert r.period_s == pytest.approx(len(x) * 60 / (k + 1)) and r.strength == pytest.approx(power[k] / power.sum()) and r.ratio == pytest.approx(power[k] / rest)
+
+
 def test_an_hour_keeps_two_sets(spark):
     from tidewatch.operators import windows
 
