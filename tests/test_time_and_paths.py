@@ -171,6 +171,37 @@ def test_betweenness_in_blocks(spark, monkeypatch):
     assert max(sizes) <= 2 * len(rows)  # pairs of nodes would be up to 1,700
 
 
+def test_long_paths_take_no_more_tables(spark, monkeypatch):
+    """A chain of forty nodes: its rounds lie in the tasks, where each wrote and exchanged all cells."""
+    names = []
+    monkeypatch.setattr(paths, "stored", lambda df, name: (names.append(name), scratch.stored(df, name))[1])
+    got = {r.node: r.betweenness for r in paths.betweenness(spark.createDataFrame([(i, i + 1, 1.0 + i % 3) for i in range(39)], "a int, b int, weight double")).collect()}
+    assert got == {i: pytest.approx(2 * i * (39 - i) / (39 * 38)) for i in range(40)} and len(names) <= 4
+
+
+def test_edges_in_pieces(monkeypatch):
+    """Edges that fill several pieces, some of next to no length, and blocks of sources of several widths give the same."""
+    rng = np.random.default_rng(5)
+    g = {tuple(sorted((int(a), int(b)))): float(rng.integers(1, 4)) for a, b in rng.integers(0, 50, (160, 2)) if a != b}
+    monkeypatch.setattr(paths, "PIECE", 32)
+    monkeypatch.setattr(paths, "TOGETHER", 160)
+    for tiny in (1.0, 1e-10):
+        rows = [(a, b, w if a % 9 else w * tiny) for (a, b), w in g.items()]
+        both = sorted([(b, a, w) for a, b, w in rows] + rows, key=lambda r: r[0] // 10)
+        for width in (7, 50):
+            total = np.zeros(50)
+            for low in range(0, 50, width):
+                edges = paths._Edges()
+                for k in range(0, len(both), 5):
+                    edges.add(*(np.array(c, kind) for c, kind in zip(zip(*both[k : k + 5], strict=True), (np.int32, np.int32, np.float64), strict=True)))
+                total += paths._parts(edges, 50, low, min(width, 50 - low))
+            if tiny == 1.0:
+                want = betweenness(rows)
+                assert max(abs(total[n] / (49 * 48) - want[n]) for n in want) < 1e-12 and len(want) == 50
+            else:
+                assert np.isfinite(total).all()  # and it ends
+
+
 def test_sources_in_batches(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "a", 1.0)], "a string, b string, weight double")
     monkeypatch.setattr(paths, "BATCH_ROWS", 12)
