@@ -148,6 +148,17 @@ def test_sets_that_are_together_make_no_more_pairs(spark, monkeypatch):
     assert got == root and sizes["pairs"] < 3000  # 300 sets have 44,850 pairs
 
 
+def test_sets_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Tables of a row a set pack so well that they pass for small: their joins exchange both sides whatever their size on disk."""
+    plans, written = {}, communities.stored
+    monkeypatch.setattr(communities, "stored", lambda df, name: (plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    rows = [(k, e) for k in range(60) for e in (k, k + 1, 100 + k % 7, 200 + k)]
+    got = {r["set"]: r["merged"] for r in communities.merged_by_overlap(spark.createDataFrame(rows, "set long, element long"), 0.4).collect()}
+    assert len(got) == 60
+    for name in ("listed", "links", "label", "parts"):
+        assert plans[name] and not any("BroadcastHashJoin" in p for p in plans[name]), name
+
+
 def test_betweenness(spark):
     rng = np.random.default_rng(2)
     g = {tuple(sorted((f"n{a:02}", f"n{b:02}"))): float(rng.integers(1, 4)) for a, b in rng.integers(0, 20, (45, 2)) if a != b} | {("p", "q"): 1.0}

@@ -111,16 +111,21 @@ def communities(g: DataFrame) -> DataFrame:
     return named
 
 
+def _exchanged(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that exchanges both sides: tables of a row a node pack so well that Spark takes big ones for small and sends them through the driver."""
+    return rows.hint("merge")
+
+
 def connected(g: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected part of edges (a, b), by minima of neighbours and jumps to roots' roots."""
     both = stored(g.select("a", "b").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"), "label")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        new = stored(label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")), "label")
+        near = both.join(_exchanged(label.select(F.col("node").alias("b"), F.col("root").alias("near"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        new = stored(label.join(_exchanged(near), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")), "label")
         # a node takes its root's root as well, so that long chains shrink by halves
         jump = new.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = stored(new.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")), "label")
+        after = stored(new.join(_exchanged(jump), "root").select("node", "was", F.least("root", "far").alias("root")), "label")
         forget(label, new)
         label = after
         if not label.filter("root <> was").limit(1).count():
@@ -134,7 +139,7 @@ def _overlapping(pairs: DataFrame, listed: DataFrame, least: float) -> DataFrame
     """Of rows with (set, other) those whose sets share ``least`` of the smaller one's elements."""
     a, b = listed.select("set", F.col("e").alias("_e")), listed.select(F.col("set").alias("other"), F.col("e").alias("_f"))
     shared = F.size(F.array_intersect("_e", "_f"))
-    return pairs.join(a, "set").join(b, "other").filter(shared >= F.lit(float(least)) * F.least(F.size("_e"), F.size("_f"))).drop("_e", "_f")
+    return pairs.join(_exchanged(a), "set").join(_exchanged(b), "other").filter(shared >= F.lit(float(least)) * F.least(F.size("_e"), F.size("_f"))).drop("_e", "_f")
 
 
 def merged_by_overlap(sets: DataFrame, least: float = 0.5) -> DataFrame:
@@ -149,24 +154,24 @@ def merged_by_overlap(sets: DataFrame, least: float = 0.5) -> DataFrame:
     """
     rows = stored(sets.select("set", "element").distinct(), "sets")
     often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
-    ranked = rows.join(often, "element").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("e"))
+    ranked = rows.join(_exchanged(often), "element").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("e"))
     listed = stored(ranked.select("set", F.transform("e", lambda x: x["element"]).alias("e"), F.size("e").cast("long").alias("n")), "listed")
     held = listed.select("set", "n", F.explode("e").alias("element"))
     centre = held.groupBy("element").agg(F.min(F.struct("n", "set")).alias("c")).select("element", F.col("c.set").alias("other"))
-    near = held.join(centre, "element").filter("set <> other").select("set", "other").distinct()
+    near = held.join(_exchanged(centre), "element").filter("set <> other").select("set", "other").distinct()
     links = stored(_overlapping(near, listed, least).select(F.col("set").alias("a"), F.col("other").alias("b")), "links")
-    part = stored(listed.select("set", "n", "e").join(connected(links), F.col("set") == F.col("node"), "left").select("set", "n", "e", F.coalesce("root", "set").alias("root")), "parts")
+    part = stored(listed.select("set", "n", "e").join(_exchanged(connected(links)), F.col("set") == F.col("node"), "left").select("set", "n", "e", F.coalesce("root", "set").alias("root")), "parts")
     largest = part.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "root").limit(1).select("root", F.lit(True).alias("_large"))
     part = part.join(F.broadcast(largest), "root", "left").withColumn("_open", F.col("_large").isNull())
     keep = F.size("e") - F.ceil(F.size("e") * F.lit(float(least))).cast("int") + 1
     heads = part.select("set", "n", "root", "_open", F.explode(F.slice("e", F.lit(1), keep)).alias("element"))
     others = part.select(F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("_open").alias("_far_open"), F.explode("e").alias("element"))
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") > F.col("set")))
-    met = heads.filter("_open").join(others, "element").unionByName(heads.filter("not _open").join(others.filter("_far_open"), "element"))
+    met = heads.filter("_open").join(_exchanged(others), "element").unionByName(heads.filter("not _open").join(_exchanged(others.filter("_far_open")), "element"))
     pairs = stored(met.filter(larger & (F.col("root") != F.col("far"))).select("set", "other", "root", "far").distinct(), "pairs")
     between = stored(_overlapping(pairs, listed, least).select(F.col("root").alias("a"), F.col("far").alias("b")).distinct(), "links")
     roots = connected(between).withColumnRenamed("root", "_last")
-    merged = part.join(roots, F.col("root") == F.col("node"), "left").select("set", F.coalesce("_last", "root").alias("merged"))
-    out = stored(rows.select("set").distinct().join(merged, "set", "left").select("set", F.coalesce("merged", "set").alias("merged")), "merged")
+    merged = part.join(_exchanged(roots), F.col("root") == F.col("node"), "left").select("set", F.coalesce("_last", "root").alias("merged"))
+    out = stored(rows.select("set").distinct().join(_exchanged(merged), "set", "left").select("set", F.coalesce("merged", "set").alias("merged")), "merged")
     forget(rows, listed, links, pairs, between)
     return out
